@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomwire.llm import licenses, quality, shards, tool_calls
+from loomwire.llm import licenses, minhash, quality, shards, tool_calls
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
     "op2_shards": shards.op2_shards,
     "op3_tool_calls": tool_calls.op3_tool_calls,
     "op4_quality": quality.op4_quality,
+    "op6_minhash": minhash.op6_minhash,
 }
-ORACLE = {"op1_licenses": licenses.OP1_SQL, "op3_tool_calls": tool_calls.OP3_SQL, "op4_quality": quality.OP4_SQL}
+ORACLE = {"op1_licenses": licenses.OP1_SQL, "op3_tool_calls": tool_calls.OP3_SQL, "op4_quality": quality.OP4_SQL, "op6_minhash": minhash.OP6_SQL}
