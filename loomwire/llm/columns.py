@@ -39,3 +39,36 @@ def same_row(a: DataFrame, b: DataFrame, names: list[str]) -> list[Column]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def count_at_most(xs: Column, value: Column) -> Column:
+    """How many entries of the sorted array ``xs`` are at most ``value``, found by halving (31 steps do for any array)."""
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
+        open_ = state["lo"] < state["hi"]
+        fits = F.get(state["xs"], middle) <= state["v"]
+        return F.struct(
+            F.when(open_ & fits, middle + 1).otherwise(state["lo"]).alias("lo"),
+            F.when(open_ & ~fits, middle).otherwise(state["hi"]).alias("hi"),
+            state["xs"].alias("xs"),
+            state["v"].alias("v"),
+        )
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(xs) + 1)).cast("int"))
+    start = F.struct(F.lit(0).alias("lo"), F.size(xs).alias("hi"), xs.alias("xs"), value.alias("v"))
+    return F.aggregate(steps, start, halve)["lo"]
+
+
+#: Ids (8 bytes each) up to which the smaller side of a join is broadcast; beyond, both sides are shuffled.
+BROADCAST_IDS = 200_000
+
+
+def sized(ids: DataFrame, n: int) -> DataFrame:
+    """``ids`` marked for broadcast if its ``n`` rows, counted before, are few enough."""
+    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
+
+
+def row_key() -> Column:
+    """Stands for a document in joins: equal for rows that repeat both doc_id and text."""
+    return F.xxhash64("doc_id", "text")

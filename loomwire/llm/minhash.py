@@ -13,18 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwire.llm.columns import table
+from loomwire.llm.columns import row_key, sized, table
 from loomwire.llm.hashing import minima, mix, shingle_sets, signed
 from loomwire.operators.graph import connected_components
 from loomwire.session import cut, stored
 
 WORDS, PERCENT = 5, 75
 FIRST, SECOND = 10, 6
-#: Rows of ids (8 bytes each) up to which a side is broadcast; beyond, both sides are shuffled.
-BROADCAST_IDS = 200_000
 #: Rounds in which buckets are compared with one member each, before what is left is compared in full.
 HUB_ROUNDS = 3
 
@@ -49,11 +47,6 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def row_key() -> Column:
-    """Stands for a document in joins: equal for rows that repeat both doc_id and text."""
-    return F.xxhash64("doc_id", "text")
-
-
 def profiles(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, ``row_key`` (64 bits of id and text), size of the shingle set, ``node`` (64 bits of
     the set), minhash groups ``a`` and ``b``. Texts with equal sets share a node, so copies take part once.
@@ -77,11 +70,6 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(good, columns=["src", "dst"]) if good else pd.DataFrame({"src": pd.array([], "int64"), "dst": pd.array([], "int64")})
 
 
-def sized(ids: DataFrame, n: int) -> DataFrame:
-    """``ids`` marked for broadcast if its ``n`` rows are few enough."""
-    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
-
-
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs(src, dst)`` whose full shingle sets are similar enough.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwire.llm import licenses, minhash, quality, shards, tool_calls
+from loomwire.llm import licenses, minhash, mixing, quality, shards, tool_calls, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -10,5 +10,9 @@ QUERIES = {
     "op3_tool_calls": tool_calls.op3_tool_calls,
     "op4_quality": quality.op4_quality,
     "op6_minhash": minhash.op6_minhash,
+    "op9_warc": warc.op9_warc,
+    "op10_mixing": mixing.op10_mixing,
+}
+ORACLE = {"op1_licenses": licenses.OP1_SQL, "op3_tool_calls": tool_calls.OP3_SQL, "op4_quality": quality.OP4_SQL, "op6_minhash": minhash.OP6_SQL,
+    "op9_warc": warc.OP9_SQL,
 }
-ORACLE = {"op1_licenses": licenses.OP1_SQL, "op3_tool_calls": tool_calls.OP3_SQL, "op4_quality": quality.OP4_SQL, "op6_minhash": minhash.OP6_SQL}

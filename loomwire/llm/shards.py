@@ -14,7 +14,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwire.llm.columns import table
+from loomwire.llm.columns import count_at_most, table
 from loomwire.operators.ranking import rank_in_groups
 from loomwire.session import cut
 
@@ -59,27 +59,9 @@ def walk(sizes: dict[int, int], owners: list[int], limits: list[int]) -> list[tu
 
 
 def arc_of(key: Column, points: list[tuple[int, int]]) -> Column:
-    """Number of the first ring point at or after the key's hash, the ring closing on itself."""
+    """Number of the first ring point after the key's hash, the ring closing on itself."""
     edges = F.expr(f"array({', '.join(f'{p}L' for p, _ in points)})")
-    return F.pmod(_bisect(edges, F.xxhash64(key), len(points)), F.lit(len(points)))
-
-
-def _bisect(edges: Column, h: Column, n: int) -> Column:
-    """How many entries of the sorted constant array are below ``h``, by halving."""
-    steps = F.sequence(F.lit(0), F.lit(n.bit_length() - 1))
-
-    def halve(state: Column, _: Column) -> Column:
-        middle = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
-        below = F.get(edges, middle) < state["h"]
-        open_ = state["lo"] < state["hi"]
-        return F.struct(
-            F.when(open_ & below, middle + 1).otherwise(state["lo"]).alias("lo"),
-            F.when(open_ & ~below, middle).otherwise(state["hi"]).alias("hi"),
-            state["h"].alias("h"),
-        )
-
-    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"), h.alias("h"))
-    return F.aggregate(steps, start, halve)["lo"]
+    return F.pmod(count_at_most(edges, F.xxhash64(key)), F.lit(len(points)))
 
 
 def shard(keys: DataFrame, key: str, n_shards: int = SHARDS, vnodes: int = VNODES, slack: float = 0.0) -> DataFrame:
