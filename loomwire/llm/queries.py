@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwire.llm import licenses, minhash, mixing, packing, quality, shards, tool_calls, warc
+from loomwire.llm import licenses, lines, minhash, mixing, packing, quality, shards, tool_calls, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_tool_calls": tool_calls.op3_tool_calls,
     "op4_quality": quality.op4_quality,
     "op6_minhash": minhash.op6_minhash,
+    "op7_lines": lines.op7_lines,
     "op8_packing": packing.op8_packing,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
