@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loomwire.llm import licenses, lines, minhash, mixing, packing, quality, shards, tool_calls, warc
+from loomwire.llm import licenses, lines, minhash, mixing, neighbors, packing, quality, shards, tool_calls, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
     "op2_shards": shards.op2_shards,
     "op3_tool_calls": tool_calls.op3_tool_calls,
     "op4_quality": quality.op4_quality,
+    "op5_neighbors": neighbors.op5_neighbors,
     "op6_minhash": minhash.op6_minhash,
     "op7_lines": lines.op7_lines,
     "op8_packing": packing.op8_packing,
