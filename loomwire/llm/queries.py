@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from loomwire.llm import licenses, lines, minhash, mixing, neighbors, packing, quality, shards, tool_calls, warc
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {"op1_licenses": licenses.OP1_SQL, "op3_tool_calls": tool_calls.OP3_SQL, "op4_quality": quality.OP4_SQL, "op6_minhash": minhash.OP6_SQL,
     "op9_warc": warc.OP9_SQL,
