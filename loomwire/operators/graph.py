@@ -32,7 +32,8 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 up[max(ra, rb)] = min(ra, rb)
     pairs = [(n, top(n)) for n in up]
     pairs = [(n, r) for n, r in pairs if n != r]
-    yield pd.DataFrame(pairs, columns=["src", "dst"]) if pairs else pd.DataFrame({"src": [], "dst": []})
+    # as objects: texts in pandas' own string type may come in chunks, which Arrow conversion refuses
+    yield pd.DataFrame({c: pd.Series([p[i] for p in pairs], dtype=object) for i, c in enumerate(("src", "dst"))})
 
 
 def _state(edges: DataFrame) -> tuple:

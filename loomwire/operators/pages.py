@@ -154,7 +154,11 @@ def html_text(parts: DataFrame, chars: int = DEFAULT.html_text_chars) -> DataFra
 
 def _meta(*names: str) -> Column:
     """The first value of the metas of these names, the names in order of precedence."""
-    return F.coalesce(*[F.get(F.filter("metas", lambda m, n=n: (m["name"] == n) & (m["value"] != "")), F.lit(0))["value"] for n in names], F.lit(""))
+
+    def named(name: str) -> Column:
+        return F.get(F.filter("metas", lambda m: (m["name"] == name) & (m["value"] != "")), F.lit(0))["value"]
+
+    return F.coalesce(*[named(n) for n in names], F.lit(""))
 
 
 def extract_pages(parts: DataFrame, fallback: DataFrame | None = None) -> DataFrame:

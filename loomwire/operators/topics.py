@@ -52,7 +52,7 @@ def topics_from_clusters(members: DataFrame, articles: DataFrame) -> DataFrame:
     made = rows.groupBy("cluster_id").agg(head, F.sort_array(F.collect_list(link)).alias("links"), F.count("*").cast("int").alias("article_count"))
     category = category_id(first_of(F.col("h.category_hint"), F.lit(DEFAULT_CATEGORY)))
     return made.select(
-        "cluster_id", F.col("h.id").alias("id"), F.col("h.title").alias("title"),
+        "cluster_id", F.col("h.id").cast("string").alias("id"), F.col("h.title").alias("title"),
         F.substring(first_of(F.col("h.article_summary"), F.col("h.content_snippet")), 1, 300).alias("summary"), _empty().alias("key_points"), _empty().alias("tags"),
         category.alias("category"), category_name(category).alias("category_name"), full(F.col("h.image")).alias("image"), F.col("h.published").alias("published"),
         F.transform("links", lambda x: x["s"]).alias("sources"), "article_count",

@@ -747,7 +747,7 @@ def verdict_apply(spark, sf_dir):
     return done.join(kept, "doc_id", "left").select("doc_id", "is_relevant", "is_sensitive", "relevance_score", "category_id", F.array_join("article_tags", ",").alias("tags"), F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
-@query("WITH" + KEYED + " SELECT article_key, length('title: ' || title || chr(10) || 'source: ' || source || ' (' || l || ', rss)' || chr(10) || 'category: 品牌/市场' || chr(10) || 'published: ' || strftime(published, '%Y-%m-%d %H:%M:%S') || chr(10) || 'content: ' || trim(substr(text, 1, 2200)))::INT AS n FROM keyed JOIN (SELECT source, min(lang) AS l FROM documents GROUP BY source) USING (source) WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("WITH" + KEYED + " SELECT article_key, length('title: ' || title || chr(10) || 'source: ' || source || ' (' || l || ', rss)' || chr(10) || 'category: 品牌/市场' || chr(10) || 'published: ' || strftime(published, '%Y-%m-%d %H:%M:%S') || chr(10) || 'content: ' || substr(trim(text), 1, 2200))::INT AS n FROM keyed JOIN (SELECT source, min(lang) AS l FROM documents GROUP BY source) USING (source) WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def review_queue(spark, sf_dir):
     """U1, C21."""
     a = cut(fx.articles(spark, sf_dir))

@@ -6,11 +6,14 @@ executor shares. Only where that setting is absent (tests, a laptop) a private f
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parent.parent)
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -32,6 +35,15 @@ def local_session(app: str = "loomwire", cores: int = 8, memory: str = "8g", shu
     return spark
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where it lies, beside whatever the session has on its path."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as a URI; a fresh temporary one only if the session names none."""
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
