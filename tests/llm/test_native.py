@@ -71,8 +71,9 @@ def test_quality_figures(spark):
 
 
 def test_quality_boilerplate(spark):
-    own = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
-    texts = [f"Click here, to read ALL our great terms of the service today {i}!\n{own(i)}" for i in range(30)]
+    spell = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    own = lambda i: " ".join(f"w{spell(i)}x{spell(k)}" for k in range(12))
+    texts = [f"Click here, to read ALL our great terms of the service today {i % 10}!\n{own(i)}" for i in range(30)]
     texts += ["Click here to read all our great terms of the service today 7"] * 40 + [own(99)] * 40
     d = docs(spark, texts).unionByName(docs(spark, texts[:5], source=None, start=500))
     got = {r["doc_id"]: r for r in quality.quality_rules(d, line_docs=20, line_share=0.02).collect()}
