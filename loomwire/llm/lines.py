@@ -29,7 +29,8 @@ MOST_LOST = 0.5
 def segment(length: Column, number: int, tau: int) -> tuple[Column, Column]:
     """Start (from 0) and length of a segment of the even partition of a line: the last ones are one longer."""
     parts = tau + 1
-    small, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
+    longer = length % parts
+    small = F.floor(length / parts).cast("int")
     first_long = F.lit(parts) - longer
     return small * number + F.greatest(F.lit(0), F.lit(number) - first_long), small + (F.lit(number) >= first_long).cast("int")
 
@@ -134,6 +135,11 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[good, ["src", "dst"]]
 
 
+def letters(line: Column) -> Column:
+    """How often each letter from a to z occurs. An edit changes these counts by two in all at most."""
+    return F.transform(F.array(*[F.lit(chr(c)) for c in range(97, 123)]), lambda x: F.length(line) - F.length(F.replace(line, x, F.lit(""))))
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """Every line of every document: doc_id, row_key, line_no (from 0), id, n_chars, n_words. Null texts have no lines."""
     lines = docs.select("doc_id", row_key().alias("row_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -149,9 +155,10 @@ def long_lines(docs: DataFrame) -> DataFrame:
 def line_links(docs: DataFrame) -> DataFrame:
     """``(src, dst)``, src < dst: ids of different lines of at least MIN_CHARS within TAU edits of each other.
 
-    Keys are dealt out once; those under which two different lines meet, one with a segment and one with a probe, are
-    found by an aggregate, and only their rows are joined. Copies of a line collapse before the join. Texts are fetched
-    for lines that meet only.
+    Keys are dealt out once; those under which two different lines meet, one at least with a segment, are found by an
+    aggregate, and only their rows are joined. Copies of a line collapse before the join. Texts are fetched
+    for lines that meet only; of those, pairs whose letters differ in more than 2 TAU places cannot be close and are not
+    made.
     """
     spark = docs.sparkSession
     sigs = signatures(long_lines(docs)).repartition("key")
@@ -159,15 +166,18 @@ def line_links(docs: DataFrame) -> DataFrame:
     both = sigs.groupBy("key").agg(F.min(text_of("id")).alias("lo"), F.max(text_of("id")).alias("hi"), F.bit_or(F.col("id").bitwiseAND(F.lit(1))).alias("probed"))
     shared = both.filter("lo < hi AND probed = 1").select("key")
     met = stored(sigs.join(shared.hint("shuffle_hash"), "key").distinct(), "met")
-    held = met.filter("id & 1 = 0")
-    asked = met.filter("id & 1 = 1").select("key", (F.col("id") - 1).alias("other"))
-    pairs = held.join(asked, "key").filter("id <> other").select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct()
-    pairs = cut(pairs)
-    ids = cut(pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+    plain = F.col("id").bitwiseAND(F.lit(-2))
+    ids = cut(met.select(plain.alias("id")).distinct())
     n = ids.count()
     if not n:
         return spark.createDataFrame([], "src long, dst long")
-    texts = stored(long_lines(docs).select("id", "line").join(sized(ids, n), "id").dropDuplicates(["id"]), "lines")
+    texts = stored(long_lines(docs).select("id", "line").join(sized(ids, n), "id").dropDuplicates(["id"]).withColumn("letters", letters(F.col("line"))), "lines")
+    marked = met.select("key", plain.alias("id"), (F.col("id") % 2 != 0).alias("probe")).join(texts.select("id", "letters"), "id")
+    held = marked.filter("NOT probe").select("key", F.col("id").alias("one"), F.col("letters").alias("x"))
+    asked = marked.filter("probe").select("key", F.col("id").alias("other"), F.col("letters").alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, d: t + d)
+    met_once = held.join(asked, (held["key"] == asked["key"]) & (F.col("one") != F.col("other")) & (apart <= 2 * TAU))
+    pairs = cut(met_once.select(F.least("one", "other").alias("src"), F.greatest("one", "other").alias("dst")).distinct())
     a = texts.select(F.col("id").alias("src"), F.col("line").alias("text_a"))
     b = texts.select(F.col("id").alias("dst"), F.col("line").alias("text_b"))
     return cut(pairs.join(a, "src").join(b, "dst").select("src", "dst", "text_a", "text_b").mapInPandas(_verify, "src long, dst long"))
