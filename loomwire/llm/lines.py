@@ -30,18 +30,19 @@ def segment(length: Column, number: int, tau: int) -> tuple[Column, Column]:
     """Start (from 0) and length of a segment of the even partition of a line: the last ones are one longer."""
     parts = tau + 1
     longer = length % parts
-    small = F.floor(length / parts).cast("int")
+    small = ((length - longer) / parts).cast("int")
     first_long = F.lit(parts) - longer
     return small * number + F.greatest(F.lit(0), F.lit(number) - first_long), small + (F.lit(number) >= first_long).cast("int")
 
 
 def probes(tau: int) -> list[tuple[int, int, int]]:
-    """``(how much shorter the other line is, segment, shift)`` for all places where a segment of it may be found."""
+    """``(how much shorter the other line is, segment, shift)`` for all places where a segment of it may be found, but
+    for those that are the line's own segments."""
     out = []
     for gap in range(tau + 1):
         for number in range(tau + 1):
             low, high = max(-number, gap - (tau - number)), min(number, gap + (tau - number))
-            out += [(gap, number, shift) for shift in range(low, high + 1)]
+            out += [(gap, number, shift) for shift in range(low, high + 1) if gap or shift]
     return out
 
 
@@ -163,8 +164,8 @@ def line_links(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sigs = signatures(long_lines(docs)).repartition("key")
     text_of = lambda c: F.shiftright(c, 1)
-    both = sigs.groupBy("key").agg(F.min(text_of("id")).alias("lo"), F.max(text_of("id")).alias("hi"), F.bit_or(F.col("id").bitwiseAND(F.lit(1))).alias("probed"))
-    shared = both.filter("lo < hi AND probed = 1").select("key")
+    both = sigs.groupBy("key").agg(F.min(text_of("id")).alias("lo"), F.max(text_of("id")).alias("hi"), F.min(F.col("id").bitwiseAND(F.lit(1))).alias("kind"))
+    shared = both.filter("lo < hi AND kind = 0").select("key")
     met = stored(sigs.join(shared.hint("shuffle_hash"), "key").distinct(), "met")
     plain = F.col("id").bitwiseAND(F.lit(-2))
     ids = cut(met.select(plain.alias("id")).distinct())
@@ -174,7 +175,7 @@ def line_links(docs: DataFrame) -> DataFrame:
     texts = stored(long_lines(docs).select("id", "line").join(sized(ids, n), "id").dropDuplicates(["id"]).withColumn("letters", letters(F.col("line"))), "lines")
     marked = met.select("key", plain.alias("id"), (F.col("id") % 2 != 0).alias("probe")).join(texts.select("id", "letters"), "id")
     held = marked.filter("NOT probe").select("key", F.col("id").alias("one"), F.col("letters").alias("x"))
-    asked = marked.filter("probe").select("key", F.col("id").alias("other"), F.col("letters").alias("y"))
+    asked = marked.select("key", F.col("id").alias("other"), F.col("letters").alias("y"))
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, d: t + d)
     met_once = held.join(asked, (held["key"] == asked["key"]) & (F.col("one") != F.col("other")) & (apart <= 2 * TAU))
     pairs = cut(met_once.select(F.least("one", "other").alias("src"), F.greatest("one", "other").alias("dst")).distinct())
