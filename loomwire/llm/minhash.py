@@ -23,8 +23,10 @@ from loomwire.session import cut, stored
 
 WORDS, PERCENT = 5, 75
 FIRST, SECOND = 10, 6
-#: Rounds in which buckets are compared with one member each, before what is left is compared in full.
-HUB_ROUNDS = 3
+#: Whether buckets are compared with a hub first, and how many of the 16 minhash groups must agree there.
+HUBS, AGREE = True, 6
+#: Texts on which, and shingles for which, frequency is looked at to order shingles; both only save work.
+SAMPLE_TEXTS, FREQUENT = 4096, 100_000
 
 
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,23 +72,71 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(good, columns=["src", "dst"]) if good else pd.DataFrame({"src": pd.array([], "int64"), "dst": pd.array([], "int64")})
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs(src, dst)`` whose full shingle sets are similar enough.
+def texts_of(asked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(node, text)`` for the nodes ``asked``; ``nodes(node, rep)`` has the row key of a text with the node's set.
+    Only these texts are shuffled."""
+    wanted = cut(asked.select("node").distinct().join(nodes.select("node", "rep"), "node"))
+    one = docs.select(row_key().alias("rep"), "text").join(sized(wanted, wanted.count()), "rep")
+    return stored(one.select("node", "text").dropDuplicates(["node"]), "texts")
 
-    ``nodes(node, rep)``: the row key of a text with the node's set. Only the texts of nodes in ``pairs`` are shuffled.
-    """
-    spark = docs.sparkSession
-    asked = cut(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(nodes, "node"))
-    n = asked.count()
-    if not n:
-        return spark.createDataFrame([], "src long, dst long")
-    one = docs.select(row_key().alias("rep"), "text").join(sized(asked, n), "rep")
-    texts = stored(one.select("node", "text").dropDuplicates(["node"]), "texts")
+
+def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``pairs(src, dst)`` whose full shingle sets are similar enough."""
+    texts = texts_of(pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))), nodes, docs)
     by_dst = pairs.join(texts.select(F.col("node").alias("dst"), F.col("text").alias("text_dst")), "dst")
     both = by_dst.join(texts.select(F.col("node").alias("src"), F.col("text").alias("text_src")), "src")
     return cut(both.select("src", "dst", "text_src", "text_dst").sortWithinPartitions("src").mapInPandas(_confirm, "src long, dst long").distinct())
 
 
+def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for h in shingle_sets(batch["text"].tolist(), WORDS):
+            yield pd.DataFrame({"shingle": signed(h)})
+
+
+def _prefixes(frequent: np.ndarray):
+    """The rarest shingles of each text with their place and the one before: frequent ones come last, each part by hash."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for node, h in zip(batch["node"], shingle_sets(batch["text"].tolist(), WORDS), strict=True):
+                own = signed(h)
+                rank = np.searchsorted(frequent[0], own)
+                hit = frequent[0][np.minimum(rank, len(frequent[0]) - 1)] == own if len(frequent[0]) else np.zeros(len(own), bool)
+                weight = np.where(hit, frequent[1][np.minimum(rank, len(frequent[1]) - 1)] if len(frequent[1]) else 0, 0)
+                ordered = own[np.lexsort((own, weight))]
+                ordered = ordered[: len(h) - -(-len(h) * PERCENT // 100) + 1]
+                before = pd.array([None, *ordered[:-1].tolist()], "Int64")
+                yield pd.DataFrame({"node": np.full(len(ordered), node), "shingle": ordered, "place": np.arange(len(ordered)), "before": before})
+
+    return run
+
+
+def rare_pairs(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Candidate pairs among ``members(node, n, component)`` of different components that the sizes and the rarest
+    shingles allow: a prefix filter.
+
+    Under any common order two sets of the wanted similarity share one of their first n - ceil(0.75 n) + 1 shingles, and
+    the first shared one lies early enough to leave room for the overlap (Xiao et al. 2008); nothing is lost. The order
+    puts shingles last that are frequent in a sample of SAMPLE_TEXTS members, so texts that share a passage only
+    do not meet; the sample decides on work alone. A pair that shares a run of shingles is made once for the run: where
+    the shingles before are equal too, it has been made there.
+    """
+    texts = texts_of(members, nodes, docs)
+    sample = texts.orderBy(F.xxhash64("node")).limit(SAMPLE_TEXTS).mapInPandas(_explode, "shingle long")
+    often = sample.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n")).limit(FREQUENT).collect()
+    often = sorted((r["shingle"], r["n"]) for r in often)
+    frequent = np.array([x for x, _ in often], np.int64), np.array([n for _, n in often], np.int64)
+    rows = texts.mapInPandas(_prefixes(frequent), "node long, shingle long, place int, before long")
+    keys = stored(rows.join(members, "node"), "prefixes")
+    other = keys.select("shingle", F.col("node").alias("src"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("place").alias("p"), F.col("before").alias("q"))
+    overlap = F.ceil((F.col("n") + F.col("m")) * PERCENT / (100 + PERCENT))
+    room = 1 + F.least(F.col("n") - F.col("place") - 1, F.col("m") - F.col("p") - 1)
+    fresh = F.col("before").isNull() | F.col("q").isNull() | (F.col("before") != F.col("q"))
+    on = (keys["shingle"] == other["shingle"]) & (F.col("c") < F.col("component")) & near_pairs(F.col("n"), F.col("m")) & (room >= overlap) & fresh
+    return keys.join(other, on).select("src", F.col("node").alias("dst"))
+
+
 def table_keys(classes: DataFrame) -> DataFrame:
     """``(key, node, n)``: the key of each of the tables, formed by pairing the two collections."""
     pairs = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(x, y, i, j))))
@@ -104,45 +154,43 @@ def candidate_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(shared, "key")
 
 
+def hub_pairs(buckets: DataFrame, one: DataFrame) -> DataFrame:
+    """Each bucket's members with one of them, where the minhash groups agree often enough to expect a link.
+
+    This joins large groups of copies at the cost of a star; it need not find every link."""
+    hubs = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node", "n")).alias("hub"))
+    facing = buckets.join(hubs, "key").filter((F.col("node") != F.col("hub.node")) & near_pairs(F.col("n"), F.col("hub.n")))
+    pairs = facing.select(F.least("node", "hub.node").alias("src"), F.greatest("node", "hub.node").alias("dst")).distinct()
+    side = lambda c, x: one.select(F.col("node").alias(c), F.concat("a", "b").alias(x))
+    agree = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, e: s + e)
+    return pairs.join(side("src", "x"), "src").join(side("dst", "y"), "dst").filter(agree >= AGREE).select("src", "dst")
+
+
 def link(prof: DataFrame, docs: DataFrame) -> DataFrame:
     """Confirmed edges between nodes that connect what the tables' candidates connect.
 
-    A bucket is compared with one of its members (its hub) at a time, so its pairs are never written out. After a
-    round, pairs inside one component need no look any more, and a bucket with a single component is done. What is
-    left after some rounds - pairs of different components - is compared in full, so no candidate is skipped.
+    First every bucket is compared with one of its members, and what that links becomes components. Members of
+    buckets that hold several components meet once more by their rarest shingles, which skips no pair that could be
+    linked; so the pairs of a bucket are never written out, and no candidate is left undecided.
     """
     full = prof.filter("node IS NOT NULL")
     nodes = cut(full.groupBy("node").agg(F.min("row_key").alias("rep"), F.max("n_shingles").alias("n")))
-    # a row per node; rows that repeat id and text repeat here, which the tables' aggregates bear
+    # a row per node; rows that repeat id and text repeat here, which distinct() below bears
     mine = full.select(F.col("row_key").alias("rep"), "node", "a", "b")
     one = mine.join(nodes, ["node", "rep"]).select("node", "n", "a", "b")
     buckets = stored(candidate_buckets(table_keys(one)).distinct(), "buckets")
-    seen, edges, spark = None, None, docs.sparkSession
-    empty = spark.createDataFrame([], "src long, dst long")
-    left = buckets.select("key", "node", "n")
-    for turn in range(HUB_ROUNDS + 1):
-        labels = connected_components(edges) if edges is not None else spark.createDataFrame([], "node long, component long")
-        named = left.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-        open_ = cut(named.join(split, "key"))
-        if not open_.limit(1).count():
-            break
-        if turn < HUB_ROUNDS:
-            # the hub: the member first by a hash that changes from round to round
-            first = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), "node", "n", "component")).alias("hub"))
-            facing = open_.join(first, "key")
-            pairs = facing.filter((F.col("component") != F.col("hub.component")) & near_pairs(F.col("n"), F.col("hub.n")))
-            pairs = pairs.select(F.col("hub.node").alias("src"), F.col("node").alias("dst"))
-            left = facing.filter(F.col("node") != F.col("hub.node")).select("key", "node", "n")
-        else:
-            other = open_.select("key", F.col("node").alias("src"), F.col("n").alias("m"), F.col("component").alias("c"))
-            pairs = open_.join(other, "key").filter((F.col("c") < F.col("component")) & near_pairs(F.col("n"), F.col("m"))).select("src", F.col("node").alias("dst"))
-        pairs = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-        pairs = cut(pairs.join(seen, ["src", "dst"], "left_anti") if seen is not None else pairs)
-        found = confirm(pairs, nodes.select("node", "rep"), docs)
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        edges = found if edges is None else edges.unionByName(found)
-    return edges if edges is not None else empty
+    some = stored(one.join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "groups")
+    edges = confirm(cut(hub_pairs(buckets, some)), nodes, docs) if HUBS else None
+    named = buckets.withColumn("component", F.col("node"))
+    if edges is not None:
+        labels = connected_components(edges)
+        named = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spread = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    members = cut(named.join(spread, "key").select("node", "n", "component").distinct())
+    met = rare_pairs(members, nodes, docs)
+    pairs = cut(met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    more = confirm(pairs, nodes, docs)
+    return more if edges is None else edges.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
