@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: lines that repeat an earlier one go; copies of whole documents are left to the next stage."""
+    """Operator 7: lines that repeat an earlier one go; near copies by operator 6 are left to the next stage."""
     return lines.without_repeated_lines(docs)
 
 

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwire.llm import minhash
 from loomwire.llm.columns import WORD, row_key, sized, table
 from loomwire.operators.graph import connected_components
 from loomwire.session import cut, stored
@@ -22,8 +23,6 @@ from loomwire.session import cut, stored
 TAU = 2
 #: Shorter lines are left alone: two edits make another line of them.
 MIN_CHARS = 24
-#: A document that would lose more than this share of its words is a copy, which is not a matter of lines.
-MOST_LOST = 0.5
 
 
 def segment(length: Column, number: int, tau: int) -> tuple[Column, Column]:
@@ -206,23 +205,75 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "row_key", "line_no", "n_chars", "n_words", F.col("id").alias("line_id"), "class_id", "n_links", kept.alias("kept"))
 
 
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` without the lines that :func:`dedup_lines` does not keep; ``n_chars`` follows the text.
+def owners(held: DataFrame, rank: Column) -> DataFrame:
+    """``(class_id, owner)`` of the classes that stand in more than one place: the first place of the least ``rank``."""
+    place = F.struct(rank.alias("rank"), F.col("doc_id").isNotNull().alias("known"), "doc_id", "line_no", "group")
+    out = cut(held.groupBy("class_id").agg(F.min(place).alias("owner"), F.count("*").alias("n")).filter("n > 1").select("class_id", "owner"))
+    return sized(out, out.count())
 
-    A document that would lose more than MOST_LOST of its words stays whole: it is a copy of documents, and finding
-    those is another operator's work.
-    """
-    lost = F.sum(F.when(~F.col("kept"), F.col("n_words")).otherwise(0))
-    cuts = (
-        dedup_lines(docs).groupBy("row_key").agg(lost.alias("lost"), F.sum("n_words").alias("of"), F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("gone"))
-        .filter((F.size("gone") > 0) & (F.col("lost") <= MOST_LOST * F.col("of"))).select("row_key", "gone")
-    )
-    out = docs.withColumn("row_key", row_key()).join(cuts, "row_key", "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
-    out = out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
+
+def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` with row_key, less the lines numbered in ``gone(row_key, gone)``. Of a document without a word left the
+    first line with a word stays."""
+    out = docs.withColumn("row_key", row_key()).join(gone, "row_key", "left")
+    every = F.split("text", "\n")
+    left = F.array_join(F.filter(every, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    first = F.get(F.filter(every, lambda x: x.rlike(WORD)), F.lit(0))
+    text = F.when(F.col("gone").isNull(), F.col("text")).when(left.rlike(WORD), left).otherwise(F.coalesce(first, F.col("text")))
+    out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    return out.select("row_key", *[c for c in docs.columns if c != "row_key"])
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """``(row_key, gone)``: the numbers of the lines that :func:`without_repeated_lines` takes from a document."""
+    groups = minhash.grouped(docs).filter("component IS NOT NULL").select("row_key", F.col("component").alias("group"), (~minhash.stays()).alias("goes")).distinct()
+    groups = stored(groups, "groups")
+    several = groups.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group")
+    copies = cut(groups.join(several, "group"))
+    marks = sized(copies, copies.count())
+    held = dedup_lines(docs).filter(F.col("n_chars") >= MIN_CHARS).select("row_key", "doc_id", "line_no", "class_id").distinct().join(marks, "row_key", "left")
+    held = stored(held.withColumns({"group": F.coalesce("group", "row_key"), "goes": F.coalesce("goes", F.lit(False))}), "held")
+
+    # near copies are cut alike: what an earlier group holds goes, and what the document itself held before
+    met = held.join(owners(held, F.col("goes")), "class_id").withColumn("own", F.col("group") == F.col("owner.group"))
+    places = met.groupBy("row_key", "class_id", "own").agg(F.sort_array(F.collect_set("line_no")).alias("at"))
+    lost = F.when(F.col("own"), F.slice("at", F.lit(2), F.size("at") - 1)).otherwise(F.col("at"))
+    gone = places.select("row_key", lost.alias("at")).filter(F.size("at") > 0).groupBy("row_key").agg(F.flatten(F.collect_list("at")).alias("gone"))
+    gone = stored(gone, "gone")
+
+    # a copy that its cut group no longer covers is a document of its own
+    touched = cut(copies.join(gone.select("row_key"), "row_key", "left_semi").select("group").distinct())
+    members = cut(copies.join(sized(touched, touched.count()), "group"))
+    n = members.count()
+    if not n:
+        return gone
+    keyed = docs.withColumn("row_key", row_key()).join(sized(members.select("row_key"), n), "row_key", "left_semi").select("row_key", "doc_id", "text")
+    now = stored(without_lines(keyed.drop("row_key"), gone).withColumnRenamed("row_key", "was"), "cut-copies")
+    again = minhash.grouped(now.select("doc_id", "text")).select("row_key", F.coalesce("component", "row_key").alias("component")).distinct()
+    there = cut(now.select("was", row_key().alias("row_key")).join(again, "row_key").select(F.col("was").alias("row_key"), "component").distinct().join(members, "row_key"))
+    heads = cut(there.filter("NOT goes").select("group", "component").distinct())
+    apart = cut(there.filter("goes").join(sized(heads, heads.count()), ["group", "component"], "left_anti").select("row_key").distinct())
+    n = apart.count()
+    if not n:
+        return gone
+    alone = held.join(sized(apart.withColumn("alone", F.lit(1)), n), "row_key", "left")
+    rank = F.when(~F.col("goes"), 0).when(F.col("alone") == 1, 1).otherwise(2)
+    kept = F.col("doc_id").eqNullSafe(F.col("owner.doc_id")) & (F.col("line_no") == F.col("owner.line_no"))
+    theirs = alone.filter("alone = 1").join(owners(alone, rank), "class_id").filter(~kept).groupBy("row_key").agg(F.collect_set("line_no").alias("gone"))
+    return gone.join(sized(apart, n), "row_key", "left_anti").unionByName(theirs)
+
+
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` without the lines that stand in an earlier document or earlier in their own; ``n_chars`` follows the text.
+
+    Near copies by operator 6's own test are left to it: of such a group the documents are cut alike, by lines of other
+    groups, so they stay copies of the one that is kept. Those that are no longer near that one after the cut lose
+    every repeated line. First comes the first document that the next stage keeps. A document of which no word would be left
+    keeps its first line with a word, so no row is lost here.
+    """
+    return without_lines(docs, repeated_lines(docs)).select(*docs.columns)
 
 
 def op7_lines(spark, sf_dir: str) -> DataFrame:

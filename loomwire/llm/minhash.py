@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwire.llm.columns import row_key, sized, table
@@ -193,6 +193,22 @@ def link(prof: DataFrame, docs: DataFrame) -> DataFrame:
     return more if edges is None else edges.unionByName(more)
 
 
+def grouped(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, row_key, n_shingles, ``component`` (64 bits, equal for near-duplicates; null
+    without shingles), component_id (the least doc_id of the component)."""
+    prof = stored(profiles(docs), "minhash")
+    labels = connected_components(link(prof, docs))
+    placed = prof.select("doc_id", "row_key", "n_shingles", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = placed.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.select("doc_id", "row_key", "n_shingles", "component", "component_id")
+
+
+def stays() -> Column:
+    """Whether a row of :func:`grouped` is the one of its component that is kept."""
+    return F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, row_key, n_shingles, component_id, kept.
 
@@ -200,12 +216,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets, repeated rows included, are one class. A null doc_id takes part in linking but names no component: its
     component_id is the least doc_id it is linked with (null if there is none, and then it is kept).
     """
-    prof = stored(profiles(docs), "minhash")
-    labels = connected_components(link(prof, docs))
-    placed = prof.select("doc_id", "row_key", "n_shingles", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = placed.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "row_key", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    return grouped(docs).select("doc_id", "row_key", "n_shingles", "component_id", stays().alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

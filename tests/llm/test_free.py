@@ -148,6 +148,31 @@ def test_lines_removed(spark):
     assert got[0] == texts[0] and got[1] == texts[1].split("\n")[0] and got[4] == passage and got[5] is None
 
 
+def test_lines_removed_whatever_their_share(spark):
+    rng = random.Random(12)
+    line = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(12))
+    shared = [line() for _ in range(4)]
+    own = [line() for _ in range(12)]
+    texts = ["\n".join([own[i], shared[i]]) for i in range(4)]
+    texts.append("\n".join([*shared, "few words here of its own"]))  # 4: assembled from many, near none
+    texts.append("\n".join(shared[:2]))  # 5: nothing of its own
+    texts.append("\n".join([own[4], shared[0], *own[5:9]]))  # 6: loses a line
+    texts.append(texts[6])  # 7: a copy of 6, cut alike
+    texts.append("\n".join([*own[4:9], own[9]]))  # 8: near 6 or not, no line of 6 is left twice at the end
+    texts.append("\n".join([own[10], own[11], own[10]]))  # 9: repeats itself
+    d = docs(spark, texts)
+    now = lines.without_repeated_lines(d.unionByName(d.limit(2)))
+    rows = now.collect()
+    got = {r["doc_id"]: r["text"] for r in rows}
+    assert len(rows) == len(texts) + 2 and all(r["n_chars"] == len(r["text"]) for r in rows)
+    assert [got[i] for i in range(4)] == texts[:4]
+    assert got[4] == "few words here of its own" and got[5] == shared[0]
+    assert got[6] == got[7] == "\n".join(own[4:9]) and got[9] == "\n".join(own[10:12])
+    left = [r["text"] for r in minhash.drop_near_duplicates(now).collect()]
+    found = [s for t in left for s in t.split("\n") if t != shared[0]]
+    assert len(found) == len(set(found)) and set(found) == {*shared, *own, "few words here of its own"}
+
+
 def test_neighbors(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((600, 16)) * rng.uniform(0.5, 2, (600, 1))
