@@ -3,7 +3,8 @@
 Lines within an edit distance of ``TAU`` share a segment: a line of length L is split into TAU + 1 even segments, and a
 longer line that is close holds one of them, shifted by what the edits before and after it allow. So every line
 publishes its segments under (L, number, text) and probes with its own substrings for the lengths and shifts that are
-possible; lines that meet are checked by a banded bit-parallel edit distance.
+possible; lines that meet are checked by a banded bit-parallel edit distance. Every ``CHARS_PER_EDIT`` characters of the
+shorter line allow one edit: shorter lines have fewer segments, and the shortest are compared by equality alone.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from loomwire.operators.graph import connected_components
 from loomwire.session import cut, stored
 
 TAU = 2
-#: Shorter lines are left alone: two edits make another line of them.
-MIN_CHARS = 24
+#: Lines from this length take part if they hold a word.
+MIN_CHARS = 1
+#: Characters of the shorter of two lines for each edit that they may differ in, up to TAU.
+CHARS_PER_EDIT = 8
 
 
 def segment(length: Column, number: int, tau: int) -> tuple[Column, Column]:
@@ -50,19 +53,36 @@ def line_id(line: Column) -> Column:
     return F.xxhash64(line).bitwiseAND(F.lit(-2))
 
 
-def signatures(lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """``(key, id)`` of all segments (lowest bit of ``id`` 0) and all probes (1) of ``lines(id, line, n_chars)``."""
-    n = F.col("n_chars").cast("int")
-    entries = []
+def entries(n: Column, tau: int, most: int | None) -> list[Column]:
+    """Segments (of lines of ``most`` characters at most) and probes of a line that may differ from another in ``tau`` edits."""
+    short = F.lit(True) if most is None else n <= most
+    out = []
     for number in range(tau + 1):
         start, size = segment(n, number, tau)
-        entries.append(F.struct(F.xxhash64(F.substring("line", start + 1, size), n, F.lit(number)).alias("key"), F.col("id").alias("id")))
+        key = F.xxhash64(F.substring("line", start + 1, size), n, F.lit(number), F.lit(tau))
+        out.append(F.struct(F.when(short, key).alias("key"), F.col("id").alias("id")))
     for gap, number, shift in probes(tau):
         start, size = segment(n - gap, number, tau)
-        inside = (start + shift >= 0) & (start + shift + size <= n)
-        key = F.xxhash64(F.substring("line", start + shift + 1, size), n - gap, F.lit(number))
-        entries.append(F.struct(F.when(inside, key).alias("key"), (F.col("id") + 1).alias("id")))
-    return lines.select(F.explode(F.array(*entries)).alias("s")).select("s.key", "s.id").filter("key IS NOT NULL")
+        inside = (start + shift >= 0) & (start + shift + size <= n) & (F.lit(True) if most is None else n - gap <= most)
+        key = F.xxhash64(F.substring("line", start + shift + 1, size), n - gap, F.lit(number), F.lit(tau))
+        out.append(F.struct(F.when(inside, key).alias("key"), (F.col("id") + 1).alias("id")))
+    return out
+
+
+def signatures(lines: DataFrame, tau: int = TAU) -> DataFrame:
+    """``(key, id)`` of all segments (lowest bit of ``id`` 0) and all probes (1) of ``lines(id, line, n_chars)``.
+
+    A pair whose shorter line has ``CHARS_PER_EDIT`` t characters and fewer than those of t + 1 meets in the join for t
+    edits; the longer one may be up to t characters longer, and then it only probes there.
+    """
+    n = F.col("n_chars").cast("int")
+    none = F.array().cast("array<struct<key:bigint,id:bigint>>")
+    parts = []
+    for t in range(1, tau + 1):
+        most = None if t == tau else CHARS_PER_EDIT * (t + 1) - 1
+        taking = n >= CHARS_PER_EDIT * t if most is None else (n >= CHARS_PER_EDIT * t) & (n <= most + t)
+        parts.append(F.when(taking, F.array(*entries(n, t, most))).otherwise(none))
+    return lines.select(F.explode(F.concat(*parts)).alias("s")).select("s.key", "s.id").filter("key IS NOT NULL")
 
 
 def within(a: list[str], b: list[str], tau: int = TAU) -> np.ndarray:
@@ -131,7 +151,12 @@ def _band(us: list[np.ndarray], vs: list[np.ndarray], tau: int) -> np.ndarray:
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        good = within(batch["text_a"].tolist(), batch["text_b"].tolist())
+        a, b = batch["text_a"].tolist(), batch["text_b"].tolist()
+        may = np.array([min(TAU, min(len(x), len(y)) // CHARS_PER_EDIT) for x, y in zip(a, b, strict=True)], int)
+        good = np.zeros(len(batch), bool)
+        for tau in range(1, TAU + 1):
+            some = np.flatnonzero(may == tau)
+            good[some] = within([a[i] for i in some], [b[i] for i in some], tau)
         yield batch.loc[good, ["src", "dst"]]
 
 
@@ -149,11 +174,12 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def long_lines(docs: DataFrame) -> DataFrame:
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
-    return lines.select(line_id(F.col("line")).alias("id"), "line", F.length("line").alias("n_chars")).filter(F.col("n_chars") >= MIN_CHARS)
+    return lines.select(line_id(F.col("line")).alias("id"), "line", F.length("line").alias("n_chars")).filter((F.col("n_chars") >= CHARS_PER_EDIT) & F.col("line").rlike(WORD))
 
 
 def line_links(docs: DataFrame) -> DataFrame:
-    """``(src, dst)``, src < dst: ids of different lines of at least MIN_CHARS within TAU edits of each other.
+    """``(src, dst)``, src < dst: ids of different lines within one edit for every CHARS_PER_EDIT characters of the
+    shorter one, TAU at most.
 
     Keys are dealt out once; those under which two different lines meet, one at least with a segment, are found by an
     aggregate, and only their rows are joined. Copies of a line collapse before the join. Texts are fetched
@@ -183,13 +209,17 @@ def line_links(docs: DataFrame) -> DataFrame:
     return cut(pairs.join(a, "src").join(b, "dst").select("src", "dst", "text_a", "text_b").mapInPandas(_verify, "src long, dst long"))
 
 
+def taking_part() -> Column:
+    return (F.col("n_words") > 0) & (F.col("n_chars") >= MIN_CHARS)
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """One row per line of ``docs``: doc_id, row_key, line_no, n_chars, n_words, line_id, class_id, n_links, kept.
 
-    ``class_id`` is the least line_id among lines joined by links; ``n_links`` counts the different lines within TAU edits
-    (copies of one text are one line). Of a class the first line by doc_id (null first) and line_no is kept. Lines
-    shorter than MIN_CHARS, empty ones too, are a class by equality and all kept. Rows that repeat a document keep the
-    same lines. Null and empty tables give no rows; an empty text has one empty line.
+    ``class_id`` is the least line_id among lines joined by links; ``n_links`` counts the different lines within the
+    allowed edits (copies of one text are one line). Of a class the first line by doc_id (null first) and line_no is kept.
+    Lines without a word are a class by equality and all kept. Rows that repeat a document keep the same lines. Null
+    and empty tables give no rows; an empty text has one empty line.
     """
     seen = stored(occurrences(docs), "occurrences")
     links = line_links(docs)
@@ -199,9 +229,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         {"class_id": F.coalesce("class_id", "id"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")}
     )
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "line_no")
-    first = placed.filter(F.col("n_chars") >= MIN_CHARS).groupBy("class_id").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("class_id", "first")
+    first = placed.filter(taking_part()).groupBy("class_id").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("class_id", "first")
     out = placed.join(first, "class_id", "left")
-    kept = F.col("first").isNull() | (F.col("n_chars") < MIN_CHARS) | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")))
+    kept = F.col("first").isNull() | ~taking_part() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")))
     return out.select("doc_id", "row_key", "line_no", "n_chars", "n_words", F.col("id").alias("line_id"), "class_id", "n_links", kept.alias("kept"))
 
 
@@ -233,7 +263,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     several = groups.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group")
     copies = cut(groups.join(several, "group"))
     marks = sized(copies, copies.count())
-    held = dedup_lines(docs).filter(F.col("n_chars") >= MIN_CHARS).select("row_key", "doc_id", "line_no", "class_id").distinct().join(marks, "row_key", "left")
+    held = dedup_lines(docs).filter(taking_part()).select("row_key", "doc_id", "line_no", "class_id").distinct().join(marks, "row_key", "left")
     held = stored(held.withColumns({"group": F.coalesce("group", "row_key"), "goes": F.coalesce("goes", F.lit(False))}), "held")
 
     # near copies are cut alike: what an earlier group holds goes, and what the document itself held before

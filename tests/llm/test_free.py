@@ -141,6 +141,30 @@ def test_line_links(spark):
             assert r["kept"]
 
 
+def test_short_line_links(spark):
+    rng = random.Random(13)
+    bases = ["".join(rng.choice("abcdé文") for _ in range(k)) for k in range(1, 27) for _ in range(3)]
+    found = [edited(rng, x, rng.randint(0, min(3, len(x) - 1))) for x in bases for _ in range(3)] + bases + ["Les.", "}", "  ", ""] * 2
+    d = docs(spark, [s for s in found if s or rng.random() < 0.5])
+    rows = lines.dedup_lines(d).collect()
+    text = {r["doc_id"]: r["text"] for r in d.collect()}
+    every = sorted({s for s in text.values() if s.strip()})
+    near = {s: {t for t in every if t != s and distance(s, t) <= min(2, min(len(s), len(t)) // 8)} for s in every}
+    assert any(near[s] for s in every if len(s) < 16) and any(near[s] for s in every if 16 <= len(s) < 24)
+    first: dict = {}
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        s = text[r["doc_id"]]
+        assert r["n_links"] == len(near.get(s, ())), s
+        assert r["kept"] == (not s.strip() or first.setdefault(r["class_id"], r["doc_id"]) == r["doc_id"]), s
+    class_of = {text[r["doc_id"]]: r["class_id"] for r in rows}
+    for s in every:
+        group, todo = {s}, [s]
+        while todo:
+            todo += (more := near[todo.pop()] - group)
+            group |= more
+        assert {t for t in every if class_of[t] == class_of[s]} == group
+
+
 def test_lines_removed(spark):
     passage = "this line is found in many of the documents, whole"
     texts = [f"own words {i} " * 12 + f"\n{passage}" for i in range(4)] + [passage, None]
