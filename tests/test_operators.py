@@ -104,6 +104,21 @@ def test_sign_hashing_recall(spark):
     assert near <= exact and len(near) >= 0.95 * len(exact) > 0
 
 
+def test_cosine_pairs_default_is_exact_at_any_size(spark):
+    rng = np.random.default_rng(21)
+    rows = []
+    for k in range(150):  # pairs just below the threshold
+        x, y = rng.standard_normal(32), rng.standard_normal(32)
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        y /= np.linalg.norm(y)
+        rows += [(2 * k, x.tolist()), (2 * k + 1, (0.67 * x + np.sqrt(1 - 0.67**2) * y).tolist())]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    found = {(r["a"], r["b"]) for r in sj.cosine_pairs(df, 0.34, n=60_000).collect()}  # as if of a large table
+    assert {(2 * k, 2 * k + 1) for k in range(150)} <= found
+    assert found == {(r["a"], r["b"]) for r in sj.cosine_pairs(df, 0.34, "exact").collect()}
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(3, None)]
