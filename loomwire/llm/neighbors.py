@@ -23,6 +23,8 @@ from loomwire.session import cut, stored
 NEAREST, TABLES, WIDTH = 20, 2, 1.2
 #: Queries and vectors on which the number of probes is fitted, and the recall wanted on them.
 SAMPLE_QUERIES, WANTED_RECALL = 64, 0.97
+#: Buckets of a table that a query visits at most; where they do not suffice, K falls until they do.
+MOST_PROBES = 20_000
 #: Vectors that a block of a bucket cell holds, and queries that meet it at once.
 BLOCK_ROWS, QUERY_ROWS = 4096, 512
 SEED = 11
@@ -130,7 +132,8 @@ def _brute(queries: np.ndarray, k: int):
 def fit(data: DataFrame, dims: int, norm: float, n: int, nearest: int, wanted: float) -> tuple[int, int]:
     """``(K, probes per table)`` such that a sample's true neighbours are found.
 
-    K grows with the logarithm of the table. The sample - SAMPLE_QUERIES vectors of least hash, whatever the size of the
+    K grows with the logarithm of the table, but falls again while MOST_PROBES buckets a table do not meet the wanted recall
+    on the sample; buckets then hold more, and none of the recall is given up. The sample - SAMPLE_QUERIES vectors of least hash, whatever the size of the
     table - is compared with all rows in one pass; only its neighbours come to the driver.
     """
     k = max(2, round(np.log2(max(2, n) / 64) / 2))
@@ -139,19 +142,23 @@ def fit(data: DataFrame, dims: int, norm: float, n: int, nearest: int, wanted: f
     near = data.select("cid", "v").mapInPandas(_brute(queries, nearest + 1), "q int, score double, cid long, v array<double>")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "cid")
     near = near.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= nearest + 1).collect()
-    reach = np.zeros(len(near), np.int64) + (1 << 40)
     own = {i: r["cid"] for i, r in enumerate(picked)}
-    limit = 9**k
-    for t in range(TABLES):
-        home, inside = slots(queries, norm, k, t, WIDTH)
-        found, _ = slots(np.array([r["v"] for r in near]), norm, k, t, WIDTH)
-        orders = [{p: i + 1 for i, p in enumerate(probe_order(f, min(limit, 20_000)))} for f in inside]
-        reach = np.minimum(reach, [orders[r["q"]].get(tuple((found[i] - home[r["q"]]).tolist()), 1 << 40) for i, r in enumerate(near)])
-    reach = np.sort(reach[[r["cid"] != own[r["q"]] for r in near]])
-    if not len(reach):
+    near = [r for r in near if r["cid"] != own[r["q"]]]
+    if not near:
         return k, 1
-    need = reach[min(len(reach) - 1, int(np.ceil(wanted * len(reach))) - 1)]
-    return k, int(min(need, limit, 20_000))
+    vectors = np.array([r["v"] for r in near])
+    while True:
+        limit = min(9**k, MOST_PROBES)
+        reach = np.zeros(len(near), np.int64) + (1 << 40)
+        for t in range(TABLES):
+            home, inside = slots(queries, norm, k, t, WIDTH)
+            found, _ = slots(vectors, norm, k, t, WIDTH)
+            orders = [{p: i + 1 for i, p in enumerate(probe_order(f, limit))} for f in inside]
+            reach = np.minimum(reach, [orders[r["q"]].get(tuple((found[i] - home[r["q"]]).tolist()), 1 << 40) for i, r in enumerate(near)])
+        need = np.sort(reach)[min(len(reach) - 1, int(np.ceil(wanted * len(reach))) - 1)]
+        if need <= limit or k == 1:
+            return k, int(min(need, limit))
+        k -= 1
 
 
 def search(vectors: DataFrame, is_query, nearest: int = NEAREST, wanted: float = WANTED_RECALL) -> DataFrame:

@@ -220,6 +220,26 @@ def test_neighbors(spark):
     assert neighbors.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbors_keep_recall_at_the_cap_of_probes(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "MOST_PROBES", 150, raising=False)
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((400, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cid long, v array<double>")
+    norm = float(np.linalg.norm(x, axis=1).max()) * (1 + 1e-9)
+    k, probes = neighbors.fit(df, 16, norm, 1 << 20, 20, 0.97)  # K = 7 for so many rows
+    hits = total = 0
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    slots = [neighbors.slots(x, norm, k, t, neighbors.WIDTH) for t in range(neighbors.TABLES)]
+    for q in range(0, 400, 8):
+        best, seen = np.argsort(-s[q])[:20], set()
+        for low, inside in slots:
+            steps = {tuple(p) for p in neighbors.probe_order(inside[q], probes)}
+            seen |= {i for i in best.tolist() if tuple((low[i] - low[q]).tolist()) in steps}
+        hits, total = hits + len(seen), total + 20
+    assert probes <= 150 and hits / total >= 0.93
+
+
 def test_tokens_equal_the_library():
     from tokenizers import Tokenizer
 
