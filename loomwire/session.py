@@ -1,20 +1,24 @@
 """Session settings and the two ways in which the library cuts lineage.
 
 Everything that outlives one job goes to the folder named by ``spark.checkpoint.dir``, which every
-executor shares. Only where that setting is absent (tests, a laptop) a private folder is chosen.
+executor shares. Only where that setting is absent and the master is local (tests, a laptop) a private folder is chosen.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(app: str = "loomwire", cores: int = 8, memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
@@ -45,21 +49,40 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as a URI; a fresh temporary one only if the session names none."""
+    """The folder all executors share, as a URI; a fresh temporary one only if the session names none and runs locally."""
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-loomwire-')}")
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark deletes a query's shuffle files when the query ends, not when the driver next collects garbage.
+
+    For queries whose result is kept (written or checkpointed), so that nobody asks for those files again."""
+    before = spark.conf.get(CLEANUP_KEY, None)
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP_KEY)
+        else:
+            spark.conf.set(CLEANUP_KEY, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and keep it as a reliable checkpoint: for narrow rows (keys, labels, counts)."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -67,15 +90,36 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Compute ``df`` once into a Parquet table of the shared folder and read it back: for wide rows,
-    or where a later job reads a few columns only."""
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    or where a later job reads a few columns only. For tables that only the caller's own steps read, see :class:`Workspace`."""
+    return _written(df, new_folder(df.sparkSession, label))
 
 
 def drop_folder(spark: SparkSession, uri: str) -> None:
     """Delete a folder made by :func:`new_folder` once nothing reads it any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Workspace:
+    """A folder in the shared one for the tables between an operator's steps; they go one by one or all at the end."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root = spark, new_folder(spark, label)
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        return _written(df, f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            drop_folder(self.spark, f"{self.root}/{name}")
+
+    def close(self) -> None:
+        drop_folder(self.spark, self.root)
