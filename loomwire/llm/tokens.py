@@ -2,7 +2,8 @@
 
 A text is parted by the vocabulary's own pattern and each part is looked up in a bounded cache of encoded parts; only
 parts not seen lately are merged, by a second library that reads the same vocabulary as ranks. Texts with characters for which Python's classes may differ from the pattern's
-are encoded whole by the library.
+are encoded whole by the library, and so are texts that hold the string of an added token, which the library gives its
+own id.
 """
 
 from __future__ import annotations
@@ -32,32 +33,36 @@ class _Parts(dict):
         return packed
 
 
-def byte_ranks(path: str) -> dict[bytes, int]:
-    """The vocabulary with its parts as bytes. The file writes bytes that do not print as letters from 256 on."""
+def byte_ranks(path: str) -> tuple[dict[bytes, int], list[str]]:
+    """The vocabulary with its parts as bytes, and the strings of the added tokens. The file writes bytes that do not print
+    as letters from 256 on."""
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+        file = json.load(f)
+    vocabulary, added = file["model"]["vocab"], [t["content"] for t in file.get("added_tokens", [])]
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in plain]
     back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    return {bytes(back[c] for c in word): i for word, i in vocabulary.items() if all(c in back for c in word) and word != "<|endoftext|>"}
+    return {bytes(back[c] for c in word): i for word, i in vocabulary.items() if all(c in back for c in word) and word not in added}, added
 
 
 class Encoder:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit numbers; special tokens' strings are plain text."""
+    """``encode(text)`` gives the ids as little-endian unsigned 32-bit numbers: those of the library's own encode without
+    special tokens added, so the string of an added token in a text is that token."""
 
     def __init__(self, path: str):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        ranks = tiktoken.Encoding("parts", pat_str=r"(?s:.+)", mergeable_ranks=byte_ranks(path), special_tokens={})
+        known, added = byte_ranks(path)
+        self.whole = re.compile("|".join([UNUSUAL.pattern, *map(re.escape, added)]))
+        ranks = tiktoken.Encoding("parts", pat_str=r"(?s:.+)", mergeable_ranks=known, special_tokens={})
         self.parts = _Parts(ranks.encode_ordinary)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if UNUSUAL.search(text):
+        if self.whole.search(text):
             ids = self.library.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(self.parts.__getitem__, PARTS.findall(text)))
