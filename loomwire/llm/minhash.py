@@ -5,6 +5,10 @@ second is the key of a table: ``FIRST`` + ``SECOND`` groups give ``FIRST`` x ``S
 a group of the first collection and one in the second, 26 minhashes serve 60 tables of three. Two texts of
 similarity s miss all tables with probability at most (1 - s^2)^10 + (1 - s)^6: 5e-4 at 0.75, 1e-4 at 0.8, 1e-6
 at 0.9. Every link is confirmed on the full shingle sets.
+
+The members of a table's bucket are compared with its hub, the member that shares most buckets with others, so a group
+of copies costs a star. Members of one hub's buckets that are not connected by then are compared with one another
+where they share one of their rarest shingles within the hub's group, which loses no link.
 """
 
 from __future__ import annotations
@@ -19,14 +23,14 @@ from pyspark.sql import functions as F
 from loomwire.llm.columns import row_key, sized, table
 from loomwire.llm.hashing import minima, mix, shingle_sets, signed
 from loomwire.operators.graph import connected_components
-from loomwire.session import cut, stored
+from loomwire.session import Workspace, cut, stored
 
 WORDS, PERCENT = 5, 75
 FIRST, SECOND = 10, 6
-#: Whether buckets are compared with a hub first, and how many of the 16 minhash groups must agree there.
-HUBS, AGREE = True, 6
-#: Texts on which, and shingles for which, frequency is looked at to order shingles; both only save work.
-SAMPLE_TEXTS, FREQUENT = 4096, 100_000
+#: Members of a hub's group on which it is seen which shingles are common there. This orders shingles and only saves work.
+SAMPLE_TEXTS = 64
+#: Components from which on a bucket gets further hubs, as long as one comparison in ``YIELD`` gives a link.
+CROWD, YIELD = 64, 64
 
 
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,74 +77,90 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def texts_of(asked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(node, text)`` for the nodes ``asked``; ``nodes(node, rep)`` has the row key of a text with the node's set.
+    """``(node, text)`` for the nodes ``asked``; ``nodes(node, rep, n)`` has the row key of a text with the node's set.
     Only these texts are shuffled."""
     wanted = cut(asked.select("node").distinct().join(nodes.select("node", "rep"), "node"))
     one = docs.select(row_key().alias("rep"), "text").join(sized(wanted, wanted.count()), "rep")
-    return stored(one.select("node", "text").dropDuplicates(["node"]), "texts")
+    return one.select("node", "text").dropDuplicates(["node"])
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs(src, dst)`` whose full shingle sets are similar enough."""
-    texts = texts_of(pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))), nodes, docs)
+def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs(src, dst)`` whose full shingle sets are similar enough; ``texts(node, text)`` has all their texts."""
     by_dst = pairs.join(texts.select(F.col("node").alias("dst"), F.col("text").alias("text_dst")), "dst")
     both = by_dst.join(texts.select(F.col("node").alias("src"), F.col("text").alias("text_src")), "src")
-    return cut(both.select("src", "dst", "text_src", "text_dst").sortWithinPartitions("src").mapInPandas(_confirm, "src long, dst long").distinct())
+    return cut(both.select("src", "dst", "text_src", "text_dst").sortWithinPartitions("src").mapInPandas(_confirm, "src long, dst long"))
 
 
-def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for h in shingle_sets(batch["text"].tolist(), WORDS):
-            yield pd.DataFrame({"shingle": signed(h)})
+def _common(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The shingles that several of a hub's sampled texts hold, sorted, with the number of these texts."""
+    found, counts = np.unique(np.concatenate([signed(h) for h in shingle_sets(pdf["text"].tolist(), WORDS)]), return_counts=True)
+    often = counts > 1
+    return pd.DataFrame({"hub": pdf["hub"].iloc[:1], "common": [found[often]], "times": [counts[often]]})
+
 
+def prefix_size(n: np.ndarray | int):
+    """How many of the first of ``n`` shingles, under an order that all sets share, two similar sets must share one of."""
+    return n - -(-n * PERCENT // 100) + 1
 
-def _prefixes(frequent: np.ndarray):
-    """The rarest shingles of each text with their place and the one before: frequent ones come last, each part by hash."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for node, h in zip(batch["node"], shingle_sets(batch["text"].tolist(), WORDS), strict=True):
-                own = signed(h)
-                rank = np.searchsorted(frequent[0], own)
-                hit = frequent[0][np.minimum(rank, len(frequent[0]) - 1)] == own if len(frequent[0]) else np.zeros(len(own), bool)
-                weight = np.where(hit, frequent[1][np.minimum(rank, len(frequent[1]) - 1)] if len(frequent[1]) else 0, 0)
-                ordered = own[np.lexsort((own, weight))]
-                ordered = ordered[: len(h) - -(-len(h) * PERCENT // 100) + 1]
-                before = pd.array([None, *ordered[:-1].tolist()], "Int64")
-                yield pd.DataFrame({"node": np.full(len(ordered), node), "shingle": ordered, "place": np.arange(len(ordered)), "before": before})
+def _prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rarest shingles of each text with their place: those common in the hub's group come last, else by hash."""
+    for batch in batches:
+        out = []
+        for common, times, h in zip(batch["common"], batch["times"], shingle_sets(batch["text"].tolist(), WORDS), strict=True):
+            own = signed(h)
+            weight = np.zeros(len(own), np.int64)
+            if common is not None and len(common):
+                at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                weight = np.where(common[at] == own, times[at], 0)
+            out.append(own[np.lexsort((own, weight))][: prefix_size(len(own))])
+        sizes = [len(x) for x in out]
+        yield pd.DataFrame(
+            {c: np.repeat(batch[c].to_numpy(), sizes) for c in ("hub", "node", "n", "component")}
+            | {"shingle": np.concatenate([*out, np.zeros(0, np.int64)]), "place": np.concatenate([*map(np.arange, sizes), np.zeros(0, np.int64)])}
+        )
+
 
-    return run
+def band(n: Column) -> Column:
+    """Sizes by tenths, so that only sets of possible sizes are joined."""
+    return F.floor(F.log(n) / F.log(F.lit(1.1))).cast("int")
 
 
-def rare_pairs(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Candidate pairs among ``members(node, n, component)`` of different components that the sizes and the rarest
-    shingles allow: a prefix filter.
+def rest_pairs(facing: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFrame, space: Workspace) -> DataFrame:
+    """Candidate pairs of members of one hub's buckets, ``facing(hub, node)``, that are in different components still.
 
-    Under any common order two sets of the wanted similarity share one of their first n - ceil(0.75 n) + 1 shingles, and
-    the first shared one lies early enough to leave room for the overlap (Xiao et al. 2008); nothing is lost. The order
-    puts shingles last that are frequent in a sample of SAMPLE_TEXTS members, so texts that share a passage only
-    do not meet; the sample decides on work alone. A pair that shares a run of shingles is made once for the run: where
-    the shingles before are equal too, it has been made there.
+    Under any order of shingles two sets of the wanted similarity share one of their first n - ceil(0.75 n) + 1, and
+    the first shared one lies early enough in both to leave room for the overlap (Xiao et al. 2008). Here each hub's
+    group has its own order, with the shingles common in the group last; so texts that have no more in common than the
+    group's passage, or than all copies of one text, do not meet. Of the components that hold a shingle the largest
+    only waits for the others, so its members never meet one another.
     """
-    texts = texts_of(members, nodes, docs)
-    sample = texts.orderBy(F.xxhash64("node")).limit(SAMPLE_TEXTS).mapInPandas(_explode, "shingle long")
-    often = sample.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n")).limit(FREQUENT).collect()
-    often = sorted((r["shingle"], r["n"]) for r in often)
-    frequent = np.array([x for x, _ in often], np.int64), np.array([n for _, n in often], np.int64)
-    rows = texts.mapInPandas(_prefixes(frequent), "node long, shingle long, place int, before long")
-    keys = stored(rows.join(members, "node"), "prefixes")
-    other = keys.select("shingle", F.col("node").alias("src"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("place").alias("p"), F.col("before").alias("q"))
+    rows = facing.join(nodes.select("node", "n"), "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = rows.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi")
+    members = space.store(rows.join(open_.select("hub", "members"), "hub"), "members")
+    sample = members.filter(F.pmod(F.xxhash64("hub", "node"), "members") < SAMPLE_TEXTS).select("hub", "node").join(texts, "node")
+    common = sample.groupBy("hub").applyInPandas(_common, "hub long, common array<long>, times array<long>")
+    facts = members.drop("members").join(common, "hub", "left").join(texts, "node")
+    keys = space.store(facts.mapInPandas(_prefixes, "hub long, node long, n long, component long, shingle long, place long"), "prefixes")
+    groups = keys.groupBy("hub", "shingle", "component").agg(F.count("*").alias("size"))
+    several = groups.groupBy("hub", "shingle").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("k")).filter("k > 1")
+    live = space.store(keys.join(several.select("hub", "shingle", F.col("main.component").alias("main")), ["hub", "shingle"]), "live")
+    n, left = F.col("n"), F.col("n") - F.col("place")  # what is left from this shingle on bounds the overlap, and so the other's size
+    low, high = F.ceil(n * PERCENT / 100), F.floor(F.least(n * 100 / PERCENT, left * (100 + PERCENT) / PERCENT - n))
+    asking = live.filter((F.col("component") != F.col("main")) & (low <= high)).withColumn("band", F.explode(F.sequence(band(low), band(high))))
+    asking = asking.select("hub", "shingle", "band", F.col("node").alias("src"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("place").alias("p"))
+    asked = live.withColumn("band", band(n))
     overlap = F.ceil((F.col("n") + F.col("m")) * PERCENT / (100 + PERCENT))
-    room = 1 + F.least(F.col("n") - F.col("place") - 1, F.col("m") - F.col("p") - 1)
-    fresh = F.col("before").isNull() | F.col("q").isNull() | (F.col("before") != F.col("q"))
-    on = (keys["shingle"] == other["shingle"]) & (F.col("c") < F.col("component")) & near_pairs(F.col("n"), F.col("m")) & (room >= overlap) & fresh
-    return keys.join(other, on).select("src", F.col("node").alias("dst"))
+    room = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("p"))
+    same = [asking[c] == asked[c] for c in ("hub", "shingle", "band")]
+    met = asking.join(asked, [*same, F.col("c") != F.col("component"), near_pairs(F.col("n"), F.col("m")), room >= overlap])
+    return cut(met.select(F.least("src", "node").alias("src"), F.greatest("src", "node").alias("dst")).distinct())
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
-    """``(key, node, n)``: the key of each of the tables, formed by pairing the two collections."""
+    """``(key, node)``: the key of each of the tables, formed by pairing the two collections."""
     pairs = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(x, y, i, j))))
-    return classes.select(F.explode(pairs).alias("key"), "node", "n")
+    return classes.select(F.explode(pairs).alias("key"), "node")
 
 
 def near_pairs(a, b):
@@ -154,54 +174,81 @@ def candidate_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(shared, "key")
 
 
-def hub_pairs(buckets: DataFrame, one: DataFrame) -> DataFrame:
-    """Each bucket's members with one of them, where the minhash groups agree often enough to expect a link.
+def relabelled(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """The components ``(node, component)`` after ``edges`` too, given those before."""
+    if labels is None:
+        return cut(connected_components(edges))
+    names = labels.select("node", "component")
+    for end in ("src", "dst"):
+        edges = edges.join(names.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of")), end, "left").withColumn(end, F.coalesce(f"{end}_of", end)).drop(f"{end}_of")
+    merged = cut(connected_components(cut(edges.select("src", "dst").distinct())).withColumnRenamed("component", "into"))
+    there = names.join(merged.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    fresh = merged.join(names, "node", "left_anti").select("node", F.col("into").alias("component"))
+    return cut(there.unionByName(fresh).distinct())
+
+
+def hubs_of(buckets: DataFrame) -> DataFrame:
+    """``(hub, node, key)``: every member of a bucket beside the member of the greatest ``weight``."""
+    hubs = buckets.groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("node").alias("o"), "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
+    return buckets.join(hubs, "key").filter("node <> hub").select("hub", "node", "key")
+
+
+def sized_pairs(facing: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(src, dst)`` of the hubs and members whose sizes allow a link."""
+    sides = facing.join(nodes.select("node", "n"), "node").join(nodes.select(F.col("node").alias("hub"), F.col("n").alias("m")), "hub")
+    return cut(sides.filter(near_pairs(F.col("n"), F.col("m"))).select(F.col("hub").alias("src"), F.col("node").alias("dst")).distinct())
+
 
-    This joins large groups of copies at the cost of a star; it need not find every link."""
-    hubs = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node", "n")).alias("hub"))
-    facing = buckets.join(hubs, "key").filter((F.col("node") != F.col("hub.node")) & near_pairs(F.col("n"), F.col("hub.n")))
-    pairs = facing.select(F.least("node", "hub.node").alias("src"), F.greatest("node", "hub.node").alias("dst")).distinct()
-    side = lambda c, x: one.select(F.col("node").alias(c), F.concat("a", "b").alias(x))
-    agree = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, e: s + e)
-    return pairs.join(side("src", "x"), "src").join(side("dst", "y"), "dst").filter(agree >= AGREE).select("src", "dst")
+def crowds(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets that hold CROWD components or more, but for those of the bucket's largest component."""
+    named = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = named.groupBy("key", "component").agg(F.count("*").alias("size"))
+    many = parts.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("k")).filter(F.col("k") >= CROWD)
+    return named.join(many.select("key", F.col("main.component").alias("main")), "key").filter("component <> main").select("key", "node", "weight")
 
 
-def link(prof: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed edges between nodes that connect what the tables' candidates connect.
+def link(prof: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
+    """``(node, component)`` of all nodes that are linked with another.
 
-    First every bucket is compared with one of its members, and what that links becomes components. Members of
-    buckets that hold several components meet once more by their rarest shingles, which skips no pair that could be
-    linked; so the pairs of a bucket are never written out, and no candidate is left undecided.
+    Nodes stand for texts of equal sets. Each bucket's members meet its hub; buckets that still hold many components go
+    on with the hubs of what is left while that links enough of it; the rest meets by rarest shingles within the groups of
+    the first hubs. So the pairs of a bucket are never written out, and no candidate is left undecided.
     """
     full = prof.filter("node IS NOT NULL")
     nodes = cut(full.groupBy("node").agg(F.min("row_key").alias("rep"), F.max("n_shingles").alias("n")))
     # a row per node; rows that repeat id and text repeat here, which distinct() below bears
     mine = full.select(F.col("row_key").alias("rep"), "node", "a", "b")
-    one = mine.join(nodes, ["node", "rep"]).select("node", "n", "a", "b")
-    buckets = stored(candidate_buckets(table_keys(one)).distinct(), "buckets")
-    some = stored(one.join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "groups")
-    edges = confirm(cut(hub_pairs(buckets, some)), nodes, docs) if HUBS else None
-    named = buckets.withColumn("component", F.col("node"))
-    if edges is not None:
-        labels = connected_components(edges)
-        named = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    spread = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    members = cut(named.join(spread, "key").select("node", "n", "component").distinct())
-    met = rare_pairs(members, nodes, docs)
-    pairs = cut(met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    more = confirm(pairs, nodes, docs)
-    return more if edges is None else edges.unionByName(more)
+    one = mine.join(nodes, ["node", "rep"]).select("node", "a", "b")
+    found = space.store(candidate_buckets(table_keys(one)).distinct(), "found")
+    weights = found.join(found.groupBy("key").agg(F.count("*").alias("m")), "key").groupBy("node").agg(F.sum("m").alias("weight"))
+    buckets = space.store(found.join(weights, "node"), "buckets")
+    space.drop("found")
+    texts = space.store(texts_of(buckets, nodes, docs), "texts")
+    facing = space.store(hubs_of(buckets).select("hub", "node").distinct(), "facing")
+    labels = relabelled(None, confirm(sized_pairs(facing, nodes), texts))
+    while True:
+        pairs = sized_pairs(hubs_of(crowds(buckets, labels)).select("hub", "node").distinct(), nodes)
+        if not (n := pairs.count()):
+            break
+        edges = confirm(pairs, texts)
+        labels = relabelled(labels, edges)
+        if edges.count() * YIELD < n:
+            break
+    return relabelled(labels, confirm(rest_pairs(facing, nodes, labels, texts, space), texts))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, row_key, n_shingles, ``component`` (64 bits, equal for near-duplicates; null
-    without shingles), component_id (the least doc_id of the component)."""
-    prof = stored(profiles(docs), "minhash")
-    labels = connected_components(link(prof, docs))
+    without shingles), component_id (the least doc_id of the component). A written table of narrow rows."""
+    space = Workspace(docs.sparkSession, "minhash")
+    prof = space.store(profiles(docs), "profiles")
+    labels = link(prof, docs, space)
     placed = prof.select("doc_id", "row_key", "n_shingles", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "row_key", "n_shingles", "component", "component_id")
+    out = stored(out.select("doc_id", "row_key", "n_shingles", "component", "component_id"), "near-groups")
+    space.close()
+    return out
 
 
 def stays() -> Column:

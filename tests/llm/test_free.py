@@ -61,9 +61,9 @@ def components(texts):
     return [top(i) for i in range(len(texts))], [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("hubs", [False, True])
-def test_minhash(spark, monkeypatch, hubs):
-    monkeypatch.setattr(minhash, "HUBS", hubs)
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_minhash(spark, monkeypatch, crowd):
+    monkeypatch.setattr(minhash, "CROWD", crowd)
     texts = near_texts()
     want, sizes = components(texts)
     got = {r["doc_id"]: r for r in minhash.near_duplicates(docs(spark, texts)).collect()}
@@ -72,6 +72,23 @@ def test_minhash(spark, monkeypatch, hubs):
     assert all(got[i]["kept"] == (want[i] == i) for i in got)
 
 
+def test_minhash_group_without_a_centre(spark, monkeypatch):
+    """Many copies of one text, most of them near some others only, and sizes down to three quarters."""
+    monkeypatch.setattr(minhash, "SAMPLE_TEXTS", 8)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(120)]
+    texts = []
+    for _ in range(220):
+        copy = list(base)
+        for _ in range(rng.randint(1, 9)):
+            copy[rng.randrange(len(copy))] = word()
+        texts.append(" ".join(copy[: rng.randint(85, 120)]))
+    want, _ = components(texts)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, texts)).collect()}
+    assert len(set(want)) > 3 and [got[i] for i in range(len(texts))] == want
+
+
 def test_minhash_edges(spark):
     d = docs(spark, ["a b c d e f g"] * 3 + [None, ""])
     d = d.unionByName(d).unionByName(d.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
@@ -244,11 +261,11 @@ def test_tokens_equal_the_library():
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(tokens.default_path())
-    tool.encode_special_tokens = True
     mine = tokens.encoder(tokens.default_path())
     rng = random.Random(5)
     texts = ["", "a", "Hello  world\n\n x's I'll 12_3 ** é ß² x 日本 \t\t <|endoftext|> don't", "é" * 50]
     texts += ["".join(rng.choice(" \n\tab'sé_12.,$ÄÀ²½中") for _ in range(200)) for _ in range(60)]
+    texts += ["hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext", "é <|endoftext|>\n", "".join(map(chr, range(700)))]
     for t in texts:
         ids = tool.encode(t, add_special_tokens=False).ids
         assert mine.encode(t) == struct.pack(f"<{len(ids)}I", *ids)
