@@ -18,15 +18,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwire.llm.columns import table
-from loomwire.session import cut, stored
+from loomwire.llm.hashing import mix
+from loomwire.session import Workspace, cut, stored
 
 NEAREST, TABLES, WIDTH = 20, 2, 1.2
 #: Queries and vectors on which the number of probes is fitted, and the recall wanted on them.
 SAMPLE_QUERIES, WANTED_RECALL = 64, 0.97
 #: Buckets of a table that a query visits at most; where they do not suffice, K falls until they do.
 MOST_PROBES = 20_000
-#: Vectors that a block of a bucket cell holds, and queries that meet it at once.
-BLOCK_ROWS, QUERY_ROWS = 4096, 512
+#: Vectors that a cell of buckets holds on average, queries that a task gets with it, and those that meet it at once.
+BLOCK_ROWS, QUERY_BLOCK, QUERY_ROWS = 4096, 8192, 512
 SEED = 11
 
 
@@ -57,28 +58,22 @@ def bucket_codes(low: np.ndarray) -> np.ndarray:
     return code
 
 
-def probe_order(inside: np.ndarray, limit: int, reach: int = 4) -> list[tuple[int, ...]]:
-    """The first ``limit`` steps away from a vector's own bucket, by estimated success.
+def probe_order(inside: np.ndarray, limit: int, reach: int = 4) -> np.ndarray:
+    """The first ``limit`` steps away from a vector's own bucket, by estimated success: one row of K numbers each.
 
-    Step s of a function crosses s borders (up positive); its cost is the squared way to the last one. The sets come
-    from a heap: of each function the steps are sorted by cost, and a set is followed by those with one step moved on.
+    Step s of a function crosses s borders (up positive); its cost is the squared way to the last one, and a set of steps
+    costs their sum. The sets are built function by function; one whose beginning is not among the ``limit`` cheapest
+    beginnings cannot be among the cheapest sets.
     """
-    k = len(inside)
-    steps = []
+    step = np.arange(-reach, reach + 1)
+    cost, sets = np.zeros(1), np.zeros((1, 0), np.int64)
     for f in inside:
-        ways = [(0.0, 0)] + [((s - f) ** 2, s) for s in range(1, reach + 1)] + [((f + s - 1) ** 2, -s) for s in range(1, reach + 1)]
-        steps.append(sorted(ways))
-    heap, seen, out = [(0.0, (0,) * k)], {(0,) * k}, []
-    while heap and len(out) < limit:
-        cost, at = heapq.heappop(heap)
-        out.append(tuple(steps[j][i][1] for j, i in enumerate(at)))
-        for j in range(k):
-            if at[j] + 1 < len(steps[j]):
-                more = (*at[:j], at[j] + 1, *at[j + 1 :])
-                if more not in seen:
-                    seen.add(more)
-                    heapq.heappush(heap, (cost - steps[j][at[j]][0] + steps[j][at[j] + 1][0], more))
-    return out
+        way = np.where(step > 0, step - f, np.where(step < 0, f - step - 1, 0.0)) ** 2
+        cost = (cost[:, None] + way).ravel()
+        best = np.argpartition(cost, limit - 1)[:limit] if len(cost) > limit else np.arange(len(cost))
+        cost = cost[best]
+        sets = np.hstack([sets[best // len(step)], step[best % len(step), None]])
+    return sets[np.argsort(cost, kind="stable")]
 
 
 def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -146,15 +141,18 @@ def fit(data: DataFrame, dims: int, norm: float, n: int, nearest: int, wanted: f
     near = [r for r in near if r["cid"] != own[r["q"]]]
     if not near:
         return k, 1
-    vectors = np.array([r["v"] for r in near])
+    of, vectors = np.array([r["q"] for r in near]), np.array([r["v"] for r in near])
     while True:
         limit = min(9**k, MOST_PROBES)
-        reach = np.zeros(len(near), np.int64) + (1 << 40)
+        reach = np.full(len(near), 1 << 40)
         for t in range(TABLES):
             home, inside = slots(queries, norm, k, t, WIDTH)
             found, _ = slots(vectors, norm, k, t, WIDTH)
-            orders = [{p: i + 1 for i, p in enumerate(probe_order(f, limit))} for f in inside]
-            reach = np.minimum(reach, [orders[r["q"]].get(tuple((found[i] - home[r["q"]]).tolist()), 1 << 40) for i, r in enumerate(near)])
+            for q in range(len(queries)):
+                order = probe_order(inside[q], limit)
+                for i in np.flatnonzero(of == q):
+                    at = np.flatnonzero((order == found[i] - home[q]).all(axis=1))
+                    reach[i] = min(reach[i], at[0] + 1 if len(at) else 1 << 40)
         need = np.sort(reach)[min(len(reach) - 1, int(np.ceil(wanted * len(reach))) - 1)]
         if need <= limit or k == 1:
             return k, int(min(need, limit))
@@ -170,28 +168,43 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST, wanted: float =
     one and told apart at the end, so a vector that a third of all rows share costs what one costs.
     """
     spark = vectors.sparkSession
+    space = Workspace(spark, "neighbors")
     rows = usable(vectors)
     keep = nearest + 1
-    data = stored(classes(rows, keep), "vectors")
+    data = space.store(classes(rows, keep), "vectors")
     lengths = data.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("square")).collect()
     asked = cut(rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("cid")).distinct())
     wanted_cids = asked.select("cid").distinct()
     out = None
     for row in lengths:  # one entry for each length of vectors
-        part = _search_one(data.filter(F.size("v") == row["dims"]), wanted_cids, row["dims"], float(np.sqrt(row["square"])) * (1 + 1e-9), row["n"], keep, wanted)
+        part = _search_one(data.filter(F.size("v") == row["dims"]), wanted_cids, row["dims"], float(np.sqrt(row["square"])) * (1 + 1e-9), row["n"], keep, wanted, space)
         out = part if out is None else out.unionByName(part)
     if out is None:
+        space.close()
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = out.join(data.select(F.col("cid").alias("near"), "ids"), "near").join(asked, "cid")
     each = found.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most keep * keep rows
-    return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= nearest).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= nearest)
+    found = stored(found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "nearest")
+    space.close()
+    return found
 
 
-def _search_one(data: DataFrame, wanted_cids: DataFrame, dims: int, norm: float, n: int, keep: int, wanted: float) -> DataFrame:
-    """``cid, near, score``: the ``keep`` nearest classes of every wanted one, itself included."""
+def _search_one(data: DataFrame, wanted_cids: DataFrame, dims: int, norm: float, n: int, keep: int, wanted: float, space: Workspace) -> DataFrame:
+    """``cid, near, score``: the ``keep`` nearest classes of every wanted one, itself included, ties to the least id.
+
+    Buckets are dealt to cells of about a block by their number; a cell above that, and the queries that visit it, are dealt
+    in parts. A query first meets the first eighth of its buckets, where each cell gives a few scores: the ``keep``-th of
+    these bounds what is wanted. Then it meets all its buckets, and only what reaches the bound is given out, so the
+    rows of a query do not grow with the cells that it visits.
+    """
     k, probes = fit(data, dims, norm, n, keep - 1, wanted)
     cells = max(1, -(-n // BLOCK_ROWS))
+    few = min(keep, 3 + -(-2 * keep // (TABLES * min(cells, probes))))
+    first = max(1, probes // 8)
+    slack = 1e-9 * norm * norm  # products by matrix and by exact_scores differ in rounding
+    cell_of = lambda code: (mix(code.view(np.uint64)) % np.uint64(cells)).astype(np.int64)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -200,70 +213,88 @@ def _search_one(data: DataFrame, wanted_cids: DataFrame, dims: int, norm: float,
             x = np.array(batch["v"].tolist())
             for t in range(TABLES):
                 code = bucket_codes(slots(x, norm, k, t, WIDTH)[0])
-                yield pd.DataFrame({"tab": t, "bucket": code, "cid": batch["cid"], "v": batch["v"]})
-
-    placed = stored(data.select("cid", "v").mapInPandas(place, "tab int, bucket long, cid long, v array<double>"), "placed")
-    # buckets are dealt to cells of about a block in the order of their number; a bucket above a block is dealt in parts
-    sizes = placed.groupBy("tab", "bucket").agg(F.count("*").alias("size"))
-    cell = F.pmod(F.xxhash64("bucket"), F.lit(cells))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK_ROWS)).cast("int")
-    plan = cut(sizes.select("tab", "bucket", cell.alias("cell"), parts.alias("parts")))
-    here = placed.join(plan, ["tab", "bucket"]).select("tab", "cell", F.pmod(F.xxhash64("cid"), F.col("parts").cast("long")).alias("part"), "bucket", "cid", "v")
-    queries = data.join(wanted_cids, "cid", "left_semi").select("cid", "v")
+                yield pd.DataFrame({"tab": t, "cell": cell_of(code), "bucket": code, "cid": batch["cid"], "least": batch["least"], "v": batch["v"]})
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for low in range(0, len(batch), 256):
-                some = batch.iloc[low : low + 256]
-                x = np.array(some["v"].tolist())
-                for t in range(TABLES):
-                    home, inside = slots(x, norm, k, t, WIDTH)
-                    rows, codes = [], []
-                    for i in range(len(x)):
-                        steps = np.array(probe_order(inside[i], probes), np.int64)
-                        codes.append(bucket_codes(home[i] + steps))
-                        rows.append(np.full(len(steps), i))
-                    rows, codes = np.concatenate(rows), np.concatenate(codes)
-                    yield pd.DataFrame({"tab": t, "bucket": codes, "cid": some["cid"].to_numpy()[rows]})
-
-    # the buckets a query visits, as far as they hold anything, gathered by cell: at most as many as a cell has
-    visits = queries.mapInPandas(visit, "tab int, bucket long, cid long").join(plan, ["tab", "bucket"])
-    visits = visits.select("tab", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), "bucket", "cid")
-    wanted_here = visits.groupBy("tab", "cell", "part", "cid").agg(F.collect_set("bucket").alias("buckets")).join(queries, "cid")
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"cid": [], "near": [], "score": []})
-        x, near, bucket = np.array(left["v"].tolist()), left["cid"].to_numpy(), left["bucket"].to_numpy()
+            if not len(batch):
+                continue
+            x = np.array(batch["v"].tolist())
+            for t in range(TABLES):
+                home, inside = slots(x, norm, k, t, WIDTH)
+                for low in range(0, len(x), 64):
+                    rows = []
+                    for i in range(low, min(low + 64, len(x))):
+                        codes = bucket_codes(home[i] + probe_order(inside[i], probes))
+                        at = cell_of(codes)
+                        by_cell = np.argsort(at, kind="stable")  # inside a cell buckets stay in order
+                        starts = np.flatnonzero(np.r_[True, np.diff(at[by_cell]) != 0])
+                        for own in np.split(by_cell, starts[1:]):
+                            rows.append((t, int(at[own[0]]), batch["cid"].iat[i], batch["v"].iat[i], codes[own], int((own < first).sum())))
+                    yield pd.DataFrame(rows, columns=["tab", "cell", "cid", "v", "buckets", "near"])
+
+    placed = space.store(data.select("cid", F.col("ids")[0].alias("least"), "v").mapInPandas(place, "tab int, cell long, bucket long, cid long, least long, v array<double>"), f"placed-{dims}")
+    queries = data.join(wanted_cids, "cid", "left_semi").select("cid", "v")
+    visits = space.store(queries.mapInPandas(visit, "tab int, cell long, cid long, v array<double>, buckets array<long>, near int"), f"visits-{dims}")
+    share = lambda df, most, name: df.groupBy("tab", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / most)).cast("long").alias(name))
+    plan = cut(share(placed, 2 * BLOCK_ROWS, "parts").join(share(visits, QUERY_BLOCK, "shares"), ["tab", "cell"]))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    here = placed.join(plan, ["tab", "cell"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts"))).withColumn("share", each("shares")).drop("parts", "shares")
+    there = visits.join(plan, ["tab", "cell"]).withColumn("share", F.pmod(F.xxhash64("cid"), F.col("shares"))).withColumn("part", each("parts")).drop("parts", "shares")
+    together = ("tab", "cell", "part", "share")
+
+    def scores(left: pd.DataFrame, right: pd.DataFrame, near_only: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For blocks of queries: their places in ``right``, vectors, and products with all of ``left``, -inf in buckets not visited."""
+        x, bucket = np.array(left["v"].tolist()), left["bucket"].to_numpy()
         order = np.argsort(bucket, kind="stable")
-        x, near, bucket = x[order], near[order], bucket[order]
-        first = np.unique(bucket, return_index=True)
-        spans = {b: (s, e) for b, s, e in zip(first[0].tolist(), first[1].tolist(), [*first[1][1:].tolist(), len(bucket)], strict=True)}
-        out = []
+        names, starts = np.unique(bucket[order], return_index=True)
+        spans = {b: order[s:e] for b, s, e in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True)}
         for low in range(0, len(right), QUERY_ROWS):
             some = right.iloc[low : low + QUERY_ROWS]
             q = np.array(some["v"].tolist())
             s = np.full((len(q), len(x)), -np.inf)
             visitors: dict[int, list[int]] = {}
-            for i, buckets in enumerate(some["buckets"]):
-                for b in buckets:
-                    visitors.setdefault(int(b), []).append(i)
+            for i, (buckets, near) in enumerate(zip(some["buckets"], some["near"], strict=True)):
+                for b in (buckets[:near] if near_only else buckets).tolist():
+                    if b in spans:
+                        visitors.setdefault(b, []).append(i)
             for b, who in visitors.items():
-                if b in spans:
-                    lo, hi = spans[b]
-                    s[who, lo:hi] = q[who] @ x[lo:hi].T
-            for i, cols in enumerate(_top(s, keep + 12)):
-                cols = cols[np.isfinite(s[i, cols])]
-                if len(cols):
-                    exact = exact_scores(q[i], x[cols])
-                    best = np.lexsort((near[cols], -exact))[: keep + 4]
-                    out.append(pd.DataFrame({"cid": some["cid"].iat[i], "near": near[cols][best], "score": exact[best]}))
+                s[np.ix_(who, spans[b])] = q[who] @ x[spans[b]].T
+            yield np.arange(low, low + len(q)), q, s
+
+    def glance(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            near, cids = left["cid"].to_numpy(), right["cid"].to_numpy()
+            for at, _, s in scores(left, right, True):
+                cols = _top(s, few)
+                got = np.take_along_axis(s, cols, axis=1)
+                hit = np.isfinite(got)
+                out.append(pd.DataFrame({"cid": np.repeat(cids[at], cols.shape[1])[hit.ravel()], "near": near[cols][hit], "score": got[hit]}))
         return pd.concat(out) if out else pd.DataFrame({"cid": [], "near": [], "score": []})
 
-    met = here.groupBy("tab", "cell", "part").cogroup(wanted_here.groupBy("tab", "cell", "part")).applyInPandas(meet, "cid long, near long, score double")
-    merged = met.groupBy("cid", "near").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("cid").orderBy(F.desc("score"))  # at most (keep + 4) rows of each block a query meets
-    return merged.withColumn("r", F.rank().over(best)).filter(F.col("r") <= keep).select("cid", "near", "score")
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            x, near, least, cids = np.array(left["v"].tolist()), left["cid"].to_numpy(), left["least"].to_numpy(), right["cid"].to_numpy()
+            bounds = right["bound"].fillna(-np.inf).to_numpy()
+            for at, q, s in scores(left, right, False):
+                for i, row in zip(at, s, strict=True):
+                    cols = np.flatnonzero((row >= bounds[i]) & (row > -np.inf))
+                    if len(cols) > keep:
+                        cols = cols[row[cols] >= np.partition(row[cols], -keep)[-keep] - 2 * slack]
+                    exact = exact_scores(q[i - at[0]], x[cols])
+                    best = np.lexsort((least[cols], -exact))[:keep]
+                    out.append(pd.DataFrame({"cid": cids[i], "near": near[cols][best], "least": least[cols][best], "score": exact[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"cid": [], "near": [], "least": [], "score": []})
+
+    glanced = here.groupBy(*together).cogroup(there.filter("near > 0").groupBy(*together)).applyInPandas(glance, "cid long, near long, score double")
+    ranked = glanced.groupBy("cid", "near").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("score"))))
+    bound = cut(ranked.filter(F.col("r") <= keep).filter(F.col("r") == keep).select("cid", (F.col("score") - 2 * slack).alias("bound")))
+    met = here.groupBy(*together).cogroup(there.join(bound, "cid", "left").groupBy(*together)).applyInPandas(meet, "cid long, near long, least long, score double")
+    merged = met.groupBy("cid", "near").agg(F.max("score").alias("score"), F.min("least").alias("least"))
+    best = Window.partitionBy("cid").orderBy(F.desc("score"), "least")
+    return merged.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= keep).select("cid", "near", "score")
 
 
 def op5_neighbors(spark, sf_dir: str) -> DataFrame:

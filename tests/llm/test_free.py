@@ -237,6 +237,31 @@ def test_neighbors(spark):
     assert neighbors.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbors_ties(spark, monkeypatch):
+    """More vectors tie with the last place than a block gives out: the least ids win, whatever their hashes."""
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(neighbors, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((300, 8))
+    x[:, 0] = 0
+    x *= (math.sqrt(0.75) / np.linalg.norm(x, axis=1))[:, None]
+    x[:, 0] = 0.5
+    rows = [(0, [1.0] + [0.0] * 7)] + [(i + 1, v.tolist()) for i, v in enumerate(x)] + [(i + 1000, v.tolist()) for i, v in enumerate(x[:40])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbors.search(df, F.col("vec_id") == 0, wanted=1.0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == list(range(1, 21)) and {r["score"] for r in got} == {0.5}
+
+
+def test_probe_order():
+    rng = np.random.default_rng(3)
+    for k in (1, 2, 3):
+        inside = rng.random(k)
+        cost = lambda p: sum((s - f) ** 2 if s > 0 else (f - s - 1) ** 2 if s < 0 else 0 for s, f in zip(p, inside, strict=True))  # noqa: B023, E731
+        want = sorted(map(cost, itertools.product(range(-4, 5), repeat=k)))[:50]
+        got = neighbors.probe_order(inside, 50).tolist()
+        assert [cost(p) for p in got] == pytest.approx(want[: len(got)]) and len({tuple(p) for p in got}) == len(got) == min(50, 9**k)
+
+
 def test_neighbors_keep_recall_at_the_cap_of_probes(spark, monkeypatch):
     monkeypatch.setattr(neighbors, "MOST_PROBES", 150, raising=False)
     rng = np.random.default_rng(14)
@@ -251,7 +276,7 @@ def test_neighbors_keep_recall_at_the_cap_of_probes(spark, monkeypatch):
     for q in range(0, 400, 8):
         best, seen = np.argsort(-s[q])[:20], set()
         for low, inside in slots:
-            steps = {tuple(p) for p in neighbors.probe_order(inside[q], probes)}
+            steps = {tuple(p) for p in neighbors.probe_order(inside[q], probes).tolist()}
             seen |= {i for i in best.tolist() if tuple((low[i] - low[q]).tolist()) in steps}
         hits, total = hits + len(seen), total + 20
     assert probes <= 150 and hits / total >= 0.93
