@@ -95,6 +95,14 @@ KNOWN = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
+    (
+        "GPL-2.0-or-later",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+        "Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that "
+        "it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        "GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, "
+        "write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    ),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     (
         "GPL-3.0-or-later",
@@ -105,6 +113,14 @@ KNOWN = [
         "see http://www.gnu.org/licenses/.",
     ),
     ("ISC", f"{_USE}, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_WARRANTY}"),
+    (
+        "LGPL-2.1-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope "
+        "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See "
+        "the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this "
+        "library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    ),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     (
@@ -126,3 +142,33 @@ KNOWN = [
         "software.\n3. This notice may not be removed or altered from any source distribution.",
     ),
 ]
+
+# Licence identifier, characters and SHA-256 of the canonical form of whole published texts. Where a text
+# has an appendix after its terms, the terms count too, with and without their closing line.
+KNOWN_DIGESTS = [
+    ("Apache-2.0", 8820, "1f83b549278aad2269f256fe33eeebb43fed6e113bc021a29aea3b88353779e6"),
+    ("Apache-2.0", 8848, "d3b761037b99e5cb84d7615d780e864d6d33a661f7613e225a5e78983311b5f9"),
+    ("Apache-2.0", 9864, "1ea51b4fb8db71cbb7fcf3eada9bdec2dcd567d853ac36ce4b7f0a49d0a28496"),
+    ("Artistic-1.0-Perl", 5802, "c471988a77141ab3bd1edf5e597c88c77313756e7d981da1873ae071d0fff520"),
+    ("CC0-1.0", 6684, "2106cd4f7c9f6d4a9e5f54c911e4ff372736db5467794e4b89bcea996afde21c"),
+    ("GFDL-1.2-only", 19580, "231a8704cc18f1f610767f6ac11de16a0ebd847208bddcceee26f1844633ceb8"),
+    ("GFDL-1.3-only", 22004, "db36a674b9c89df4dd6f7da3224c4a4117476a92d5dcee13dab8887dee33dd18"),
+    ("GPL-1.0-only", 9359, "4142432880b34daad7499f8496bfa0c5606ab779f7d5c28b2a35ad5774358fd2"),
+    ("GPL-1.0-only", 9387, "6a961487f7eff681d4a57d54721ffe14f704b7838dbfd03ec0647f4827ae7339"),
+    ("GPL-1.0-only", 11769, "dff80fd823318d38ff37659008d057cd0206d7091d7ee1157be98db0ca60cc08"),
+    ("GPL-2.0-only", 14420, "fc3b27b1959870c461fa4a448448d0f6e9368e3ac4545e13757cb1685683d4ea"),
+    ("GPL-2.0-only", 14448, "4b3851e57057995e596783e8597cf91795b45fb1a131f98f5096d62141dc5151"),
+    ("GPL-2.0-only", 17082, "2ebc509910f8198b6a3e71a69afbae82ef7f1910c4368882f30e616b256f7e8c"),
+    ("GPL-3.0-only", 30883, "8b3dac26b3d8ecce6275068f7cbb966ac31c15f7a6f6be7935493beba24876b8"),
+    ("GPL-3.0-only", 30911, "61f3f2cb7f54a63fb385a4ed30a4e451d3244772bd8fff3c817e8de60054c9ab"),
+    ("GPL-3.0-only", 33349, "6118d605c1fa4fddf28d588e0da988d7deab4fad626b4ec94231c8b8f8549615"),
+    ("LGPL-2.0-only", 22204, "2ba2e608396cf6a45b00e1f64d00ba01717aa19a978e66be1b7e3a9573363e09"),
+    ("LGPL-2.0-only", 22232, "4f792280264fddebe5c6b0a01e965244a89c7e772fc68c944a506b43f951cede"),
+    ("LGPL-2.0-only", 24085, "e04603d6e026ffd36324f2bd92ac22e0ccf413d67856901ea9e5ac1ed3bb325b"),
+    ("LGPL-2.1-only", 23292, "ee807f250baa1d7919615501bcbd16021394eb90cf2f83b3322a2675f518a3f2"),
+    ("LGPL-2.1-only", 23320, "77f69f74290312268162b9479423e89b37db622932ed17109b334a7a3f5af584"),
+    ("LGPL-2.1-only", 25172, "9df9a77b243015b5319d7fa42c7baa90d11cd37e2e7d5721f2d48d6f42535d13"),
+    ("LGPL-3.0-only", 7086, "828c3944cde1fc14c68737c9be14d8d0f4f13ab980f8a72364a0e64f72965525"),
+    ("MPL-1.1", 22433, "c21da7db47fdd9d729022114526313faa8058be180af2021998fbacdd011452e"),
+    ("MPL-2.0", 14324, "35ef3bd6b8dde2c220e6e747059cfe96815135ddffa77f412609dea3108d65a6"),
+]

@@ -6,66 +6,92 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwire.llm.columns import fingerprint, let, table
-from loomwire.llm.license_texts import KNOWN, SAME_SPELLING
+from loomwire.llm.license_texts import KNOWN, KNOWN_DIGESTS, SAME_SPELLING
 
 _MARK = r"(?:copyright|\(c\)|©)"
 COPYRIGHT_LINE = rf"(?m)^[^\p{{L}}\p{{N}}\n(©]*{_MARK}[ \t]*{_MARK}?[ \t]*(?:[0-9]{{4}}|\[|<|by )[^\n]*$"
 RIGHTS_LINE = r"(?m)^[ \t]*all rights reserved\.?[ \t]*$"
+#: The number of a clause at the beginning of a line.
+CLAUSE = r"^[ \t]*\(?[0-9]{1,2}[.)][ \t]+"
+
+
+def spellings() -> list[tuple[str, str, str]]:
+    """``(spelling, pattern, replacement)``, longest first."""
+    return [(a, rf"\b{a}(s?)\b", f"{b}$1") for a, b in sorted(SAME_SPELLING, key=lambda p: -len(p[0]))]
+
+
+def variants() -> str:
+    """A pattern of all spellings, parted by their first letters so that most words are passed over at once."""
+    heads: dict[str, list[str]] = {}
+    for a, _ in SAME_SPELLING:
+        heads.setdefault(a[0], []).append(a[1:])
+    return r"\b(?:" + "|".join(f"{h}(?:{'|'.join(rest)})" for h, rest in sorted(heads.items())) + r")s?\b"
 
 
 def without_notices(text: Column) -> Column:
     """Lower case, one spelling, copyright lines emptied; line ends stay."""
     t = F.lower(text)
-    variants = "|".join(a for a, _ in SAME_SPELLING)
+    rules = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(p).alias("p"), F.lit(r).alias("r")) for a, p, r in spellings()])
+    respelled = F.aggregate(rules, t, lambda same, x: F.when(F.contains(same, x["a"]), F.regexp_replace(same, x["p"], x["r"])).otherwise(same))
+    t = F.when(t.rlike(variants()), respelled).otherwise(t)
 
-    def respelled(same: Column) -> Column:
-        for a, b in sorted(SAME_SPELLING, key=lambda p: -len(p[0])):
-            same = F.regexp_replace(same, rf"\b{a}(s?)\b", f"{b}$1")
-        return same
+    def unmarked(same: Column) -> Column:
+        marked = F.regexp_replace(F.regexp_replace(same, COPYRIGHT_LINE, ""), RIGHTS_LINE, "")
+        found = [F.contains(same, F.lit(x)) for x in ("copyright", "(c)", "©", "all rights")]
+        return F.when(found[0] | found[1] | found[2] | found[3], marked).otherwise(same)
 
-    t = F.when(t.rlike(rf"\b(?:{variants})s?\b"), let(t, respelled)).otherwise(t)
-    marked = F.regexp_replace(F.regexp_replace(t, COPYRIGHT_LINE, ""), RIGHTS_LINE, "")
-    return F.when(t.rlike(r"copyright|\(c\)|©|all rights"), marked).otherwise(t)
+    return let(t, unmarked)
 
 
-def bare(text: Column) -> Column:
-    """Letters and digits only, every other run one space."""
-    return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
+def bare(line: Column) -> Column:
+    """Letters and digits only, every other run one space; without the clause number. The two patterns do the same to
+    a lower-case line of ASCII, the first one faster."""
+    line = F.when(line.rlike(CLAUSE), F.regexp_replace(line, CLAUSE, "")).otherwise(line)
+    ascii_only = F.length(line) == F.octet_length(line)
+    return F.trim(F.when(ascii_only, F.regexp_replace(line, "[^a-z0-9]+", " ")).otherwise(F.regexp_replace(line, r"[^a-z0-9\p{L}\p{N}]+", " ")))
+
+
+def canonical_lines(text: Column) -> Column:
+    """The lines of a text in canonical form, without those of which nothing is left."""
+    return F.filter(F.transform(F.split(without_notices(text), "\n"), bare), lambda x: x != "")
 
 
 def digest(canonical: Column) -> Column:
     return F.when(canonical != "", F.sha2(canonical, 256))
 
 
-def known_digests(spark, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """``(digest, license_id)``, one row per digest; as many rows as ``known`` has at most."""
-    frame = spark.createDataFrame(known, "license_id string, text string").select("license_id", digest(bare(without_notices(F.col("text")))).alias("digest"))
-    return frame.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+def known_digests(spark, known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, int, str]] = KNOWN_DIGESTS) -> list[tuple[str, int, str]]:
+    """``(license_id, canonical length, digest)``, one for each digest: of the texts ``known`` and those given as ``digests``."""
+    texts = spark.createDataFrame(known, "license_id string, text string").select("license_id", F.array_join(canonical_lines(F.col("text")), " ").alias("c"))
+    found = {d: (i, n, d) for i, n, d in sorted(digests, reverse=True)}
+    for r in texts.filter("c <> ''").select("license_id", F.length("c").alias("n"), digest(F.col("c")).alias("d")).orderBy(F.desc("license_id")).collect():
+        found[r["d"]] = tuple(r)
+    return sorted(found.values())
 
 
-def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, int, str]] = KNOWN_DIGESTS) -> DataFrame:
     """One row per row of ``docs``: its key, ``digest`` of the whole canonical text, ``license_id`` if that is a
     known licence, and ``notices``, the sorted licences whose whole text is one of its lines.
 
-    Null and empty texts, and texts of punctuation or copyright lines alone, have a null digest and match nothing.
+    The canonical text is its canonical lines joined, so every line is made canonical once; a line is hashed only if a
+    known text is as long. Null and empty texts, and texts of punctuation or copyright lines alone, have a null digest and match nothing.
     The known digests are the only broadcast side; they are a list in the code. Rows are aggregated by key and
     text before the shuffle and repeated afterwards, so exact repetitions and equal keys stay apart and whole.
     """
     spark = docs.sparkSession
-    calm = without_notices(F.coalesce(F.col(text), F.lit("")))
-    units = (
-        docs.select(F.col(key), fingerprint(F.col(text)).alias("_text"), calm.alias("_calm"))
-        .select(key, "_text", F.concat(F.array(bare(F.col("_calm"))), F.transform(F.split("_calm", "\n"), bare)).alias("_units"))
-        .select(key, "_text", F.posexplode("_units").alias("_pos", "_unit"))
-        .select(key, "_text", "_pos", digest(F.col("_unit")).alias("digest"))
-    )
-    looked_up = units.join(F.broadcast(known_digests(spark, known)), "digest", "left").filter("_pos = 0 OR license_id IS NOT NULL")
-    whole = F.col("_pos") == 0
+    table_ = known_digests(spark, known, digests)
+    lengths = sorted({n for _, n, _ in table_})
+    lines = docs.select(F.col(key), fingerprint(F.col(text)).alias("_text"), canonical_lines(F.coalesce(F.col(text), F.lit(""))).alias("_lines"))
+    whole = F.struct(F.lit(True).alias("whole"), digest(F.array_join("_lines", " ")).alias("digest"))
+    parts = F.transform(F.array_distinct(F.filter("_lines", lambda x: F.length(x).isin(lengths))), lambda x: F.struct(F.lit(False).alias("whole"), digest(x).alias("digest")))
+    units = lines.select(key, "_text", F.explode(F.concat(F.array(whole), parts)).alias("_unit")).select(key, "_text", "_unit.whole", "_unit.digest")
+    frame = spark.createDataFrame([(i, d) for i, _, d in table_] or [("", "")], "license_id string, digest string")
+    looked_up = units.join(F.broadcast(frame), "digest", "left").filter("whole OR license_id IS NOT NULL")
     grouped = looked_up.groupBy(key, "_text").agg(
-        F.max(F.when(whole, F.col("digest"))).alias("digest"),
-        F.max(F.when(whole, F.col("license_id"))).alias("license_id"),
-        F.array_sort(F.collect_set(F.when(~whole, F.col("license_id")))).alias("notices"),
-        F.sum(whole.cast("int")).alias("_rows"),
+        F.max(F.when(F.col("whole"), F.col("digest"))).alias("digest"),
+        F.max(F.when(F.col("whole"), F.col("license_id"))).alias("license_id"),
+        F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license_id")))).alias("notices"),
+        F.sum(F.col("whole").cast("int")).alias("_rows"),
     )
     return grouped.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int")))).drop("_row", "_rows", "_text")
 
@@ -79,21 +105,28 @@ def op1_licenses(spark, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     same = "lower(t)"
-    for a, b in sorted(SAME_SPELLING, key=lambda p: -len(p[0])):
-        same = rf"regexp_replace({same}, '\b{a}(s?)\b', '{b}\1', 'g')"
+    for _, pattern, to in spellings():
+        same = f"regexp_replace({same}, {quote(pattern)}, {quote(to.replace('$', chr(92)))}, 'g')"
     values = ",\n".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN)
-    calm = rf"regexp_replace(regexp_replace({same}, {quote(COPYRIGHT_LINE)}, '', 'g'), {quote(RIGHTS_LINE)}, '', 'g')"
-    bare_of = lambda c: rf"trim(regexp_replace({c}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ')"
+    digests = ",\n".join(f"({quote(i)}, {quote(d)})" for i, _, d in KNOWN_DIGESTS)
+    calm = f"regexp_replace(regexp_replace({same}, {quote(COPYRIGHT_LINE)}, '', 'g'), {quote(RIGHTS_LINE)}, '', 'g')"
+    bare_ = rf"trim(regexp_replace(regexp_replace(l, {quote(CLAUSE)}, ''), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ')"
+    whole = lambda source: f"""SELECT rid, string_agg(l, ' ' ORDER BY i) AS c FROM (
+  SELECT rid, i, {bare_} AS l FROM (SELECT rid, unnest(string_split(c, chr(10))) AS l, generate_subscripts(string_split(c, chr(10)), 1) AS i
+    FROM (SELECT rid, {calm} AS c FROM {source}))) WHERE l <> '' GROUP BY rid"""
     return f"""
-WITH known_texts(license_id, t) AS (VALUES {values}),
-known AS (SELECT sha256(c) AS digest, min(license_id) AS license_id FROM (SELECT license_id, {bare_of(calm)} AS c FROM known_texts) WHERE c <> '' GROUP BY 1),
+WITH known_texts(rid, t) AS (VALUES {values}),
+numbered AS (SELECT row_number() OVER () AS rid, rid AS license_id, t FROM known_texts),
+known AS (
+  SELECT digest, min(license_id) AS license_id FROM (
+    SELECT n.license_id, sha256(w.c) AS digest FROM numbered n JOIN ({whole('numbered')}) w USING (rid)
+    UNION ALL SELECT * FROM (VALUES {digests})) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-calm AS (SELECT rid, doc_id, {calm} AS t FROM d),
-whole AS (SELECT rid, doc_id, CASE WHEN {bare_of('t')} <> '' THEN sha256({bare_of('t')}) END AS digest FROM calm),
-lines AS (SELECT rid, sha256({bare_of('l')}) AS digest FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM calm) WHERE {bare_of('l')} <> ''),
+whole AS ({whole('d')}),
+lines AS (SELECT rid, sha256({bare_}) AS digest FROM (SELECT rid, unnest(string_split({calm}, chr(10))) AS l FROM d) WHERE {bare_} <> ''),
 notices AS (SELECT rid, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS n FROM lines JOIN known USING (digest) GROUP BY rid)
-SELECT doc_id, w.digest, k.license_id, coalesce(n.n, '') AS notices
-FROM whole w LEFT JOIN known k ON w.digest = k.digest LEFT JOIN notices n USING (rid)
+SELECT doc_id, sha256(w.c) AS digest, k.license_id, coalesce(n.n, '') AS notices
+FROM d LEFT JOIN whole w USING (rid) LEFT JOIN known k ON sha256(w.c) = k.digest LEFT JOIN notices n USING (rid)
 """
 
 

@@ -27,10 +27,11 @@ from loomwire.session import Workspace, cut, stored
 
 WORDS, PERCENT = 5, 75
 FIRST, SECOND = 10, 6
-#: Members of a hub's group on which it is seen which shingles are common there. This orders shingles and only saves work.
-SAMPLE_TEXTS = 64
+#: Members of a hub's group up to which one task counts in how many texts of the group each shingle is; else a shuffle does.
+TASK_TEXTS = 64
 #: Components from which on a bucket gets further hubs, as long as one comparison in ``YIELD`` gives a link.
 CROWD, YIELD = 64, 64
+PREFIX = "hub long, node long, n long, component long, shingle long, place long"
 
 
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,25 +93,32 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _common(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The shingles that several of a hub's sampled texts hold, sorted, with the number of these texts."""
+    """The shingles that several texts of a hub's group hold, sorted, with the number of these texts."""
     found, counts = np.unique(np.concatenate([signed(h) for h in shingle_sets(pdf["text"].tolist(), WORDS)]), return_counts=True)
     often = counts > 1
     return pd.DataFrame({"hub": pdf["hub"].iloc[:1], "common": [found[often]], "times": [counts[often]]})
 
 
-def prefix_size(n: np.ndarray | int):
-    """How many of the first of ``n`` shingles, under an order that all sets share, two similar sets must share one of."""
+def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        sets = [signed(h) for h in shingle_sets(batch["text"].tolist(), WORDS)]
+        sizes = [len(x) for x in sets]
+        yield pd.DataFrame({c: np.repeat(batch[c].to_numpy(), sizes) for c in ("hub", "node")} | {"shingle": np.concatenate([*sets, np.zeros(0, np.int64)])})
+
+
+def prefix_size(n: int) -> int:
+    """Of how many first shingles of ``n``, under an order that all sets share, similar sets must hold one."""
     return n - -(-n * PERCENT // 100) + 1
 
 
 def _prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rarest shingles of each text with their place: those common in the hub's group come last, else by hash."""
+    """The rarest shingles of each text with their place: by the number of the group's texts that hold them, then by hash."""
     for batch in batches:
         out = []
         for common, times, h in zip(batch["common"], batch["times"], shingle_sets(batch["text"].tolist(), WORDS), strict=True):
             own = signed(h)
             weight = np.zeros(len(own), np.int64)
-            if common is not None and len(common):
+            if len(common):
                 at = np.minimum(np.searchsorted(common, own), len(common) - 1)
                 weight = np.where(common[at] == own, times[at], 0)
             out.append(own[np.lexsort((own, weight))][: prefix_size(len(own))])
@@ -138,10 +146,17 @@ def rest_pairs(facing: DataFrame, nodes: DataFrame, labels: DataFrame, texts: Da
     rows = facing.join(nodes.select("node", "n"), "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = rows.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi")
     members = space.store(rows.join(open_.select("hub", "members"), "hub"), "members")
-    sample = members.filter(F.pmod(F.xxhash64("hub", "node"), "members") < SAMPLE_TEXTS).select("hub", "node").join(texts, "node")
-    common = sample.groupBy("hub").applyInPandas(_common, "hub long, common array<long>, times array<long>")
-    facts = members.drop("members").join(common, "hub", "left").join(texts, "node")
-    keys = space.store(facts.mapInPandas(_prefixes, "hub long, node long, n long, component long, shingle long, place long"), "prefixes")
+    told = members.join(texts, "node")
+    small, large = told.filter(F.col("members") <= TASK_TEXTS), told.filter(F.col("members") > TASK_TEXTS)
+    common = small.groupBy("hub").applyInPandas(_common, "hub long, common array<long>, times array<long>")
+    few = small.drop("members").join(common, "hub").mapInPandas(_prefixes, PREFIX)
+    every = large.select("hub", "node", "text").mapInPandas(_explode, "hub long, node long, shingle long")
+    times = every.groupBy("hub", "shingle").agg(F.count("*").alias("times"))
+    ranked = every.join(times, ["hub", "shingle"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("s"))  # one text's
+    first = F.size("s") - F.ceil(F.size("s") * PERCENT / 100).cast("int") + 1
+    many = ranked.select("hub", "node", F.posexplode(F.slice("s", F.lit(1), first)).alias("place", "s")).join(members.drop("members"), ["hub", "node"])
+    many = many.select("hub", "node", "n", "component", "s.shingle", F.col("place").cast("long").alias("place"))
+    keys = space.store(few.unionByName(many), "prefixes")
     groups = keys.groupBy("hub", "shingle", "component").agg(F.count("*").alias("size"))
     several = groups.groupBy("hub", "shingle").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("k")).filter("k > 1")
     live = space.store(keys.join(several.select("hub", "shingle", F.col("main.component").alias("main")), ["hub", "shingle"]), "live")

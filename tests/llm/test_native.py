@@ -1,11 +1,13 @@
 """Operators 1 to 4."""
 
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
 from loomwire.llm import licenses, quality, shards, tool_calls
 
+COMMON = Path("/usr/share/common-licenses")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank string, shard string"
 
 
@@ -25,10 +27,22 @@ def test_licenses(spark):
     assert [got[i]["license_id"] for i in range(3)] == ["MIT"] * 3
     assert got[3]["license_id"] is None and got[3]["notices"] == ["CC-BY-NC-4.0", "MIT"]
     assert all(got[i]["digest"] is None for i in (4, 5, 6, 7)) and got[8]["license_id"] is None and got[8]["digest"]
+    bsd = next(t for i, t in licenses.KNOWN if i == "BSD-2-Clause")
+    ways = [bsd, bsd.replace("1. ", "(1) ").replace("2. ", "* "), bsd.replace("1. ", "").replace("2. ", "").replace(", ", ",\n"), "\n".join(bsd.split(" ")), bsd * 40]
+    same = [r["license_id"] for r in licenses.scan_licenses(docs(spark, ways)).orderBy("doc_id").collect()]
+    assert same == ["BSD-2-Clause"] * 3 + [None] * 2  # a number on a line of its own is a word, as is a text forty times as long
     twice = docs(spark, ["same"]).unionByName(docs(spark, ["same"]))
     assert licenses.scan_licenses(twice).count() == 2 and licenses.scan_licenses(twice.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not COMMON.is_dir(), reason="no licence texts on this machine")
+@pytest.mark.parametrize("name, license_id", [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0-only"), ("LGPL-3", "LGPL-3.0-only"), ("MPL-2.0", "MPL-2.0")])
+def test_whole_licenses(spark, name, license_id):
+    text = (COMMON / name).read_text()
+    texts = [text, " ".join(text.lower().split(" ")) + "\n\n", "Copyright (c) 2024 A. Nobody\n" + text, text.replace(" license ", " licence ")]
+    assert {r["license_id"] for r in licenses.scan_licenses(docs(spark, texts)).collect()} == {license_id}
+
+
 def test_shards_even_and_gapless(spark):
     keys = spark.range(1003).selectExpr("if(id % 3 = 0, null, id) AS doc_id", "id AS size", "id AS text_crc32", "id AS rank")
     keys = keys.unionByName(keys.limit(50))
