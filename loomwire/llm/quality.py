@@ -10,8 +10,8 @@ from loomwire.session import stored
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: A line is boilerplate of its host when more distinct texts than both of these hold it.
-LINE_DOCS, LINE_SHARE = 20, 0.02
+#: A line is boilerplate of its host when more documents hold it than this, times the logarithm to base 10 of the host's documents.
+LINE_DOCS = 20
 #: A document is depleted when fewer words than MIN_WORDS, or less than this share of them, are left.
 LEFT_SHARE = 0.1
 
@@ -52,8 +52,8 @@ def normal_line(line: Column) -> Column:
 def profile(docs: DataFrame, host: str) -> DataFrame:
     """One narrow row per document: its key, base figures, and ``lines`` (hash with the host, words in it).
 
-    A null text counts as empty; a null host is a host. ``lines`` holds each normalised line once, with the words
-    of all its occurrences; lines without a letter or digit are left out.
+    A null text counts as empty; a null host is a host. ``lines`` holds the normalised lines in order, with the words
+    of each; lines without a letter or digit are left out.
     """
     text = F.coalesce("text", F.lit(""))
     is_word = lambda s: s.rlike(r"[^\x20\x09-\x0D]")
@@ -76,28 +76,27 @@ def profile(docs: DataFrame, host: str) -> DataFrame:
     ).select("doc_id", "text_hash", "host", "_w.*", "word_chars", "n_symbols", "n_dup_lines", "lines")
 
 
-def boilerplate(profiles: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """Hashes of the lines (with host) that too many distinct texts of a host hold: ``h``, ``n_docs``.
+def boilerplate(profiles: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
+    """Hashes of the lines (with host) that too many documents of a host hold: ``h``, ``n_docs``.
 
-    Copies of one text count once, so that copies alone do not turn a text's lines into boilerplate.
+    Every row is a document and counts once for a line, copies too. The limit grows with the logarithm of the host's
+    documents only, from ``line_docs`` for ten of them on. Counts are summed in each task before the shuffle.
     """
-    lines = profiles.select("host", "text_hash", F.explode("lines.h").alias("h"))
-    often = lines.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > line_docs).select("h")
-    counted = lines.join(often, "h").groupBy("h", "host").agg(F.count_distinct("text_hash").alias("n_docs"))
-    hosts = profiles.groupBy("host").agg(F.count_distinct("text_hash").alias("of"))
-    joined = counted.join(hosts, counted["host"].eqNullSafe(hosts["host"]))
-    return joined.filter((F.col("n_docs") > line_docs) & (F.col("n_docs") > line_share * F.col("of"))).select("h", "n_docs")
+    lines = profiles.select("host", F.explode(F.array_distinct("lines.h")).alias("h"))
+    counted = lines.groupBy("h", "host").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > line_docs)
+    hosts = profiles.groupBy(F.col("host").alias("of")).agg((line_docs * F.greatest(F.lit(1.0), F.log10(F.count("*").cast("double")))).alias("most"))
+    return counted.join(hosts, F.col("host").eqNullSafe(F.col("of"))).filter(F.col("n_docs") > F.col("most")).select("h", "n_docs")
 
 
 def judge(profiles: DataFrame, removed: DataFrame, min_words: int = MIN_WORDS, left_share: float = LEFT_SHARE) -> DataFrame:
     """The base rules and the method's verdict for each profile; ``removed`` lists the boilerplate lines."""
     lost = (
-        profiles.select("doc_id", "text_hash", F.explode("lines").alias("l"))
-        .select("doc_id", "text_hash", "l.h", "l.w")
+        profiles.select("doc_id", "text_hash", F.posexplode("lines").alias("i", "l"))
+        .select("doc_id", "text_hash", "i", "l.h", "l.w")
         .join(removed.select("h"), "h")
         .groupBy("doc_id", "text_hash")
-        .agg(F.collect_set(F.struct("h", "w")).alias("gone"))
-        .select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.transform("gone", lambda x: x["h"]).alias("removed_lines"), F.aggregate("gone", F.lit(0).cast("long"), lambda a, x: a + x["w"]).alias("removed_words"))
+        .agg(F.collect_set(F.struct("i", "h", "w")).alias("gone"))  # rows that repeat give the same entries
+        .select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.array_distinct(F.transform("gone", lambda x: x["h"])).alias("removed_lines"), F.aggregate("gone", F.lit(0).cast("long"), lambda a, x: a + x["w"]).alias("removed_words"))
     )
     both = profiles.drop("lines").join(lost, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("text_hash").eqNullSafe(F.col("_t")), "left").drop("_d", "_t")
     gone = F.coalesce("removed_words", F.lit(0).cast("long"))
@@ -117,7 +116,7 @@ def quality_rules(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     aggregated before the shuffle, so a line or host that fills a third of the corpus stays cheap.
     """
     profiles = stored(profile(docs, host), "quality")
-    count = {k: limits.pop(k) for k in ("line_docs", "line_share") if k in limits}
+    count = {k: limits.pop(k) for k in ("line_docs",) if k in limits}
     return judge(profiles, boilerplate(profiles, **count), **limits)
 
 
@@ -146,25 +145,25 @@ def op4_quality(spark, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text, hash(text) AS text_hash FROM documents),
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
 win AS (
   SELECT rid, i, array_to_string(w[i:i+4], ' ') AS g FROM w, unnest(range(1, len(w) - 3)) AS t(i)),
 dup AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
 cover AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM dup) GROUP BY rid),
 lines AS (
-  SELECT rid, source, text_hash, l FROM (SELECT rid, source, text_hash, unnest(string_split(text, chr(10))) AS l FROM d)
+  SELECT rid, source, l FROM (SELECT rid, source, unnest(string_split(text, chr(10))) AS l FROM d)
   WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dl AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY rid),
 norm AS (
-  SELECT rid, source, text_hash,
+  SELECT rid, source,
     trim(regexp_replace(regexp_replace(lower(l), '[^\p{L}\p{M}\p{Nd}]+', ' ', 'g'), '\p{Nd}', '0', 'g'), ' ') AS t,
     len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS nw
   FROM lines),
-hosts AS (SELECT source, count(DISTINCT text_hash) AS k FROM d GROUP BY source),
+hosts AS (SELECT source, count(*) AS k FROM d GROUP BY source),
 boiler AS (
   SELECT n.source, n.t FROM norm n JOIN hosts h ON n.source IS NOT DISTINCT FROM h.source WHERE n.t <> ''
-  GROUP BY n.source, n.t HAVING count(DISTINCT n.text_hash) > 20 AND count(DISTINCT n.text_hash) > 0.02 * any_value(h.k)),
+  GROUP BY n.source, n.t HAVING count(DISTINCT rid) > 20 * greatest(1, log10(any_value(h.k)))),
 lost AS (
   SELECT rid, sum(nw) AS n FROM norm n JOIN boiler b ON n.source IS NOT DISTINCT FROM b.source AND n.t = b.t GROUP BY rid),
 f AS (

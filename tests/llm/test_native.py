@@ -84,16 +84,27 @@ def test_quality_figures(spark):
     assert quality.quality_rules(docs(spark, [])).count() == 0
 
 
+def test_quality_counts_every_occurrence(spark):
+    """A line that stands twice in a document is one document's, and both places go; repeated rows change nothing."""
+    texts = [f"common line of all\nown words of number {chr(97 + i) * 5} here\ncommon line of all" for i in range(25)]
+    d = docs(spark, texts)
+    for rows in (d, d.unionByName(d.limit(3))):
+        got = quality.quality_rules(rows, line_docs=17).collect()
+        assert {r["removed_words"] for r in got} == {8} and {len(r["removed_lines"]) for r in got} == {1}
+    assert {r["removed_words"] for r in quality.quality_rules(d, line_docs=18).collect()} == {0}  # 18 log10(25) is 25.2
+
+
 def test_quality_boilerplate(spark):
     spell = lambda n: "".join(chr(97 + int(c)) for c in str(n))
     own = lambda i: " ".join(f"w{spell(i)}x{spell(k)}" for k in range(12))
     texts = [f"Click here, to read ALL our great terms of the service today {i % 10}!\n{own(i)}" for i in range(30)]
-    texts += ["Click here to read all our great terms of the service today 7"] * 40 + [own(99)] * 40
+    texts += ["Click here to read all our great terms of the service today 7"] * 40 + [own(99)] * 30 + [own(98)] * 60
     d = docs(spark, texts).unionByName(docs(spark, texts[:5], source=None, start=500))
-    got = {r["doc_id"]: r for r in quality.quality_rules(d, line_docs=20, line_share=0.02).collect()}
+    got = {r["doc_id"]: r for r in quality.quality_rules(d, line_docs=20).collect()}
     assert all(got[i]["kept"] and got[i]["removed_words"] > 0 for i in range(30))
     assert not any(got[i]["kept"] for i in range(30, 70)), "nothing but boilerplate"
-    assert all(got[i]["kept"] for i in range(70, 110)), "copies alone make no boilerplate"
+    assert all(got[i]["kept"] and not got[i]["removed_words"] for i in range(70, 100)), "copies below the limit, 20 log10(160) = 44"
+    assert not any(got[i]["kept"] for i in range(100, 160)), "copies are documents"
     assert all(got[i]["removed_words"] == 0 for i in range(500, 505)), "another host"
     clean = {r["doc_id"]: r for r in quality.filter_documents(d).collect()}
     assert clean[3]["text"] == own(3) and clean[3]["n_chars"] == len(own(3)) and clean[500]["text"] == texts[0] and 30 not in clean
