@@ -7,8 +7,9 @@ similarity s miss all tables with probability at most (1 - s^2)^10 + (1 - s)^6:
 at 0.9. Every link is confirmed on the full shingle sets.
 
 The members of a table's bucket are compared with its hub, the member that shares most buckets with others, so a group
-of copies costs a star. Members of one hub's buckets that are not connected by then are compared with one another
-where they share one of their rarest shingles within the hub's group, which loses no link.
+of copies costs a star. The members of all of a hub's buckets are its group; large groups that are not connected by then are
+compared with their most central member. What is apart still is compared with one another
+where the members share one of their rarest shingles within the group, which loses no link.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ WORDS, PERCENT = 5, 75
 FIRST, SECOND = 10, 6
 #: Members of a hub's group up to which one task counts in how many texts of the group each shingle is; else a shuffle does.
 TASK_TEXTS = 64
-#: Components from which on a bucket gets further hubs, as long as one comparison in ``YIELD`` gives a link.
+#: Components from which on a group gets further centres, as long as one comparison in ``YIELD`` gives a link.
 CROWD, YIELD = 64, 64
 PREFIX = "hub long, node long, n long, component long, shingle long, place long"
 
@@ -134,23 +135,50 @@ def band(n: Column) -> Column:
     return F.floor(F.log(n) / F.log(F.lit(1.1))).cast("int")
 
 
-def rest_pairs(facing: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFrame, space: Workspace) -> DataFrame:
-    """Candidate pairs of members of one hub's buckets, ``facing(hub, node)``, that are in different components still.
+def in_groups(facing: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(hub, node, n, component, members)`` of the groups ``facing(hub, node)`` that hold several components."""
+    rows = facing.join(nodes.select("node", "n"), "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = rows.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi")
+    return rows.join(open_.select("hub", "members"), "hub")
+
+
+def central_pairs(rows: DataFrame, every: DataFrame) -> DataFrame:
+    """``(hub, node)`` where ``hub`` is the most central of the given members of a group and ``node`` one in another component.
+
+    The sum over a text's shingles of the number of texts that hold them is its overlap with all texts of the group
+    together, so this is linear in the shingles."""
+    mine = every.join(rows.select("hub", "node"), ["hub", "node"])
+    times = mine.groupBy("hub", "shingle").agg(F.count("*").alias("times"))
+    total = mine.join(times, ["hub", "shingle"]).groupBy("hub", "node").agg(F.sum("times").alias("total"))
+    sizes = rows.groupBy("hub").agg(F.count("*").alias("k"), F.avg("n").alias("mean"))
+    overlap = F.col("total") / F.col("k")
+    scored = total.join(sizes, "hub").join(rows, ["hub", "node"]).withColumn("score", overlap / (F.col("n") + F.col("mean") - overlap))
+    centre = scored.groupBy("hub").agg(F.max(F.struct("score", "node", "component")).alias("c")).select("hub", F.col("c.node").alias("centre"), F.col("c.component").alias("own"))
+    return rows.join(centre, "hub").filter("component <> own").select(F.col("centre").alias("hub"), "node")
+
+
+def outside(rows: DataFrame) -> DataFrame:
+    """Of the groups with CROWD components or more the members outside the largest one."""
+    parts = rows.groupBy("hub", "component").agg(F.count("*").alias("size"))
+    many = parts.groupBy("hub").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("k")).filter(F.col("k") >= CROWD)
+    return rows.join(many.select("hub", F.col("main.component").alias("main")), "hub").filter("component <> main").drop("main")
+
+
+def rest_pairs(members: DataFrame, texts: DataFrame, every: DataFrame, space: Workspace) -> DataFrame:
+    """Candidate pairs of members of one group that are in different components still.
 
     Under any order of shingles two sets of the wanted similarity share one of their first n - ceil(0.75 n) + 1, and
-    the first shared one lies early enough in both to leave room for the overlap (Xiao et al. 2008). Here each hub's
+    the first shared one lies early enough in both to leave room for the overlap (Xiao et al. 2008). Here each
     group has its own order, with the shingles common in the group last; so texts that have no more in common than the
     group's passage, or than all copies of one text, do not meet. Of the components that hold a shingle the largest
-    only waits for the others, so its members never meet one another.
+    only waits for the others, so its members never meet one another. ``every(hub, node, shingle)`` has the groups of more
+    than TASK_TEXTS members.
     """
-    rows = facing.join(nodes.select("node", "n"), "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = rows.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi")
-    members = space.store(rows.join(open_.select("hub", "members"), "hub"), "members")
-    told = members.join(texts, "node")
-    small, large = told.filter(F.col("members") <= TASK_TEXTS), told.filter(F.col("members") > TASK_TEXTS)
+    members = space.store(members, "members")
+    small = members.filter(F.col("members") <= TASK_TEXTS).join(texts, "node")
     common = small.groupBy("hub").applyInPandas(_common, "hub long, common array<long>, times array<long>")
     few = small.drop("members").join(common, "hub").mapInPandas(_prefixes, PREFIX)
-    every = large.select("hub", "node", "text").mapInPandas(_explode, "hub long, node long, shingle long")
+    every = every.join(members.select("hub").distinct(), "hub", "left_semi")
     times = every.groupBy("hub", "shingle").agg(F.count("*").alias("times"))
     ranked = every.join(times, ["hub", "shingle"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("s"))  # one text's
     first = F.size("s") - F.ceil(F.size("s") * PERCENT / 100).cast("int") + 1
@@ -214,20 +242,12 @@ def sized_pairs(facing: DataFrame, nodes: DataFrame) -> DataFrame:
     return cut(sides.filter(near_pairs(F.col("n"), F.col("m"))).select(F.col("hub").alias("src"), F.col("node").alias("dst")).distinct())
 
 
-def crowds(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of buckets that hold CROWD components or more, but for those of the bucket's largest component."""
-    named = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = named.groupBy("key", "component").agg(F.count("*").alias("size"))
-    many = parts.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("k")).filter(F.col("k") >= CROWD)
-    return named.join(many.select("key", F.col("main.component").alias("main")), "key").filter("component <> main").select("key", "node", "weight")
-
-
 def link(prof: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
     """``(node, component)`` of all nodes that are linked with another.
 
-    Nodes stand for texts of equal sets. Each bucket's members meet its hub; buckets that still hold many components go
-    on with the hubs of what is left while that links enough of it; the rest meets by rarest shingles within the groups of
-    the first hubs. So the pairs of a bucket are never written out, and no candidate is left undecided.
+    Nodes stand for texts of equal sets. Each bucket's members meet its hub; large groups go on with the most central of all
+    members, then of those outside the largest component, while that links enough of them; the rest meets by rarest
+    shingles within the groups. So the pairs of a bucket are never written out, and no candidate is left undecided.
     """
     full = prof.filter("node IS NOT NULL")
     nodes = cut(full.groupBy("node").agg(F.min("row_key").alias("rep"), F.max("n_shingles").alias("n")))
@@ -241,15 +261,21 @@ def link(prof: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
     texts = space.store(texts_of(buckets, nodes, docs), "texts")
     facing = space.store(hubs_of(buckets).select("hub", "node").distinct(), "facing")
     labels = relabelled(None, confirm(sized_pairs(facing, nodes), texts))
+    rows = cut(in_groups(facing, nodes, labels))
+    large = rows.filter(F.col("members") > TASK_TEXTS)
+    every = space.store(large.join(texts, "node").select("hub", "node", "text").mapInPandas(_explode, "hub long, node long, shingle long"), "shingles")
+    met = large
     while True:
-        pairs = sized_pairs(hubs_of(crowds(buckets, labels)).select("hub", "node").distinct(), nodes)
+        pairs = sized_pairs(central_pairs(met, every).distinct(), nodes)
         if not (n := pairs.count()):
             break
         edges = confirm(pairs, texts)
         labels = relabelled(labels, edges)
+        rows = cut(in_groups(facing, nodes, labels))
         if edges.count() * YIELD < n:
             break
-    return relabelled(labels, confirm(rest_pairs(facing, nodes, labels, texts, space), texts))
+        met = cut(outside(rows.filter(F.col("members") > TASK_TEXTS)))
+    return relabelled(labels, confirm(rest_pairs(rows, texts, every, space), texts))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
