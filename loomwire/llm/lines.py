@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from loomwire.llm import minhash
 from loomwire.llm.columns import WORD, row_key, sized, table
 from loomwire.operators.graph import connected_components
-from loomwire.session import cut, stored
+from loomwire.session import Workspace, cut, stored
 
 TAU = 2
 #: Lines from this length take part if they hold a word.
@@ -186,18 +186,19 @@ def line_links(docs: DataFrame) -> DataFrame:
     for lines that meet only; of those, pairs whose letters differ in more than 2 TAU places cannot be close and are not
     made.
     """
-    spark = docs.sparkSession
+    spark, space = docs.sparkSession, Workspace(docs.sparkSession, "line-links")
     sigs = signatures(long_lines(docs)).repartition("key")
     text_of = lambda c: F.shiftright(c, 1)
     both = sigs.groupBy("key").agg(F.min(text_of("id")).alias("lo"), F.max(text_of("id")).alias("hi"), F.min(F.col("id").bitwiseAND(F.lit(1))).alias("kind"))
     shared = both.filter("lo < hi AND kind = 0").select("key")
-    met = stored(sigs.join(shared.hint("shuffle_hash"), "key").distinct(), "met")
+    met = space.store(sigs.join(shared.hint("shuffle_hash"), "key").distinct(), "met")
     plain = F.col("id").bitwiseAND(F.lit(-2))
     ids = cut(met.select(plain.alias("id")).distinct())
     n = ids.count()
     if not n:
+        space.close()
         return spark.createDataFrame([], "src long, dst long")
-    texts = stored(long_lines(docs).select("id", "line").join(sized(ids, n), "id").dropDuplicates(["id"]).withColumn("letters", letters(F.col("line"))), "lines")
+    texts = space.store(long_lines(docs).select("id", "line").join(sized(ids, n), "id").dropDuplicates(["id"]).withColumn("letters", letters(F.col("line"))), "lines")
     marked = met.select("key", plain.alias("id"), (F.col("id") % 2 != 0).alias("probe")).join(texts.select("id", "letters"), "id")
     held = marked.filter("NOT probe").select("key", F.col("id").alias("one"), F.col("letters").alias("x"))
     asked = marked.select("key", F.col("id").alias("other"), F.col("letters").alias("y"))
@@ -206,14 +207,16 @@ def line_links(docs: DataFrame) -> DataFrame:
     pairs = cut(met_once.select(F.least("one", "other").alias("src"), F.greatest("one", "other").alias("dst")).distinct())
     a = texts.select(F.col("id").alias("src"), F.col("line").alias("text_a"))
     b = texts.select(F.col("id").alias("dst"), F.col("line").alias("text_b"))
-    return cut(pairs.join(a, "src").join(b, "dst").select("src", "dst", "text_a", "text_b").mapInPandas(_verify, "src long, dst long"))
+    links = cut(pairs.join(a, "src").join(b, "dst").select("src", "dst", "text_a", "text_b").mapInPandas(_verify, "src long, dst long"))
+    space.close()
+    return links
 
 
 def taking_part() -> Column:
     return (F.col("n_words") > 0) & (F.col("n_chars") >= MIN_CHARS)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, space: Workspace | None = None) -> DataFrame:
     """One row per line of ``docs``: doc_id, row_key, line_no, n_chars, n_words, line_id, class_id, n_links, kept.
 
     ``class_id`` is the least line_id among lines joined by links; ``n_links`` counts the different lines within the
@@ -221,7 +224,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Lines without a word are a class by equality and all kept. Rows that repeat a document keep the same lines. Null
     and empty tables give no rows; an empty text has one empty line.
     """
-    seen = stored(occurrences(docs), "occurrences")
+    seen = (space.store if space else stored)(occurrences(docs), "occurrences")
     links = line_links(docs)
     degrees = links.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     named = cut(connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("class_id")).join(degrees, "id", "left"))
@@ -258,13 +261,15 @@ def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """``(row_key, gone)``: the numbers of the lines that :func:`without_repeated_lines` takes from a document."""
+    space = Workspace(docs.sparkSession, "repeated-lines")
     groups = minhash.grouped(docs).filter("component IS NOT NULL").select("row_key", F.col("component").alias("group"), (~minhash.stays()).alias("goes")).distinct()
-    groups = stored(groups, "groups")
+    groups = space.store(groups, "groups")
     several = groups.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group")
     copies = cut(groups.join(several, "group"))
     marks = sized(copies, copies.count())
-    held = dedup_lines(docs).filter(taking_part()).select("row_key", "doc_id", "line_no", "class_id").distinct().join(marks, "row_key", "left")
-    held = stored(held.withColumns({"group": F.coalesce("group", "row_key"), "goes": F.coalesce("goes", F.lit(False))}), "held")
+    held = dedup_lines(docs, space).filter(taking_part()).select("row_key", "doc_id", "line_no", "class_id").distinct().join(marks, "row_key", "left")
+    held = space.store(held.withColumns({"group": F.coalesce("group", "row_key"), "goes": F.coalesce("goes", F.lit(False))}), "held")
+    space.drop("occurrences", "groups")
 
     # near copies are cut alike: what an earlier group holds goes, and what the document itself held before
     met = held.join(owners(held, F.col("goes")), "class_id").withColumn("own", F.col("group") == F.col("owner.group"))
@@ -278,21 +283,25 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     members = cut(copies.join(sized(touched, touched.count()), "group"))
     n = members.count()
     if not n:
+        space.close()
         return gone
     keyed = docs.withColumn("row_key", row_key()).join(sized(members.select("row_key"), n), "row_key", "left_semi").select("row_key", "doc_id", "text")
-    now = stored(without_lines(keyed.drop("row_key"), gone).withColumnRenamed("row_key", "was"), "cut-copies")
+    now = space.store(without_lines(keyed.drop("row_key"), gone).withColumnRenamed("row_key", "was"), "cut-copies")
     again = minhash.grouped(now.select("doc_id", "text")).select("row_key", F.coalesce("component", "row_key").alias("component")).distinct()
     there = cut(now.select("was", row_key().alias("row_key")).join(again, "row_key").select(F.col("was").alias("row_key"), "component").distinct().join(members, "row_key"))
     heads = cut(there.filter("NOT goes").select("group", "component").distinct())
     apart = cut(there.filter("goes").join(sized(heads, heads.count()), ["group", "component"], "left_anti").select("row_key").distinct())
     n = apart.count()
     if not n:
+        space.close()
         return gone
     alone = held.join(sized(apart.withColumn("alone", F.lit(1)), n), "row_key", "left")
     rank = F.when(~F.col("goes"), 0).when(F.col("alone") == 1, 1).otherwise(2)
     kept = F.col("doc_id").eqNullSafe(F.col("owner.doc_id")) & (F.col("line_no") == F.col("owner.line_no"))
     theirs = alone.filter("alone = 1").join(owners(alone, rank), "class_id").filter(~kept).groupBy("row_key").agg(F.collect_set("line_no").alias("gone"))
-    return gone.join(sized(apart, n), "row_key", "left_anti").unionByName(theirs)
+    gone = stored(gone.join(sized(apart, n), "row_key", "left_anti").unionByName(theirs), "gone")
+    space.close()
+    return gone
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
