@@ -2,7 +2,7 @@
 
 A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of ``documents``.
 :func:`run` writes each stage's rows as Parquet into the shared folder and reads them back as the next one's input, so
-a lost executor costs part of one stage.
+a lost executor costs part of one stage; what came before that is dropped then.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomwire.llm import lines, minhash, mixing, packing, quality
-from loomwire.session import prepare, stored
+from loomwire.session import Workspace, prepare
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs, space, last = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = space.store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last:
+            space.drop(last)
+        last = name.replace(" ", "-")
     return STAGES[-1][1](spark, docs, sf_dir)
