@@ -5,7 +5,9 @@ Members are a long table ``(cluster_id, id)``; a cluster's id is its least membe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwire.config import DEFAULT, FusionConfig
@@ -16,6 +18,60 @@ from loomwire.operators.simjoin import cosine_pairs, shared_entity_pairs, tfidf_
 from loomwire.session import cut
 
 
+#: Members of a component of the threshold graph up to which one task links it; larger ones are linked by rounds of joins.
+TASK_MEMBERS = 2048
+
+
+def average_linkage(dots: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
+    """The first member of each one's cluster. ``dots``: inner products between the sums of the groups, ``n`` their sizes.
+
+    One merge at a time, the nearest pair first, ties to the smaller places, while that is nearer than ``threshold``; each row
+    remembers its nearest later one."""
+    k = len(n)
+    dots, n, of = dots.astype(float), n.astype(float), np.arange(k)
+    link = 1.0 - dots / np.outer(n, n)
+    link[np.tril_indices(k)] = np.inf
+    near = link.argmin(axis=1)
+    best = link[np.arange(k), near]
+    while k:
+        a = int(best.argmin())
+        if not best[a] < threshold:
+            break
+        b = int(near[a])
+        dots[a] += dots[b]
+        dots[:, a] += dots[:, b]
+        n[a] += n[b]
+        of[of == b] = a
+        alive = np.isfinite(n)
+        n[b], alive[b] = np.inf, False
+        link[b, :] = link[:, b] = np.inf
+        best[b] = np.inf
+        fresh = 1.0 - dots[a] / (n[a] * n)
+        fresh[~alive] = np.inf
+        link[:a, a], link[a, a + 1 :] = fresh[:a], fresh[a + 1 :]
+        stale = np.flatnonzero(alive & ((near == a) | (near == b)))
+        for i in {a, *stale.tolist()}:
+            near[i] = link[i].argmin()
+            best[i] = link[i, near[i]]
+        closer = np.flatnonzero((link[:a, a] < best[:a]) | ((link[:a, a] == best[:a]) & (a < near[:a])))
+        near[closer], best[closer] = a, link[closer, a]
+    return of
+
+
+def in_parts(groups: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(cid, component)`` of the groups in small and in large components of ``pairs(a, b)``. Clusters never reach beyond one."""
+    labels = cut(connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "cid"))
+    size = labels.groupBy("component").agg(F.count("*").alias("size"))
+    sized = labels.join(size, "component")
+    return sized.filter(F.col("size") <= TASK_MEMBERS).drop("size"), sized.filter(F.col("size") > TASK_MEMBERS).drop("size")
+
+
+def _named(labels: list[DataFrame], groups: DataFrame) -> DataFrame:
+    """``(id, cluster_id)`` of all groups; those without label stay alone."""
+    known = labels[0].unionByName(labels[1]) if len(labels) > 1 else labels[0]
+    return groups.select(F.col("cid").alias("id")).join(known, "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id"))
+
+
 def _rounds(groups: DataFrame, edges: DataFrame, linkage, merge, threshold: float, max_rounds: int) -> DataFrame:
     """Merge all pairs of mutually nearest clusters until none is nearer than ``threshold``: ``(id, cluster_id)``.
 
@@ -47,7 +103,8 @@ def hac_average(vecs: DataFrame, threshold: float, mode: str | None = None, max_
     For unit vectors the average linkage of two clusters is 1 - dot(sums) / (n m), so a cluster is its sum and size. Only
     clusters joined by a pair of members below the threshold can merge, so the pairs are found once. Average linkage
     is reducible, so merging all mutual nearest neighbours at a time gives what one merge at a time gives
-    (Sumengen et al. 2021); ties go to the smaller ids. Equal vectors start as one. Null and zero vectors stay alone.
+    (Sumengen et al. 2021); ties go to the smaller ids. Components of those pairs are linked apart, each in one task up to
+    TASK_MEMBERS, else in rounds; both give the same. Equal vectors start as one. Null and zero vectors stay alone.
     """
     v = cut(unit(vecs))
     same = v.groupBy("v").agg(F.min("id").alias("cid"), F.count("*").alias("n"))
@@ -66,7 +123,20 @@ def hac_average(vecs: DataFrame, threshold: float, mode: str | None = None, max_
         total = F.when(F.col("t").isNull(), F.col("s")).otherwise(F.zip_with("s", "t", lambda x, y: x + y))
         return rest.select("cid", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), total.alias("s"))
 
-    labels = _rounds(groups, cut(pairs.select("a", "b")), linkage, merge, threshold, max_rounds).select(F.col("id").alias("rep"), "cluster_id")
+    def one_part(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cid", ignore_index=True)
+        sums = np.array(pdf["s"].tolist())
+        first = average_linkage(sums @ sums.T, pdf["n"].to_numpy(), threshold)
+        return pd.DataFrame({"id": pdf["cid"], "cluster_id": pdf["cid"].to_numpy(object)[first]})
+
+    pairs = cut(pairs.select("a", "b"))
+    small, large = in_parts(groups, pairs)
+    kind = groups.schema["cid"].dataType.simpleString()
+    labels = [groups.join(small, "cid").groupBy("component").applyInPandas(one_part, f"id {kind}, cluster_id {kind}")]
+    if large.limit(1).count():
+        mine = groups.join(large, "cid", "left_semi")
+        labels.append(_rounds(mine, pairs.join(large.select(F.col("cid").alias("a")), "a", "left_semi"), linkage, merge, threshold, max_rounds))
+    labels = _named(labels, groups).select(F.col("id").alias("rep"), "cluster_id")
     reps = v.join(same.select("v", F.col("cid").alias("rep")), "v").select("id", "rep")
     found = reps.join(labels, "rep").select("id", "cluster_id")
     return vecs.select("id").join(found, "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id"))
@@ -76,7 +146,8 @@ def cluster_tfidf(articles: DataFrame, stop_words: list[str], threshold: float =
     """Average-linkage clusters of TF-IDF vectors, for runs without vectors: ``(id, cluster_id)``.
 
     Sums are kept sparse, as ``(cid, term, weight)``. Distances reach 1 where no term is shared, so pairs without a
-    common term never come below a threshold under 1. Articles without terms stay alone.
+    common term never come below a threshold under 1. Articles without terms stay alone. Small components of those pairs
+    are linked in one task each, as in :func:`hac_average`.
     """
     weights = cut(tfidf_terms(articles, stop_words))
     sums = {"w": weights.withColumnRenamed("id", "cid")}
@@ -95,8 +166,23 @@ def cluster_tfidf(articles: DataFrame, stop_words: list[str], threshold: float =
         sums["w"] = cut(sums["w"].join(to, "cid", "left").groupBy(F.coalesce("new", "cid").alias("cid"), "term").agg(F.sum("weight").alias("weight")))
         return g.join(to, "cid", "left").groupBy(F.coalesce("new", "cid").alias("cid")).agg(F.sum("n").alias("n"))
 
+    def one_part(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, row = np.unique(pdf["cid"].to_numpy(object), return_inverse=True)
+        dots, weight = np.zeros((len(names), len(names))), pdf["weight"].to_numpy()
+        for rows in pdf.groupby("term", sort=True).indices.values():
+            at = row[rows]
+            dots[np.ix_(at, at)] += np.outer(weight[rows], weight[rows])
+        first = average_linkage(dots, np.ones(len(names)), threshold)
+        return pd.DataFrame({"id": pd.Series(names, dtype=object), "cluster_id": pd.Series(names[first], dtype=object)})
+
     pairs = cut(tfidf_pairs(weights, threshold + 1e-6).select("a", "b"))
-    found = _rounds(groups, pairs, linkage, merge, threshold, max_rounds)
+    small, large = in_parts(groups, pairs)
+    kind = groups.schema["cid"].dataType.simpleString()
+    labels = [sums["w"].join(small, "cid").groupBy("component").applyInPandas(one_part, f"id {kind}, cluster_id {kind}")]
+    if large.limit(1).count():
+        sums["w"] = cut(sums["w"].join(large, "cid", "left_semi"))
+        labels.append(_rounds(groups.join(large, "cid", "left_semi"), pairs.join(large.select(F.col("cid").alias("a")), "a", "left_semi"), linkage, merge, threshold, max_rounds))
+    found = _named(labels, groups)
     return articles.select("id").join(found, "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id"))
 
 
@@ -110,6 +196,8 @@ def first_wins_list(rows: DataFrame, key: str, array: str, limit: int) -> DataFr
     """``(key, array)``: the entries of all rows' arrays in the order (ord, place), each once whatever its case."""
     each = rows.select(key, "ord", F.posexplode(array).alias("pos", "e")).withColumn("low", F.lower(F.trim("e"))).filter("low <> ''")
     first = each.groupBy(key, "low").agg(F.min(F.struct("ord", "pos", "e")).alias("f"))
+    # the first ``limit`` of each task, then of all, so that no row gathers more
+    first = first.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("f"))).filter(F.col("r") <= limit)
     listed = F.transform(F.sort_array(F.collect_list("f")), lambda f: f["e"])
     return first.groupBy(key).agg(F.slice(listed, 1, limit).alias(array))
 
@@ -167,11 +255,12 @@ def cluster_confidence(members: DataFrame, articles: DataFrame, vecs: DataFrame
 def stage_a_pairs(clusters: DataFrame, config: FusionConfig = DEFAULT, mode: str | None = None) -> DataFrame:
     """``(a, b, sim, fp)`` of clusters ``(cluster_id, centroid, event_fingerprint)`` that merge.
 
-    Candidates are lossless: a fingerprint alone merges only with an entity in common, the other rules need a
-    similarity of at least ``stage_a_similarity``.
+    Candidates are lossless: a fingerprint alone merges only where entities have a certain Jaccard similarity, the other rules
+    need a similarity of at least ``stage_a_similarity``.
     """
     near = cosine_pairs(clusters.select(F.col("cluster_id").alias("id"), F.col("centroid").alias("v")), 1 - config.stage_a_similarity + 1e-6, mode)
-    named = shared_entity_pairs(clusters.select(F.col("cluster_id").alias("id"), F.col("event_fingerprint.entities").alias("entities")))
+    jaccard = (config.stage_a_fingerprint + 0.18 - 0.45) / 0.55  # what actions and time leave for entities to give
+    named = shared_entity_pairs(clusters.select(F.col("cluster_id").alias("id"), F.col("event_fingerprint.entities").alias("entities")), jaccard)
     scored = scored_pairs(near.select("a", "b").unionByName(named).distinct(), clusters)
     strong = config.stage_a_similarity
     rule = (

@@ -33,11 +33,13 @@ def dedup_exact(articles: DataFrame) -> DataFrame:
 
 
 def features(articles: DataFrame) -> DataFrame:
-    """What deduplication looks at, narrow: ids, scopes, time, key, normal title, content hash, title bigrams."""
-    return articles.select(
+    """What deduplication looks at, narrow: ids, scopes, time, key, normal title, content hash, title bigrams and ``grams``,
+    64 bits that stand for them (null without bigrams)."""
+    rows = articles.select(
         "id", "source_id", "source_host", "published", "has_offset", primary_key().alias("key"), F.nullif(normalize_title(F.col("title")), F.lit("")).alias("norm"),
         F.nullif(F.col("content_hash"), F.lit("")).alias("content_hash"), title_bigrams(F.col("title")).alias("bigrams"),
     )
+    return rows.withColumn("grams", F.when(F.size("bigrams") > 0, F.xxhash64(F.array_sort("bigrams"))))
 
 
 def _scoped(f: DataFrame) -> DataFrame:
@@ -46,51 +48,60 @@ def _scoped(f: DataFrame) -> DataFrame:
     return f.withColumn("scope", F.explode(F.array_distinct(scopes)))
 
 
-def _arm(f: DataFrame, on: str, days: int) -> DataFrame:
+def _met(left: DataFrame, right: DataFrame, on: str, days: int) -> DataFrame:
     """Pairs with equal ``on`` in one scope within ``days``: J5, an equi-join on scope, value and day buckets."""
     span = days * DAY
-    rows = f.filter(F.col(on).isNotNull() & F.col("published").isNotNull())
     bucket = F.floor(F.unix_seconds("published") / span)
-    a = rows.select(F.col("id").alias("a"), F.col("published").alias("ta"), F.col("has_offset").alias("oa"), "scope", F.col(on).alias("v"), F.explode(F.array(bucket, bucket - 1)).alias("b"))
-    b = rows.select(F.col("id").alias("z"), F.col("published").alias("tz"), F.col("has_offset").alias("oz"), "scope", F.col(on).alias("v"), bucket.alias("b"))
+    known = F.col(on).isNotNull() & F.col("published").isNotNull()
+    a = left.filter(known).select(F.col("id").alias("a"), F.col("published").alias("ta"), F.col("has_offset").alias("oa"), "scope", F.col(on).alias("v"), F.explode(F.array(bucket, bucket - 1, bucket + 1)).alias("b"))
+    b = right.filter(known).select(F.col("id").alias("z"), F.col("published").alias("tz"), F.col("has_offset").alias("oz"), "scope", F.col(on).alias("v"), bucket.alias("b"))
     met = a.join(b, ["scope", "v", "b"]).filter((F.col("a") != F.col("z")) & within_days(F.col("ta"), F.col("oa"), F.col("tz"), F.col("oz"), days))
     earlier = (F.col("ta") > F.col("tz")) | ((F.col("ta") == F.col("tz")) & (F.col("a") < F.col("z")))
-    return met.select(F.when(earlier, F.col("a")).otherwise(F.col("z")).alias("id_hi"), F.when(earlier, F.col("z")).otherwise(F.col("a")).alias("id_lo"))
+    return met.filter(earlier).select(F.col("a").alias("id_hi"), F.col("z").alias("id_lo")).unionByName(met.filter(~earlier).select(F.col("z").alias("id_hi"), F.col("a").alias("id_lo"))).distinct()
 
 
 def scope_time_pairs(f: DataFrame, on: str, days: int = DEFAULT.dedup_days) -> DataFrame:
     """``(id_hi, id_lo)`` of articles with one value of ``on`` in one scope within ``days``."""
-    return _arm(_scoped(f), on, days).distinct()
+    rows = _scoped(f)
+    return _met(rows, rows, on, days)
 
 
-def similar_titles(f: DataFrame, threshold: float = DEFAULT.title_similarity, days: int = DEFAULT.dedup_days) -> DataFrame:
-    """``(id_hi, id_lo)`` whose title bigrams have a Jaccard similarity above ``threshold``: a prefix-filtered set join.
+def title_pairs(scoped: DataFrame, threshold: float = DEFAULT.title_similarity) -> DataFrame:
+    """``(scope, grams, other)``, both ways, of different sets of title bigrams of a scope with a Jaccard similarity above
+    ``threshold``: a prefix-filtered set join.
 
-    Equal titles are collapsed first; candidates share one of the rarest bigrams of both, in one scope and time bucket.
+    Articles of one title are one row here; candidates share one of the rarest bigrams of both.
     """
-    scoped = _scoped(f.filter(F.size("bigrams") > 0))
-    tokens = scoped.select("id", "scope", "published", "has_offset", F.size("bigrams").alias("n"), F.explode("bigrams").alias("g"))
+    titles = scoped.filter("grams IS NOT NULL").groupBy("scope", "grams").agg(F.first("bigrams").alias("bigrams"))
+    tokens = titles.select("scope", "grams", F.size("bigrams").alias("n"), F.explode("bigrams").alias("g"))
     df = tokens.groupBy("g").agg(F.count("*").alias("df"))
-    listed = tokens.join(df, "g").groupBy("id", "scope", "published", "has_offset", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))
+    listed = tokens.join(df, "g").groupBy("scope", "grams", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))  # a title's own
     width = F.col("n") - F.ceil(F.col("n") * threshold) + 1
-    span = days * DAY
-    bucket = F.floor(F.unix_seconds("published") / span)
-    prefixed = listed.select("id", "scope", "n", F.col("published").alias("t"), F.col("has_offset").alias("o"), F.explode(F.slice(F.col("gs.g"), F.lit(1), width.cast("int"))).alias("g"), bucket.alias("b"))
-    a = prefixed.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("t").alias("ta"), F.col("o").alias("oa"), "scope", "g", F.explode(F.array(F.col("b"), F.col("b") - 1)).alias("b"))
-    z = prefixed.select(F.col("id").alias("z"), F.col("n").alias("nz"), F.col("t").alias("tz"), F.col("o").alias("oz"), "scope", "g", "b")
-    sizes = F.least("na", "nz") > threshold * F.greatest("na", "nz")
-    met = a.join(z, ["scope", "g", "b"]).filter((F.col("a") != F.col("z")) & sizes & within_days(F.col("ta"), F.col("oa"), F.col("tz"), F.col("oz"), days))
-    earlier = (F.col("ta") > F.col("tz")) | ((F.col("ta") == F.col("tz")) & (F.col("a") < F.col("z")))
-    pairs = met.select(F.when(earlier, F.col("a")).otherwise(F.col("z")).alias("id_hi"), F.when(earlier, F.col("z")).otherwise(F.col("a")).alias("id_lo")).distinct()
-    sets = f.select("id", "bigrams")
-    both = pairs.join(sets.select(F.col("id").alias("id_hi"), F.col("bigrams").alias("x")), "id_hi").join(sets.select(F.col("id").alias("id_lo"), F.col("bigrams").alias("y")), "id_lo")
+    prefixed = listed.select("scope", "grams", "n", F.explode(F.slice(F.col("gs.g"), F.lit(1), width.cast("int"))).alias("g"))
+    other = prefixed.select("scope", F.col("grams").alias("other"), F.col("n").alias("m"), "g")
+    sizes = F.least("n", "m") > threshold * F.greatest("n", "m")
+    met = prefixed.join(other, ["scope", "g"]).filter((F.col("grams") < F.col("other")) & sizes).select("scope", "grams", "other").distinct()
+    sets = scoped.filter("grams IS NOT NULL").groupBy("grams").agg(F.first("bigrams").alias("x"))
+    both = met.join(sets, "grams").join(sets.select(F.col("grams").alias("other"), F.col("x").alias("y")), "other")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared / (F.size("x") + F.size("y") - shared) > threshold).select("id_hi", "id_lo")
+    found = both.filter(shared / (F.size("x") + F.size("y") - shared) > threshold).select("scope", "grams", "other")
+    return found.unionByName(found.select("scope", F.col("other").alias("grams"), F.col("grams").alias("other")))
+
+
+def similar_titles(f: DataFrame, threshold: float = DEFAULT.title_similarity, days: int = DEFAULT.dedup_days) -> DataFrame:
+    """``(id_hi, id_lo)`` in one scope within ``days`` whose title bigrams are equal or have a Jaccard similarity above
+    ``threshold``. Titles are compared once each; only then come the articles that carry them."""
+    scoped = _scoped(f).filter("grams IS NOT NULL")
+    alike = cut(title_pairs(scoped, threshold))
+    mine = scoped.select("id", "published", "has_offset", "scope", "grams")
+    # an article stands under its own title and under those like it, once each
+    under = mine.join(alike, ["scope", "grams"]).select("id", "published", "has_offset", "scope", F.col("other").alias("grams"))
+    return _met(under, mine, "grams", days).unionByName(_met(mine, mine, "grams", days)).distinct()
 
 
 def probable_same_pairs(articles: DataFrame, days: int = DEFAULT.dedup_days) -> DataFrame:
     """``(id_hi, id_lo, reason)``: the earlier and the later in order, with the strongest reason."""
-    f = features(articles)
+    f = cut(features(articles))
     arms = [(1, "hash", scope_time_pairs(f, "content_hash", days)), (2, "title", scope_time_pairs(f, "norm", days)), (3, "similar", similar_titles(f, days=days))]
     out = None
     for rank, name, pairs in arms:
@@ -103,44 +114,41 @@ def dedup_articles(articles: DataFrame, max_rounds: int = 200) -> tuple[DataFram
     """D3: the kept articles, and ``(id, reason)`` of those dropped (``key`` or ``fuzzy``).
 
     Equal to one scan newest first in which only kept rows count. It runs in rounds over undecided rows: a row without
-    an earlier undecided or kept neighbour is kept; one with an earlier kept neighbour is dropped. Equality on keys,
-    hashes and titles is looked up with window aggregates per scope and value, never as pairs; only similar titles are
-    an edge table. Each round is checkpointed. Rows of unknown time have no probable-same neighbours.
+    an earlier undecided or kept neighbour is kept; one with an earlier kept neighbour is dropped. Neighbours are never held
+    as pairs of articles: the first row of a key is an aggregate, and what is equal or similar within three days is looked up
+    in windows over a scope, a value and six days, where an article stands under its own title and asks under those like
+    it. Each round is checkpointed. Rows of unknown time have no probable-same neighbours.
     """
     f = cut(features(articles).withColumn("order_us", -F.coalesce(F.unix_micros("published"), F.lit(-(1 << 62)))))
-    edges = cut(similar_titles(f).select(F.col("id_hi").alias("hi"), F.col("id_lo").alias("lo")))
-    state = f.select("id").withColumn("status", F.lit("open"))
+    scoped = _scoped(f.filter("published IS NOT NULL"))
+    place = lambda value, kind, owner: F.struct(F.lit(kind).alias("kind"), "scope", value.alias("value"), F.lit(owner).alias("owner"))
+    equal = scoped.select("id", F.explode(F.array(*[F.when(F.col(c).isNotNull(), place(F.xxhash64(c), c, True)) for c in ("content_hash", "norm", "grams")])).alias("p")).filter("p IS NOT NULL")
+    alike = scoped.select("id", "scope", "grams").join(title_pairs(scoped), ["scope", "grams"]).select("id", place(F.xxhash64("other"), "grams", False).alias("p"))
     span = DEFAULT.dedup_days * DAY * 1_000_000
+    places = equal.unionByName(alike).select("id", F.xxhash64("p.kind", "p.scope", "p.value").alias("at"), "p.owner").distinct()
+    # rows ask for newer ones, so a row that owns its value also stands in the bucket before its own
+    timed = f.select("id", "has_offset", "order_us", F.floor(F.col("order_us") / span).alias("b"))
+    asks = places.join(timed, "id").select("id", "at", "has_offset", "order_us", "b", F.lit(True).alias("asks"), "owner")
+    places = cut(asks.unionByName(asks.filter("owner").withColumns({"b": F.col("b") + 1, "asks": F.lit(False)})))
+    frame = Window.partitionBy("at", "has_offset", "b").orderBy("order_us").rangeBetween(-span, 0)
+    rank = F.struct("order_us", "id")
+    state = f.select("id", "key", "order_us", F.lit("open").alias("status"), F.lit(None).cast("string").alias("reason"))
     for _ in range(max_rounds):
-        now = f.join(state, "id").filter("status <> 'dropped'")
-        live = now.withColumn("rank", F.struct("order_us", "id")).withColumn("is_kept", F.col("status") == "kept")
-
-        def seen(rows: DataFrame, keys: list[str], near: bool) -> DataFrame:
-            # earlier rows of the partition: newer first; within three days where asked
-            w = Window.partitionBy(*keys).orderBy("order_us")
-            frame = w.rangeBetween(-span, 0) if near else w.rangeBetween(Window.unboundedPreceding, 0)
-            kept = F.min(F.when(F.col("is_kept"), F.col("rank"))).over(frame) < F.col("rank")
-            waits = F.min(F.col("rank")).over(frame) < F.col("rank")
-            return rows.select("id", F.coalesce(kept, F.lit(False)).alias("kept"), F.coalesce(waits, F.lit(False)).alias("waits"))
-
-        by_key = seen(live.filter("key IS NOT NULL"), ["key"], False).withColumn("reason", F.lit("key"))
-        scoped = _scoped(live.filter("published IS NOT NULL"))
-        by_hash = seen(scoped.filter("content_hash IS NOT NULL"), ["scope", "content_hash", "has_offset"], True)
-        by_title = seen(scoped.filter("norm IS NOT NULL"), ["scope", "norm", "has_offset"], True)
-        alive = live.select(F.col("id").alias("hi"), "is_kept")
-        by_edge = edges.join(alive, "hi").select(F.col("lo").alias("id"), F.col("is_kept").alias("kept"), F.lit(True).alias("waits"))
-        fuzzy = by_hash.unionByName(by_title).unionByName(by_edge).withColumn("reason", F.lit("fuzzy"))
-        told = by_key.unionByName(fuzzy).groupBy("id").agg(
+        live = state.filter("status <> 'dropped'").select("id", "key", "order_us", (F.col("status") == "kept").alias("is_kept"))
+        firsts = live.filter("key IS NOT NULL").groupBy("key").agg(F.min(F.when(F.col("is_kept"), rank)).alias("kept"), F.min(rank).alias("first"))
+        by_key = live.join(firsts, "key").select("id", F.coalesce(F.col("kept") < rank, F.lit(False)).alias("kept"), (F.col("first") < rank).alias("waits"), F.lit("key").alias("reason"))
+        here = places.join(live.select("id", "is_kept"), "id")
+        kept = F.min(F.when(F.col("is_kept") & F.col("owner"), rank)).over(frame) < rank
+        waits = F.min(F.when(F.col("owner"), rank)).over(frame) < rank
+        near = here.select("id", "asks", F.coalesce(kept, F.lit(False)).alias("kept"), F.coalesce(waits, F.lit(False)).alias("waits"), F.lit("fuzzy").alias("reason"))
+        told = by_key.unionByName(near.filter("asks").drop("asks")).groupBy("id").agg(
             F.max(F.when(F.col("kept") & (F.col("reason") == "key"), 2).when(F.col("kept"), 1).otherwise(0)).alias("hit"), F.max("waits").alias("waits")
         )
         step = state.join(told, "id", "left")
-        is_open = F.col("status").startswith("open")
-        status = (
-            F.when(~is_open, F.col("status")).when(F.col("hit") > 0, F.lit("dropped")).when(F.coalesce("waits", F.lit(False)), F.lit("open")).otherwise("kept")
-        )
-        reason = F.col("reason") if "reason" in state.columns else F.lit(None).cast("string")
-        why = F.when(is_open & (F.col("hit") == 2), "key").when(is_open & (F.col("hit") == 1), "fuzzy").otherwise(reason)
-        state = cut(step.select("id", status.alias("status"), why.alias("reason")))
+        is_open = F.col("status") == "open"
+        status = F.when(~is_open, F.col("status")).when(F.col("hit") > 0, F.lit("dropped")).when(F.coalesce("waits", F.lit(False)), F.lit("open")).otherwise("kept")
+        why = F.when(is_open & (F.col("hit") == 2), "key").when(is_open & (F.col("hit") == 1), "fuzzy").otherwise(F.col("reason"))
+        state = cut(step.select("id", "key", "order_us", status.alias("status"), why.alias("reason")))
         if not state.filter("status = 'open'").limit(1).count():
             break
     else:

@@ -20,14 +20,16 @@ from loomwire.functions.urls import host_allowed, normalize_url, resolve, url_ho
 from loomwire.session import cut
 
 # Elements that hold no text to read, and those that a page's article is read without.
-SILENT = {"script", "style", "noscript", "iframe"}
+SILENT = {"script", "style", "noscript", "iframe", "video", "audio"}
 REMOVED = {"form", "nav", "aside"}
 REMOVED_CLASSES = {"ad", "ads", "advertisement", "newsletter"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 REGION_CLASSES = ["article-body", "entry-content", "post-content", "article-content"]
 # Names under which pages give their time, in order.
 TIME_METAS = ["article:published_time", "og:published_time", "pubdate", "publish-date", "datepublished"]
-IMAGE_METAS = ["og:image", "og:image:url", "twitter:image", "twitter:image:src"]
+# The metas that name a page's image, and the attributes that hold an image's address, both in order.
+IMAGE_METAS = [("property", "og:image"), ("property", "og:image:secure_url"), ("name", "og:image"), ("name", "twitter:image"), ("property", "twitter:image"), ("itemprop", "image")]
+IMAGE_ATTRIBUTES = ["src", "data-src", "data-original", "data-lazy-src", "data-url"]
 # Marks of images that are advertisements, trackers or decoration.
 AD_HOSTS = ["doubleclick.net", "googlesyndication.com", "googleadservices.com", "adnxs.com"]
 AD_PATHS = ["/ads/", "/ad/", "pixel", "tracking", "spacer", "blank"]
@@ -36,9 +38,9 @@ DECORATION = ["logo", "icon", "avatar", "sprite", "pixel", "emoji"]
 
 PARTS = (
     "page_id long, url string, text string, regions array<struct<name: string, text: string, bare: string>>, paragraphs array<struct<region: string, text: string>>, "
-    "title string, h1 string, metas array<struct<name: string, value: string>>, canonical array<string>, time string, "
+    "title string, h1 string, metas array<struct<attr: string, name: string, value: string>>, canonical array<string>, time string, "
     "anchors array<struct<pos: int, href: string, text: string>>, "
-    "images array<struct<pos: int, src: string, srcset: string, marks: string, width: int, height: int, region: string>>"
+    "images array<struct<pos: int, srcs: array<string>, srcsets: array<string>, marks: string, width: int, height: int, region: string>>"
 )
 
 
@@ -62,15 +64,16 @@ class PageParts(HTMLParser):
     def handle_starttag(self, tag, attrs):
         a = {k: (v or "") for k, v in attrs}
         if tag == "meta" and a.get("content"):
-            self.metas.append(((a.get("property") or a.get("name") or a.get("itemprop") or "").lower(), a["content"].strip()))
+            attr = next((k for k in ("property", "name", "itemprop") if a.get(k)), "")
+            self.metas.append((attr, a.get(attr, "").lower(), a["content"].strip()))
         elif tag == "link" and "canonical" in a.get("rel", "").lower():
             self.canonical.append(a.get("href", ""))
         elif tag == "img":
-            src = next((a[k] for k in ("src", "data-src", "data-original", "data-lazy-src", "data-url") if a.get(k)), "")
+            srcs, srcsets = [a.get(k, "") for k in IMAGE_ATTRIBUTES], [a.get(k, "") for k in ("srcset", "data-srcset")]
             marks = " ".join(a.get(k, "") for k in ("class", "id", "alt", "src")).lower()
             size = [int(m.group()) if (m := re.search(r"\d+", a.get(k, ""))) else 0 for k in ("width", "height")]
-            region = (self._region() or [""])[-1]
-            self.images.append((len(self.images), src, a.get("srcset") or a.get("data-srcset") or "", marks, *size, region))
+            region = next((r for r in ("article", "main") if self._inside(r)), "")
+            self.images.append((len(self.images), srcs, srcsets, marks, *size, region))
         if tag in VOID:
             return
         marks = set(a.get("class", "").split())
@@ -120,7 +123,7 @@ class PageParts(HTMLParser):
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     join = lambda words: " ".join(" ".join(words).split())
-    names = [c.split()[0] for c in re.sub(r"<[^<>]*(<[^<>]*>)?[^<>]*>", "", PARTS).split(", ")]
+    names = ["page_id", "url", "text", "regions", "paragraphs", "title", "h1", "metas", "canonical", "time", "anchors", "images"]
     for batch in batches:
         rows = []
         for page, url, html in zip(batch["page_id"].tolist(), batch["url"].tolist(), batch["html"].tolist(), strict=True):
@@ -135,7 +138,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 p.metas, p.canonical, join(time) if isinstance(time, list) else (time or ""), [(i, h, join(t)) for i, h, t in p.anchors], p.images,
             ))
         frame = pd.DataFrame(rows, columns=names)
-        fields = {"regions": ("name", "text", "bare"), "paragraphs": ("region", "text"), "metas": ("name", "value"), "anchors": ("pos", "href", "text"), "images": ("pos", "src", "srcset", "marks", "width", "height", "region")}
+        fields = {"regions": ("name", "text", "bare"), "paragraphs": ("region", "text"), "metas": ("attr", "name", "value"), "anchors": ("pos", "href", "text"), "images": ("pos", "srcs", "srcsets", "marks", "width", "height", "region")}
         for c, keys in fields.items():
             frame[c] = [[dict(zip(keys, e, strict=True)) for e in entries] for entries in frame[c]]
         frame["page_id"] = frame["page_id"].astype("Int64")
@@ -276,12 +279,15 @@ def srcset_best(srcset: Column) -> Column:
 
 
 def image_candidates(parts: DataFrame) -> DataFrame:
-    """``(page_id, rank, url)``: metas, then images of article or main, then any that are no decoration."""
-    metas = F.transform(F.filter("metas", lambda m: m["name"].isin(*IMAGE_METAS)), lambda m, i: F.struct(i.alias("rank"), m["value"].alias("url")))
+    """``(page_id, rank, url)``: metas by kind, then images of an article, of main, then any, that are no decoration. An image's
+    attributes are tried in order, then its srcsets; what is not usable is passed over."""
+    kinds = F.array(*[F.struct(F.lit(attr).alias("attr"), F.lit(name).alias("name")) for attr, name in IMAGE_METAS])
+    kind = lambda m: F.array_position(kinds, F.struct(m["attr"].alias("attr"), m["name"].alias("name"))).cast("int")
+    metas = F.filter(F.transform("metas", lambda m, i: F.struct((kind(m) * 10_000 + i).alias("rank"), m["value"].alias("url"))), lambda c: c["rank"] >= 10_000)
     shown = F.filter("images", lambda x: ~decorative(x))
-    place = lambda x: F.when(x["region"].isin("article", "main"), 1_000_000).otherwise(2_000_000) + x["pos"] * 2
-    srcs = F.transform(shown, lambda x: F.struct(place(x).alias("rank"), x["src"].alias("url")))
-    sets = F.transform(shown, lambda x: F.struct((place(x) + 1).alias("rank"), srcset_best(x["srcset"]).alias("url")))
+    place = lambda x: F.when(x["region"] == "article", 100_000_000).when(x["region"] == "main", 200_000_000).otherwise(300_000_000) + x["pos"] * 8
+    srcs = F.flatten(F.transform(shown, lambda x: F.transform(x["srcs"], lambda u, i: F.struct((place(x) + i).alias("rank"), u.alias("url")))))
+    sets = F.flatten(F.transform(shown, lambda x: F.transform(x["srcsets"], lambda u, i: F.struct((place(x) + len(IMAGE_ATTRIBUTES) + i).alias("rank"), srcset_best(u).alias("url")))))
     every = parts.select("page_id", F.col("url").alias("base"), F.explode(F.concat(metas, srcs, sets)).alias("c"))
     return every.select("page_id", "c.rank", image_url(F.col("c.url"), F.col("base")).alias("url")).filter(image_usable(F.col("url")))
 

@@ -82,7 +82,8 @@ def slow_hac(x, t):
     return {frozenset(g) for g in groups}
 
 
-def test_average_linkage(spark):
+def test_average_linkage(spark, monkeypatch, most=2048):
+    monkeypatch.setattr(cl, "TASK_MEMBERS", most)
     rng = np.random.default_rng(3)
     x = rng.standard_normal((5, 8))[rng.integers(0, 5, 24)] + 0.5 * rng.standard_normal((24, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -94,6 +95,10 @@ def test_average_linkage(spark):
     assert {frozenset(g) for g in got.values()} == slow_hac(x, 0.4) | {frozenset([99]), frozenset([98])}
 
 
+def test_average_linkage_in_rounds(spark, monkeypatch):
+    test_average_linkage(spark, monkeypatch, 3)
+
+
 def test_sign_hashing_recall(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 32))
@@ -160,6 +165,60 @@ def test_pages(spark):
     assert [(r["url"], r["title"]) for r in links] == [("https://e.org/n/1", "One")]
 
 
+def test_page_images(spark):
+    lazy = '<img src="data:image/gif;base64,R0" data-src="/ads/x.png" data-original="/real.jpg">'
+    html = [
+        f"<body>{lazy}</body>", '<body><img src="/late.jpg"><main><img src="/main.jpg"></main><article><img src="data:x" data-srcset="/s.png 100w, /b.png 600w"></article></body>',
+        '<meta name="twitter:image" content="/t.jpg"><meta property="og:image:secure_url" content="/secure.jpg"><meta property="og:image" content="/ads/no.jpg">',
+        '<meta itemprop="image" content="/item.jpg"><body><img src="/other.jpg"></body>', '<video>your browser <img src="/v.jpg" width="50"> is old</video><audio>no sound</audio>text<img src="/logo.png">',
+    ]
+    parts = pg.page_parts(spark.createDataFrame([(i, "https://e.org/a", h) for i, h in enumerate(html)], "page_id long, url string, html string")).cache()
+    got = {r["page_id"]: r["image"] for r in pg.pick_image(parts).collect()}
+    assert got == {0: "https://e.org/real.jpg", 1: "https://e.org/b.png", 2: "https://e.org/secure.jpg", 3: "https://e.org/item.jpg"}
+    assert {r["page_id"]: r["text"] for r in pg.html_text(parts).collect()}[4] == "text"
+    assert pg.page_fulltext(pg.page_parts(spark.createDataFrame([(1, "u", "<body>a b<main>long text</main></body>")], "page_id long, url string, html string"))).first()["full_text"] == "a b long text"
+    entries = [
+        ("a", "https://e.org/1", ["data:x", "/m.jpg"], [("image/png", "/e.png")], None), ("b", "https://e.org/2", None, [("audio/mp3", "/e.mp3"), ("image/png", "/e.png")], "<img src='/h.jpg'>"),
+        ("c", "https://e.org/3", [], None, "<img src='/icon.png'><img src='/h.jpg'>"), ("d", "https://e.org/4", None, None, None),
+    ]
+    found = pg.pick_entry_image(spark.createDataFrame(entries, "id string, link string, media array<string>, enclosures array<struct<type: string, href: string>>, html string"))
+    assert {r["id"]: r["image"] for r in found.collect()} == {"a": "https://e.org/m.jpg", "b": "https://e.org/e.png", "c": "https://e.org/h.jpg"}
+
+
+def test_tfidf_clusters(spark):
+    rng = random.Random(8)
+    words = ["red", "blue", "shoe", "coat", "show", "paris", "milan", "store", "opens", "brand", "week", "model"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 4))), "") for i in range(40)] + [(90, "", "")]
+    df = spark.createDataFrame(rows, "id long, title string, content_snippet string")
+    vec: dict = {}
+    for r in sj.tfidf_terms(df, ["the"]).collect():
+        vec.setdefault(r["id"], {})[r["term"]] = r["weight"]
+    terms = sorted({t for v in vec.values() for t in v})
+    ids = sorted(vec)
+    x = np.array([[vec[i].get(t, 0.0) for t in terms] for i in ids])
+    pairs = {(r["a"], r["b"]) for r in sj.tfidf_pairs(sj.tfidf_terms(df, ["the"]), 0.6).collect()}
+    assert pairs == {(ids[i], ids[j]) for i, j in itertools.combinations(range(len(ids)), 2) if 1 - x[i] @ x[j] < 0.6 and set(vec[ids[i]]) & set(vec[ids[j]])}
+    want = {frozenset(ids[i] for i in g) for g in slow_hac(x, 0.6)} | {frozenset([90])}
+    for most in (2048, 4):
+        old, cl.TASK_MEMBERS = cl.TASK_MEMBERS, most
+        got: dict = {}
+        for r in cl.cluster_tfidf(df, ["the"], 0.6).collect():
+            got.setdefault(r["cluster_id"], set()).add(r["id"])
+        cl.TASK_MEMBERS = old
+        assert {frozenset(g) for g in got.values()} == want
+
+
+def test_entity_pairs(spark):
+    rng = random.Random(9)
+    sets = {i: list({rng.choice("abcdefghij") for _ in range(rng.randint(1, 6))}) for i in range(60)}
+    df = spark.createDataFrame(list(sets.items()), "id long, entities array<string>")
+    alike = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    for least in (0.0, 0.5636):
+        found = {(r["a"], r["b"]) for r in sj.shared_entity_pairs(df, least).collect()}
+        want = {(i, j) for i, j in itertools.combinations(sets, 2) if alike(sets[i], sets[j]) > 0 and alike(sets[i], sets[j]) >= least}
+        assert want <= found and (least or found == want)
+
+
 def test_feed(spark):
     rows = [("1", "a", "", 5, "2024-01-03", ["x"]), ("2", "b", "img", 1, "2024-01-02", ["y", "x"]), ("3", "a", "img", 2, "2024-01-01", ["z"])]
     t = spark.createDataFrame(rows, "id string, category string, image string, article_count int, published string, names array<string>")
