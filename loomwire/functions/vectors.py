@@ -24,7 +24,8 @@ def vec_normalize(a: Column) -> Column:
 
 
 def clamp01(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Null stays null, which least and greatest would pass over."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def vec_weighted_mean(a: Column, wa: Column, b: Column, wb: Column) -> Column:

@@ -6,10 +6,12 @@ by a remainder of the document's number, so that SQL can form them too.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwire.config import ACTION_HINTS, CATEGORY_IDS, ENTITY_STOPWORDS, TRACKING_KEYS
+from loomwire.config import ACTION_HINTS, CATEGORY_IDS, DEFAULT, ENTITY_STOPWORDS, TRACKING_KEYS
 from loomwire.functions import text as tx
 from loomwire.functions import times as tm
 from loomwire.functions import urls as ur
@@ -398,17 +400,27 @@ def probable_same_pairs(spark, sf_dir):
 
 @query(NOTHING)
 def dedup_violations(spark, sf_dir):
-    """D3: no kept article has an earlier kept neighbour, and each dropped one has. The two determine the answer."""
+    """D3: every article is kept or dropped, no kept one has an earlier kept neighbour, and each dropped one has. The three
+    determine the answer. Neighbours are found here by comparing all articles of a scope, not by the operator's joins."""
     a = cut(fx.articles(spark, sf_dir).withColumn("dedup_key", F.concat(F.lit("k"), F.col("doc_id") % 800)))
     kept, dropped = dd.dedup_articles(a)
     kept = cut(kept.select("id"))
-    f = dd.features(a).withColumn("o", F.struct((-F.unix_micros("published")).alias("t"), "id"))
-    same_key = f.select(F.col("id").alias("id_hi"), F.col("o").alias("p"), "key").join(f.select(F.col("id").alias("id_lo"), F.col("o").alias("q"), "key"), "key").filter("p < q").select("id_hi", "id_lo")
-    near = cut(dd.probable_same_pairs(a).select("id_hi", "id_lo").unionByName(same_key).distinct())
+    f = cut(dd.features(a).withColumn("o", F.struct((-F.unix_micros("published")).alias("t"), "id")))
+    names = ("id", "source_id", "published", "key", "norm", "content_hash", "bigrams", "o")
+    x, y = (f.select(*[F.col(c).alias(f"{c}_{k}") for c in names]) for k in "xy")
+    pairs = x.join(y, (F.col("source_id_x") == F.col("source_id_y")) & (F.col("o_x") < F.col("o_y")))
+    shared = F.size(F.array_intersect("bigrams_x", "bigrams_y"))
+    alike = (F.col("content_hash_x") == F.col("content_hash_y")) | (F.col("norm_x") == F.col("norm_y")) | (shared / (F.size("bigrams_x") + F.size("bigrams_y") - shared) > 0.6)
+    close = F.col("published_x") <= F.col("published_y") + F.expr("INTERVAL 3 DAYS")
+    fuzzy = pairs.filter(close & F.coalesce(alike, F.lit(False))).select(F.col("id_x").alias("id_hi"), F.col("id_y").alias("id_lo"))
+    same_key = x.join(y, (F.col("key_x") == F.col("key_y")) & (F.col("o_x") < F.col("o_y"))).select(F.col("id_x").alias("id_hi"), F.col("id_y").alias("id_lo"))
+    near = cut(fuzzy.unionByName(same_key).distinct())
     met = near.join(kept.select(F.col("id").alias("id_hi")), "id_hi")
     wrong = met.join(kept.select(F.col("id").alias("id_lo")), "id_lo").select("id_lo")
     unfounded = dropped.select(F.col("id").alias("id_lo")).join(met, "id_lo", "left_anti").select("id_lo")
-    return wrong.unionByName(unfounded).agg(F.count("*").alias("violations"))
+    told = kept.select("id").unionByName(dropped.select("id")).groupBy("id").agg(F.count("*").alias("n")).filter("n = 1")
+    lost = a.select("id").join(told, "id", "left_anti").select(F.col("id").alias("id_lo"))
+    return wrong.unionByName(unfounded).unionByName(lost).agg(F.count("*").alias("violations"))
 
 
 @query()
@@ -434,7 +446,8 @@ def components(spark, sf_dir):
 
 @query(NOTHING)
 def hac_violations(spark, sf_dir):
-    """No two final clusters are nearer than the threshold, and no cluster holds a member far from all others."""
+    """No two final clusters are nearer than the threshold, no cluster holds a member far from all others, and every vector
+    is in one cluster."""
     v = cut(fx.vectors(spark, sf_dir))
     members = cut(cl.hac_average(v, 0.34))
     sums = cl.vector_sums(members, v).select("cluster_id", "n", "s")
@@ -443,7 +456,8 @@ def hac_violations(spark, sf_dir):
     link = 1 - cl.vec_dot(F.col("s1"), F.col("s2")) / (F.col("n1") * F.col("n2"))
     near = pairs.join(side("a", 1), "a").join(side("b", 2), "b").filter(link < 0.34 - 1e-9).select("a")
     loose = members.groupBy("cluster_id").agg(F.count("*").alias("n")).join(cl.cohesion(members, v), "cluster_id").filter((F.col("n") > 1) & (F.col("cohesion") < 0.5)).select("cluster_id")
-    return near.unionByName(loose.select(F.col("cluster_id").alias("a"))).agg(F.count("*").alias("violations"))
+    lost = v.join(members.groupBy("id").agg(F.count("*").alias("k")).filter("k = 1"), "id", "left_anti").select(F.col("id").alias("a"))
+    return near.unionByName(loose.select(F.col("cluster_id").alias("a"))).unionByName(lost).agg(F.count("*").alias("violations"))
 
 
 @query()
@@ -541,33 +555,34 @@ def cluster_stats(spark, sf_dir):
 
 
 def article_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every article that has a vector as a topic of its own, named by its number."""
-    a = numbered(fingerprinted(spark, sf_dir)).join(fx.vectors(spark, sf_dir), "id")
+    """Every article as a topic of its own, named by its number; not all have a vector."""
+    a = numbered(fingerprinted(spark, sf_dir)).join(fx.vectors(spark, sf_dir), "id", "left")
     return cut(a.select(F.col("id").alias("topic_id"), F.col("id").alias("cluster_id"), "published", F.col("v").alias("centroid"), "event_fingerprint"))
 
 
-ONE = ", one AS (SELECT f.*, v.v FROM fp f JOIN vecs v ON v.id = f.doc_id)"
+ONE = ", one AS (SELECT f.*, v.v FROM fp f LEFT JOIN vecs v ON v.id = f.doc_id)"
+_dot = "coalesce(list_inner_product(a.v, b.v), 0)"
 _pair = "one a JOIN one b ON a.doc_id < b.doc_id"
 
 
-@query("WITH" + FP + "," + VEC + ONE + f", s AS (SELECT a.doc_id AS a, b.doc_id AS b, list_inner_product(a.v, b.v) AS sim, {similarity_sql('a', 'b')} AS fp FROM {_pair}) SELECT a, b, round(sim, 6) AS sim, round(fp, 6) AS fp FROM s WHERE sim >= 0.82 AND fp >= 0.58 OR sim >= 0.9 OR fp >= 0.76")
+@query("WITH" + FP + "," + VEC + ONE + f", s AS (SELECT a.doc_id AS a, b.doc_id AS b, {_dot} AS sim, {similarity_sql('a', 'b')} AS fp FROM {_pair}) SELECT a, b, round(sim, 6) AS sim, round(fp, 6) AS fp FROM s WHERE sim >= 0.82 AND fp >= 0.58 OR sim >= 0.9 OR fp >= 0.76")
 def stage_a_pairs(spark, sf_dir):
     """D9."""
     return cl.stage_a_pairs(article_topics(spark, sf_dir), mode="exact").select("a", "b", r6("sim").alias("sim"), r6("fp").alias("fp"))
 
 
-@query("WITH" + FP + "," + VEC + ONE + f", s AS (SELECT a.doc_id AS a, b.doc_id AS b, 0.68 * greatest(0, least(1, list_inner_product(a.v, b.v))) + 0.32 * {similarity_sql('a', 'b')} AS score FROM {_pair}) SELECT a, b, round(score, 6) AS score FROM s WHERE score >= 0.62")
+@query("WITH" + FP + "," + VEC + ONE + f", s AS (SELECT a.doc_id AS a, b.doc_id AS b, 0.68 * greatest(0, least(1, {_dot})) + 0.32 * {similarity_sql('a', 'b')} AS score FROM {_pair}) SELECT a, b, round(score, 6) AS score FROM s WHERE score >= 0.62")
 def topic_pairs(spark, sf_dir):
     """D11."""
     return tp.topic_pair_scores(article_topics(spark, sf_dir), mode="exact").select("a", "b", r6("score").alias("score"))
 
 
-@query("WITH" + FP + "," + VEC + ONE + f""", s AS (SELECT b.article_key, a.doc_id AS topic_id, a.published AS tp, 0.62 * greatest(0, least(1, list_inner_product(a.v, b.v))) + 0.28 * {similarity_sql('a', 'b')} + 0.1 * {time_score_sql('a.bucket', 'b.bucket')} AS score
+@query("WITH" + FP + "," + VEC + ONE + f""", s AS (SELECT b.article_key, a.doc_id AS topic_id, a.published AS tp, 0.62 * greatest(0, least(1, {_dot})) + 0.28 * {similarity_sql('a', 'b')} + 0.1 * {time_score_sql('a.bucket', 'b.bucket')} AS score
   FROM one a JOIN one b ON a.doc_id % 4 = 0 AND b.doc_id % 4 > 0)
 SELECT article_key, topic_id, round(score, 6) AS score FROM s WHERE score >= 0.63 QUALIFY row_number() OVER (PARTITION BY article_key ORDER BY score DESC, tp DESC, topic_id) = 1""")
 def assign_topics(spark, sf_dir):
     """A quarter of the articles are topics, the others look for one."""
-    a = cut(numbered(fingerprinted(spark, sf_dir)).join(fx.vectors(spark, sf_dir), "id"))
+    a = cut(numbered(fingerprinted(spark, sf_dir)).join(fx.vectors(spark, sf_dir), "id", "left"))
     topics = article_topics(spark, sf_dir).filter(F.col("topic_id") % 4 == 0)
     found = tp.assign_to_topics(a.filter(F.col("id") % 4 > 0).select("article_key", "v", "event_fingerprint"), topics)
     return found.select("article_key", "topic_id", r6("score").alias("score"))
@@ -723,7 +738,8 @@ def state_violations(spark, sf_dir):
     twice = st.normalize_state(once, fx.run_ts()).select("topic_id", F.xxhash64("event_fingerprint", "source_set", "entity_set", "cluster_confidence").alias("h"))
     same = once.select("topic_id", F.xxhash64("event_fingerprint", "source_set", "entity_set", "cluster_confidence").alias("g")).join(twice, "topic_id").filter("g <> h").select("topic_id")
     bad = once.filter("event_fingerprint.hash IS NULL OR cluster_confidence NOT BETWEEN 0.3 AND 0.99 OR size(entity_set) > 24 OR last_merged_at IS NULL").select("topic_id")
-    return same.unionByName(bad).agg(F.count("*").alias("violations"))
+    lost = state.select("topic_id").join(once, "topic_id", "left_anti")
+    return same.unionByName(bad).unionByName(lost).agg(F.count("*").alias("violations"))
 
 
 # ---- verdicts ----------------------------------------------------------------------------------------------------------------------------
@@ -786,7 +802,7 @@ def group_dedup(spark, sf_dir):
     return tp.dedup_groups(d.select((F.col("doc_id") % 200).alias("group_id"), (F.col("doc_id") % 50).alias("id"), ((F.col("doc_id") % 200) / 200).alias("confidence")))
 
 
-@query("WITH RECURSIVE" + FP + "," + VEC + ONE + f""", s AS (SELECT a.doc_id AS a, b.doc_id AS b, 0.68 * greatest(0, least(1, list_inner_product(a.v, b.v))) + 0.32 * {similarity_sql('a', 'b')} AS score FROM {_pair}),
+@query("WITH RECURSIVE" + FP + "," + VEC + ONE + f""", s AS (SELECT a.doc_id AS a, b.doc_id AS b, 0.68 * greatest(0, least(1, {_dot})) + 0.32 * {similarity_sql('a', 'b')} AS score FROM {_pair}),
 t AS MATERIALIZED (SELECT * FROM s WHERE score >= 0.62 ORDER BY score DESC, a, b LIMIT 220),
 e AS MATERIALIZED (SELECT a AS x, b AS y FROM t WHERE score >= 0.66 UNION SELECT b, a FROM t WHERE score >= 0.66),
 r AS (SELECT x AS v, x AS u FROM e UNION SELECT r.v, e.y FROM r JOIN e ON r.u = e.x),
@@ -859,26 +875,29 @@ def source_names(spark, sf_dir):
 
 
 def run_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Articles that have a vector, under their number as text."""
+    """All articles, under their number as text, and the vectors that there are."""
     v = fx.vectors(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
     a = fx.articles(spark, sf_dir).withColumn("id", F.col("doc_id").cast("string"))
-    return cut(a.join(v.select("id"), "id", "left_semi").select(*a.columns)), cut(v)
+    return cut(a), cut(v)
 
 
 @query(NOTHING)
 def full_run_violations(spark, sf_dir):
-    """After a full run every key belongs to one topic, counts fit, no active key is blocked, and all are known."""
+    """After a full run without a cap of topics every key belongs to one topic, counts fit, no active key is blocked, and
+    all are known."""
     from loomwire.plans.runs import run_full
     from loomwire.sources.state import empty_state
 
     a, v = run_inputs(spark, sf_dir)
-    state, _ = run_full(a, v, empty_state(spark), fx.run_ts())
+    state, _ = run_full(a, v, empty_state(spark), fx.run_ts(), replace(DEFAULT, max_topics=1 << 30))
     topics, keys = cut(state.topics_state), cut(state.topic_articles)
     twice = keys.groupBy("article_key").agg(F.count("*").alias("n")).filter("n > 1").select("article_key")
     blocked = state.tombstones.join(keys, "article_key", "left_semi").select("article_key")
     unknown = keys.join(state.snapshot, "article_key", "left_anti").select("article_key")
+    held = keys.select("article_key").unionByName(state.tombstones.select("article_key"))
+    lost = a.select("article_key").distinct().join(held, "article_key", "left_anti")
     counts = keys.groupBy("topic_id").agg(F.count("*").alias("n")).join(topics, "topic_id", "full_outer").filter("n IS NULL OR article_count IS NULL OR n > article_count").select(F.col("topic_id").alias("article_key"))
-    return twice.unionByName(blocked).unionByName(unknown).unionByName(counts).agg(F.count("*").alias("violations"))
+    return twice.unionByName(blocked).unionByName(unknown).unionByName(lost).unionByName(counts).agg(F.count("*").alias("violations"))
 
 
 @query(NOTHING)

@@ -51,25 +51,38 @@ def stream_fusion(articles: DataFrame, vectors: Callable[[DataFrame], DataFrame
 
 
 def _remember(key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """State of a key: when its block ends (milliseconds). Evictions set it, articles ask for it."""
-    until = state.get[0] if state.exists else -1
+    """State of a key: when its block ends (milliseconds). Evictions set it, articles ask for it, and it goes when the
+    watermark has passed it; keys that were never evicted have none."""
+    nothing = pd.DataFrame({"article_key": pd.Series([], dtype=str), "ts": pd.Series([], dtype="datetime64[ns]"), "blocked": pd.Series([], dtype=bool)})
+    if state.hasTimedOut:
+        state.remove()
+        yield nothing
+        return
+    before = until = state.get[0] if state.exists else -1
     out = []
     batch = pd.concat(list(rows)).sort_values(["ts", "evicted"], ascending=[True, False])
     for ts, evicted in zip(batch["ts"], batch["evicted"], strict=True):
         now = int(ts.timestamp() * 1000)
         if evicted:
-            until = now + DEFAULT.tombstone_ttl_days * 86_400_000
+            until = max(until, now + DEFAULT.tombstone_ttl_days * 86_400_000)
         else:
             out.append((key[0], ts, now < until))
-    state.update((until,))
-    yield pd.DataFrame(out, columns=["article_key", "ts", "blocked"]) if out else pd.DataFrame({"article_key": pd.Series([], dtype=str), "ts": pd.Series([], dtype="datetime64[ns]"), "blocked": pd.Series([], dtype=bool)})
+    if until > before:
+        state.update((until,))
+    if state.exists and until > state.getCurrentWatermarkMs():
+        state.setTimeoutTimestamp(until)
+    elif state.exists:
+        state.remove()
+    yield pd.DataFrame(out, columns=["article_key", "ts", "blocked"]) if out else nothing
 
 
-def stream_block(articles: DataFrame, evictions: DataFrame) -> DataFrame:
+def stream_block(articles: DataFrame, evictions: DataFrame, watermark: str = "3 days") -> DataFrame:
     """``(article_key, ts, blocked)`` for a stream of articles beside a stream of evictions, both ``(article_key, ts)``.
 
     A key stays blocked for the tombstones' time to live after its eviction; within a batch rows count in time order,
-    evictions first.
+    evictions first. Rows later than ``watermark`` are left out, and state is kept for evicted keys only, until the watermark passes
+    the end of their block.
     """
     both = articles.select("article_key", "ts", F.lit(False).alias("evicted")).unionByName(evictions.select("article_key", "ts", F.lit(True).alias("evicted")))
-    return both.groupBy("article_key").applyInPandasWithState(_remember, "article_key string, ts timestamp, blocked boolean", "until long", "append", "NoTimeout")
+    timed = both.withWatermark("ts", watermark)
+    return timed.groupBy("article_key").applyInPandasWithState(_remember, "article_key string, ts timestamp, blocked boolean", "until long", "append", "EventTimeTimeout")
