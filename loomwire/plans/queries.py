@@ -278,7 +278,11 @@ def embedding_texts(spark, sf_dir):
     return fx.articles(spark, sf_dir).select("doc_id", made.alias("text"))
 
 
-@query()
+@query(
+    "WITH" + ART + rf""", s AS (SELECT doc_id, {collapse('text')} AS t, list_filter(string_split(regexp_replace({collapse('text')}, '([。！？.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM art),
+n AS (SELECT *, list_transform(range(1, len(s) + 1), lambda i: list_sum(list_transform(s[1:i], lambda x: length(x))) + i - 1) AS used FROM s)
+SELECT doc_id, CASE WHEN len(list_filter(used, lambda u: u <= 600)) > 0 THEN array_to_string(s[1:len(list_filter(used, lambda u: u <= 600))], ' ') ELSE trim(substr(t, 1, 600)) END AS embedding_summary FROM n"""
+)
 def extractive_summaries(spark, sf_dir):
     """No verdicts, so every article summarises itself."""
     a = fx.articles(spark, sf_dir)
@@ -308,14 +312,30 @@ def category_ids(spark, sf_dir):
 # ---- pages -------------------------------------------------------------------------------------------------------------------
 
 
-@query()
+def shown_sql(html: str) -> str:
+    """The text that a page of the test tables' form shows."""
+    bare = rf"regexp_replace(regexp_replace({html}, '(?s)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+    for mark, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        bare = f"replace({bare}, '&{mark};', '{sign}')"
+    return collapse(bare)
+
+
+_body = r"regexp_extract(html, '(?s)<body[^>]*>(.*)', 1)"
+_article = r"regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)"
+_heading = r"regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)"
+
+
+@query(f"SELECT page_id, coalesce(substr({shown_sql('html')}, 1, 3000), '') AS text, coalesce(substr({shown_sql(_body)}, 1, 8000), '') AS full_text FROM pages")
 def page_texts(spark, sf_dir):
     """P1, P3."""
     parts = pg.page_parts(fx.read(spark, sf_dir, "pages"))
     return pg.html_text(parts).join(pg.page_fulltext(parts), "page_id")
 
 
-@query()
+@query(
+    f"""WITH {URLS}, p AS (SELECT page_id, pages.url, urls.url AS canonical_url, {shown_sql(_heading)} AS title, {shown_sql(_article)} AS t FROM pages JOIN urls USING (page_id))
+SELECT page_id, url, canonical_url, coalesce(title, '') AS title, CASE WHEN length(t) >= 120 THEN substr(t, 1, 3000) ELSE '' END AS content_text, '' AS published, '' AS image FROM p"""
+)
 def page_articles(spark, sf_dir):
     """P2."""
     return pg.extract_pages(pg.page_parts(fx.read(spark, sf_dir, "pages")))
@@ -423,7 +443,18 @@ def dedup_violations(spark, sf_dir):
     return wrong.unionByName(unfounded).unionByName(lost).agg(F.count("*").alias("violations"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE" + BIGRAMS + f""", f AS (SELECT a.*, g, {norm('title')} AS nt, row_number() OVER (ORDER BY published DESC, id)::INT AS n FROM art a JOIN bg USING (doc_id)),
+p AS (SELECT x.n AS hi, y.n AS lo, x.doc_id % 800 = y.doc_id % 800 AS same,
+  x.source = y.source AND abs(epoch(x.published) - epoch(y.published)) <= 259200 AND (x.content_hash = y.content_hash AND x.content_hash <> '' OR x.nt = y.nt AND x.nt <> ''
+    OR len(list_intersect(x.g, y.g))::DOUBLE / nullif(len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)), 0) > 0.6) AS near
+  FROM f x JOIN f y ON x.n < y.n AND (x.source = y.source OR x.doc_id % 800 = y.doc_id % 800)),
+a AS MATERIALIZED (SELECT n, coalesce(list(hi) FILTER (same), []) AS keys, coalesce(list(hi) FILTER (near), []) AS alike FROM f LEFT JOIN p ON lo = n AND (same OR near) GROUP BY n),
+r AS (SELECT 0 AS n, []::INT[] AS kept, '' AS reason UNION ALL
+  SELECT n, CASE WHEN reason = 'kept' THEN list_append(kept, n) ELSE kept END, reason FROM (
+    SELECT a.n, r.kept, CASE WHEN list_has_any(r.kept, a.keys) THEN 'key' WHEN list_has_any(r.kept, a.alike) THEN 'fuzzy' ELSE 'kept' END AS reason FROM r JOIN a ON a.n = r.n + 1))
+SELECT reason, count(*) AS n FROM r WHERE n > 0 GROUP BY reason"""
+)
 def dedup_counts(spark, sf_dir):
     """D4."""
     a = fx.articles(spark, sf_dir).withColumn("dedup_key", F.concat(F.lit("k"), F.col("doc_id") % 800))
