@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwire.llm.columns import row_key, sized, table, word_count
@@ -20,8 +20,6 @@ from loomwire.session import cut
 
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
 BUCKET_ROWS, FAN_IN, SEED = 2048, 256, 20240229
-#: Sources are a dimension that the driver plans with: one number for each. More than this many are refused.
-MAX_SOURCES = 1_000_000
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -81,6 +79,42 @@ def _round_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(part=settle(pdf["size"].to_numpy(), pdf["part"].to_numpy(), pdf["draw"].to_numpy()))
 
 
+def numbered(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``sid``, their place in code point order of ``_source``, null last: a range for each task, whose counts
+    give where the next one starts."""
+    order = [F.col("_source").isNull(), F.col("_source")]
+    dealt = cut(sources.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before, start = {}, 0
+    for r in sorted(dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()):  # a row for each partition
+        before[r["_part"]], start = start, start + r["n"]
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    starts = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
+    return dealt.withColumn("sid", F.element_at(starts, F.col("_part")) + place).drop("_part")
+
+
+def source_plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """``(source, sid, source_size, target, factor, buckets)`` of ``rows(_source, size)``: what :func:`targets` says, for any number
+    of sources. A source's part is its weight times a unit that grows from round to round as sources reach their bound;
+    the driver sees whole numbers by weight only, so reruns agree."""
+    found = numbered(rows.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("sid", F.lit(len(weights))))
+    found = cut(found.withColumn("w", weight))
+    unit, bound = 0.0, -1
+    while True:
+        over = F.col("w") * unit > most * F.col("source_size")
+        sums = found.groupBy("w").agg(  # a row for each weight
+            F.sum("source_size").alias("size"), F.count("*").alias("n"), F.sum(F.when(over, F.col("source_size")).otherwise(0)).alias("taken"), F.sum(over.cast("long")).alias("over")
+        ).orderBy("w").collect()
+        if (now := sum(r["over"] for r in sums)) == bound:
+            break
+        bound, open_ = now, sum(r["w"] * (r["n"] - r["over"]) for r in sums)
+        unit = (sum(r["size"] for r in sums) - most * sum(r["taken"] for r in sums)) / open_ if open_ else unit
+    target = F.least(F.col("w") * unit, most * F.col("source_size"))
+    factor = F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0)
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET_ROWS)).cast("int")
+    return found.select(F.col("_source").alias("source"), "sid", "source_size", target.alias("target"), factor.alias("factor"), buckets.alias("buckets"))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """One row per row of ``docs``: doc_id, row_key, size (words), source_size, target (its source's), copies, taken.
 
@@ -88,19 +122,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: flo
     taken 0 times over their whole part; a corpus without words has targets 0. Rows that repeat are rounded one by one.
     Draws depend on the documents and the seed alone, so reruns agree whatever the partitions.
     """
-    spark = docs.sparkSession
     rows = cut(docs.select("doc_id", row_key().alias("row_key"), F.col("source").alias("_source"), word_count(F.col("text")).alias("size")))
-    found = rows.groupBy("_source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: they are no dimension to mix by")
-    found.sort(key=lambda r: (r["_source"] is None, r["_source"] or ""))
-    sizes = [r["size"] for r in found]
-    want = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], most)
-    plan = spark.createDataFrame(
-        [(r["_source"], i, int(s), float(t), (t / s if s else 0.0), max(1, -(-r["n"] // BUCKET_ROWS))) for i, (r, s, t) in enumerate(zip(found, sizes, want, strict=True))],
-        "source string, sid int, source_size long, target double, factor double, buckets int",
-    )
-    joined = rows.join(sized(plan, len(found)), rows["_source"].eqNullSafe(plan["source"]))
+    plan = cut(source_plan(rows, weights, most))
+    known = plan.agg(F.count("*").alias("sources"), F.max("buckets").alias("buckets")).first()
+    joined = rows.join(sized(plan, known["sources"]), rows["_source"].eqNullSafe(plan["source"]))
     whole = F.floor(F.col("factor") + 1e-9)
     part = F.greatest(F.lit(0.0), F.col("factor") - whole)
     shape = "doc_id long, row_key long, size long, sid int, node long, source_size long, target double, whole long, part double, draw long"
@@ -111,7 +136,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: flo
     done = cut(start.groupBy("sid", "node").applyInPandas(_round_group, shape))
     is_open = (F.col("part") > 0) & (F.col("part") < 1)
     settled, open_ = [done.filter(~is_open)], done.filter(is_open)
-    nodes = max([-(-r["n"] // BUCKET_ROWS) for r in found], default=1)
+    nodes = known["buckets"] or 1
     while nodes > 1:
         nodes = -(-nodes // FAN_IN)
         up = open_.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("long"))

@@ -381,6 +381,20 @@ def test_targets():
     assert mixing.targets([], []) == [] and mixing.targets([0, 0], [5, 2]) == [0, 0]
 
 
+def test_source_plan(spark):
+    rng = random.Random(17)
+    names = [f"s{k:03d}" for k in range(150)] + ["Z", "é", "", "文"]
+    rows = [(n, rng.choice([0, 1, 5, 40, 900])) for n in names for _ in range(3)] + [(None, 7)]
+    got = mixing.source_plan(spark.createDataFrame(rows, "_source string, size long")).collect()
+    order = sorted(names, key=lambda n: n.encode()) + [None]
+    sizes = [sum(x for m, x in rows if m == n) for n in order]
+    want = mixing.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(order))])
+    by = {r["source"]: r for r in got}
+    assert [by[n]["sid"] for n in order] == list(range(len(order))) and [by[n]["source_size"] for n in order] == sizes
+    assert [by[n]["target"] for n in order] == pytest.approx(want)
+    assert mixing.source_plan(spark.createDataFrame([], "_source string, size long")).count() == 0
+
+
 def test_pivotal_keeps_expectation():
     size = np.array([3, 5, 7, 11, 2, 9], float)
     mean = np.zeros(6)
