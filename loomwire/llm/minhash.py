@@ -6,10 +6,10 @@ a group of the first collection and one in the second, 26 minhashes serve 60 tab
 similarity s miss all tables with probability at most (1 - s^2)^10 + (1 - s)^6: 5e-4 at 0.75, 1e-4 at 0.8, 1e-6
 at 0.9. Every link is confirmed on the full shingle sets.
 
-The members of a table's bucket are compared with its hub, the member that shares most buckets with others, so a group
-of copies costs a star. The members of all of a hub's buckets are its group; large groups that are not connected by then are
-compared with their most central member. What is apart still is compared with one another
-where the members share one of their rarest shingles within the group, which loses no link.
+Each bucket of a table belongs to its hub, the member that shares most buckets with others, and the members of all of a
+hub's buckets are a group. A group's members are compared with its most central one, so a group of copies costs a star.
+What is apart still is compared with one another where the members share one of their rarest shingles within the
+group, which loses no link.
 """
 
 from __future__ import annotations
@@ -28,11 +28,8 @@ from loomwire.session import Workspace, cut, stored
 
 WORDS, PERCENT = 5, 75
 FIRST, SECOND = 10, 6
-#: Members of a hub's group up to which one task counts in how many texts of the group each shingle is; else a shuffle does.
-TASK_TEXTS = 64
 #: Components from which on a group gets further centres, as long as one comparison in ``YIELD`` gives a link.
 CROWD, YIELD = 64, 64
-PREFIX = "hub long, node long, n long, component long, shingle long, place long"
 
 
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,13 +90,6 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(both.select("src", "dst", "text_src", "text_dst").sortWithinPartitions("src").mapInPandas(_confirm, "src long, dst long"))
 
 
-def _common(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The shingles that several texts of a hub's group hold, sorted, with the number of these texts."""
-    found, counts = np.unique(np.concatenate([signed(h) for h in shingle_sets(pdf["text"].tolist(), WORDS)]), return_counts=True)
-    often = counts > 1
-    return pd.DataFrame({"hub": pdf["hub"].iloc[:1], "common": [found[often]], "times": [counts[often]]})
-
-
 def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         sets = [signed(h) for h in shingle_sets(batch["text"].tolist(), WORDS)]
@@ -107,39 +97,16 @@ def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({c: np.repeat(batch[c].to_numpy(), sizes) for c in ("hub", "node")} | {"shingle": np.concatenate([*sets, np.zeros(0, np.int64)])})
 
 
-def prefix_size(n: int) -> int:
-    """Of how many first shingles of ``n``, under an order that all sets share, similar sets must hold one."""
-    return n - -(-n * PERCENT // 100) + 1
-
-
-def _prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rarest shingles of each text with their place: by the number of the group's texts that hold them, then by hash."""
-    for batch in batches:
-        out = []
-        for common, times, h in zip(batch["common"], batch["times"], shingle_sets(batch["text"].tolist(), WORDS), strict=True):
-            own = signed(h)
-            weight = np.zeros(len(own), np.int64)
-            if len(common):
-                at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                weight = np.where(common[at] == own, times[at], 0)
-            out.append(own[np.lexsort((own, weight))][: prefix_size(len(own))])
-        sizes = [len(x) for x in out]
-        yield pd.DataFrame(
-            {c: np.repeat(batch[c].to_numpy(), sizes) for c in ("hub", "node", "n", "component")}
-            | {"shingle": np.concatenate([*out, np.zeros(0, np.int64)]), "place": np.concatenate([*map(np.arange, sizes), np.zeros(0, np.int64)])}
-        )
-
-
 def band(n: Column) -> Column:
     """Sizes by tenths, so that only sets of possible sizes are joined."""
     return F.floor(F.log(n) / F.log(F.lit(1.1))).cast("int")
 
 
 def in_groups(facing: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(hub, node, n, component, members)`` of the groups ``facing(hub, node)`` that hold several components."""
+    """``(hub, node, n, component)`` of the groups ``facing(hub, node)`` that hold several components."""
     rows = facing.join(nodes.select("node", "n"), "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = rows.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi")
-    return rows.join(open_.select("hub", "members"), "hub")
+    open_ = rows.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    return rows.join(open_.select("hub"), "hub")
 
 
 def central_pairs(rows: DataFrame, every: DataFrame) -> DataFrame:
@@ -164,27 +131,22 @@ def outside(rows: DataFrame) -> DataFrame:
     return rows.join(many.select("hub", F.col("main.component").alias("main")), "hub").filter("component <> main").drop("main")
 
 
-def rest_pairs(members: DataFrame, texts: DataFrame, every: DataFrame, space: Workspace) -> DataFrame:
+def rest_pairs(members: DataFrame, every: DataFrame, space: Workspace) -> DataFrame:
     """Candidate pairs of members of one group that are in different components still.
 
     Under any order of shingles two sets of the wanted similarity share one of their first n - ceil(0.75 n) + 1, and
     the first shared one lies early enough in both to leave room for the overlap (Xiao et al. 2008). Here each
     group has its own order, with the shingles common in the group last; so texts that have no more in common than the
     group's passage, or than all copies of one text, do not meet. Of the components that hold a shingle the largest
-    only waits for the others, so its members never meet one another. ``every(hub, node, shingle)`` has the groups of more
-    than TASK_TEXTS members.
+    only waits for the others, so its members never meet one another. ``every(hub, node, shingle)`` has the groups' sets.
     """
     members = space.store(members, "members")
-    small = members.filter(F.col("members") <= TASK_TEXTS).join(texts, "node")
-    common = small.groupBy("hub").applyInPandas(_common, "hub long, common array<long>, times array<long>")
-    few = small.drop("members").join(common, "hub").mapInPandas(_prefixes, PREFIX)
     every = every.join(members.select("hub").distinct(), "hub", "left_semi")
     times = every.groupBy("hub", "shingle").agg(F.count("*").alias("times"))
     ranked = every.join(times, ["hub", "shingle"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("s"))  # one text's
     first = F.size("s") - F.ceil(F.size("s") * PERCENT / 100).cast("int") + 1
-    many = ranked.select("hub", "node", F.posexplode(F.slice("s", F.lit(1), first)).alias("place", "s")).join(members.drop("members"), ["hub", "node"])
-    many = many.select("hub", "node", "n", "component", "s.shingle", F.col("place").cast("long").alias("place"))
-    keys = space.store(few.unionByName(many), "prefixes")
+    keys = ranked.select("hub", "node", F.posexplode(F.slice("s", F.lit(1), first)).alias("place", "s")).join(members, ["hub", "node"])
+    keys = space.store(keys.select("hub", "node", "n", "component", "s.shingle", F.col("place").cast("long").alias("place")), "prefixes")
     groups = keys.groupBy("hub", "shingle", "component").agg(F.count("*").alias("size"))
     several = groups.groupBy("hub", "shingle").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("k")).filter("k > 1")
     live = space.store(keys.join(several.select("hub", "shingle", F.col("main.component").alias("main")), ["hub", "shingle"]), "live")
@@ -217,9 +179,9 @@ def candidate_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(shared, "key")
 
 
-def relabelled(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """The components ``(node, component)`` after ``edges`` too, given those before."""
-    if labels is None:
+    if not labels.limit(1).count():
         return cut(connected_components(edges))
     names = labels.select("node", "component")
     for end in ("src", "dst"):
@@ -231,13 +193,13 @@ def relabelled(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
 
 
 def hubs_of(buckets: DataFrame) -> DataFrame:
-    """``(hub, node, key)``: every member of a bucket beside the member of the greatest ``weight``."""
+    """``(hub, node)``: every member of a bucket beside the member of the greatest ``weight``, itself included."""
     hubs = buckets.groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("node").alias("o"), "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
-    return buckets.join(hubs, "key").filter("node <> hub").select("hub", "node", "key")
+    return buckets.join(hubs, "key").select("hub", "node").distinct()
 
 
 def sized_pairs(facing: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(src, dst)`` of the hubs and members whose sizes allow a link."""
+    """``(src, dst)`` of the centres and members whose sizes allow a link."""
     sides = facing.join(nodes.select("node", "n"), "node").join(nodes.select(F.col("node").alias("hub"), F.col("n").alias("m")), "hub")
     return cut(sides.filter(near_pairs(F.col("n"), F.col("m"))).select(F.col("hub").alias("src"), F.col("node").alias("dst")).distinct())
 
@@ -245,9 +207,9 @@ def sized_pairs(facing: DataFrame, nodes: DataFrame) -> DataFrame:
 def link(prof: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
     """``(node, component)`` of all nodes that are linked with another.
 
-    Nodes stand for texts of equal sets. Each bucket's members meet its hub; large groups go on with the most central of all
-    members, then of those outside the largest component, while that links enough of them; the rest meets by rarest
-    shingles within the groups. So the pairs of a bucket are never written out, and no candidate is left undecided.
+    Nodes stand for texts of equal sets. Each group's members meet the most central of them; groups that still hold many
+    components go on with the most central of those outside the largest one, while that links enough of them; the rest
+    meets by rarest shingles. So the pairs of a bucket are never written out, and no candidate is left undecided.
     """
     full = prof.filter("node IS NOT NULL")
     nodes = cut(full.groupBy("node").agg(F.min("row_key").alias("rep"), F.max("n_shingles").alias("n")))
@@ -259,23 +221,19 @@ def link(prof: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
     buckets = space.store(found.join(weights, "node"), "buckets")
     space.drop("found")
     texts = space.store(texts_of(buckets, nodes, docs), "texts")
-    facing = space.store(hubs_of(buckets).select("hub", "node").distinct(), "facing")
-    labels = relabelled(None, confirm(sized_pairs(facing, nodes), texts))
-    rows = cut(in_groups(facing, nodes, labels))
-    large = rows.filter(F.col("members") > TASK_TEXTS)
-    every = space.store(large.join(texts, "node").select("hub", "node", "text").mapInPandas(_explode, "hub long, node long, shingle long"), "shingles")
-    met = large
-    while True:
-        pairs = sized_pairs(central_pairs(met, every).distinct(), nodes)
-        if not (n := pairs.count()):
-            break
+    facing = space.store(hubs_of(buckets), "facing")
+    every = space.store(facing.join(texts, "node").select("hub", "node", "text").mapInPandas(_explode, "hub long, node long, shingle long"), "shingles")
+    labels = docs.sparkSession.createDataFrame([], "node long, component long")
+    met = rows = in_groups(facing, nodes, labels)
+    while n := (pairs := sized_pairs(central_pairs(met, every).distinct(), nodes)).count():
         edges = confirm(pairs, texts)
         labels = relabelled(labels, edges)
         rows = cut(in_groups(facing, nodes, labels))
         if edges.count() * YIELD < n:
             break
-        met = cut(outside(rows.filter(F.col("members") > TASK_TEXTS)))
-    return relabelled(labels, confirm(rest_pairs(rows, texts, every, space), texts))
+        met = cut(outside(rows))
+    pairs = rest_pairs(rows, every, space)
+    return relabelled(labels, confirm(pairs, texts)) if pairs.limit(1).count() else labels
 
 
 def grouped(docs: DataFrame) -> DataFrame:

@@ -72,10 +72,8 @@ def test_minhash(spark, monkeypatch, crowd):
     assert all(got[i]["kept"] == (want[i] == i) for i in got)
 
 
-@pytest.mark.parametrize("task_texts", [8, 1000])
-def test_minhash_group_without_a_centre(spark, monkeypatch, task_texts):
+def test_minhash_group_without_a_centre(spark):
     """Many copies of one text, most of them near some others only, and sizes down to three quarters."""
-    monkeypatch.setattr(minhash, "TASK_TEXTS", task_texts)
     rng = random.Random(21)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     base = [word() for _ in range(120)]
