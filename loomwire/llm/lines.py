@@ -287,6 +287,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         return gone
     keyed = docs.withColumn("row_key", row_key()).join(sized(members.select("row_key"), n), "row_key", "left_semi").select("row_key", "doc_id", "text")
     now = space.store(without_lines(keyed.drop("row_key"), gone).withColumnRenamed("row_key", "was"), "cut-copies")
+    # most are near the group's head as they were; only the groups of the others are looked at as a whole
+    texts = now.select(F.col("was").alias("node"), "text").dropDuplicates(["node"])
+    pairs = members.filter("goes").select("group", F.col("row_key").alias("dst")).join(members.filter("NOT goes").groupBy("group").agg(F.min("row_key").alias("src")), "group").select("src", "dst")
+    close = minhash.confirm(pairs, texts)
+    open_ = cut(members.filter("goes").join(close.select(F.col("dst").alias("row_key")), "row_key", "left_anti").select("group").distinct())
+    if not (n := open_.count()):
+        space.close()
+        return gone
+    members = cut(members.join(sized(open_, n), "group"))
+    now = now.join(sized(members.select(F.col("row_key").alias("was")), members.count()), "was", "left_semi")
     again = minhash.grouped(now.select("doc_id", "text")).select("row_key", F.coalesce("component", "row_key").alias("component")).distinct()
     there = cut(now.select("was", row_key().alias("row_key")).join(again, "row_key").select(F.col("was").alias("row_key"), "component").distinct().join(members, "row_key"))
     heads = cut(there.filter("NOT goes").select("group", "component").distinct())
