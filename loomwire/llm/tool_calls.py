@@ -41,32 +41,49 @@ def json_string(c: Column) -> Column:
     return F.when(c.isNull(), F.lit("null")).otherwise(F.substring(one, F.lit(2), F.length(one) - 2))
 
 
+def rule_checks(value: Column, schema: dict, path: str = "$", shown: str = "") -> list[Column]:
+    """What is wrong with the object at ``path`` of a variant: entries are null where nothing is."""
+    checks = []
+    for prop, rule in schema["properties"].items():
+        at, name = f"{path}.{prop}", f"{shown}{prop}"
+        kind = F.schema_of_variant(F.try_variant_get(value, at, "variant"))
+        there = kind.isNotNull()
+        right = kind.rlike(TYPE_NAMES[rule["type"]])
+        if prop in schema.get("required", ()):
+            checks.append(F.when(~there, F.lit(f"missing {name}")))
+        checks.append(F.when(there & ~right, F.lit(f"type of {name}")))
+        text, number = F.try_variant_get(value, at, "string"), F.try_variant_get(value, at, "double")
+        for key, bad in (
+            ("min_length", lambda x, t=text: F.length(t) < x),
+            ("max_length", lambda x, t=text: F.length(t) > x),
+            ("minimum", lambda x, n=number: n < x),
+            ("maximum", lambda x, n=number: n > x),
+            ("pattern", lambda x, t=text: ~t.rlike(x)),
+            ("enum", lambda x, t=text: ~t.isin(*x)),
+        ):
+            if key in rule:
+                checks.append(F.when(there & right & bad(rule[key]), F.lit(f"{key} of {name}")))
+        if "items" in rule:
+            entries = F.try_variant_get(value, at, "array<variant>")
+            fits = TYPE_NAMES[rule["items"]["type"]]
+            wrong = F.exists(entries, lambda e: ~F.coalesce(F.schema_of_variant(e).rlike(fits), F.lit(False)))  # noqa: B023
+            checks.append(F.when(there & right & wrong, F.lit(f"items of {name}")))
+        if "properties" in rule:
+            checks += [F.when(there & right, c) for c in rule_checks(value, rule, at, f"{name}.")]
+    return checks
+
+
 def problems(name: Column, arguments: Column, schemas: dict = SCHEMAS) -> Column:
-    """Sorted list of what is wrong with a call's arguments (JSON text); empty when they fit the tool's schema."""
+    """Sorted list of what is wrong with a call's arguments (JSON text); empty when they fit the tool's schema.
+
+    A schema has ``properties`` with a ``type`` each, ``required`` names, and ``extra`` (whether other properties may be there). A
+    property may have min_length, max_length, pattern, enum, minimum, maximum, ``items`` with the type of an array's
+    entries, and ``properties`` of its own. Text that is no JSON object, or names a key twice, is one problem."""
     value = F.try_parse_json(arguments)
     is_object = F.schema_of_variant(value).startswith("OBJECT<")
     found = F.array(F.lit("unknown tool"))
     for tool, schema in schemas.items():
-        checks = []
-        for prop, rule in schema["properties"].items():
-            path = f"$.{prop}"
-            kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
-            there = kind.isNotNull()
-            right = kind.rlike(TYPE_NAMES[rule["type"]])
-            if prop in schema["required"]:
-                checks.append(F.when(~there, F.lit(f"missing {prop}")))
-            checks.append(F.when(there & ~right, F.lit(f"type of {prop}")))
-            text, number = F.try_variant_get(value, path, "string"), F.try_variant_get(value, path, "double")
-            for key, bad in (
-                ("min_length", lambda x, t=text: F.length(t) < x),
-                ("max_length", lambda x, t=text: F.length(t) > x),
-                ("minimum", lambda x, n=number: n < x),
-                ("maximum", lambda x, n=number: n > x),
-            ):
-                if key in rule:
-                    checks.append(F.when(there & right & bad(rule[key]), F.lit(f"{key} of {prop}")))
-            if "enum" in rule:
-                checks.append(F.when(there & right & ~text.isin(*rule["enum"]), F.lit(f"enum of {prop}")))
+        checks = rule_checks(value, schema)
         listed = F.filter(F.array(*checks), lambda p: p.isNotNull()) if checks else F.array().cast("array<string>")
         if not schema.get("extra", True):
             extra = F.array_except(F.map_keys(value.cast("map<string,variant>")), F.array(*[F.lit(p) for p in schema["properties"]]))
@@ -75,6 +92,15 @@ def problems(name: Column, arguments: Column, schemas: dict = SCHEMAS) -> Column
     return F.array_sort(F.when(F.coalesce(is_object, F.lit(False)), found).otherwise(F.array(F.lit("arguments are no JSON object"))))
 
 
+def canonical_json(text: Column) -> Column:
+    """A JSON text with sorted keys, no white space, and whole numbers without a fraction, however they were written (1, 1.0
+    and 1e0 are 1); null for other texts. Strings are not touched."""
+    made = F.to_json(F.try_parse_json(text))
+    pieces = F.regexp_extract_all(made, F.lit(r'("(?:[^"\\]|\\.)*"|[^"]+)'))
+    plain = F.transform(pieces, lambda p: F.when(F.startswith(p, F.lit('"')), p).otherwise(F.regexp_replace(p, r"(-?\d+)\.0+(?![0-9])", "$1")))
+    return F.when(made.rlike(r"\d\.0"), F.array_join(plain, "")).otherwise(made)
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """``(conv_id, call_id, level)``: how many calls must come before one, along ``after_id``.
 
@@ -104,7 +130,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) ->
     invalid, no result, no call, cycle, or no id for calls and results without identifier, which stay rows of their
     own. ``level`` is the topological level (callers order by level, turn, call_id); null on cycles and without a
     call. The join sides hold one row per identifier, so a hot conversation is spread by its identifiers.
-    JSON keys are sorted and there is no white space; numbers are as Spark's variant type writes them.
+    JSON keys are sorted, there is no white space, and whole numbers have no fraction; other numbers are as Spark's variant
+    type writes them. Empty tables give no rows; texts of any length are taken whole; other columns are left out.
     """
     one_call = (
         calls.filter("call_id IS NOT NULL")
@@ -146,7 +173,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) ->
         F.when(F.col("call_id").isNull(), "no id").when(~called, "no call").when(F.col("level").isNull(), "cycle")
         .when(F.size("problems") > 0, "invalid").when(F.col("n_results") == 0, "no result").otherwise("ok")
     )
-    args = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.lit("null"))
+    args = F.coalesce(canonical_json(F.col("arguments")), F.lit("null"))
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     text = F.concat(
         F.lit('{"arguments":'), args, F.lit(',"call_id":'), json_string(F.col("call_id")), F.lit(',"name":'), json_string(F.col("name")),
@@ -156,7 +183,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) ->
 
 
 def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results in plain conversations: a user or system turn calls ``ask`` or ``instruct``, an assistant turn
+    """Calls and results in plain conversations, which hold no tool calls, so two made-up tools stand for them: a user or system turn calls ``ask`` or ``instruct``, an assistant turn
     is the result of the turn before; a user turn builds on the user turn before, or on the system turn."""
     ident = lambda turn: F.concat_ws("-", F.lit("call"), F.col("conv_id"), turn)
     named = conversations.withColumn("call_id", F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), ident(F.col("turn"))))

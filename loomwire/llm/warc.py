@@ -24,6 +24,8 @@ from loomwire.llm.columns import sized, table
 from loomwire.session import cut, drop_folder, new_folder
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 20, 1 << 28, 3
+#: Frames that a task reads back.
+FRAMES_READ = 8
 # The seekable format's numbers and the WARC profile of a repeated payload.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -178,7 +180,8 @@ def write_bundles(records: DataFrame, folder: str, date: str = "2024-01-01T00:00
 
 
 def read_bundles(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records that ``index`` names (all or a selection), one row each, frame by frame."""
+    """The records that ``index`` names (all or a selection), one row each, frame by frame. A task reads about FRAMES_READ
+    frames: the index is small beside what it points to, so its own size must not decide on the tasks."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -193,7 +196,9 @@ def read_bundles(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
                 found["page_id"] = found["page_id"].astype("Int64")
                 yield found if payloads else found.assign(payload=None)
 
-    frames = index.groupBy("bundle", "frame_start", "frame_size").agg(F.collect_list("offset").alias("offsets"))
+    tasks = -(-index.select("bundle", "frame_start").distinct().count() // FRAMES_READ)
+    dealt = index.repartition(max(1, tasks), "bundle", "frame_start")
+    frames = dealt.groupBy("bundle", "frame_start", "frame_size").agg(F.collect_list("offset").alias("offsets"))
     return frames.mapInPandas(read, RECORDS)
 
 

@@ -1,9 +1,11 @@
 """Operators 1 to 4."""
 
+import zlib
 from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomwire.llm import licenses, quality, shards, tool_calls
 
@@ -137,3 +139,40 @@ def test_tool_call_chains(spark, n):
     calls = [(1, f"c{i}", f"c{i - 1}", i, "ask", "{}") for i in range(n)]
     got = tool_calls.levels(spark.createDataFrame(calls, CALLS)).collect()
     assert {r["call_id"]: r["level"] for r in got} == {f"c{i}": i for i in range(n)}
+
+
+def test_tool_schemas_and_numbers(spark):
+    schema = {
+        "book": {
+            "properties": {
+                "when": {"type": "object", "properties": {"day": {"type": "string", "pattern": r"^\d{4}-\d\d$"}, "hour": {"type": "integer", "maximum": 23}}, "required": ["day"]},
+                "seats": {"type": "array", "items": {"type": "integer"}}, "class": {"type": "string", "enum": ["a", "b"]}, "price": {"type": "number", "minimum": 1},
+            },
+            "required": ["when"], "extra": False,
+        }
+    }
+    cases = [
+        ('{"when": {"day": "2024-01", "hour": 3}, "seats": [1, 2], "class": "a", "price": 1.5}', [], '{"class":"a","price":1.5,"seats":[1,2],"when":{"day":"2024-01","hour":3}}'),
+        ('{"when": {"hour": 24}, "seats": [1, "x"], "class": "c"}', ["enum of class", "items of seats", "maximum of when.hour", "missing when.day"], '{"class":"c","seats":[1,"x"],"when":{"hour":24}}'),
+        ('{"when": {"day": "soon"}, "price": 1.0}', ["pattern of when.day"], '{"price":1,"when":{"day":"soon"}}'),
+        ('{"price": 1e0, "when": 7, "note": "1.0, \\"2.0\\" 3.0"}', ["extra note", "type of when"], '{"note":"1.0, \\"2.0\\" 3.0","price":1,"when":7}'),
+        ('{"price": 10.05, "price": 2}', ["arguments are no JSON object"], "null"), ("", ["arguments are no JSON object"], "null"), (None, ["arguments are no JSON object"], "null"),
+    ]
+    calls = spark.createDataFrame([(1, f"c{i}", None, i, "book", c[0]) for i, c in enumerate(cases)], CALLS).withColumn("status", F.lit("clash"))
+    got = {r["turn"]: r for r in tool_calls.link_calls(calls, spark.createDataFrame([], RESULTS), schema).collect()}
+    for i, (_, wrong, text) in enumerate(cases):
+        assert got[i]["problems"] == wrong, i
+        assert got[i]["json"].startswith('{"arguments":' + text + ',"call_id"'), got[i]["json"]
+    assert tool_calls.link_calls(calls.limit(0), spark.createDataFrame([], RESULTS)).count() == 0
+    long = tool_calls.link_calls(spark.createDataFrame([(1, "x", None, 0, "ask", '{"turn": 1, "prompt": "' + "y " * 300_000 + '"}')], CALLS), spark.createDataFrame([(1, "x", 1, "z" * 500_000)], RESULTS)).first()
+    assert long["problems"] == ["max_length of prompt"] and len(long["json"]) > 1_100_000
+
+
+def test_shard_sizes_and_digests(spark, tmp_path):
+    texts = [None, "", "plain", "é文😀", "x" * 70_000, "plain"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in shards.op2_shards(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        assert (rows[i]["size"], rows[i]["text_crc32"], rows[i]["law"], rows[i]["grown_shard"]) == (len(data) + 16, zlib.crc32(data), "rows", None)
