@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from loomwire.session import cut
 
 
+#: Names that columns of ``df`` may not have.
+RESERVED = ("_g0", "_g1", "_spread", "_cells", "_cell", "_c", "_before", "_place")
+
+
 def rank_in_groups(df: DataFrame, group: list[str], spread: F.Column, rank: str = "rank", cell_rows: int = 4096, order: list[F.Column] | None = None) -> DataFrame:
     """Add ``rank`` (long, gapless from 0) inside each ``group``.
 
     Rows of a group are dealt to cells of about ``cell_rows`` rows by the hash column ``spread``; the rank is
     the cell's offset plus the place in the cell by ``order`` (default: ``spread``). The order of cells is by
     number, so the rank is an arbitrary but repeatable one. ``df`` should be cheap to read twice (checkpointed).
-    Null group values form a group like any other.
+    Null group values form a group like any other. Columns named in RESERVED are used inside.
     """
     keys = [f"_g{i}" for i in range(len(group))]
     sizes = df.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)]).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / cell_rows)).cast("int").alias("_cells"))
