@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +32,18 @@ def fingerprint(text: Column) -> Column:
     return F.when(text.isNotNull(), F.xxhash64(text))
 
 
-def same_row(a: DataFrame, b: DataFrame, names: list[str]) -> list[Column]:
-    """Join condition on equal columns, nulls being equal."""
-    return [a[n].eqNullSafe(b[n]) for n in names]
+def aside(df: DataFrame, used: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with the columns that bear a name an operator uses inside renamed, and what gives them their names back."""
+    used, taken = {u.lower() for u in used}, {c.lower() for c in df.columns}
+    names: dict[str, str] = {}
+    for c in df.columns:
+        if c.lower() in used:
+            other = f"{c}_given"
+            while other.lower() in taken | used:
+                other += "_"
+            taken.add(other.lower())
+            names[c] = other
+    return df.withColumnsRenamed(names), lambda out: out.withColumnsRenamed({v: k for k, v in names.items()})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

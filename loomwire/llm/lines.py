@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwire.llm import minhash
-from loomwire.llm.columns import WORD, row_key, sized, table
+from loomwire.llm.columns import WORD, aside, row_key, sized, table
 from loomwire.operators.graph import connected_components
 from loomwire.session import Workspace, cut, stored
 
@@ -322,7 +322,8 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     every repeated line. First comes the first document that the next stage keeps. A document of which no word would be left
     keeps its first line with a word, so no row is lost here.
     """
-    return without_lines(docs, repeated_lines(docs)).select(*docs.columns)
+    docs, back = aside(docs, ["row_key", "gone"])
+    return back(without_lines(docs, repeated_lines(docs)).select(*docs.columns))
 
 
 def op7_lines(spark, sf_dir: str) -> DataFrame:

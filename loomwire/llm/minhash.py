@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwire.llm.columns import row_key, sized, table
+from loomwire.llm.columns import aside, row_key, sized, table
 from loomwire.llm.hashing import minima, mix, shingle_sets, signed
 from loomwire.operators.graph import connected_components
 from loomwire.session import Workspace, cut, stored
@@ -270,13 +270,14 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     The rows to drop are joined, not those to keep: they are fewer, and up to a checked number of them are broadcast.
     """
+    docs, back = aside(docs, ["row_key"])
     marked = cut(near_duplicates(docs).groupBy("row_key").agg(F.count("*").alias("n"), F.max("kept").alias("kept")))
     gone = marked.filter("NOT kept OR n > 1").select("row_key")
     again = marked.filter("kept AND n > 1").select("row_key")
     keyed = docs.withColumn("row_key", row_key())
     once = keyed.join(sized(gone, gone.count()), "row_key", "left_anti")
     repeated = keyed.join(sized(again, again.count()), "row_key", "left_semi").dropDuplicates(["row_key"])
-    return once.unionByName(repeated).select(*docs.columns)
+    return back(once.unionByName(repeated).select(*docs.columns))
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwire.llm.columns import row_key, sized, table, word_count
+from loomwire.llm.columns import aside, row_key, sized, table, word_count
 from loomwire.llm.hashing import mix
 from loomwire.session import cut
 
@@ -155,13 +155,14 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: flo
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with every row as often as the mix takes it; documents without words are left out."""
+    docs, back = aside(docs, ["row_key", "copies", "n", "copy"])
     counts = cut(mix_sources(docs, **how).groupBy("row_key").agg(F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(0)).alias("copies"), F.count("*").alias("n")))
     keyed = docs.withColumn("row_key", row_key())
     out = keyed.join(counts.filter("n = 1 AND copies > 0"), "row_key")
     again = counts.filter("n > 1 AND copies > 0")
     if n := again.count():
         out = out.unionByName(keyed.join(sized(again, n), "row_key").dropDuplicates(["row_key"]))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return back(out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

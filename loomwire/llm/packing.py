@@ -17,9 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwire.llm.columns import count_at_most, table
+from loomwire.llm.columns import aside, count_at_most, table
 from loomwire.llm.tokens import default_path, encoder
-from loomwire.operators.ranking import rank_in_groups
+from loomwire.operators.ranking import RESERVED, rank_in_groups
 from loomwire.session import cut, stored
 
 CAPACITY, GROUPS, SMALL = 2048, 512, 256
@@ -137,13 +137,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small
     """Add ``sequence_id`` and ``offset`` to ``items`` (any columns, with ``length`` from 1 to ``capacity``).
 
     Sequences hold at most ``capacity`` tokens and their pieces lie gapless from 0. Items that repeat are packed one by
-    one; no items give no rows. ``items`` should be cheap to read again (stored). The columns ``_kind``, ``_rank``,
-    ``_plan``, ``_room`` and ``_seat`` are used inside.
+    one; no items give no rows. ``items`` should be cheap to read again (stored). They may not have the two columns added.
     """
+    items, back = aside(items, ["_kind", "_rank", "_plan", "_room", "_seat", "_spot", *RESERVED])
     spark, columns = items.sparkSession, items.columns
     histogram = {int(r["length"]): r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     if not histogram:
-        return items.select(*columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        return back(items.select(*columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
     classes = grouped(histogram, groups, small)
     plan, base, begun = {i: [] for i in range(len(classes))}, 0, [0] * len(classes)
     for times, took in configurations(classes, capacity):
@@ -186,7 +186,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small
     every = large.unionByName(fresh).unionByName(filled)
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), *[c for c in columns if c != "length"])  # at most ``capacity`` rows
     running = F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return every.select(*columns, "sequence_id", (running - F.col("length")).cast("long").alias("offset"))
+    return back(every.select(*columns, "sequence_id", (running - F.col("length")).cast("long").alias("offset")))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:

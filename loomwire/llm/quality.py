@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwire.llm.columns import SPACE, fingerprint, let, table, words
+from loomwire.llm.columns import SPACE, aside, fingerprint, let, table, words
 from loomwire.session import stored
 
 SYMBOLS = "#*$%&|<>"
@@ -128,12 +128,13 @@ def clean_lines(text: Column, host: Column, gone: Column) -> Column:
 
 def filter_documents(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """The documents that pass, without their boilerplate lines; the columns stay, ``n_chars`` follows the text."""
+    docs, back = aside(docs, ["_d", "_t", "removed_lines"])
     verdict = quality_rules(docs, host, **limits).filter("kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "removed_lines").distinct()
     on = docs["doc_id"].eqNullSafe(F.col("_d")) & fingerprint(docs["text"]).eqNullSafe(F.col("_t"))
     out = docs.join(verdict, on).withColumn("text", clean_lines(F.col("text"), F.col(host), F.col("removed_lines")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("removed_lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    return back(out.select(*docs.columns))
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

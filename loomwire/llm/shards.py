@@ -14,8 +14,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwire.llm.columns import count_at_most, table
-from loomwire.operators.ranking import rank_in_groups
+from loomwire.llm.columns import aside, count_at_most, table
+from loomwire.operators.ranking import RESERVED, rank_in_groups
 from loomwire.session import cut
 
 SHARDS, VNODES = 40, 64
@@ -70,9 +70,11 @@ def shard(keys: DataFrame, key: str, n_shards: int = SHARDS, vnodes: int = VNODE
     With ``slack`` 0 the row counts of two shards differ by at most one; with ``slack`` e a shard holds at most
     its even share times 1 + e, and fewer rows move when a shard is added. Rows with one key share an arc but
     spill over like any others, so a hot key (null is a key too) cannot overfill a shard. Repeated rows are placed
-    one by one. Columns named ``_arc``, ``_n``, ``_pieces``, ``rank`` are used inside. An empty table gives none.
+    one by one. An empty table gives none; ``keys`` may not have the two columns added.
     Which of two equal keys goes where follows from a hash of the whole row; the result is repeatable.
     """
+    given, (keys, back) = key, aside(keys, ["_arc", "_pieces", "rank", "_mine", *RESERVED])
+    key = keys.columns[back(keys).columns.index(given)]
     points = ring_points(n_shards, vnodes)
     owners = [s for _, s in points]
     columns = keys.columns
@@ -92,7 +94,7 @@ def shard(keys: DataFrame, key: str, n_shards: int = SHARDS, vnodes: int = VNODE
     ranked = rank_in_groups(rows, ["_arc"], F.xxhash64(F.lit(2), *[F.col(c) for c in columns]), "rank")
     mine = F.element_at(F.filter("_pieces", lambda p: p["first"] <= F.col("rank")), -1)
     placed = ranked.join(F.broadcast(plan), "_arc").withColumn("_mine", mine)
-    return placed.select(*columns, F.col("_mine.shard").alias("shard"), (F.col("_mine.slot") + F.col("rank") - F.col("_mine.first")).alias("slot"))
+    return back(placed.select(*columns, F.col("_mine.shard").alias("shard"), (F.col("_mine.slot") + F.col("rank") - F.col("_mine.first")).alias("slot")))
 
 
 def op2_shards(spark, sf_dir: str) -> DataFrame:

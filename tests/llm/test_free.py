@@ -297,13 +297,18 @@ def test_tokens_equal_the_library():
 
 def test_packing(spark):
     rng = random.Random(6)
-    texts = [" ".join(rng.choice(["alpha", "bez", "c", "Ünder"]) for _ in range(rng.choice([1, 5, 50, 300, 900, 2500, 9000]))) for _ in range(150)] + [None, ""]
+    texts = [" ".join(rng.choice(["alpha", "bez", "c", "Ünder", "<|endoftext|>"]) for _ in range(rng.choice([1, 5, 50, 300, 900, 2500, 9000]))) for _ in range(150)] + [None, ""]
     d = docs(spark, texts)
     got = packing.pack_documents(d.unionByName(d.limit(3))).collect()
-    tool = tokens.encoder(tokens.default_path())
+    from tokenizers import Tokenizer
+
+    library, known = Tokenizer.from_file(tokens.default_path()), {}
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        known[i] = struct.pack(f"<{len(ids)}I", *ids)
     held: dict = {}
     for r in got:
-        ids = tool.encode(texts[r["doc_id"]]) + b"\0\0\0\0"
+        ids = known[r["doc_id"]]
         assert zlib.crc32(ids[4 * r["start"] : 4 * (r["start"] + r["length"])]) == r["ids_crc32"] and 1 <= r["length"] <= 2048
         held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for spans in held.values():
@@ -313,7 +318,7 @@ def test_packing(spark):
             end += length
         assert end <= 2048
     total = sum(r["length"] for r in got)
-    assert total == sum(len(tool.encode(t)) // 4 + 1 for t in [*texts, *texts[:3]])
+    assert total == sum(len(known[i]) // 4 for i in [*range(len(texts)), 0, 1, 2])
     bins: list[int] = []
     for length in sorted((r["length"] for r in got), reverse=True):  # best fit decreasing, piece by piece
         fits = [i for i, used in enumerate(bins) if used + length <= 2048]
@@ -405,20 +410,38 @@ def test_pivotal_keeps_expectation():
 
 
 def test_pipeline(spark, tmp_path):
+    """Whole stages over copies, repeated rows, nulls, and columns that clash with the operators' own."""
     import corpus_pipeline
 
     rng = random.Random(8)
     own = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40))
     texts = [own() for _ in range(60)]
     texts += [texts[0]] * 5 + [texts[1] + " end", "too short", None, ""]
-    d = docs(spark, texts, source=lambda i: "ab"[i % 2]).drop("node", "row_key")
+    d = docs(spark, texts, source=lambda i: "ab"[i % 2]).withColumns({"copies": F.lit("c"), "_d": F.lit("d"), "_KIND": F.lit("k"), "gone": F.lit("g")})
+    d = d.unionByName(d.filter("doc_id IN (2, 3)"))
     d.write.parquet(f"{tmp_path}/documents.parquet")
     now, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
     for _, stage in corpus_pipeline.STAGES[:-1]:
         now = stage(spark, now, str(tmp_path))
         assert now.columns == d.columns
-        seen.append(sorted(r["doc_id"] for r in now.select("doc_id").collect()))
-    assert seen[0] == list(range(66)) and seen[1] == seen[0] and seen[2] == list(range(60))
+        rows = now.collect()
+        assert {(r["node"], r["row_key"], r["copies"], r["_d"], r["_KIND"], r["gone"]) for r in rows} == {("x", "y", "c", "d", "k", "g")}
+        seen.append(sorted(r["doc_id"] for r in rows))
+    assert seen[0] == sorted([*range(66), 2, 3]) and seen[1] == seen[0] and seen[2] == list(range(60))
     assert set(seen[3]) <= set(range(60))
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in packed) == seen[3]
+
+
+def test_pipeline_on_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    docs(spark, []).drop("node", "row_key").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_packing_keeps_columns(spark):
+    items = spark.createDataFrame([(i, 1 + i * 37 % 2048, "a", 7) for i in range(300)], "rank long, length long, _kind string, _c int")
+    got = packing.pack(items)
+    assert got.columns == [*items.columns, "sequence_id", "offset"]
+    assert sorted(map(tuple, got.select(*items.columns).collect())) == sorted(map(tuple, items.collect()))
