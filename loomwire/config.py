@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# Thresholds and limits with which results agree.
 @dataclass(frozen=True)
 class FusionConfig:
     tombstone_ttl_days: int = 30
@@ -56,7 +57,8 @@ ACTION_HINTS = [
 
 # Capitalised words that are no entities.
 ENTITY_STOPWORDS = [
-    "After", "Before", "Fashion", "From", "Into", "News", "Over", "Report", "Review", "Style", "That", "The", "This", "Under", "Week", "With",
+    "The", "This", "That", "With", "From", "Into", "Over", "Under", "After", "Before",
+    "Fashion", "Style", "Week", "News", "Report", "Review",
 ]
 
 # Categories by name, and the names shown for their identifiers.

@@ -99,7 +99,9 @@ def first_wins(names: Column, limit: int) -> Column:
     return let(low, lambda x: F.slice(F.filter(names, lambda n, i: F.array_position(x, F.get(x, i)) == i + 1), 1, limit))
 
 
+# What counts as a name, as capitals, as a Chinese run, and the characters kept of them.
 _NAME = r"\b[A-Z][A-Za-z0-9&'/-]{1,}(?:\s+[A-Z][A-Za-z0-9&'/-]{1,}){0,2}"
+_CAPITALS, _CHINESE, _UNKEPT = r"(\b[A-Z]{2,}\b)", "([一-鿿]{2,6})", r"[^0-9A-Za-z一-鿿&'\- ]"
 
 
 def extract_entities(text: Column, limit: int = 12) -> Column:
@@ -108,10 +110,10 @@ def extract_entities(text: Column, limit: int = 12) -> Column:
     t = full(text)
     found = F.concat(
         F.regexp_extract_all(t, F.lit(f"({_NAME})")),
-        F.regexp_extract_all(t, F.lit(r"(\b[A-Z]{2,}\b)")),
-        F.slice(F.regexp_extract_all(t, F.lit("([一-鿿]{2,6})")), 1, 20),
+        F.regexp_extract_all(t, F.lit(_CAPITALS)),
+        F.slice(F.regexp_extract_all(t, F.lit(_CHINESE)), 1, 20),
     )
-    clean = F.transform(found, lambda x: F.trim(F.regexp_replace(x, "[^0-9A-Za-z一-鿿&'\\- ]", "")))
+    clean = F.transform(found, lambda x: F.trim(F.regexp_replace(x, _UNKEPT, "")))
     kept = F.filter(clean, lambda x: (F.length(x) >= 2) & ~x.isin(*ENTITY_STOPWORDS))
     return let(kept, lambda k: first_wins(k, limit))
 

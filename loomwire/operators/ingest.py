@@ -71,11 +71,12 @@ def build_articles(entries: DataFrame, sources: DataFrame, run_ts: Column) -> Da
     all but the first three may be missing). Entries whose id would be empty are left out."""
     e = with_source(entries, sources)
     strip = F.col("source_strip_query_params")
-    link = first_of(normalize_url(F.col("link"), strip), F.trim(full(F.col("link"))))
-    canonical = first_of(normalize_url(given(entries, "canonical_url", "string"), strip), link)
     text = full(given(entries, "content_text", "string"))
     raw = given(entries, "published", "string")
-    e = e.withColumns({"_link": link, "_canonical": canonical})
+    # in steps, so that each address is normalised once
+    e = e.withColumns({"_link": normalize_url(F.col("link"), strip), "_canonical": normalize_url(given(entries, "canonical_url", "string"), strip)})
+    e = e.withColumn("_link", first_of(F.col("_link"), F.trim(full(F.col("link")))))
+    e = e.withColumn("_canonical", first_of(F.col("_canonical"), F.col("_link")))
     snippet = first_of(F.substring(text, 1, DEFAULT.snippet_chars), F.substring(full(given(entries, "snippet", "string")), 1, DEFAULT.snippet_chars))
     out = e.select(
         article_id(F.col("_canonical"), F.col("title"), F.col("source_id")).alias("id"), F.trim(full(F.col("title"))).alias("title"),
