@@ -951,8 +951,8 @@ def incremental_run_violations(spark, sf_dir):
 
 @query(f"SELECT {bucket_sql('ts')} AS bucket, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_parity(spark, sf_dir):
-    """The six-hour counts as a stream that reads the table once, its last windows closed by their watermark being
-    held back until the end; equal to the batch."""
+    """The six-hour counts of a stream, micro-batch by micro-batch and summed at the end; equal to the batch. Windows with a
+    watermark (T8) are tested in tests/test_streaming.py."""
     from loomwire.session import new_folder
     from loomwire.streaming.jobs import stream_articles
 
