@@ -6,6 +6,7 @@ executor shares. Only where that setting is absent and the master is local (test
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -122,4 +123,8 @@ class Workspace:
             drop_folder(self.spark, f"{self.root}/{name}")
 
     def close(self) -> None:
+        """Drop all tables, and let Spark's cleaner find the checkpoints and broadcasts that no step holds any more: it
+        goes by the driver's garbage collector, which may not run for long while the driver is idle."""
         drop_folder(self.spark, self.root)
+        gc.collect()
+        self.spark._jvm.System.gc()
