@@ -109,14 +109,17 @@ def in_groups(facing: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFra
     return rows.join(open_.select("hub"), "hub")
 
 
-def central_pairs(rows: DataFrame, every: DataFrame) -> DataFrame:
+def counted(every: DataFrame) -> DataFrame:
+    """``every(hub, node, shingle)`` with ``times``, in how many of the group's texts a shingle is."""
+    return every.join(every.groupBy("hub", "shingle").agg(F.count("*").alias("times")), ["hub", "shingle"])
+
+
+def central_pairs(rows: DataFrame, timed: DataFrame) -> DataFrame:
     """``(hub, node)`` where ``hub`` is the most central of the given members of a group and ``node`` one in another component.
 
     The sum over a text's shingles of the number of texts that hold them is its overlap with all texts of the group
     together, so this is linear in the shingles."""
-    mine = every.join(rows.select("hub", "node"), ["hub", "node"])
-    times = mine.groupBy("hub", "shingle").agg(F.count("*").alias("times"))
-    total = mine.join(times, ["hub", "shingle"]).groupBy("hub", "node").agg(F.sum("times").alias("total"))
+    total = timed.groupBy("hub", "node").agg(F.sum("times").alias("total"))
     sizes = rows.groupBy("hub").agg(F.count("*").alias("k"), F.avg("n").alias("mean"))
     overlap = F.col("total") / F.col("k")
     scored = total.join(sizes, "hub").join(rows, ["hub", "node"]).withColumn("score", overlap / (F.col("n") + F.col("mean") - overlap))
@@ -131,19 +134,17 @@ def outside(rows: DataFrame) -> DataFrame:
     return rows.join(many.select("hub", F.col("main.component").alias("main")), "hub").filter("component <> main").drop("main")
 
 
-def rest_pairs(members: DataFrame, every: DataFrame, space: Workspace) -> DataFrame:
+def rest_pairs(members: DataFrame, timed: DataFrame, space: Workspace) -> DataFrame:
     """Candidate pairs of members of one group that are in different components still.
 
     Under any order of shingles two sets of the wanted similarity share one of their first n - ceil(0.75 n) + 1, and
     the first shared one lies early enough in both to leave room for the overlap (Xiao et al. 2008). Here each
     group has its own order, with the shingles common in the group last; so texts that have no more in common than the
     group's passage, or than all copies of one text, do not meet. Of the components that hold a shingle the largest
-    only waits for the others, so its members never meet one another. ``every(hub, node, shingle)`` has the groups' sets.
+    only waits for the others, so its members never meet one another. ``timed`` is what :func:`counted` gives.
     """
     members = space.store(members, "members")
-    every = every.join(members.select("hub").distinct(), "hub", "left_semi")
-    times = every.groupBy("hub", "shingle").agg(F.count("*").alias("times"))
-    ranked = every.join(times, ["hub", "shingle"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("s"))  # one text's
+    ranked = timed.join(members.select("hub").distinct(), "hub", "left_semi").groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("s"))  # one text's
     first = F.size("s") - F.ceil(F.size("s") * PERCENT / 100).cast("int") + 1
     keys = ranked.select("hub", "node", F.posexplode(F.slice("s", F.lit(1), first)).alias("place", "s")).join(members, ["hub", "node"])
     keys = space.store(keys.select("hub", "node", "n", "component", "s.shingle", F.col("place").cast("long").alias("place")), "prefixes")
@@ -179,9 +180,9 @@ def candidate_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(shared, "key")
 
 
-def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+def relabelled(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     """The components ``(node, component)`` after ``edges`` too, given those before."""
-    if not labels.limit(1).count():
+    if labels is None:
         return cut(connected_components(edges))
     names = labels.select("node", "component")
     for end in ("src", "dst"):
@@ -222,17 +223,28 @@ def link(prof: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
     space.drop("found")
     texts = space.store(texts_of(buckets, nodes, docs), "texts")
     facing = space.store(hubs_of(buckets), "facing")
+    space.drop("buckets")
+    of = facing.join(facing.groupBy("hub").agg(F.count("*").alias("k")), "hub")
+    couples, facing = of.filter("k = 2 AND node <> hub").select("hub", "node"), of.filter("k > 2").select("hub", "node")
     every = space.store(facing.join(texts, "node").select("hub", "node", "text").mapInPandas(_explode, "hub long, node long, shingle long"), "shingles")
-    labels = docs.sparkSession.createDataFrame([], "node long, component long")
-    met = rows = in_groups(facing, nodes, labels)
-    while n := (pairs := sized_pairs(central_pairs(met, every).distinct(), nodes)).count():
+    timed = space.store(counted(every), "timed")
+    space.drop("shingles")
+    # a couple is decided by its one pair; larger groups go on from their centres
+    alone = facing.join(nodes.select("node", "n"), "node").withColumn("component", F.col("node"))
+    pairs, labels = sized_pairs(central_pairs(alone, timed).unionByName(couples).distinct(), nodes), None
+    while n := pairs.count():
         edges = confirm(pairs, texts)
         labels = relabelled(labels, edges)
         rows = cut(in_groups(facing, nodes, labels))
         if edges.count() * YIELD < n:
             break
         met = cut(outside(rows))
-    pairs = rest_pairs(rows, every, space)
+        fresh = counted(timed.select("hub", "node", "shingle").join(met.select("hub", "node"), ["hub", "node"]))
+        pairs = sized_pairs(central_pairs(met, fresh).distinct(), nodes)
+    if labels is None:  # no size fits its centre's
+        labels = docs.sparkSession.createDataFrame([], "node long, component long")
+        rows = cut(in_groups(facing, nodes, labels))
+    pairs = rest_pairs(rows, timed, space)
     return relabelled(labels, confirm(pairs, texts)) if pairs.limit(1).count() else labels
 
 
