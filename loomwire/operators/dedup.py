@@ -6,15 +6,21 @@ same article: same source or host, at most three days apart, and equal content h
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwire.config import DEFAULT
 from loomwire.functions.text import first_of, normalize_title, title_bigrams
 from loomwire.functions.times import within_days
-from loomwire.session import cut
+from loomwire.operators.graph import connected_components
+from loomwire.session import Workspace, cut
 
 DAY = 86_400
+#: Rows of a component up to which one task scans it; larger ones are swept in slices of about so many.
+TASK_ROWS = 100_000
 
 
 def primary_key() -> Column:
@@ -110,51 +116,102 @@ def probable_same_pairs(articles: DataFrame, days: int = DEFAULT.dedup_days) ->
     return out.groupBy("id_hi", "id_lo").agg(F.min("why").alias("why")).select("id_hi", "id_lo", F.col("why.name").alias("reason"))
 
 
-def dedup_articles(articles: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
+def _spots(f: DataFrame) -> DataFrame:
+    """``(id, at, owner)``: the values an article has (as owner) or asks for: content hash, title, title bigrams, and the bigrams
+    of titles like its own, each in its scopes."""
+    scoped = _scoped(f.filter("published IS NOT NULL"))
+    place = lambda value, kind, owner: F.struct(F.xxhash64(F.lit(kind), "scope", value).alias("at"), F.lit(owner).alias("owner"))
+    equal = F.array(*[F.when(F.col(c).isNotNull(), place(F.xxhash64(c), c, True)) for c in ("content_hash", "norm", "grams")])
+    own = scoped.select("id", F.explode(equal).alias("p")).filter("p IS NOT NULL")
+    alike = scoped.select("id", "scope", "grams").join(title_pairs(scoped), ["scope", "grams"]).select("id", place(F.xxhash64("other"), "grams", False).alias("p"))
+    return own.unionByName(alike).groupBy("id", "p.at").agg(F.max("p.owner").alias("owner"))
+
+
+def _scan(span: int):
+    """The greedy scan over rows that come by component and, inside it, newest first. What a component needs to remember is
+    the last kept row of each value, and the kept keys."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, keys, last = None, set(), {}
+        for batch in batches:
+            ids, reasons = [], []
+            for component, id_, key, order, offset, asks, owns, known, taken in zip(
+                *(batch[c].to_numpy(object) for c in ("component", "id", "key", "order_us", "has_offset", "asks", "owns", "known", "taken")), strict=True
+            ):
+                if component != now:
+                    now, keys, last = component, set(), {}
+                kept = known
+                if not known:
+                    if taken or (key is not None and key in keys):
+                        reason = "key"
+                    elif any(order - last.get((at, offset), -(1 << 63)) <= span for at in asks):
+                        reason = "fuzzy"
+                    else:
+                        kept, reason = True, "kept"
+                    ids.append(id_)
+                    reasons.append(reason)
+                if kept:
+                    keys.add(key)
+                    last.update(((at, offset), order) for at in owns)
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "reason": pd.Series(reasons, dtype=object)})
+
+    return run
+
+
+def dedup_articles(articles: DataFrame, task_rows: int = TASK_ROWS) -> tuple[DataFrame, DataFrame]:
     """D3: the kept articles, and ``(id, reason)`` of those dropped (``key`` or ``fuzzy``).
 
-    Equal to one scan newest first in which only kept rows count. It runs in rounds over undecided rows: a row without
-    an earlier undecided or kept neighbour is kept; one with an earlier kept neighbour is dropped. Neighbours are never held
-    as pairs of articles: the first row of a key is an aggregate, and what is equal or similar within three days is looked up
-    in windows over a scope, a value and six days, where an article stands under its own title and asks under those like
-    it. Each round is checkpointed. Rows of unknown time have no probable-same neighbours.
+    One scan newest first, in which only kept rows count, done apart in each component of rows that may concern each other:
+    those with one key, or with one value in one scope within neighbouring buckets of three days. A row that shares nothing is kept. Components
+    are spread over tasks, each streaming its own in order. One of more than ``task_rows`` rows is swept in slices of days, newest
+    first, each slice a job that starts from the rows the slices before have kept; so no chain, however long, needs more
+    jobs than it has slices. Rows of unknown time have no probable-same neighbours. No pairs of articles are made.
     """
     f = cut(features(articles).withColumn("order_us", -F.coalesce(F.unix_micros("published"), F.lit(-(1 << 62)))))
-    scoped = _scoped(f.filter("published IS NOT NULL"))
-    place = lambda value, kind, owner: F.struct(F.lit(kind).alias("kind"), "scope", value.alias("value"), F.lit(owner).alias("owner"))
-    equal = scoped.select("id", F.explode(F.array(*[F.when(F.col(c).isNotNull(), place(F.xxhash64(c), c, True)) for c in ("content_hash", "norm", "grams")])).alias("p")).filter("p IS NOT NULL")
-    alike = scoped.select("id", "scope", "grams").join(title_pairs(scoped), ["scope", "grams"]).select("id", place(F.xxhash64("other"), "grams", False).alias("p"))
-    span = DEFAULT.dedup_days * DAY * 1_000_000
-    places = equal.unionByName(alike).select("id", F.xxhash64("p.kind", "p.scope", "p.value").alias("at"), "p.owner").distinct()
-    # rows ask for newer ones, so a row that owns its value also stands in the bucket before its own
-    timed = f.select("id", "has_offset", "order_us", F.floor(F.col("order_us") / span).alias("b"))
-    asks = places.join(timed, "id").select("id", "at", "has_offset", "order_us", "b", F.lit(True).alias("asks"), "owner")
-    places = cut(asks.unionByName(asks.filter("owner").withColumns({"b": F.col("b") + 1, "asks": F.lit(False)})))
-    frame = Window.partitionBy("at", "has_offset", "b").orderBy("order_us").rangeBetween(-span, 0)
-    rank = F.struct("order_us", "id")
-    state = f.select("id", "key", "order_us", F.lit("open").alias("status"), F.lit(None).cast("string").alias("reason"))
-    for _ in range(max_rounds):
-        live = state.filter("status <> 'dropped'").select("id", "key", "order_us", (F.col("status") == "kept").alias("is_kept"))
-        firsts = live.filter("key IS NOT NULL").groupBy("key").agg(F.min(F.when(F.col("is_kept"), rank)).alias("kept"), F.min(rank).alias("first"))
-        by_key = live.join(firsts, "key").select("id", F.coalesce(F.col("kept") < rank, F.lit(False)).alias("kept"), (F.col("first") < rank).alias("waits"), F.lit("key").alias("reason"))
-        here = places.join(live.select("id", "is_kept"), "id")
-        kept = F.min(F.when(F.col("is_kept") & F.col("owner"), rank)).over(frame) < rank
-        waits = F.min(F.when(F.col("owner"), rank)).over(frame) < rank
-        near = here.select("id", "asks", F.coalesce(kept, F.lit(False)).alias("kept"), F.coalesce(waits, F.lit(False)).alias("waits"), F.lit("fuzzy").alias("reason"))
-        told = by_key.unionByName(near.filter("asks").drop("asks")).groupBy("id").agg(
-            F.max(F.when(F.col("kept") & (F.col("reason") == "key"), 2).when(F.col("kept"), 1).otherwise(0)).alias("hit"), F.max("waits").alias("waits")
-        )
-        step = state.join(told, "id", "left")
-        is_open = F.col("status") == "open"
-        status = F.when(~is_open, F.col("status")).when(F.col("hit") > 0, F.lit("dropped")).when(F.coalesce("waits", F.lit(False)), F.lit("open")).otherwise("kept")
-        why = F.when(is_open & (F.col("hit") == 2), "key").when(is_open & (F.col("hit") == 1), "fuzzy").otherwise(F.col("reason"))
-        state = cut(step.select("id", "key", "order_us", status.alias("status"), why.alias("reason")))
-        if not state.filter("status = 'open'").limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"deduplication did not settle in {max_rounds} rounds")
-    kept = articles.join(state.filter("status = 'kept'").select("id"), "id", "left_semi")
-    return kept, state.filter("status = 'dropped'").select("id", "reason")
+    spots, span = cut(_spots(f)), DEFAULT.dedup_days * DAY * 1_000_000
+    # rows ask for newer ones, so a row that has a value also stands in the bucket after its own
+    bucket = F.floor(F.col("order_us") / span)
+    met = spots.join(f.select("id", "has_offset", bucket.alias("b")), "id")
+    cell = lambda b: F.xxhash64("at", "has_offset", b).alias("cell")
+    cells = met.select("id", cell(F.col("b"))).unionByName(met.filter("owner").select("id", cell(F.col("b") + 1)))
+    cells = cells.unionByName(f.filter("key IS NOT NULL").select("id", F.xxhash64(F.lit("key"), "key").alias("cell")))
+    shared = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+    # nodes are hashes: two that fall together join components, which does not change what a scan finds
+    edges = cells.join(shared, "cell").select(F.xxhash64(F.lit("row"), "id").alias("src"), F.col("cell").alias("dst"))
+    labels = connected_components(edges).withColumnRenamed("node", "src")
+    mine = cut(f.select("id", F.xxhash64(F.lit("row"), "id").alias("src"), F.floor(F.col("order_us") / (DAY * 1_000_000)).alias("day")).join(labels, "src").drop("src"))
+    days = mine.groupBy("component", "day").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("component").orderBy("day")) - F.col("n")  # one row a day
+    part = F.floor(before / task_rows).alias("part")
+    slices = days.select("component", "day", part).withColumn("slice", F.dense_rank().over(Window.partitionBy("component").orderBy("part")) - 1)
+    slices = cut(slices.select("component", "day", "slice"))
+    listed = spots.groupBy("id").agg(F.collect_list("at").alias("asks"), F.collect_list(F.when(F.col("owner"), F.col("at"))).alias("owns"))
+    none, space = F.array().cast("array<long>"), Workspace(articles.sparkSession, "dedup")
+    rows = mine.join(slices, ["component", "day"]).join(f.select("id", "key", "order_us", "has_offset"), "id").join(listed, "id", "left")
+    rows = space.store(rows.withColumns({"asks": F.coalesce("asks", none), "owns": F.coalesce("owns", none), "known": F.lit(False)}).drop("day"), "rows")
+    kind, last = f"id {f.schema['id'].dataType.simpleString()}, reason string", slices.agg(F.max("slice")).first()[0]
+    scanned = lambda df: df.repartition("component").sortWithinPartitions("component", "order_us", "id").mapInPandas(_scan(span), kind)
+    carried = rows.limit(0)
+    for at in range(0 if last is None else last + 1):
+        now = rows.filter(F.col("slice") == at)
+        if at:
+            seen = articles.sparkSession.read.parquet(f"{space.root}/keys").select("key").distinct().withColumn("taken", F.lit(True))
+            now = now.join(seen, "key", "left")
+        now = (now if at else now.withColumn("taken", F.lit(False))).withColumn("taken", F.coalesce("taken", F.lit(False)))
+        found = space.store(scanned(now.unionByName(carried.withColumn("taken", F.lit(False)))), f"decided/slice={at}")
+        if at < last:
+            kept = now.drop("taken").join(found.filter("reason = 'kept'").select("id"), "id", "left_semi").withColumn("known", F.lit(True))
+            space.store(kept.filter("key IS NOT NULL").select("key"), f"keys/slice={at}")
+            ends = now.groupBy("component").agg(F.max("order_us").alias("end"))
+            near = carried.unionByName(kept).join(ends, "component").filter(F.col("order_us") >= F.col("end") - span).drop("end")
+            carried = cut(near.select(*rows.columns))
+    if last is None:
+        space.close()
+        return articles, f.select("id", F.lit("").alias("reason")).limit(0)
+    decided = articles.sparkSession.read.schema(kind).parquet(*[f"{space.root}/decided/slice={at}" for at in range(last + 1)])
+    dropped = cut(decided.filter("reason <> 'kept'"))
+    space.close()
+    return articles.join(dropped.select("id"), "id", "left_anti"), dropped
 
 
 def dedup_stats(kept: DataFrame, dropped: DataFrame) -> DataFrame:

@@ -53,13 +53,13 @@ def _hook(edges: DataFrame) -> DataFrame:
     return small.filter("src <> dst").distinct()
 
 
-def connected_components(edges: DataFrame, vertices: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """Label every node by the least node it is connected with: ``(node, component)``.
 
     ``edges`` has ``src`` and ``dst`` of one orderable type; rows with a null end and loops are ignored.
     ``vertices(node)`` adds nodes without edges, which label themselves; without it only nodes that have an
     edge are returned. Each partition first shrinks to a spanning forest, then alternating large-star and
-    small-star rounds (Kiveris et al. 2014) run until the edges stand still; each round is checkpointed, so a
+    small-star rounds (Kiveris et al. 2014) run until the edges stand still, which they must, for every move is to a smaller node; each round is checkpointed, so a
     lost executor costs one round. The hub of a star is joined through an aggregate, never gathered in one
     task, and AQE may split it. No edges give no rows (or the vertices alone).
     """
@@ -68,14 +68,11 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ma
     forest = cut(clean.mapInPandas(_forest, f"src {kind.simpleString()}, dst {kind.simpleString()}"))
     seen = _state(forest)
     if seen[0]:
-        for _ in range(max_rounds):
+        while True:
             forest = cut(_hook(forest))
-            now = _state(forest)
-            if now == seen:
+            before, seen = seen, _state(forest)
+            if seen == before:
                 break
-            seen = now
-        else:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     labels = forest.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
     roots = forest.select(F.col("dst").alias("node")).distinct().withColumn("component", F.col("node"))
     labels = labels.unionByName(roots.join(labels, "node", "left_anti")) if seen[0] else labels

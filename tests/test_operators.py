@@ -5,6 +5,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomwire.operators import cluster as cl
@@ -71,6 +72,43 @@ def test_dedup_equals_one_scan(spark):
     assert {tuple(sorted((r["id_hi"], r["id_lo"]))) for r in dd.probable_same_pairs(df).collect()} == pairs
 
 
+def scanned(rows):
+    """The scan newest first over ``(id, hour, title, content_hash, key)`` of one source, by memory of what each value last kept."""
+    kept, dropped = [], {}
+    for r in sorted(rows, key=lambda r: (-r[1], r[0])):
+        hit = [k for k in kept[-400:] if k[1] - r[1] <= 72 and (k[2] == r[2] or k[3] == r[3])]
+        if r[4] in {k[4] for k in kept}:
+            dropped[r[0]] = "key"
+        elif hit:
+            dropped[r[0]] = "fuzzy"
+        else:
+            kept.append(r)
+    return {r[0] for r in kept}, dropped
+
+
+@pytest.mark.parametrize("hours, step, task_rows", [(48 * 24, 24, 100_000), (2 * 365 * 24, 1, 100_000), (60 * 24, 1, 100)])
+def test_dedup_ends_on_a_recurring_title(spark, hours, step, task_rows):
+    """A daily title, an hourly one over two years, and a component swept in many slices."""
+    begin = dt.datetime(2024, 1, 1)
+    rows = [(f"a{h:06d}", h, "Daily news in brief" if h % 5 else "Weather report for the coast", f"c{h // 7}" if h % 3 == 0 else f"x{h}", f"k{h // 90}" if h % 11 == 0 else f"u{h}") for h in range(0, hours, step)]
+    df = spark.createDataFrame(
+        [(i, "s", "s.org", begin + dt.timedelta(hours=h), True, k, "", "", t, c) for i, h, t, c, k in rows],
+        ARTICLE,
+    )
+    kept, dropped = dd.dedup_articles(df, task_rows)
+    wanted_kept, wanted_dropped = scanned(rows)
+    assert {r["id"] for r in kept.select("id").collect()} == wanted_kept
+    assert {r["id"]: r["reason"] for r in dropped.collect()} == wanted_dropped
+
+
+def test_dedup_of_nothing_shared_and_of_nothing(spark):
+    df, _ = articles(spark)
+    kept, dropped = dd.dedup_articles(df.limit(1))
+    assert kept.count() == 1 and dropped.count() == 0
+    kept, dropped = dd.dedup_articles(df.limit(0))
+    assert kept.count() == 0 and dropped.count() == 0
+
+
 def slow_hac(x, t):
     groups = [[i] for i in range(len(x))]
     link = lambda a, b: 1 - np.mean([[x[i] @ x[j] for j in b] for i in a])
