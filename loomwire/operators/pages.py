@@ -7,7 +7,9 @@ about them - choosing, resolving, filtering, ranking, joining - is DataFrame wor
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -19,12 +21,21 @@ from loomwire.functions.text import first_of, full
 from loomwire.functions.urls import host_allowed, normalize_url, resolve, url_host
 from loomwire.session import cut
 
-# Elements that hold no text to read, and those that a page's article is read without.
-SILENT = {"script", "style", "noscript", "iframe", "video", "audio"}
-REMOVED = {"form", "nav", "aside"}
-REMOVED_CLASSES = {"ad", "ads", "advertisement", "newsletter"}
+# Elements whose content is code, those without text to show, and those that a full text is read without.
+CODE = ("script", "style", "template")
+SILENT = {"script", "style", "img", "video", "audio", "iframe", "input", "noscript"}
+UNREAD = {"script", "style", "noscript", "iframe", "svg", "img", "video", "audio", "form"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-REGION_CLASSES = ["article-body", "entry-content", "post-content", "article-content"]
+CONTAINERS = ("article", "main", "body")
+# The default selectors of a page's fields, in order, and the attributes that give a node's value before its text.
+SELECTORS = {
+    "title": ["h1"],
+    "content": ["article", "main article", "main", "[role='main']", ".article-body", ".entry-content", ".post-content", ".article-content"],
+    "published": ["time[datetime]", "time", "[itemprop='datePublished']"],
+    "image": ["meta[property='og:image']", "meta[name='twitter:image']", "article img", "main img"],
+    "remove": ["script", "style", "noscript", "iframe", "form", "nav", "aside", ".ad", ".ads", ".advertisement", ".newsletter"],
+}
+VALUE_ATTRIBUTES = ("content", "datetime", "title", "alt", "href", "src")
 # Names under which pages give their time, in order.
 TIME_METAS = ["article:published_time", "og:published_time", "pubdate", "publish-date", "datepublished"]
 # The metas that name a page's image, and the attributes that hold an image's address, both in order.
@@ -37,32 +48,105 @@ AD_QUERIES = ["gampad", "adunit", "iu=", "sz="]
 DECORATION = ["logo", "icon", "avatar", "sprite", "pixel", "emoji"]
 
 PARTS = (
-    "page_id long, url string, text string, regions array<struct<name: string, text: string, bare: string>>, paragraphs array<struct<region: string, text: string>>, "
-    "title string, h1 string, metas array<struct<attr: string, name: string, value: string>>, canonical array<string>, time string, "
-    "anchors array<struct<pos: int, href: string, text: string>>, "
+    "page_id long, url string, pieces array<string>, nodes array<struct<kind: string, rank: int, at: int, last: int, start: int, stop: int, depth: int, image: int, value: string>>, "
+    "cuts array<struct<kind: string, at: int, start: int, stop: int, depth: int>>, paragraphs array<struct<at: int, start: int, stop: int, chars: int>>, "
+    "metas array<struct<attr: string, name: string, value: string>>, canonical array<string>, anchors array<struct<pos: int, href: string, text: string>>, "
     "images array<struct<pos: int, srcs: array<string>, srcsets: array<string>, marks: string, width: int, height: int, region: string>>"
 )
+COMPOUND = re.compile(r"""(?P<tag>[A-Za-z][\w-]*|\*)|\.(?P<mark>[\w-]+)|\#(?P<id>[\w-]+)|\[\s*(?P<attr>[\w:-]+)\s*(?:=\s*(?P<quote>["']?)(?P<value>[^"'\]]*)(?P=quote)\s*)?\]""")
+
+
+def compounds(selector: str) -> list[list[tuple[str, str, str | None]]]:
+    """The steps of a selector of tags, ``.class``, ``#id``, ``[name]``, ``[name=value]`` and descendants; each step is a list of
+    conditions ``(kind, name, value)``. Anything else is an error."""
+    steps = []
+    for word in re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", selector):
+        at, step = 0, []
+        while at < len(word):
+            m = COMPOUND.match(word, at)
+            if not m or (m["tag"] and at):
+                raise ValueError(f"selector not understood: {selector!r}")
+            at = m.end()
+            if m["tag"]:
+                step += [] if m["tag"] == "*" else [("tag", m["tag"].lower(), None)]
+            elif m["mark"]:
+                step.append(("mark", m["mark"], None))
+            else:
+                step.append(("attr", (m["attr"] or "id").lower(), m["id"] or m["value"]))
+        steps.append(step)
+    return steps
+
+
+class Selectors:
+    """Selectors of one page by what an element must have first, so that an element looks at few of them.
+
+    A step is matched where its predecessors are matched by elements around it. For descendants it is enough to know, for
+    each selector, how many of its first steps the open elements have matched so far."""
+
+    def __init__(self, wanted: dict[str, list[str]]):
+        self.by: dict[tuple[str, str], list[tuple[int, int]]] = {}
+        self.every: list[tuple[int, int]] = []
+        self.list: list[tuple[str, int, list]] = []
+        for kind, selectors in wanted.items():
+            for rank, selector in enumerate(selectors):
+                for one in selector.split(","):
+                    steps = compounds(one)
+                    if not steps:
+                        raise ValueError(f"selector not understood: {selector!r}")
+                    self.list.append((kind, rank, steps))
+                    for j, step in enumerate(steps):
+                        key = next(((k, n) for k, n, _ in step if k in ("tag", "mark")), next(((k, n) for k, n, _ in step), None))
+                        (self.by.setdefault(key, []) if key else self.every).append((len(self.list) - 1, j))
+
+    def matched(self, tag: str, marks: set[str], attrs: dict[str, str], state: dict[int, int]) -> tuple[list[tuple[str, int]], dict[int, int]]:
+        """``(kind, rank)`` of the selectors that the element satisfies, and the state for what it holds."""
+        keys = [("tag", tag), *(("mark", m) for m in marks), *(("attr", a) for a in attrs)]
+        hits, inner = [], state
+        for index, j in [*self.every, *(x for k in keys for x in self.by.get(k, ()))]:
+            kind, rank, steps = self.list[index]
+            known = state.get(index, 0)
+            if known < j or not all(
+                (k == "tag" and n == tag) or (k == "mark" and n in marks) or (k == "attr" and n in attrs and (v is None or (v in marks if n == "class" else attrs[n] == v))) for k, n, v in steps[j]
+            ):
+                continue
+            if j == len(steps) - 1:
+                hits.append((kind, rank))
+            elif known == j:
+                inner = {**inner, index: j + 1}
+        return hits, inner
+
+
+@lru_cache(maxsize=256)
+def selectors(key: tuple[tuple[str, tuple[str, ...]], ...]) -> Selectors:
+    return Selectors({kind: list(names) for kind, names in key})
 
 
 class PageParts(HTMLParser):
-    """Collects a page's parts in one pass; unclosed elements end with their parent."""
+    """Collects a page's parts in one pass; unclosed elements end with their parent.
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, set[str]]] = []
-        self.out = {"text": [], "title": [], "h1": [], "time": None}
-        self.regions: dict[str, tuple[list, list]] = {}
-        self.paragraphs, self.metas, self.canonical, self.anchors, self.images = [], [], [], [], []
-        self.held: list[tuple[str, list]] = []
-
-    def _inside(self, *names: str) -> bool:
-        return any(tag in names for tag, _ in self.open)
+    Text is a list of pieces. An element is known by the number ``at`` of its begin and the number ``last`` of the last one inside
+    it, and by the pieces ``start`` to ``stop`` that it holds, so what lies in what is a comparison of numbers; how many elements
+    of a kind are open is counted, never looked for. The work is linear in the page, however deep its elements lie.
+    """
 
-    def _region(self) -> list[str]:
-        return [name for tag, marks in self.open for name in ({tag} & {"article", "main", "body"}) | (marks & set(REGION_CLASSES))]
+    def __init__(self, wanted: Selectors):
+        super().__init__(convert_charrefs=True)
+        self.wanted, self.open, self.count, self.seen = wanted, [], Counter(), 0
+        self.pieces, self.chars = [], 0
+        self.nodes: dict[tuple[str, int], list] = {}
+        self.cuts, self.paragraphs, self.metas, self.canonical, self.anchors, self.images = [], [], [], [], [], []
+        self.link: list | None = None
+
+    def _node(self, kind: str, rank: int, depth: int, value: str, image: bool = False) -> list | None:
+        """A record of the first element of a kind and rank; later ones have none."""
+        if (kind, rank) in self.nodes:
+            return None
+        self.nodes[kind, rank] = node = [kind, rank, self.seen, self.seen, len(self.pieces), len(self.pieces), depth, len(self.images) - 1 if image else -1, value]
+        return node
 
     def handle_starttag(self, tag, attrs):
         a = {k: (v or "") for k, v in attrs}
+        self.seen += 1
         if tag == "meta" and a.get("content"):
             attr = next((k for k in ("property", "name", "itemprop") if a.get(k)), "")
             self.metas.append((attr, a.get(attr, "").lower(), a["content"].strip()))
@@ -71,88 +155,158 @@ class PageParts(HTMLParser):
         elif tag == "img":
             srcs, srcsets = [a.get(k, "") for k in IMAGE_ATTRIBUTES], [a.get(k, "") for k in ("srcset", "data-srcset")]
             marks = " ".join(a.get(k, "") for k in ("class", "id", "alt", "src")).lower()
-            size = [int(m.group()) if (m := re.search(r"\d+", a.get(k, ""))) else 0 for k in ("width", "height")]
-            region = next((r for r in ("article", "main") if self._inside(r)), "")
+            size = [int(m.group()) if (m := re.search(r"\d{1,9}", a.get(k, ""))) else 0 for k in ("width", "height")]
+            region = next((r for r in ("article", "main") if self.count[f"first {r}"]), "")
             self.images.append((len(self.images), srcs, srcsets, marks, *size, region))
-        if tag in VOID:
-            return
-        marks = set(a.get("class", "").split())
         if tag == "p" and self.open and self.open[-1][0] == "p":
             self.handle_endtag("p")
-        self.open.append((tag, marks))
-        if tag == "a":
-            self.anchors.append([len(self.anchors), a.get("href", ""), []])
-        if tag == "time" and self.out["time"] is None:
-            self.out["time"] = a.get("datetime") or []
+        hits, state = self.wanted.matched(tag, set(a.get("class", "").split()), a, self.open[-1][1] if self.open else {})
+        kinds, ends = [tag], []
+        value = next((a[k].strip() for k in VALUE_ATTRIBUTES if a.get(k)), "")
+        for kind, rank in hits:
+            if kind != "remove":
+                ends.append(self._node(kind, rank, self.count["remove"], value, tag == "img"))
+        if tag in CONTAINERS:
+            first = self._node("container", CONTAINERS.index(tag), 0, "")
+            ends.append(first)
+            if first:
+                kinds.append(f"first {tag}")
+            if not self.count["full"]:
+                ends.append(self._node("full", CONTAINERS.index(tag), 0, ""))
+        elif tag in ("title", "h1"):
+            ends.append(self._node(f"<{tag}>", 0, 0, ""))
+        for kind, cut in (("remove", any(k == "remove" for k, _ in hits) or tag in SILENT), ("full", tag in UNREAD), ("silent", tag in SILENT)):
+            if cut:
+                record = [kind, self.seen, len(self.pieces), len(self.pieces), self.count[kind]]
+                self.cuts.append(record)
+                ends.append(record)
+                kinds.append(kind)
         if tag in ("p", "h2", "h3"):
-            self.held.append((tag, []))
+            record = [self.seen, len(self.pieces), len(self.pieces), self.chars]
+            self.paragraphs.append(record)
+            ends.append(record)
+        if tag == "a":
+            self.link = [len(self.anchors), a.get("href", ""), []]
+            self.anchors.append(self.link)
+        ends = [e for e in ends if e]
+        if tag in VOID:
+            self._end(ends)
+            return
+        self.open.append((tag, state, kinds, ends))
+        self.count.update(kinds)
+
+    def _end(self, ends: list[list]) -> None:
+        for e in ends:
+            if len(e) == 9:
+                e[3], e[5] = self.seen, len(self.pieces)
+            elif len(e) == 5:
+                e[3] = len(self.pieces)
+            else:
+                e[2], e[3] = len(self.pieces), max(0, self.chars - e[3] - 1)
 
     def handle_endtag(self, tag):
-        if not any(t == tag for t, _ in self.open):
+        if not self.count[tag]:
             return
-        while self.open:
-            name, _ = self.open.pop()
-            if name in ("p", "h2", "h3") and self.held:
-                words = " ".join(" ".join(self.held.pop()[1]).split())
-                regions = {t for t, _ in self.open}
-                self.paragraphs.append((next((r for r in ("article", "main") if r in regions), "body"), words))
+        while True:
+            name, _, kinds, ends = self.open.pop()
+            self.count.subtract(kinds)
+            self._end(ends)
+            if name == "a":
+                self.link = None
             if name == tag:
                 return
 
+    def close(self):
+        super().close()
+        while self.open:
+            self.handle_endtag(self.open[-1][0])
+        if ("container", 2) not in self.nodes:  # a page without body element is one
+            self.nodes["container", 2] = ["container", 2, 0, self.seen, 0, len(self.pieces), 0, -1, ""]
+
     def handle_data(self, data):
-        if self._inside(*SILENT) or not data.strip():
+        words = " ".join(data.split())
+        if not words or any(self.count[t] for t in CODE):
             return
-        self.out["text"].append(data)
-        if self._inside("title"):
-            self.out["title"].append(data)
-        if self._inside("h1"):
-            self.out["h1"].append(data)
-        if self._inside("time") and isinstance(self.out["time"], list):
-            self.out["time"].append(data)
-        if self._inside("a") and self.anchors:
-            self.anchors[-1][2].append(data)
-        for _, words in self.held:
-            words.append(data)
-        bare = not any(t in REMOVED or m & REMOVED_CLASSES for t, m in self.open)
-        for region in self._region():
-            whole, clean = self.regions.setdefault(region, ([], []))
-            whole.append(data)
-            if bare:
-                clean.append(data)
+        self.pieces.append(words)
+        self.chars += len(words) + 1
+        if self.link and not self.count["silent"]:
+            self.link[2].append(words)
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    join = lambda words: " ".join(" ".join(words).split())
-    names = ["page_id", "url", "text", "regions", "paragraphs", "title", "h1", "metas", "canonical", "time", "anchors", "images"]
+    fields = {
+        "nodes": ("kind", "rank", "at", "last", "start", "stop", "depth", "image", "value"), "cuts": ("kind", "at", "start", "stop", "depth"), "paragraphs": ("at", "start", "stop", "chars"),
+        "metas": ("attr", "name", "value"), "anchors": ("pos", "href", "text"), "images": ("pos", "srcs", "srcsets", "marks", "width", "height", "region"),
+    }
+    names = ["page_id", "url", "pieces", "nodes", "cuts", "paragraphs", "metas", "canonical", "anchors", "images"]
     for batch in batches:
         rows = []
-        for page, url, html in zip(batch["page_id"].tolist(), batch["url"].tolist(), batch["html"].tolist(), strict=True):
-            p = PageParts()
+        given = zip(*(batch[f"{kind}_selectors"] for kind in SELECTORS), strict=True)
+        for page, url, html, ruled, own in zip(batch["page_id"].tolist(), batch["url"].tolist(), batch["html"].tolist(), batch["ruled"].tolist(), given, strict=True):
+            own = [[] if mine is None else list(mine) for mine in own]
+            chosen = tuple((kind, tuple(mine or (default if kind != "title" or ruled else []))) for (kind, default), mine in zip(SELECTORS.items(), own, strict=True))
+            p = PageParts(selectors(chosen))
             p.feed(html or "")
             p.close()
-            while p.open:
-                p.handle_endtag(p.open[-1][0])
-            time = p.out["time"]
-            rows.append((
-                page, url, join(p.out["text"]), [(r, join(w), join(c)) for r, (w, c) in p.regions.items()], p.paragraphs, join(p.out["title"]), join(p.out["h1"]),
-                p.metas, p.canonical, join(time) if isinstance(time, list) else (time or ""), [(i, h, join(t)) for i, h, t in p.anchors], p.images,
-            ))
+            anchors = [(i, h, " ".join(t)) for i, h, t in p.anchors]
+            cuts = [c for c in p.cuts if c[3] > c[2]]
+            rows.append((page, url, p.pieces, list(p.nodes.values()), cuts, [q for q in p.paragraphs if q[3]], p.metas, p.canonical, anchors, p.images))
         frame = pd.DataFrame(rows, columns=names)
-        fields = {"regions": ("name", "text", "bare"), "paragraphs": ("region", "text"), "metas": ("attr", "name", "value"), "anchors": ("pos", "href", "text"), "images": ("pos", "srcs", "srcsets", "marks", "width", "height", "region")}
         for c, keys in fields.items():
             frame[c] = [[dict(zip(keys, e, strict=True)) for e in entries] for entries in frame[c]]
         frame["page_id"] = frame["page_id"].astype("Int64")
         yield frame
 
 
-def page_parts(pages: DataFrame) -> DataFrame:
-    """A row of parts for each row of ``pages(page_id, url, html)``; null html has empty parts."""
-    return pages.select("page_id", "url", "html").mapInPandas(_parse, PARTS)
+def page_parts(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """A row of parts for each row of ``pages(page_id, url, html)``; null html has empty parts.
+
+    ``rules(id, page_hosts, title_selectors, content_selectors, published_selectors, image_selectors, remove_selectors)`` are sources' own
+    selectors for the pages of their hosts; of several rules for a host the smallest id counts, and null or empty lists
+    leave the defaults. A page without rule has no title selector, so the title it gives others comes first. A selector beyond tags, classes, ids, attributes and descendants is an error.
+    """
+    columns, none = [f"{kind}_selectors" for kind in SELECTORS], F.lit(None).cast("array<string>")
+    if rules is None:
+        chosen = pages.select("page_id", "url", "html", F.lit(False).alias("ruled"), *[none.alias(c) for c in columns])
+    else:
+        hosts = rules.select("id", F.explode("page_hosts").alias("_host"), *columns).groupBy("_host").agg(F.min_by(F.struct(*columns), "id").alias("_rule"))
+        chosen = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("_host")).join(hosts, "_host", "left")
+        chosen = chosen.select("page_id", "url", "html", F.col("_rule").isNotNull().alias("ruled"), *[F.col(f"_rule.{c}").alias(c) for c in columns])
+    return chosen.mapInPandas(_parse, PARTS)
+
+
+def _words(start: Column, stop: Column) -> Column:
+    return F.slice("pieces", start + 1, stop - start)
+
+
+def _without(start: Column, stop: Column, cuts: Column) -> Column:
+    """The pieces from ``start`` to ``stop`` but for ``cuts``, which lie apart and in order."""
+    begins = F.concat(F.array(start), F.transform(cuts, lambda c: c["stop"]))
+    ends = F.concat(F.transform(cuts, lambda c: c["start"]), F.array(stop))
+    return F.array_join(F.flatten(F.zip_with(begins, ends, _words)), " ")
+
+
+def _outermost(kind: str) -> Column:
+    return F.filter("cuts", lambda c: (c["kind"] == kind) & (c["depth"] == 0))
+
+
+def _nodes(kind: str) -> Column:
+    """The nodes of a kind by rank, each the first of its selector."""
+    return F.array_sort(F.filter("nodes", lambda n: n["kind"] == kind), lambda a, b: a["rank"] - b["rank"])
+
+
+def _first(texts: Column, least: int = 1) -> Column:
+    return F.get(F.filter(texts, lambda t: F.length(t) >= least), F.lit(0))
+
+
+def _value(n: Column) -> Column:
+    return F.when(n["value"] != "", n["value"]).otherwise(F.array_join(_words(n["start"], n["stop"]), " "))
 
 
 def html_text(parts: DataFrame, chars: int = DEFAULT.html_text_chars) -> DataFrame:
     """``(page_id, text)``: what a page shows, white space collapsed, cut."""
-    return parts.select("page_id", F.substring("text", 1, chars).alias("text"))
+    shown = _without(F.lit(0), F.size("pieces"), _outermost("silent"))
+    return parts.select("page_id", F.substring(shown, 1, chars).alias("text"))
 
 
 def _meta(*names: str) -> Column:
@@ -164,26 +318,37 @@ def _meta(*names: str) -> Column:
     return F.coalesce(*[named(n) for n in names], F.lit(""))
 
 
+def content_text(chars: int = DEFAULT.html_text_chars) -> Column:
+    """Of the content selectors' first nodes the first with 120 characters, without what is removed inside it; else the
+    paragraphs of 30 characters or more of the first article, main or body that give 120."""
+
+    def bare(n: Column) -> Column:
+        inside = F.filter("cuts", lambda c: (c["kind"] == "remove") & (c["depth"] == n["depth"]) & (c["at"] >= n["at"]) & (c["at"] <= n["last"]))
+        return F.substring(_without(n["start"], n["stop"], inside), 1, chars)
+
+    def paragraphs(n: Column) -> Column:
+        long = F.filter("paragraphs", lambda p: (p["at"] > n["at"]) & (p["at"] <= n["last"]) & (p["chars"] >= 30))
+        enough = F.slice(long, 1, chars // 30 + 1)  # so many fill the text, whatever follows
+        return F.substring(F.array_join(F.transform(enough, lambda p: F.array_join(_words(p["start"], p["stop"]), " ")), " "), 1, chars)
+
+    return F.coalesce(_first(F.transform(_nodes("content"), bare), 120), _first(F.transform(_nodes("container"), paragraphs), 120), F.lit(""))
+
+
 def extract_pages(parts: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
     """``(page_id, url, canonical_url, title, content_text, published, image)``.
 
-    Each field has a chain of places it is looked for; ``fallback(page_id, title, content_text, published, image)`` comes last.
+    Each field has a chain of places it is looked for, its selectors first; ``fallback(page_id, title, content_text, published, image)``
+    comes last.
     """
-    region = lambda name: F.get(F.filter("regions", lambda r: (r["name"] == name) & (F.length(r["bare"]) >= 120)), F.lit(0))["bare"]
-    regions = [F.substring(region(n), 1, DEFAULT.html_text_chars) for n in ["article", "main", *REGION_CLASSES]]
-
-    def paragraphs(names: list[str]) -> Column:
-        long = F.filter("paragraphs", lambda p: p["region"].isin(*names) & (F.length(p["text"]) >= 30))
-        joined = F.array_join(F.transform(long, lambda p: p["text"]), " ")
-        return F.when(F.length(joined) >= 120, F.substring(joined, 1, DEFAULT.html_text_chars))
-
-    content = F.coalesce(*regions, paragraphs(["article"]), paragraphs(["main"]), paragraphs(["article", "main", "body"]), F.lit(""))
-    canonical = first_of(*[normalize_url(c) for c in (F.get("canonical", F.lit(0)), _meta("og:url"), F.col("url"))])
-    image = pick_image(parts).select("page_id", F.col("image").alias("_image"))
+    chosen = lambda kind: F.coalesce(_first(F.transform(_nodes(kind), _value)), F.lit(""))
+    urls = F.filter("metas", lambda m: (m["attr"] == "property") & F.contains(m["name"], F.lit("og:url")))
+    addresses = F.concat("canonical", F.transform(urls, lambda m: m["value"]), F.array("url"))
+    canonical = _first(F.transform(addresses, lambda u: normalize_url(u)))
+    picked = image_candidates(parts, selected=True).groupBy("page_id").agg(F.min_by("url", "rank").alias("_image"))
     out = parts.select(
-        "page_id", "url", canonical.alias("canonical_url"), first_of(_meta("og:title", "twitter:title"), F.col("h1"), F.col("title")).alias("title"),
-        content.alias("content_text"), first_of(F.col("time"), _meta(*TIME_METAS)).alias("published"),
-    ).join(image, "page_id", "left").withColumn("image", full(F.col("_image"))).drop("_image")
+        "page_id", "url", F.coalesce(canonical, F.lit("")).alias("canonical_url"), first_of(chosen("title"), _meta("og:title", "twitter:title"), chosen("<h1>"), chosen("<title>")).alias("title"),
+        content_text().alias("content_text"), first_of(chosen("published"), _meta(*TIME_METAS)).alias("published"),
+    ).join(picked, "page_id", "left").withColumn("image", full(F.col("_image"))).drop("_image")
     if fallback is None:
         return out
     side = fallback.select("page_id", *[F.col(c).alias(f"_{c}") for c in ("title", "content_text", "published", "image")])
@@ -192,9 +357,15 @@ def extract_pages(parts: DataFrame, fallback: DataFrame | None = None) -> DataFr
 
 
 def page_fulltext(parts: DataFrame, chars: int = DEFAULT.fulltext_chars) -> DataFrame:
-    """``(page_id, full_text)``: the longest of the texts of article, main and body."""
-    named = F.filter("regions", lambda r: r["name"].isin("article", "main", "body"))
-    longest = F.array_max(F.transform(named, lambda r: F.struct(F.length(r["text"]).alias("n"), r["text"].alias("t"))))
+    """``(page_id, full_text)``: the longest of the texts of the first article, main and body that do not lie in what a full text
+    leaves out, without it."""
+
+    def text(n: Column) -> Column:
+        inside = F.filter("cuts", lambda c: (c["kind"] == "full") & (c["depth"] == 0) & (c["at"] > n["at"]) & (c["at"] <= n["last"]))
+        t = _without(n["start"], n["stop"], inside)
+        return F.struct(F.length(t).alias("n"), (-n["rank"]).alias("r"), t.alias("t"))
+
+    longest = F.array_max(F.transform(_nodes("full"), text))
     return parts.select("page_id", F.substring(full(longest["t"]), 1, chars).alias("full_text"))
 
 
@@ -278,17 +449,29 @@ def srcset_best(srcset: Column) -> Column:
     return F.array_max(parsed)["u"]
 
 
-def image_candidates(parts: DataFrame) -> DataFrame:
-    """``(page_id, rank, url)``: metas by kind, then images of an article, of main, then any, that are no decoration. An image's
-    attributes are tried in order, then its srcsets; what is not usable is passed over."""
+def image_candidates(parts: DataFrame, selected: bool = False) -> DataFrame:
+    """``(page_id, rank, url)``: metas by kind, then images of the first article, of the first main, then any, that are no decoration. An
+    image's attributes are tried in order, then its srcsets; what is not usable is passed over. With ``selected`` the first
+    nodes of the image selectors come before all these, decoration or not."""
     kinds = F.array(*[F.struct(F.lit(attr).alias("attr"), F.lit(name).alias("name")) for attr, name in IMAGE_METAS])
     kind = lambda m: F.array_position(kinds, F.struct(m["attr"].alias("attr"), m["name"].alias("name"))).cast("int")
     metas = F.filter(F.transform("metas", lambda m, i: F.struct((kind(m) * 10_000 + i).alias("rank"), m["value"].alias("url"))), lambda c: c["rank"] >= 10_000)
-    shown = F.filter("images", lambda x: ~decorative(x))
     place = lambda x: F.when(x["region"] == "article", 100_000_000).when(x["region"] == "main", 200_000_000).otherwise(300_000_000) + x["pos"] * 8
-    srcs = F.flatten(F.transform(shown, lambda x: F.transform(x["srcs"], lambda u, i: F.struct((place(x) + i).alias("rank"), u.alias("url")))))
-    sets = F.flatten(F.transform(shown, lambda x: F.transform(x["srcsets"], lambda u, i: F.struct((place(x) + len(IMAGE_ATTRIBUTES) + i).alias("rank"), srcset_best(u).alias("url")))))
-    every = parts.select("page_id", F.col("url").alias("base"), F.explode(F.concat(metas, srcs, sets)).alias("c"))
+
+    def sources(images: Column, rank) -> Column:
+        srcs = F.flatten(F.transform(images, lambda x: F.transform(x["srcs"], lambda u, i: F.struct((rank(x) + i).alias("rank"), u.alias("url")))))
+        sets = F.flatten(F.transform(images, lambda x: F.transform(x["srcsets"], lambda u, i: F.struct((rank(x) + len(IMAGE_ATTRIBUTES) + i).alias("rank"), srcset_best(u).alias("url")))))
+        return F.concat(srcs, sets)
+
+    found = F.concat(metas, sources(F.filter("images", lambda x: ~decorative(x)), place))
+    if selected:
+        nodes = _nodes("image")
+        ranks = F.transform(nodes, lambda n: F.struct((n["rank"] * 8 - 1_000_000).alias("rank"), n["image"].alias("image"), _value(n).alias("url")))
+        images = F.transform(F.filter(ranks, lambda n: n["image"] >= 0), lambda n: F.struct(n["rank"].alias("rank"), F.get("images", n["image"]).alias("x")))
+        own = sources(F.transform(images, lambda n: F.struct(n["rank"].alias("rank"), n["x"]["srcs"].alias("srcs"), n["x"]["srcsets"].alias("srcsets"))), lambda x: x["rank"])
+        other = F.transform(F.filter(ranks, lambda n: n["image"] < 0), lambda n: F.struct(n["rank"].alias("rank"), n["url"].alias("url")))
+        found = F.concat(other, own, found)
+    every = parts.select("page_id", F.col("url").alias("base"), F.explode(found).alias("c"))
     return every.select("page_id", "c.rank", image_url(F.col("c.url"), F.col("base")).alias("url")).filter(image_usable(F.col("url")))
 
 

@@ -203,6 +203,59 @@ def test_pages(spark):
     assert [(r["url"], r["title"]) for r in links] == [("https://e.org/n/1", "One")]
 
 
+RULES = "id string, page_hosts array<string>, title_selectors array<string>, content_selectors array<string>, published_selectors array<string>, image_selectors array<string>, remove_selectors array<string>"
+
+
+def test_first_matches_of_a_page(spark):
+    long = "A sentence that an article holds. " * 5
+    html = [
+        f"<article>{long}<article>inner card</article></article><article>other card</article>",  # the first article, its inner text once
+        '<time>yesterday</time><time datetime="2024-01-02">x</time>',
+        f"<aside><article>{long}<aside>by the way</aside><div class='big ads'>buy <nav>go</nav></div><noscript>old</noscript>end</article></aside>",  # cut inside only
+        "<body>shown<form>name <b>here</b></form><svg><text>drawn</text></svg><article>short</article></body>",
+        f"<main><div role='main'>short</div></main><section role='main'>{long}</section><div class='x entry-content'>{long}other</div>",
+        '<link rel="canonical" href="ftp:no"><link rel="Canonical" href="/a?utm_source=q"><meta property="og:url" content="/b">',
+        f"<p><article><form><p>{long}</p><h2>too short</h2></form></article></p><p>{long} after it</p>",
+        '<span itemprop="datePublished">2024-05-06</span>',
+    ]
+    pages = spark.createDataFrame([(i, f"https://h{i}.org/p", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    parts = pg.page_parts(pages).cache()
+    got = {r["page_id"]: r for r in pg.extract_pages(parts).collect()}
+    texts = {r["page_id"]: r["full_text"] for r in pg.page_fulltext(parts).collect()}
+    long = long.strip()
+    assert got[0]["content_text"] == f"{long} inner card" == texts[0]
+    assert got[1]["published"] == "2024-01-02" and got[7]["published"] == "2024-05-06"
+    assert got[2]["content_text"] == f"{long} end"
+    assert texts[3] == "shown short" and got[4]["content_text"] == f"{long} other"
+    assert got[5]["canonical_url"] == "https://h5.org/a"
+    assert got[6]["content_text"] == long  # by paragraphs inside the article, the one around it not being one
+    # a source's own selectors
+    html = f"<h1>Head</h1><div id='t' title='Given'>x</div><div class='story'><p class='by'>author</p>{long}<div class='more'>more</div></div><i data-when='2023'>12 May</i><img src='/first.jpg'><figure><img src='/logo.png'></figure>"
+    pages = spark.createDataFrame([(1, "https://own.org/1", html), (2, "https://else.org/1", html)], "page_id long, url string, html string")
+    rules = spark.createDataFrame([("a", ["own.org"], ["#none", "#t"], [".story .none", "body .story", "div.story"], ["i[data-when=2023]"], ["figure img"], [".by", "div .more"]), ("b", ["own.org"], ["h1"], None, None, None, None)], RULES)
+    own, other = pg.extract_pages(pg.page_parts(pages, rules)).orderBy("page_id").collect()
+    assert (own["title"], own["content_text"], own["published"], own["image"]) == ("Given", long, "12 May", "https://own.org/logo.png")
+    assert (other["title"], other["content_text"], other["published"], other["image"]) == ("Head", "", "", "https://else.org/first.jpg")
+
+
+def test_selectors_beyond_the_subset_are_an_error():
+    for bad in ("a > b", "p:first-child", "..x", ""):
+        with pytest.raises(ValueError, match="not understood"):
+            pg.Selectors({"title": [bad]})
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    wanted = pg.selectors(tuple((k, tuple(v)) for k, v in pg.SELECTORS.items()))
+    for mark in ("<b>x", "<article>x", "<h2 class='ad'>x", "<a href='/x'>x", "<main><i>x", "<p>x<div>"):
+        began = time.process_time()
+        page = pg.PageParts(wanted)
+        page.feed(mark * 8000)
+        page.close()
+        assert len(page.pieces) == 8000 and time.process_time() - began < 1.5
+
+
 def test_page_images(spark):
     lazy = '<img src="data:image/gif;base64,R0" data-src="/ads/x.png" data-original="/real.jpg">'
     html = [
