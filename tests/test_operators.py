@@ -162,6 +162,25 @@ def test_cosine_pairs_default_is_exact_at_any_size(spark):
     assert found == {(r["a"], r["b"]) for r in sj.cosine_pairs(df, 0.34, "exact").collect()}
 
 
+def test_cosine_pairs_meet_by_cells(spark, monkeypatch):
+    """Small blocks and a cell of more rows than a block; compared with all pairs, and most pairs are not looked at."""
+    monkeypatch.setattr(sj, "BLOCK", 40)
+    rng = np.random.default_rng(31)
+    x = rng.standard_normal((30, 24))[rng.integers(0, 30, 600)] + 0.25 * rng.standard_normal((600, 24))
+    x[:130] = x[0] + 1e-3 * rng.standard_normal((130, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 24)], "id long, v array<double>").cache()
+    close = lambda t: {(i, j) for i, j in zip(*np.nonzero(1 - x @ x.T < t), strict=True)}
+    for t in (0.1, 0.34, 1.2):
+        got = [(r["a"], r["b"]) for r in sj.cosine_pairs(df, t).collect()]
+        assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in close(t) if i < j}
+    assert sj.cosine_join_cost(df, 0.1) < 0.2 * 600 * 599 / 2
+    ones, others = df.filter("id < 200 OR id >= 900"), df.filter("id >= 150")
+    got = [(r["a"], r["b"]) for r in sj.cosine_pairs_between(ones, others, 0.34).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in close(0.34) if i < 200 and j >= 150}
+    assert sj.cosine_pairs(df.limit(0), 0.34).count() == 0 and sj.cosine_pairs(df.filter("id >= 900"), 0.34).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(3, None)]
