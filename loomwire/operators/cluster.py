@@ -5,6 +5,8 @@ Members are a long table ``(cluster_id, id)``; a cluster's id is its least membe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,33 +16,47 @@ from loomwire.config import DEFAULT, FusionConfig
 from loomwire.functions.fingerprints import fingerprint_hash, fingerprint_similarity
 from loomwire.functions.vectors import clamp01, vec_dot, vec_normalize
 from loomwire.operators.graph import connected_components
-from loomwire.operators.simjoin import cosine_pairs, shared_entity_pairs, tfidf_pairs, tfidf_terms, unit
+from loomwire.operators.simjoin import cell_centres, cosine_pairs, shared_entity_pairs, tfidf_pairs, tfidf_terms, unit
 from loomwire.session import cut
 
 
-#: Members of a component of the threshold graph up to which one task links it; larger ones are linked by rounds of joins.
+#: Members of a component of the threshold graph up to which one task links it; larger ones are contracted part by part.
 TASK_MEMBERS = 2048
+#: Numbers that stand for a text where parts are drawn.
+SKETCH = 24
 
 
-def average_linkage(dots: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
+def average_linkage(dots: np.ndarray, n: np.ndarray, threshold: float, limit: np.ndarray | None = None) -> np.ndarray:
     """The first member of each one's cluster. ``dots``: inner products between the sums of the groups, ``n`` their sizes.
 
     One merge at a time, the nearest pair first, ties to the smaller places, while that is nearer than ``threshold``; each row
-    remembers its nearest later one."""
+    remembers its nearest later one. ``limit`` is how near a group's nearest outside this part is: a group merges only
+    while its nearest here is nearer than that; else it waits, and so does whatever is nearest to one that waits.
+    Average linkage never brings a merged group nearer than its members were, so what merges here would merge anyhow."""
     k = len(n)
     dots, n, of = dots.astype(float), n.astype(float), np.arange(k)
     link = 1.0 - dots / np.outer(n, n)
     link[np.tril_indices(k)] = np.inf
     near = link.argmin(axis=1)
     best = link[np.arange(k), near]
+    limit, waits = np.full(k, np.inf) if limit is None else limit.astype(float), np.zeros(k, bool)
     while k:
         a = int(best.argmin())
         if not best[a] < threshold:
             break
         b = int(near[a])
+        if waits[a] or waits[b] or best[a] >= min(limit[a], limit[b]):
+            waits[[a, b]] = True
+            for i in (a, b):
+                link[i, waits], link[waits, i] = np.inf, np.inf
+            for i in np.flatnonzero(waits | (near == a) | (near == b)).tolist():
+                near[i] = link[i].argmin()
+                best[i] = link[i, near[i]]
+            continue
         dots[a] += dots[b]
         dots[:, a] += dots[:, b]
         n[a] += n[b]
+        limit[a] = min(limit[a], limit[b])
         of[of == b] = a
         alive = np.isfinite(n)
         n[b], alive[b] = np.inf, False
@@ -72,39 +88,70 @@ def _named(labels: list[DataFrame], groups: DataFrame) -> DataFrame:
     return groups.select(F.col("cid").alias("id")).join(known, "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id"))
 
 
-def _rounds(groups: DataFrame, edges: DataFrame, linkage, merge, threshold: float, max_rounds: int) -> DataFrame:
-    """Merge all pairs of mutually nearest clusters until none is nearer than ``threshold``: ``(id, cluster_id)``.
-
-    ``groups(cid, n, ...)`` and ``edges(a, b, ...)`` between them; ``linkage(groups, edges)`` adds the column ``link`` to edges;
-    ``merge(groups, moved)`` gives the groups after a round, ``moved(old, new)`` naming those that changed.
+def _parts(groups: DataFrame, sketch: Column, seed: int) -> DataFrame:
+    """``(cid, part)``: groups in parts of about half of TASK_MEMBERS, those with near ``sketch`` vectors together where possible. Another
+    seed draws other lines between the parts."""
+    marked = cut(groups.select("cid", sketch.alias("x")))
+    n = marked.count()
+    wanted = -(-2 * n // TASK_MEMBERS)
+    drawn = marked.filter(F.pmod(F.xxhash64("cid", F.lit(seed)), F.lit(max(1, n // (20 * wanted)))) == 0).limit(40 * wanted).collect() if wanted > 1 else []
+    if len(drawn) < 2:
+        return marked.select("cid", F.pmod(F.xxhash64("cid", F.lit(seed)), F.lit(wanted)).alias("part"))
+    sample = np.array([r["x"] for r in drawn])
+    centres = cell_centres(sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-12), wanted)
+
+    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"cid": batch["cid"], "cell": (np.array(batch["x"].tolist()) @ centres.T).argmax(axis=1)})
+
+    celled = cut(marked.mapInPandas(home, f"cid {groups.schema['cid'].dataType.simpleString()}, cell long"))
+    sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / TASK_MEMBERS).cast("long").alias("k"))
+    return celled.join(F.broadcast(sizes), "cell").select("cid", F.xxhash64("cell", F.pmod(F.xxhash64("cid", F.lit(seed)), F.col("k"))).alias("part"))  # a row a centre
+
+
+def _contracted(groups: DataFrame, edges: DataFrame, linkage, inside, merge, sketch: Column, threshold: float) -> DataFrame:
+    """Average linkage of any number of groups, until no two are nearer than ``threshold``: ``(id, cluster_id)``.
+
+    Each round deals the groups to parts and lets a task merge what is provably next inside its part (:func:`average_linkage` with the
+    nearest outside as limit); pairs that are nearest to each other but lie in two parts merge as well, so every round merges
+    something. Merged groups are contracted to one, and the next round draws its parts anew. ``groups(cid, n, ...)`` and ``edges(a, b)``
+    between them; ``linkage(groups, edges)`` adds ``link``; ``inside(groups with part and limit)`` gives ``moved(old, new)``; ``merge(groups,
+    moved)`` contracts.
     """
-    labels = groups.select(F.col("cid").alias("id"), F.col("cid").alias("cluster_id"))
-    for _ in range(max_rounds):
+    labels, seed = groups.select(F.col("cid").alias("id"), F.col("cid").alias("cluster_id")), 0
+    while True:
         near = cut(linkage(groups, edges).filter(F.col("link") < threshold))
-        key = F.struct("link", "a", "b")
-        ends = near.select(F.explode(F.array("a", "b")).alias("cid"), key.alias("k")).groupBy("cid").agg(F.min("k").alias("k"))
-        mutual = ends.groupBy("k").agg(F.count("*").alias("n")).filter("n = 2").select(F.col("k.b").alias("old"), F.col("k.a").alias("new"))
-        moved = cut(mutual)
-        if not moved.limit(1).count():
+        if not near.limit(1).count():
             return labels
+        seed += 1
+        ends = near.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        parts = cut(_parts(groups.join(ends, "cid", "left_semi"), sketch, seed))
+        side = lambda c: parts.select(F.col("cid").alias(c), F.col("part").alias(f"part_{c}"))
+        across = near.join(side("a"), "a").join(side("b"), "b").withColumn("apart", F.col("part_a") != F.col("part_b"))
+        key = F.struct("link", "a", "b", "apart")
+        each = across.select(F.explode(F.array("a", "b")).alias("cid"), key.alias("k")).groupBy("cid")
+        nearest = cut(each.agg(F.min("k").alias("k"), F.min(F.when(F.col("k.apart"), F.col("k.link"))).alias("limit")))
+        mutual = nearest.filter("k.apart").groupBy("k").agg(F.count("*").alias("n")).filter("n = 2").select(F.col("k.b").alias("old"), F.col("k.a").alias("new"))
+        held = groups.join(parts, "cid").join(nearest.select("cid", F.coalesce("limit", F.lit(float("inf"))).alias("limit")), "cid")
+        moved = cut(inside(held).unionByName(mutual))
         to = lambda c: moved.select(F.col("old").alias(c), F.col("new").alias(f"{c}_new"))
         labels = cut(labels.join(to("cluster_id"), "cluster_id", "left").select("id", F.coalesce("cluster_id_new", "cluster_id").alias("cluster_id")))
         groups = cut(merge(groups, moved))
         renamed = near.join(to("a"), "a", "left").join(to("b"), "b", "left")
         x, y = F.coalesce("a_new", "a"), F.coalesce("b_new", "b")
         edges = cut(renamed.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a <> b").distinct())
-    raise RuntimeError(f"clustering did not settle in {max_rounds} rounds")
 
 
-def hac_average(vecs: DataFrame, threshold: float, mode: str | None = None, max_rounds: int = 200) -> DataFrame:
+def hac_average(vecs: DataFrame, threshold: float, mode: str | None = None) -> DataFrame:
     """Average-linkage clusters under cosine distance, merged while the linkage is below ``threshold``:
     ``(id, cluster_id)``.
 
     For unit vectors the average linkage of two clusters is 1 - dot(sums) / (n m), so a cluster is its sum and size. Only
     clusters joined by a pair of members below the threshold can merge, so the pairs are found once. Average linkage
-    is reducible, so merging all mutual nearest neighbours at a time gives what one merge at a time gives
+    is reducible, so merging what is mutually nearest in any order gives what one merge at a time gives
     (Sumengen et al. 2021); ties go to the smaller ids. Components of those pairs are linked apart, each in one task up to
-    TASK_MEMBERS, else in rounds; both give the same. Equal vectors start as one. Null and zero vectors stay alone.
+    TASK_MEMBERS, else by contraction of parts; both give the same. Equal vectors start as one. Null and zero vectors stay alone.
     """
     v = cut(unit(vecs))
     same = v.groupBy("v").agg(F.min("id").alias("cid"), F.count("*").alias("n"))
@@ -118,10 +165,22 @@ def hac_average(vecs: DataFrame, threshold: float, mode: str | None = None, max_
         return met.select("a", "b", (1.0 - vec_dot(F.col("sa"), F.col("sb")) / (F.col("na") * F.col("nb"))).alias("link"))
 
     def merge(g: DataFrame, moved: DataFrame) -> DataFrame:
-        gone = g.join(moved, g["cid"] == moved["old"]).select(F.col("new").alias("cid"), F.col("n").alias("m"), F.col("s").alias("t"))
-        rest = g.join(moved.select(F.col("old").alias("cid")), "cid", "left_anti").join(gone, "cid", "left")
-        total = F.when(F.col("t").isNull(), F.col("s")).otherwise(F.zip_with("s", "t", lambda x, y: x + y))
-        return rest.select("cid", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), total.alias("s"))
+        ends = moved.select(F.col("old").alias("cid"), "new").unionByName(moved.select(F.col("new").alias("cid"), "new").distinct())
+        met = g.join(ends, "cid")
+        each = met.select("new", F.posexplode("s").alias("d", "x")).groupBy("new", "d").agg(F.sum("x").alias("x"))
+        sums = each.groupBy("new").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda e: e["x"]).alias("s"))  # a vector's components
+        sizes = met.groupBy("new").agg(F.sum("n").alias("n"))
+        return g.join(ends.select("cid"), "cid", "left_anti").unionByName(sizes.join(sums, "new").withColumnRenamed("new", "cid"))
+
+    def contract(held: DataFrame) -> DataFrame:
+        return held.groupBy("part").applyInPandas(one_of_many, f"old {kind}, new {kind}")
+
+    def one_of_many(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cid", ignore_index=True)
+        sums = np.array(pdf["s"].tolist())
+        first = average_linkage(sums @ sums.T, pdf["n"].to_numpy(), threshold, pdf["limit"].to_numpy())
+        gone, names = np.flatnonzero(first != np.arange(len(first))), pdf["cid"].to_numpy(object)
+        return pd.DataFrame({"old": pd.Series(names[gone], dtype=object), "new": pd.Series(names[first[gone]], dtype=object)})
 
     def one_part(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cid", ignore_index=True)
@@ -135,14 +194,14 @@ def hac_average(vecs: DataFrame, threshold: float, mode: str | None = None, max_
     labels = [groups.join(small, "cid").groupBy("component").applyInPandas(one_part, f"id {kind}, cluster_id {kind}")]
     if large.limit(1).count():
         mine = groups.join(large, "cid", "left_semi")
-        labels.append(_rounds(mine, pairs.join(large.select(F.col("cid").alias("a")), "a", "left_semi"), linkage, merge, threshold, max_rounds))
+        labels.append(_contracted(mine, pairs.join(large.select(F.col("cid").alias("a")), "a", "left_semi"), linkage, contract, merge, F.col("s"), threshold))
     labels = _named(labels, groups).select(F.col("id").alias("rep"), "cluster_id")
     reps = v.join(same.select("v", F.col("cid").alias("rep")), "v").select("id", "rep")
     found = reps.join(labels, "rep").select("id", "cluster_id")
     return vecs.select("id").join(found, "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id"))
 
 
-def cluster_tfidf(articles: DataFrame, stop_words: list[str], threshold: float = DEFAULT.tfidf_distance, max_rounds: int = 200) -> DataFrame:
+def cluster_tfidf(articles: DataFrame, stop_words: list[str], threshold: float = DEFAULT.tfidf_distance) -> DataFrame:
     """Average-linkage clusters of TF-IDF vectors, for runs without vectors: ``(id, cluster_id)``.
 
     Sums are kept sparse, as ``(cid, term, weight)``. Distances reach 1 where no term is shared, so pairs without a
@@ -164,15 +223,33 @@ def cluster_tfidf(articles: DataFrame, stop_words: list[str], threshold: float =
     def merge(g: DataFrame, moved: DataFrame) -> DataFrame:
         to = moved.select(F.col("old").alias("cid"), "new")
         sums["w"] = cut(sums["w"].join(to, "cid", "left").groupBy(F.coalesce("new", "cid").alias("cid"), "term").agg(F.sum("weight").alias("weight")))
-        return g.join(to, "cid", "left").groupBy(F.coalesce("new", "cid").alias("cid")).agg(F.sum("n").alias("n"))
+        return sketched(g.join(to, "cid", "left").groupBy(F.coalesce("new", "cid").alias("cid")).agg(F.sum("n").alias("n")))
 
-    def one_part(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, row = np.unique(pdf["cid"].to_numpy(object), return_inverse=True)
+    def sketched(g: DataFrame) -> DataFrame:
+        """Sums of weights by signs of the terms' hashes: near texts have near sketches. They only decide on parts."""
+        sign = lambda d: F.when(F.col("h").bitwiseAND(1 << d) == 0, F.col("weight")).otherwise(-F.col("weight"))
+        marks = sums["w"].withColumn("h", F.xxhash64("term")).groupBy("cid").agg(F.array(*[F.sum(sign(d)) for d in range(SKETCH)]).alias("x"))
+        return g.join(marks, "cid")
+
+    def contract(held: DataFrame) -> DataFrame:
+        return sums["w"].join(held.select("cid", "n", "part", "limit"), "cid").groupBy("part").applyInPandas(one_of_many, f"old {kind}, new {kind}")
+
+    def linked(pdf: pd.DataFrame, most: str | None) -> tuple[np.ndarray, np.ndarray]:
+        names, at, row = np.unique(pdf["cid"].to_numpy(object), return_index=True, return_inverse=True)
         dots, weight = np.zeros((len(names), len(names))), pdf["weight"].to_numpy()
         for rows in pdf.groupby("term", sort=True).indices.values():
-            at = row[rows]
-            dots[np.ix_(at, at)] += np.outer(weight[rows], weight[rows])
-        first = average_linkage(dots, np.ones(len(names)), threshold)
+            to = row[rows]
+            dots[np.ix_(to, to)] += np.outer(weight[rows], weight[rows])
+        n = pdf["n"].to_numpy()[at] if most else np.ones(len(names))
+        return names, average_linkage(dots, n, threshold, pdf[most].to_numpy()[at] if most else None)
+
+    def one_of_many(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, first = linked(pdf, "limit")
+        gone = np.flatnonzero(first != np.arange(len(first)))
+        return pd.DataFrame({"old": pd.Series(names[gone], dtype=object), "new": pd.Series(names[first[gone]], dtype=object)})
+
+    def one_part(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, first = linked(pdf, None)
         return pd.DataFrame({"id": pd.Series(names, dtype=object), "cluster_id": pd.Series(names[first], dtype=object)})
 
     pairs = cut(tfidf_pairs(weights, threshold + 1e-6).select("a", "b"))
@@ -181,7 +258,8 @@ def cluster_tfidf(articles: DataFrame, stop_words: list[str], threshold: float =
     labels = [sums["w"].join(small, "cid").groupBy("component").applyInPandas(one_part, f"id {kind}, cluster_id {kind}")]
     if large.limit(1).count():
         sums["w"] = cut(sums["w"].join(large, "cid", "left_semi"))
-        labels.append(_rounds(groups.join(large, "cid", "left_semi"), pairs.join(large.select(F.col("cid").alias("a")), "a", "left_semi"), linkage, merge, threshold, max_rounds))
+        mine = cut(sketched(groups.join(large, "cid", "left_semi")))
+        labels.append(_contracted(mine, pairs.join(large.select(F.col("cid").alias("a")), "a", "left_semi"), linkage, contract, merge, F.col("x"), threshold))
     found = _named(labels, groups)
     return articles.select("id").join(found, "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id"))
 

@@ -6,17 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwire.config import DEFAULT, DEFAULT_CATEGORY, FusionConfig
-from loomwire.functions.fingerprints import fingerprint_similarity
+from loomwire.functions.fingerprints import ACTION_WEIGHT, ENTITY_WEIGHT, TIME_WEIGHT, fingerprint_similarity
 from loomwire.functions.text import category_id, category_name, first_of, full
 from loomwire.functions.times import bucket_score
 from loomwire.functions.vectors import clamp01, vec_dot, vec_normalize
 from loomwire.operators.cluster import centroids, cluster_confidence, merge_fingerprints, ordered
 from loomwire.operators.graph import connected_components
-from loomwire.operators.simjoin import cosine_pairs, shared_entity_pairs
+from loomwire.operators.simjoin import cosine_pairs, cosine_pairs_between, shared_entity_pairs, shared_entity_pairs_between
 from loomwire.session import cut
 
-#: Topics up to which an article is compared with all of them; the engine keeps ``max_topics``, so this is its bound.
-FEW_TOPICS = 2000
+# What vectors, fingerprints and time weigh when an article looks for its topic.
+EMBED, PRINT, RECENCY = 0.62, 0.28, 0.10
+#: Jaccard similarity of entities by which a pair is found that its vectors do not show; any value gives the same result.
+ENTITIES_SHARED = 0.5
 INTERNAL = ["topic_id", "centroid", "event_fingerprint", "source_set", "entity_set", "cluster_confidence", "last_merged_at"]
 
 
@@ -101,33 +103,33 @@ def exploded_sources(topics: DataFrame) -> DataFrame:
     return topics.select("topic_id", F.posexplode("sources").alias("pos", "s")).select("topic_id", F.struct(F.lit(0).alias("t"), F.col("pos").alias("i")).alias("ord"), "s.name", "s.title", "s.link", "s.lang")
 
 
-def assign_scores(topics: DataFrame, articles: DataFrame) -> DataFrame:
-    """``(article_key, topic_id, score)`` of every topic and article that may reach the threshold.
+def assign_scores(topics: DataFrame, articles: DataFrame, least: float = DEFAULT.incremental_assign_score) -> DataFrame:
+    """``(article_key, topic_id, score)`` of every topic and article that score at least ``least``.
 
-    ``topics``: topic_id, published, centroid, event_fingerprint; ``articles``: article_key, v, event_fingerprint. The topics
-    are few by the engine's cap; their number is checked, and beyond it candidates are found by entity and vector.
+    ``topics``: topic_id, published, centroid, event_fingerprint; ``articles``: article_key, v, event_fingerprint. A pair that reaches ``least``
+    has near vectors, or else must make up for them by its entities: below the vectors' bound only a Jaccard similarity of
+    ENTITIES_SHARED lets it. So candidates come from a join of vectors and one of rare entities, whatever the number of topics.
     """
     few = topics.select("topic_id", F.col("published").alias("topic_published"), "centroid", F.col("event_fingerprint").alias("tf"))
     mine = articles.select("article_key", "v", F.col("event_fingerprint").alias("af"))
-    if topics.count() <= FEW_TOPICS:
-        met = mine.crossJoin(F.broadcast(few))
-    else:
-        named = F.explode(F.array_distinct(F.transform("event_fingerprint.entities", lambda e: F.lower(e)))).alias("e")
-        by_name = articles.select("article_key", named).join(topics.select("topic_id", named), "e").select("article_key", "topic_id").distinct()
-        tagged = topics.select(F.concat(F.lit("t"), "topic_id").alias("id"), F.col("centroid").alias("v")).unionByName(articles.select(F.concat(F.lit("a"), "article_key").alias("id"), F.col("v").cast("array<double>").alias("v")))
-        near = cosine_pairs(tagged, 0.348 + 1e-6).filter(F.startswith("a", F.lit("a")) & F.startswith("b", F.lit("t")))
-        by_vector = near.select(F.substring("a", 2, 1 << 30).alias("article_key"), F.substring("b", 2, 1 << 30).alias("topic_id"))
-        met = by_name.unionByName(by_vector).distinct().join(mine, "article_key").join(few, "topic_id")
+    near_enough = (least - RECENCY - PRINT * (ACTION_WEIGHT + TIME_WEIGHT + ENTITY_WEIGHT * ENTITIES_SHARED)) / EMBED
+    double = lambda c: F.col(c).cast("array<double>").alias("v")
+    by_vector = cosine_pairs_between(articles.select(F.col("article_key").alias("id"), double("v")), topics.select(F.col("topic_id").alias("id"), double("centroid")), 1.0 - near_enough + 1e-6)
+    named = lambda df, key: df.select(F.col(key).alias("id"), F.col("event_fingerprint.entities").alias("entities"))
+    by_name = shared_entity_pairs_between(named(articles, "article_key"), named(topics, "topic_id"), ENTITIES_SHARED)
+    pairs = by_name.unionByName(by_vector.select("a", "b")).distinct().select(F.col("a").alias("article_key"), F.col("b").alias("topic_id"))
+    met = pairs.join(mine, "article_key").join(few, "topic_id")
     embed = F.coalesce(clamp01(vec_dot(F.col("centroid"), F.col("v"))), F.lit(0.0))
     recency = bucket_score(F.col("tf.time_bucket"), F.col("af.time_bucket"))
-    return met.select("article_key", "topic_id", "topic_published", (0.62 * embed + 0.28 * fingerprint_similarity(F.col("tf"), F.col("af")) + 0.10 * recency).alias("score"))
+    score = EMBED * embed + PRINT * fingerprint_similarity(F.col("tf"), F.col("af")) + RECENCY * recency
+    return met.select("article_key", "topic_id", "topic_published", score.alias("score")).filter(F.col("score") >= least)
 
 
 def assign_to_topics(articles: DataFrame, topics: DataFrame, config: FusionConfig = DEFAULT) -> DataFrame:
     """``(article_key, topic_id, score)`` of the best topic of each article, if it scores enough; ties go to the newest
     topic, then to the smaller id."""
     best = F.min(F.struct((-F.col("score")).alias("s"), (-F.unix_micros("topic_published")).alias("t"), "topic_id")).alias("b")
-    scored = assign_scores(topics, articles).filter(F.col("score") >= config.incremental_assign_score)
+    scored = assign_scores(topics, articles, config.incremental_assign_score)
     return scored.groupBy("article_key").agg(best).select("article_key", "b.topic_id", (-F.col("b.s")).alias("score"))
 
 

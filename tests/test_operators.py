@@ -133,10 +133,77 @@ def test_average_linkage(spark, monkeypatch, most=2048):
     assert {frozenset(g) for g in got.values()} == slow_hac(x, 0.4) | {frozenset([99]), frozenset([98])}
 
 
-def test_average_linkage_in_rounds(spark, monkeypatch):
+def test_average_linkage_by_contraction(spark, monkeypatch):
     test_average_linkage(spark, monkeypatch, 3)
 
 
+def test_merges_within_limits_are_merges_without(spark):
+    """Whatever a part merges under its limits is a merge of the whole, for any division into parts."""
+    rng = np.random.default_rng(12)
+    for _ in range(40):
+        x = rng.standard_normal((8, 6))[rng.integers(0, 8, 40)] + 0.5 * rng.standard_normal((40, 6))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        whole = cl.average_linkage(x @ x.T, np.ones(40), 0.4)
+        part = rng.integers(0, 3, 40)
+        for p in range(3):
+            at = np.flatnonzero(part == p)
+            limit = (1 - x[at] @ x[part != p].T).min(axis=1)
+            first = cl.average_linkage(x[at] @ x[at].T, np.ones(len(at)), 0.4, limit)
+            assert (whole[at] == whole[at[first]]).all()
+
+
+def test_a_chained_component_ends_in_few_rounds(spark, monkeypatch):
+    """Vectors along a closed curve, each near the next: one component of many parts, here of ten times a part's size; the parts give
+    what one matrix gives on a piece of it."""
+    rng, n = np.random.default_rng(6), 4000
+    monkeypatch.setattr(cl, "TASK_MEMBERS", 400)
+    turns = (np.arange(n) + rng.uniform(-0.4, 0.4, n)) * 2 * np.pi / n
+    x = np.stack([f(k * turns) / np.sqrt(3) for k in (1, 7, 19) for f in (np.cos, np.sin)], axis=1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").cache()
+    rounds = []
+    drawn = cl._parts
+    monkeypatch.setattr(cl, "_parts", lambda *a: rounds.append(1) or drawn(*a))
+    got = cl.hac_average(df, 0.002).toPandas().sort_values("id")["cluster_id"].to_numpy()
+    assert 0 < len(rounds) < 20
+    sums = {c: x[got == c] for c in np.unique(got)}
+    means = np.array([v.mean(axis=0) for v in sums.values()])
+    apart = 1 - means @ means.T
+    np.fill_diagonal(apart, 1)
+    assert apart.min() >= 0.002 - 1e-9 and len(sums) < n / 4
+    monkeypatch.setattr(cl, "TASK_MEMBERS", 100)
+    few = df.filter("id < 700").cache()
+    chosen = cl.hac_average(few, 0.002).toPandas().sort_values("id")["cluster_id"].to_numpy()
+    assert (chosen == cl.average_linkage(x[:700] @ x[:700].T, np.ones(700), 0.002)).all()
+
+
+def test_best_topics_of_many(spark):
+    """Assignment among 3,000 topics equals a look at every topic."""
+    from loomwire.functions.fingerprints import fingerprint_similarity
+    from loomwire.functions.times import bucket_score
+    from loomwire.functions.vectors import clamp01, vec_dot
+    from loomwire.operators import topics as tp
+
+    rng = np.random.default_rng(14)
+    base, begin = rng.standard_normal((60, 16)), dt.datetime(2024, 1, 1)
+
+    def row(i, prefix):
+        k = int(rng.integers(0, 60))
+        v = base[k] + rng.uniform(0.3, 2.0) * rng.standard_normal(16)
+        v = (v / np.linalg.norm(v)).tolist() if i % 17 else None
+        entities = [f"E{(k + int(j)) % 40}" for j in rng.integers(0, 4, int(rng.integers(0, 4)))]
+        return f"{prefix}{i}", begin + dt.timedelta(hours=int(rng.integers(0, 90))), v, ("h", entities, ["opens"][: int(rng.integers(0, 2))], begin + dt.timedelta(hours=6 * int(rng.integers(0, 15))), ["s"])
+
+    kind = "published timestamp, {} array<double>, event_fingerprint struct<hash: string, entities: array<string>, actions: array<string>, time_bucket: timestamp, sources: array<string>>"
+    topics = spark.createDataFrame([row(i, "t") for i in range(3000)], "topic_id string, " + kind.format("centroid")).cache()
+    news = spark.createDataFrame([row(i, "a") for i in range(150)], "article_key string, " + kind.format("v")).drop("published").cache()
+    got = {tuple(r) for r in tp.assign_to_topics(news, topics).select("article_key", "topic_id").collect()}
+    both = news.withColumnRenamed("event_fingerprint", "af").crossJoin(topics.withColumnRenamed("event_fingerprint", "tf"))
+    score = 0.62 * F.coalesce(clamp01(vec_dot(F.col("centroid"), F.col("v"))), F.lit(0.0)) + 0.28 * fingerprint_similarity(F.col("tf"), F.col("af")) + 0.10 * bucket_score(F.col("tf.time_bucket"), F.col("af.time_bucket"))
+    best = both.select("article_key", F.struct((-score).alias("s"), (-F.unix_micros("published")).alias("t"), "topic_id").alias("b")).groupBy("article_key").agg(F.min("b").alias("b"))
+    want = {(r["article_key"], r["b"]["topic_id"]) for r in best.collect() if -r["b"]["s"] >= 0.63}
+    assert got == want and len(want) > 40
+
+
 def test_sign_hashing_recall(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 32))
