@@ -16,6 +16,7 @@ from loomwire.operators import pages as pg
 from loomwire.operators import simjoin as sj
 from loomwire.operators.graph import connected_components
 from loomwire.operators.ranking import rank_in_groups
+from loomwire.schemas import STATE
 from loomwire.sources.state import State, current_version, empty_state, load_state, save_state
 
 RUN = F.lit
@@ -414,3 +415,33 @@ def test_state_versions(spark, tmp_path):
     for version, key in ((5, "a"), (6, "b"), (6, "c")):
         save_state(spark, folder, version, State(empty.topics_state, empty.topic_articles, tomb(key), empty.snapshot, empty.run_meta))
     assert current_version(spark, folder) == 6 and [r["article_key"] for r in load_state(spark, folder).tombstones.collect()] == ["c"]
+
+
+
+def test_a_run_writes_the_parts_it_changes(spark, tmp_path):
+    folder, empty = f"file://{tmp_path}/parts", empty_state(spark)
+    files = lambda: {str(p.relative_to(tmp_path)) for p in (tmp_path / "parts").rglob("*.parquet") if "manifests" not in p.parts}
+    topic = lambda i, title, when: {"topic_id": f"t{i}", "title": title, "last_merged_at": when, "sources": [("n", title, "l", "en")], "centroid": [0.5, float(i)]}
+
+    def save(version, titles, when, last=lambda i, when: when):
+        rows = [topic(i, t, last(i, when)) for i, t in titles.items()]
+        topics = spark.createDataFrame(rows, empty.topics_state.schema)
+        keys = spark.createDataFrame([(r["topic_id"], f"k{i}") for i, r in enumerate(rows)], empty.topic_articles.schema)
+        written = save_state(spark, folder, version, State(topics, keys, empty.tombstones, empty.snapshot, empty.run_meta))
+        got = {r["topic_id"]: (r["title"], r["last_merged_at"]) for r in load_state(spark, folder).topics_state.collect()}
+        assert got == {r["topic_id"]: (r["title"], r["last_merged_at"]) for r in rows}
+        return written
+
+    titles, day = {i: f"title {i}" for i in range(300)}, lambda n: dt.datetime(2024, 1, n)
+    assert save(1, titles, day(1))["topics_state"] > 50
+    first = files()
+    assert save(2, titles, day(2)) == dict.fromkeys(STATE, 0) and files() == first  # only the common time has changed
+    titles[7] = "another"
+    assert save(3, titles, day(3))["topics_state"] == 1 and len(files() - first) == 1
+    assert save(4, titles, day(4), lambda i, when: day(9) if i == 3 else when)["topics_state"] > 50  # no common time any more
+    del titles[11]
+    written = save(5, titles, day(4), lambda i, when: day(9) if i == 3 else when)
+    assert written["topics_state"] <= 1  # the part of the topic that went, or none if it stood alone there
+    save(6, titles, day(6))
+    save(7, titles, day(7))
+    assert not first & files() or all("topic_articles" in f for f in first & files())  # what only old versions hold is gone
