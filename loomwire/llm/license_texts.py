@@ -144,31 +144,51 @@ KNOWN = [
 ]
 
 # Licence identifier, characters and SHA-256 of the canonical form of whole published texts. Where a text
-# has an appendix after its terms, the terms count too, with and without their closing line.
+# has an appendix after its terms, the terms count too, with and without their closing line, and where it has copyright
+# lines, the form that keeps them.
 KNOWN_DIGESTS = [
     ("Apache-2.0", 8820, "1f83b549278aad2269f256fe33eeebb43fed6e113bc021a29aea3b88353779e6"),
     ("Apache-2.0", 8848, "d3b761037b99e5cb84d7615d780e864d6d33a661f7613e225a5e78983311b5f9"),
     ("Apache-2.0", 9864, "1ea51b4fb8db71cbb7fcf3eada9bdec2dcd567d853ac36ce4b7f0a49d0a28496"),
+    ("Apache-2.0", 9903, "f8a16d424d5e01ad0a7f567869ae03dd00478f0762501672af8a428fa7ad0874"),
     ("Artistic-1.0-Perl", 5802, "c471988a77141ab3bd1edf5e597c88c77313756e7d981da1873ae071d0fff520"),
     ("CC0-1.0", 6684, "2106cd4f7c9f6d4a9e5f54c911e4ff372736db5467794e4b89bcea996afde21c"),
-    ("GFDL-1.2-only", 19580, "231a8704cc18f1f610767f6ac11de16a0ebd847208bddcceee26f1844633ceb8"),
-    ("GFDL-1.3-only", 22004, "db36a674b9c89df4dd6f7da3224c4a4117476a92d5dcee13dab8887dee33dd18"),
-    ("GPL-1.0-only", 9359, "4142432880b34daad7499f8496bfa0c5606ab779f7d5c28b2a35ad5774358fd2"),
-    ("GPL-1.0-only", 9387, "6a961487f7eff681d4a57d54721ffe14f704b7838dbfd03ec0647f4827ae7339"),
-    ("GPL-1.0-only", 11769, "dff80fd823318d38ff37659008d057cd0206d7091d7ee1157be98db0ca60cc08"),
-    ("GPL-2.0-only", 14420, "fc3b27b1959870c461fa4a448448d0f6e9368e3ac4545e13757cb1685683d4ea"),
-    ("GPL-2.0-only", 14448, "4b3851e57057995e596783e8597cf91795b45fb1a131f98f5096d62141dc5151"),
-    ("GPL-2.0-only", 17082, "2ebc509910f8198b6a3e71a69afbae82ef7f1910c4368882f30e616b256f7e8c"),
-    ("GPL-3.0-only", 30883, "8b3dac26b3d8ecce6275068f7cbb966ac31c15f7a6f6be7935493beba24876b8"),
-    ("GPL-3.0-only", 30911, "61f3f2cb7f54a63fb385a4ed30a4e451d3244772bd8fff3c817e8de60054c9ab"),
-    ("GPL-3.0-only", 33349, "6118d605c1fa4fddf28d588e0da988d7deab4fad626b4ec94231c8b8f8549615"),
-    ("LGPL-2.0-only", 22204, "2ba2e608396cf6a45b00e1f64d00ba01717aa19a978e66be1b7e3a9573363e09"),
-    ("LGPL-2.0-only", 22232, "4f792280264fddebe5c6b0a01e965244a89c7e772fc68c944a506b43f951cede"),
-    ("LGPL-2.0-only", 24085, "e04603d6e026ffd36324f2bd92ac22e0ccf413d67856901ea9e5ac1ed3bb325b"),
-    ("LGPL-2.1-only", 23292, "ee807f250baa1d7919615501bcbd16021394eb90cf2f83b3322a2675f518a3f2"),
-    ("LGPL-2.1-only", 23320, "77f69f74290312268162b9479423e89b37db622932ed17109b334a7a3f5af584"),
-    ("LGPL-2.1-only", 25172, "9df9a77b243015b5319d7fa42c7baa90d11cd37e2e7d5721f2d48d6f42535d13"),
+    ("GFDL-1.2-only", 19572, "145863bce48501da2c3b451f03e87a6fc72d975ee2fc6449b1d97aef10914e7e"),
+    ("GFDL-1.2-only", 19628, "801ab1d99524e2c2c884b361f68e241e0c6ee5b4ddad7ff9498344626e787a65"),
+    ("GFDL-1.3-only", 21994, "78623c5c6b8dd9cc94baf3010a610433345ef0428c0beca8f048f301bc1c38b2"),
+    ("GFDL-1.3-only", 22060, "905e79b50b65d64fdf4c0f92ecd1cf552bdab580c10569b55fb23d48cd2b3a9e"),
+    ("GPL-1.0-only", 9355, "3048fc195fcf3be57d9165c2045b4a8b5b31cdf7441df80b880b9fa9bc9024eb"),
+    ("GPL-1.0-only", 9383, "2a8c2cc8155a1288f38437b1216ca88d20a86c98fd32339c3a0216dbdb102f31"),
+    ("GPL-1.0-only", 9401, "0d58162f00472dc7cb17e6405e9de308b38149c0a287a0d4c40d7ac577ad7075"),
+    ("GPL-1.0-only", 9429, "3fcf3a0b9ad7a6f82e815c4d00a4f462b43ad0b84119d58380bc0f1b0db46e0d"),
+    ("GPL-1.0-only", 11765, "94c1132504c954ff7ec78477ccb271f092011efbede6825ab2fbe878f1fd3f94"),
+    ("GPL-1.0-only", 11811, "864249fbc9e612ec0f712453b1c75a47fa19dd07747ef066d2b66a3b9aed1eb9"),
+    ("GPL-2.0-only", 14416, "644ffde8f953aa97ffed404ec6f94bd808fe65b1655dbb7a4ec321357252080c"),
+    ("GPL-2.0-only", 14444, "b0fbe9c09345628c32acdbd3e1106eddaf8f080b4eeeb056f2e0d839226d5e12"),
+    ("GPL-2.0-only", 14467, "d5adb08079c71e5f6f464ced967d2e269619342ccecfbddb063f8589203fdbd3"),
+    ("GPL-2.0-only", 14495, "752b73aa89afc998ca0fa5222ea29b497c88a8f5d2aa59dbb142d031e9f5ba33"),
+    ("GPL-2.0-only", 17078, "0a6859dad069d8f0e66ad1a97938a860d6d31745b3f26f6de16cb3d978452f4f"),
+    ("GPL-2.0-only", 17161, "0d6ee5d9e4826173a68c444c2e787a9beb7e7b7d01a3279c388729ca5678f4f6"),
+    ("GPL-3.0-only", 30852, "4fccd4679e4bf106b375335df1afa801750a386e38d15de989010d70f3f0cf4a"),
+    ("GPL-3.0-only", 30880, "4fae77acb6c1552a698a1c588df2f257f8394ed0cd452ba2ebd98f97b0d8d7af"),
+    ("GPL-3.0-only", 30911, "2ebca79746407a3817687ed6902085892a91219fdf7f8f83317a465f10bbb86c"),
+    ("GPL-3.0-only", 30939, "4eb8469b2c0b960f60583d20d93aeecc8990b506c4bbc4fd21b5f5c6062f0b63"),
+    ("GPL-3.0-only", 33318, "7f19f4ac57c3916807d49a738d6cf116245394ed992381b30f933ce97541dae2"),
+    ("GPL-3.0-only", 33409, "3c60a51b0a412107156f46fe4f68a377f5898c6ef8641702d74f47114f227d71"),
+    ("LGPL-2.0-only", 22196, "f53fb9f024d6f20f50cdfb58c392c791a0aef961653f3b66fe9d89ed08041d8a"),
+    ("LGPL-2.0-only", 22224, "2f1136a74dc5f4af1b9ec9e1f8758347fb8334fc42f931a395b17bf1c909de1e"),
+    ("LGPL-2.0-only", 22242, "20777848208096cd2c38d76e9d5698dea8d4f23b138aaa47738f83d1f070d42a"),
+    ("LGPL-2.0-only", 22270, "394794f6d6b1fea5d122550ed68c866c01884b3c36219354e44ec149c7b7e218"),
+    ("LGPL-2.0-only", 24077, "17577b1f027967de4ff8b09f636c5c1fe734290382b6a65d024325a5e41baffd"),
+    ("LGPL-2.0-only", 24155, "68138d7fc1b478858854e646261726a5c86ba940bb056423d60e9d1abcf4831b"),
+    ("LGPL-2.1-only", 23280, "109f172b275fc736f5be7dde13991c7e59507044e47cae8b0001ed79860bd8c0"),
+    ("LGPL-2.1-only", 23308, "b4c03d5b234fff4cd72923c83bbc1553d95660c9a93bc5ed982332f5a3452288"),
+    ("LGPL-2.1-only", 23331, "bc6376db11aaa87a8bd00c372403bf51e1ffd8398e9ed86c2f66ba60fb6b3cd1"),
+    ("LGPL-2.1-only", 23359, "14a5fa5c9163e41e7520ff5f036156b27d13ad4f3d8fe65f298a21110d602669"),
+    ("LGPL-2.1-only", 25160, "6cc88202654f4aa6a137ce88ca51cfa11f0a79ea7b14b6ae2c38beb2633d0f47"),
+    ("LGPL-2.1-only", 25243, "1f586177a713f3e973008c0c6d19e370447761d32b1e5a4632fd82844c7395da"),
     ("LGPL-3.0-only", 7086, "828c3944cde1fc14c68737c9be14d8d0f4f13ab980f8a72364a0e64f72965525"),
-    ("MPL-1.1", 22433, "c21da7db47fdd9d729022114526313faa8058be180af2021998fbacdd011452e"),
-    ("MPL-2.0", 14324, "35ef3bd6b8dde2c220e6e747059cfe96815135ddffa77f412609dea3108d65a6"),
+    ("LGPL-3.0-only", 7145, "3a7f15121614e3b48062dcc8d3cf3efa99ecc36a9ffe378566813ef26d23d321"),
+    ("MPL-1.1", 22414, "3f91a6d3cc2d2838ffd49bb7f76001d91a192ddae78af59f067ed8b1845c3cf7"),
+    ("MPL-2.0", 14320, "cf0cbde7aa46b215c9fa1eda48a097d574d70a04e3c2fab1c0b55f755160d0d6"),
 ]

@@ -32,7 +32,7 @@ def test_licenses(spark):
     bsd = next(t for i, t in licenses.KNOWN if i == "BSD-2-Clause")
     ways = [bsd, bsd.replace("1. ", "(1) ").replace("2. ", "* "), bsd.replace("1. ", "").replace("2. ", "").replace(", ", ",\n"), "\n".join(bsd.split(" ")), bsd * 40]
     same = [r["license_id"] for r in licenses.scan_licenses(docs(spark, ways)).orderBy("doc_id").collect()]
-    assert same == ["BSD-2-Clause"] * 3 + [None] * 2  # a number on a line of its own is a word, as is a text forty times as long
+    assert same == ["BSD-2-Clause"] * 4 + [None]  # a text forty times as long is another
     twice = docs(spark, ["same"]).unionByName(docs(spark, ["same"]))
     assert licenses.scan_licenses(twice).count() == 2 and licenses.scan_licenses(twice.limit(0)).count() == 0
 
@@ -45,6 +45,42 @@ def test_whole_licenses(spark, name, license_id):
     assert {r["license_id"] for r in licenses.scan_licenses(docs(spark, texts)).collect()} == {license_id}
 
 
+STYLES = ["# ", "// ", " * ", ";; "]
+
+
+def laid_out(text):
+    """A text wrapped at three widths, on one line, and under four marks of comments."""
+    import textwrap
+
+    paragraphs = [" ".join(p.split()) for p in text.split("\n\n")]
+    ways = ["\n\n".join(textwrap.fill(p, w, break_long_words=False, break_on_hyphens=False) for p in paragraphs) for w in (40, 60, 100)]
+    return [*ways, " ".join(text.split()), *("\n".join((mark + line).rstrip() for line in text.split("\n")) for mark in STYLES), "\n".join("#" + line for line in text.split("\n"))]
+
+
+def test_known_texts_however_they_are_laid_out(spark):
+    long = [(i, t) for i, t in licenses.KNOWN if len(t) > 200]
+    texts = [(i, way) for i, t in long for way in laid_out(t)]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(docs(spark, [t for _, t in texts])).collect()}
+    missed = [(i, n) for n, (i, _) in enumerate(texts) if got[n] != i]
+    assert not missed and len(long) > 8
+
+
+@pytest.mark.skipif(not COMMON.is_dir(), reason="no licence texts on this machine")
+def test_whole_licenses_however_they_are_laid_out(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0", "GFDL-1.3": "GFDL-1.3-only"}
+    texts = [(i, way) for name, i in names.items() for way in laid_out((COMMON / name).read_text())]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(docs(spark, [t for _, t in texts])).collect()}
+    assert [(i, n) for n, (i, _) in enumerate(texts) if got[n] != i] == []
+
+
+def test_licenses_with_one_digest_and_clashing_columns(spark):
+    clashing = docs(spark, ["the very same words"]).withColumns({"digest": F.lit("x"), "license_id": F.lit("y"), "_text": F.lit("z"), "kind": F.lit("k")})
+    row = licenses.scan_licenses(clashing, known=[("B", "The very same words"), ("A", "the very, same words.")], digests=[]).first()
+    assert (row["license_id"], row["notices"]) == ("A", ["A"])
+    long = licenses.scan_licenses(docs(spark, ["word " * 300_000 + "\nReleased under the MIT License."])).first()
+    assert long["license_id"] is None and long["notices"] == ["MIT"] and long["digest"]
+
+
 def test_shards_even_and_gapless(spark):
     keys = spark.range(1003).selectExpr("if(id % 3 = 0, null, id) AS doc_id", "id AS size", "id AS text_crc32", "id AS rank")
     keys = keys.unionByName(keys.limit(50))
