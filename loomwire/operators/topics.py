@@ -114,11 +114,12 @@ def assign_scores(topics: DataFrame, articles: DataFrame, least: float = DEFAULT
     mine = articles.select("article_key", "v", F.col("event_fingerprint").alias("af"))
     near_enough = (least - RECENCY - PRINT * (ACTION_WEIGHT + TIME_WEIGHT + ENTITY_WEIGHT * ENTITIES_SHARED)) / EMBED
     double = lambda c: F.col(c).cast("array<double>").alias("v")
-    by_vector = cosine_pairs_between(articles.select(F.col("article_key").alias("id"), double("v")), topics.select(F.col("topic_id").alias("id"), double("centroid")), 1.0 - near_enough + 1e-6)
-    named = lambda df, key: df.select(F.col(key).alias("id"), F.col("event_fingerprint.entities").alias("entities"))
+    as_text = lambda key: F.col(key).cast("string")
+    by_vector = cosine_pairs_between(articles.select(as_text("article_key").alias("id"), double("v")), topics.select(as_text("topic_id").alias("id"), double("centroid")), 1.0 - near_enough + 1e-6)
+    named = lambda df, key: df.select(as_text(key).alias("id"), F.col("event_fingerprint.entities").alias("entities"))
     by_name = shared_entity_pairs_between(named(articles, "article_key"), named(topics, "topic_id"), ENTITIES_SHARED)
-    pairs = by_name.unionByName(by_vector.select("a", "b")).distinct().select(F.col("a").alias("article_key"), F.col("b").alias("topic_id"))
-    met = pairs.join(mine, "article_key").join(few, "topic_id")
+    pairs = by_name.unionByName(by_vector.select("a", "b")).distinct()
+    met = pairs.join(mine, F.col("a") == as_text("article_key")).join(few, F.col("b") == as_text("topic_id"))
     embed = F.coalesce(clamp01(vec_dot(F.col("centroid"), F.col("v"))), F.lit(0.0))
     recency = bucket_score(F.col("tf.time_bucket"), F.col("af.time_bucket"))
     score = EMBED * embed + PRINT * fingerprint_similarity(F.col("tf"), F.col("af")) + RECENCY * recency
@@ -196,8 +197,9 @@ def refresh_topics(topics: DataFrame, topic_articles: DataFrame, assigned: DataF
     prints = merge_fingerprints(old.unionByName(fresh), "topic_id").withColumnRenamed("event_fingerprint", "new_fp")
     joined = topics.join(news, "topic_id", "left").join(counts, "topic_id", "left").join(sums, "topic_id", "left").join(sources, "topic_id", "left").join(prints, "topic_id", "left")
     hit = F.col("new_published").isNotNull()
-    weight = F.greatest(F.col("article_count"), F.lit(1)).cast("double")
-    known = F.col("centroid").isNotNull()
+    # a column of its own: inside a lambda the name of the count would mean the new one, selected beside it
+    joined = joined.withColumn("_weight", F.greatest(F.col("article_count"), F.lit(1)).cast("double"))
+    weight, known = F.col("_weight"), F.col("centroid").isNotNull()
     total = F.when(known, F.zip_with("vs", "centroid", lambda a, b: (a + b * weight) / (weight + F.col("vn")))).otherwise(F.transform("vs", lambda a: a / F.col("vn")))
     once = 0.7 * F.coalesce("cluster_confidence", F.lit(0.6)) + 0.3 * 0.82
     clamp = lambda c: F.greatest(F.lit(0.3), F.least(F.lit(0.99), c))

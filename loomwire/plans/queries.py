@@ -541,13 +541,20 @@ def centroids(spark, sf_dir):
     return cl.centroids(members, v).select("cluster_id", F.posexplode("centroid").alias("d", "x")).select("cluster_id", "d", r6("x").alias("x"))
 
 
-GROUPED = "m AS (SELECT *, doc_id % 97 AS g FROM fp)"
+#: Articles of a group; the number of groups grows with the table.
+TOGETHER = 10
+_group = f"doc_id // {TOGETHER}"
+GROUPED = f"m AS (SELECT *, {_group} AS g FROM fp)"
 
 
-def grouped(spark: SparkSession, sf_dir: str, n: int = 97) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members, articles and vectors: articles in ``n`` groups by number, those that have a vector with it."""
+def group_of(c: str) -> F.Column:
+    return F.floor(F.col(c) / TOGETHER)
+
+
+def grouped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members, articles and vectors: articles in groups by number, those that have a vector with it."""
     a = cut(numbered(fingerprinted(spark, sf_dir)))
-    return a.select((F.col("id") % n).alias("cluster_id"), "id"), a, fx.vectors(spark, sf_dir)
+    return a.select(group_of("id").alias("cluster_id"), "id"), a, fx.vectors(spark, sf_dir)
 
 
 @query(
@@ -579,10 +586,12 @@ def merge_fingerprints(spark, sf_dir):
     return f.select("cluster_id", f"{e}.entities", f"{e}.actions", f"{e}.sources", F.col(f"{e}.time_window.start").alias("start"), F.col(f"{e}.time_window.end").alias("stop"), f"{e}.hash")
 
 
-@query("SELECT 97::BIGINT AS total, 97::BIGINT AS multi, max(n) AS max_size FROM (SELECT count(*) AS n FROM documents GROUP BY doc_id % 97)")
+@query("SELECT count(*) AS total, count(*) FILTER (n > 1) AS multi, coalesce(max(n) FILTER (n > 1), 0) AS max_size FROM (SELECT count(*) AS n FROM documents GROUP BY doc_id // (1 + doc_id % 7), doc_id % 7)")
 def cluster_stats(spark, sf_dir):
-    """A12."""
-    return cl.cluster_stats(grouped(spark, sf_dir)[0])
+    """Clusters of seven sizes, single articles among them."""
+    docs = fx.read(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 7
+    return cl.cluster_stats(docs.select(F.struct(F.floor(F.col("doc_id") / (1 + k)), k).alias("cluster_id"), F.col("doc_id").alias("id")))
 
 
 def article_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -619,16 +628,16 @@ def assign_topics(spark, sf_dir):
     return found.select("article_key", "topic_id", r6("score").alias("score"))
 
 
-def topic_tables(spark: SparkSession, sf_dir: str, n: int = 97) -> tuple[DataFrame, DataFrame]:
+def topic_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Topics of the groups of articles, their keys beside them; the topic's id is its group's number."""
-    members, a, v = grouped(spark, sf_dir, n)
+    members, a, v = grouped(spark, sf_dir)
     topics = tp.topics_from_clusters(members, a).withColumn("topic_id", F.col("cluster_id").cast("string"))
     keys = members.join(a.select("id", "article_key"), "id").select(F.col("cluster_id").cast("string").alias("topic_id"), "article_key").distinct()
     return topics.drop("cluster_id").withColumn("id", F.col("topic_id")), keys
 
 
-TOPICS = """
-tg AS (SELECT *, doc_id % 97 AS g FROM keyed),
+TOPICS = f"""
+tg AS (SELECT *, {_group} AS g FROM keyed),
 tf AS (SELECT * FROM tg QUALIFY row_number() OVER (PARTITION BY g ORDER BY published DESC, doc_id) = 1),
 tc AS (SELECT g, count(*)::INT AS article_count, list_sort(list(DISTINCT source)) AS names FROM tg GROUP BY g),
 topics AS (SELECT g::VARCHAR AS id, title, substr(snippet, 1, 300) AS summary, published, article_count, names FROM tf JOIN tc USING (g))"""
@@ -641,43 +650,107 @@ def topic_heads(spark, sf_dir):
     return topics.select("id", "title", "summary", "published", "article_count", tp.names_of(F.col("sources")).alias("names"))
 
 
-@query("WITH" + KEYED + "," + TOPICS + " SELECT id, article_count FROM topics")
+# the groups' centroids: unit means of the unit vectors, a row for each dimension; and the head of each group
+CENTRES = """
+dims AS (SELECT g, i, avg(v[i]) AS x FROM {rows}, unnest(range(1, 65)) t(i) GROUP BY g, i),
+centres AS (SELECT g, i, x / sqrt(sum(x * x) OVER (PARTITION BY g)) AS x FROM dims)"""
+STATE_SQL = (
+    "WITH" + FP + "," + VEC + "," + GROUPED + "," + MERGED
+    + """, one AS (SELECT m.*, v.v FROM m LEFT JOIN vecs v ON v.id = m.doc_id), hd AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY g ORDER BY published DESC, doc_id) = 1),
+ct AS (SELECT g, count(*)::INT AS n, list_sort(list(DISTINCT source)) AS names FROM m GROUP BY g),"""
+)
+
+
+def first_numbers(c: str = "centroid") -> F.Column:
+    """The first two numbers of a vector and its length, as one text."""
+    parts = [F.round(F.get(c, F.lit(i)) * 1e6).cast("long") for i in (0, 1)]
+    return F.coalesce(F.concat_ws(",", *parts, F.size(c)), F.lit("")).alias(c)
+
+
+_first_numbers = "coalesce((SELECT string_agg(round(x * 1e6)::BIGINT::VARCHAR, ',' ORDER BY i) FILTER (i <= 2) || ',' || count(*) FROM {t} c WHERE c.g = q.g), '') AS centroid"
+
+
+@query(STATE_SQL + CENTRES.format(rows="(SELECT * FROM one WHERE v IS NOT NULL)") + f""" SELECT q.id AS topic_id, title, substr(snippet, 1, 300) AS summary, published, n AS article_count, names AS source_set,
+  mf.entities AS entity_set, mf.actions, mf.bucket AS start, mf.hi AS stop, {_first_numbers.format(t='centres')}
+FROM (SELECT g, doc_id::VARCHAR AS id, title, snippet, published FROM hd) q JOIN ct USING (g) JOIN mf USING (g)""")
+def topic_states(spark, sf_dir):
+    """The state of every group's topic, its centroid, fingerprint and sets."""
+    state, _ = tp.topic_state(*grouped(spark, sf_dir), fx.run_ts())
+    e = "event_fingerprint"
+    return state.select(
+        "topic_id", "title", "summary", "published", "article_count", "source_set", "entity_set", f"{e}.actions", F.col(f"{e}.time_window.start").alias("start"), F.col(f"{e}.time_window.end").alias("stop"), first_numbers()
+    )
+
+
+@query("WITH" + KEYED + "," + TOPICS + """, h AS (SELECT * FROM tg QUALIFY row_number() OVER (PARTITION BY g ORDER BY published DESC, doc_id) = 1)
+SELECT h.doc_id::VARCHAR AS id, h.title, substr(snippet, 1, 300) AS summary, 0::INT AS n_points, 0::INT AS n_tags, 'brand-market' AS category, '品牌/市场' AS category_name, '' AS image, h.published, tc.article_count,
+  (SELECT string_agg(source || ' ' || link || ' ' || title || ' ' || (SELECT min(lang) FROM documents d WHERE d.source = t.source), chr(10) ORDER BY published DESC, doc_id) FROM tg t WHERE t.g = h.g) AS sources,
+  'article_count category category_name id image key_points published sources summary tags title' AS fields FROM h JOIN tc USING (g)""")
 def topic_output(spark, sf_dir):
-    """State with internal fields, then the output without."""
-    members, a, v = grouped(spark, sf_dir)
-    state, _ = tp.topic_state(members, a, v, fx.run_ts())
-    shown = tp.topics_output(state)
-    heads = tp.topics_from_clusters(members, a).select(F.col("id").alias("h"), F.col("cluster_id").cast("string").alias("name"))
-    return shown.join(heads, F.col("id") == F.col("h")).select(F.col("name").alias("id"), "article_count")
+    """The state as it is shown: every field's value, the names of the fields that stay, and all sources in order."""
+    shown = tp.topics_output(tp.topic_state(*grouped(spark, sf_dir), fx.run_ts())[0])
+    links = F.array_join(F.transform("sources", lambda x: F.concat_ws(" ", x["name"], x["link"], x["title"], x["lang"])), "\n")
+    return shown.select(
+        "id", "title", "summary", F.size("key_points").alias("n_points"), F.size("tags").alias("n_tags"), "category", "category_name", "image", "published", "article_count", links.alias("sources"),
+        F.lit(" ".join(sorted(shown.columns))).alias("fields"),
+    )
+
 
+REFRESHED = STATE_SQL + """
+early AS (SELECT *, doc_id % 2 AS late FROM one), s0 AS (SELECT g, count(DISTINCT article_key) FILTER (late = 0)::INT AS c0, count(DISTINCT article_key)::INT AS c1, max(published) AS published, count(DISTINCT link)::INT AS n_sources,
+  max(late) AS l, count(*) FILTER (late = 0)::DOUBLE AS w, list_sort(list(DISTINCT source)) AS source_set,
+  min(bucket) AS start, CASE WHEN l = 1 THEN greatest(min(bucket) FILTER (late = 0), max(bucket) FILTER (late = 1)) ELSE max(bucket) END AS stop FROM early GROUP BY g HAVING count(*) FILTER (late = 0) > 0),
+d0 AS (SELECT g, i, avg(v[i]) FILTER (late = 0) AS x, sum(v[i]) FILTER (late = 1) AS y, count(*) FILTER (late = 1) AS k FROM (SELECT * FROM early WHERE v IS NOT NULL), unnest(range(1, 65)) t(i) GROUP BY g, i),
+d1 AS (SELECT g, i, x / sqrt(sum(x * x) OVER (PARTITION BY g)) AS x, y, k FROM d0),
+d2 AS (SELECT g, i, CASE WHEN k = 0 THEN x WHEN x IS NULL THEN y / k ELSE (y + x * w) / (w + k) END AS x FROM d1 JOIN s0 USING (g)),
+fresh AS (SELECT g, i, x / sqrt(sum(x * x) OVER (PARTITION BY g)) AS x FROM d2)"""
 
-@query("WITH" + KEYED + ", b AS (SELECT *, doc_id % 97 AS g, (doc_id // 97) % 2 AS late FROM keyed), n AS (SELECT g, count(DISTINCT article_key) FILTER (late = 0)::INT AS c0, count(DISTINCT article_key)::INT AS c1, max(published) AS p, max(published) FILTER (late = 0) AS p0, count(DISTINCT link)::INT AS links, max(late) AS l, count(DISTINCT source) FILTER (late = 0) AS k FROM b GROUP BY g) SELECT g::VARCHAR AS topic_id, CASE WHEN l = 1 THEN c1 ELSE c0 END AS article_count, p AS published, links AS n_sources, round(CASE WHEN l = 1 THEN 0.7 * (0.7 * 0.6 + 0.3 * 0.82) + 0.3 * 0.7 ELSE 0.6 END, 6)::DOUBLE AS cluster_confidence FROM n WHERE c0 > 0")
+
+@query(REFRESHED + f""" SELECT q.g::VARCHAR AS topic_id, CASE WHEN l = 1 THEN c1 ELSE c0 END AS article_count, published, n_sources, source_set,
+  round(CASE WHEN l = 1 THEN 0.7 * (0.7 * 0.6 + 0.3 * 0.82) + 0.3 * 0.7 ELSE 0.6 END, 6)::DOUBLE AS cluster_confidence, start, stop, {_first_numbers.format(t='fresh')}
+FROM s0 q""")
 def topic_refresh(spark, sf_dir):
-    """Each group's later half joins the topic of its earlier half at a score of .7."""
+    """Each group's odd articles join the topic of its even ones at a score of .7."""
     members, a, v = grouped(spark, sf_dir)
-    late = F.pmod(F.floor(F.col("id") / 97), F.lit(2)) == 1
+    late = F.col("id") % 2 == 1
     early = members.filter(~late)
     sure = early.select("cluster_id").distinct().withColumn("cluster_confidence", F.lit(0.6))
     state, keys = tp.topic_state(early, a, v, fx.run_ts(), sure)
-    name = state.select(F.col("topic_id").alias("t"), F.pmod(F.col("topic_id").cast("long"), F.lit(97)).cast("string").alias("name"))
+    name = state.select(F.col("topic_id").alias("t"), F.floor(F.col("topic_id").cast("long") / TOGETHER).cast("string").alias("name"))
     renamed = lambda df: df.join(name, F.col("topic_id") == F.col("t")).withColumn("topic_id", F.col("name")).drop("t", "name")
     state, keys = cut(renamed(state)), cut(renamed(keys))
-    assigned = a.filter(late).select("article_key", (F.col("id") % 97).cast("string").alias("topic_id"), F.lit(0.7).alias("score"))
+    assigned = a.filter(late).select("article_key", group_of("id").cast("string").alias("topic_id"), F.lit(0.7).alias("score"))
     out, _ = tp.refresh_topics(state, keys, assigned, a.join(v, "id", "left"), fx.run_ts())
-    return out.select("topic_id", "article_count", "published", F.size("sources").alias("n_sources"), r6("cluster_confidence").alias("cluster_confidence"))
+    window = "event_fingerprint.time_window"
+    return out.select(
+        "topic_id", "article_count", "published", F.size("sources").alias("n_sources"), "source_set", r6("cluster_confidence").alias("cluster_confidence"), F.col(f"{window}.start").alias("start"), F.col(f"{window}.end").alias("stop"), first_numbers()
+    )
+
 
+MERGED_TOPICS = STATE_SQL + CENTRES.format(rows="(SELECT * FROM one WHERE v IS NOT NULL)") + """,
+sets AS (SELECT g // 3 AS h, CASE WHEN count(*) = 1 THEN any_value(entities) ELSE list_sort(list_distinct(flatten(list(entities))))[1:24] END AS entity_set, min(bucket) AS start,
+  CASE WHEN count(*) = 1 THEN max(hi) ELSE max(bucket) END AS stop FROM mf GROUP BY h),
+n AS (SELECT g // 3 AS h, count(*)::INT AS article_count, count(DISTINCT article_key)::INT AS n_keys, max(published) AS published, list_sort(list(DISTINCT source)) AS source_set, count(DISTINCT link)::INT AS n_sources FROM m GROUP BY h),
+base AS (SELECT doc_id // 30 AS h, doc_id::VARCHAR AS topic_id, title FROM m QUALIFY row_number() OVER (PARTITION BY h ORDER BY published DESC, topic_id) = 1),
+mean AS (SELECT g // 3 AS h, i, sum(x * n) / sum(n) AS x FROM centres JOIN ct USING (g) GROUP BY h, i),
+joint AS (SELECT h AS g, i, x / sqrt(sum(x * x) OVER (PARTITION BY h)) AS x FROM mean)"""
 
-@query("WITH" + KEYED + ", b AS (SELECT *, (doc_id % 97) // 3 AS g FROM keyed), n AS (SELECT g, count(*)::INT AS article_count, max(published) AS published, list_sort(list(DISTINCT source)) AS source_set FROM b GROUP BY g) SELECT article_count, published, source_set FROM n")
+
+@query(MERGED_TOPICS + f""" SELECT topic_id, title, article_count, n_keys, published, source_set, n_sources, entity_set, start, stop, {_first_numbers.format(t='joint')}
+FROM (SELECT h AS g, * FROM n) q JOIN sets USING (h) JOIN base USING (h)""")
 def topic_merge(spark, sf_dir):
-    """Every three topics in a row become one."""
-    members, a, v = grouped(spark, sf_dir)
-    state, keys = tp.topic_state(members, a, v, fx.run_ts())
+    """Every three topics in a row become one; its base is the newest."""
+    state, keys = tp.topic_state(*grouped(spark, sf_dir), fx.run_ts())
     state, keys = cut(state), cut(keys)
-    g = state.select("topic_id", F.floor((F.col("id").cast("long") % 97) / 3).alias("g"))
+    g = state.select("topic_id", F.floor(F.col("id").cast("long") / (3 * TOGETHER)).alias("g"))
     first = g.groupBy("g").agg(F.min("topic_id").alias("dst"))
     edges = g.join(first, "g").select(F.col("topic_id").alias("src"), "dst")
-    merged, _ = tp.merge_components(state, keys, edges, fx.run_ts())
-    return merged.select("article_count", "published", "source_set")
+    merged, held = tp.merge_components(state, keys, edges, fx.run_ts())
+    merged = merged.join(held.groupBy("topic_id").agg(F.count_distinct("article_key").cast("int").alias("n_keys")), "topic_id", "left")
+    window = "event_fingerprint.time_window"
+    return merged.select(
+        "topic_id", "title", "article_count", "n_keys", "published", "source_set", F.size("sources").alias("n_sources"), "entity_set", F.col(f"{window}.start").alias("start"), F.col(f"{window}.end").alias("stop"), first_numbers()
+    )
 
 
 @query("WITH" + KEYED + "," + TOPICS + " SELECT id AS topic_id, row_number() OVER (ORDER BY published DESC, id) > 50 AS evicted FROM topics")
@@ -794,11 +867,11 @@ def verdict_apply(spark, sf_dir):
     return done.join(kept, "doc_id", "left").select("doc_id", "is_relevant", "is_sensitive", "relevance_score", "category_id", F.array_join("article_tags", ",").alias("tags"), F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
-@query("WITH" + KEYED + " SELECT article_key, length('title: ' || title || chr(10) || 'source: ' || source || ' (' || l || ', rss)' || chr(10) || 'category: 品牌/市场' || chr(10) || 'published: ' || strftime(published, '%Y-%m-%d %H:%M:%S') || chr(10) || 'content: ' || substr(trim(text), 1, 2200))::INT AS n FROM keyed JOIN (SELECT source, min(lang) AS l FROM documents GROUP BY source) USING (source) WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("WITH" + KEYED + " SELECT article_key, md5('title: ' || title || chr(10) || 'source: ' || source || ' (' || l || ', rss)' || chr(10) || 'category: 品牌/市场' || chr(10) || 'published: ' || strftime(published, '%Y-%m-%d %H:%M:%S') || chr(10) || 'content: ' || substr(trim(text), 1, 2200)) AS prompt FROM keyed JOIN (SELECT source, min(lang) AS l FROM documents GROUP BY source) USING (source) WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def review_queue(spark, sf_dir):
     """U1, C21."""
     a = cut(fx.articles(spark, sf_dir))
-    return vd.article_queue(a, article_verdicts(spark, sf_dir, a)).select("article_key", F.length("prompt").alias("n"))
+    return vd.article_queue(a, article_verdicts(spark, sf_dir, a)).select("article_key", F.md5("prompt").alias("prompt"))
 
 
 @query("WITH" + KEYED + "," + TOPICS + " SELECT id AS cluster_id, article_count AS size FROM topics WHERE article_count > 1 AND (id::INT % 2 = 0 OR article_count >= 6) ORDER BY published DESC, id LIMIT 140")
@@ -809,12 +882,12 @@ def group_review_queue(spark, sf_dir):
     return vd.group_queue(sizes).select("cluster_id", "size")
 
 
-@query("WITH m AS (SELECT doc_id AS id, doc_id % 97 AS g, (row_number() OVER (PARTITION BY doc_id % 97 ORDER BY doc_id) - 1)::INT AS i FROM documents), n AS (SELECT *, CASE WHEN g % 2 = 1 THEN 0 WHEN i % 3 = 2 THEN -1 - i ELSE i % 3 END AS k FROM m) SELECT id, CASE WHEN g % 2 = 1 THEN g ELSE min(id) OVER (PARTITION BY g, k) END AS cluster_id, CASE WHEN g % 2 = 1 THEN NULL WHEN k < 0 THEN 0.5 WHEN k = 0 THEN 0.98 ELSE 0.6 END::DOUBLE AS confidence FROM n")
+@query(f"WITH m AS (SELECT doc_id AS id, {_group} AS g, (row_number() OVER (PARTITION BY {_group} ORDER BY doc_id) - 1)::INT AS i FROM documents), n AS (SELECT *, CASE WHEN g % 2 = 1 THEN 0 WHEN i % 3 = 2 THEN -1 - i ELSE i % 3 END AS k FROM m) SELECT id, CASE WHEN g % 2 = 1 THEN g ELSE min(id) OVER (PARTITION BY g, k) END AS cluster_id, CASE WHEN g % 2 = 1 THEN NULL WHEN k < 0 THEN 0.5 WHEN k = 0 THEN 0.98 ELSE 0.6 END::DOUBLE AS confidence FROM n")
 def group_verdicts(spark, sf_dir):
     """U4, U8: reviewed groups fall into two parts and the members that no part lists."""
     docs = fx.read(spark, sf_dir, "documents")
     w = F.row_number().over(cl_window())
-    members = docs.select((F.col("doc_id") % 97).alias("cluster_id"), F.col("doc_id").alias("id")).withColumn("local_index", (w - 1).cast("int"))
+    members = docs.select(group_of("doc_id").alias("cluster_id"), F.col("doc_id").alias("id")).withColumn("local_index", (w - 1).cast("int"))
     part = F.col("local_index") % 3
     told = members.filter((F.col("cluster_id") % 2 == 0) & (part < 2)).select(F.col("cluster_id").alias("group_id"), part.alias("group_no"), "local_index", F.when(part == 0, 1.5).alias("confidence"))
     return vd.apply_group_verdicts(members, told.unionByName(told.withColumn("group_no", F.lit(9)))).select("id", "cluster_id", "confidence")
@@ -845,14 +918,15 @@ def pair_review_queue(spark, sf_dir):
     return tp.pair_queue(tp.top_pairs(pairs)).select("a", "b", r6("score").alias("score"))
 
 
-@query("WITH" + KEYED + "," + TOPICS + " SELECT id, CASE WHEN id::INT % 3 = 0 THEN 'T' ELSE title END AS title, CASE WHEN id::INT % 3 = 0 AND id::INT % 2 = 0 THEN 'trend-summary' ELSE 'brand-market' END AS category FROM topics WHERE id::INT % 9 <> 0")
+@query("WITH" + KEYED + "," + TOPICS + " SELECT id, CASE WHEN id::INT % 3 = 0 THEN 'T' ELSE title END AS title, CASE WHEN id::INT % 6 = 0 THEN 'S ' || id ELSE summary END AS summary, CASE WHEN id::INT % 3 = 0 THEN ['p', id] ELSE []::VARCHAR[] END AS key_points, CASE WHEN id::INT % 6 = 3 THEN ['tag'] ELSE []::VARCHAR[] END AS tags, CASE WHEN id::INT % 3 = 0 AND id::INT % 2 = 0 THEN 'trend-summary' ELSE 'brand-market' END AS category, CASE WHEN id::INT % 3 = 0 AND id::INT % 2 = 0 THEN '趋势总结' ELSE '品牌/市场' END AS category_name FROM topics WHERE id::INT % 9 <> 0")
 def editorial_apply(spark, sf_dir):
     """U6."""
     topics, _ = topic_tables(spark, sf_dir)
     n = F.col("topic_id").cast("int")
     none = F.array().cast("array<string>")
-    told = topics.filter(n % 3 == 0).select("topic_id", F.lit("T").alias("title"), F.lit("").alias("summary"), none.alias("key_points"), none.alias("tags"), F.when(n % 2 == 0, "趋势总结").alias("category"), (n % 9 == 0).alias("is_sensitive"))
-    return vd.apply_editorial(topics, told).select("id", "title", "category")
+    points, tags, summary = F.array(F.lit("p"), "topic_id"), F.when(n % 2 == 1, F.array(F.lit("tag"))).otherwise(none), F.when(n % 2 == 0, F.concat(F.lit("S "), "topic_id")).otherwise("")
+    told = topics.filter(n % 3 == 0).select("topic_id", F.lit("T").alias("title"), summary.alias("summary"), points.alias("key_points"), tags.alias("tags"), F.when(n % 2 == 0, "趋势总结").alias("category"), (n % 9 == 0).alias("is_sensitive"))
+    return vd.apply_editorial(topics, told).select("id", "title", "summary", "key_points", "tags", "category", "category_name")
 
 
 # ---- the feed -----------------------------------------------------------------------------------------------------------------------------
@@ -896,7 +970,7 @@ def featured(spark, sf_dir):
     return best.select("id", F.lit(True).alias("chosen")).unionByName(fd.grid(topics, best).select("id", F.lit(False).alias("chosen")))
 
 
-@query("WITH" + KEYED + ", g AS (SELECT doc_id % 97 AS g, source, min(row) AS p FROM (SELECT *, row_number() OVER (ORDER BY published DESC, doc_id) AS row FROM keyed) GROUP BY ALL), n AS (SELECT g::VARCHAR AS id, list(source ORDER BY p) AS names FROM g GROUP BY g) SELECT id, names, names[1:3] AS shown FROM n")
+@query("WITH" + KEYED + f", g AS (SELECT {_group} AS g, source, min(row) AS p FROM (SELECT *, row_number() OVER (ORDER BY published DESC, doc_id) AS row FROM keyed) GROUP BY ALL), n AS (SELECT g::VARCHAR AS id, list(source ORDER BY p) AS names FROM g GROUP BY g) SELECT id, names, names[1:3] AS shown FROM n")
 def source_names(spark, sf_dir):
     """A14, W9."""
     return fd.source_names(topic_tables(spark, sf_dir)[0], 3)
