@@ -139,13 +139,38 @@ def topic_pair_scores(topics: DataFrame, config: FusionConfig = DEFAULT, mode: s
     common entity the similarity is at least .7, and with one the pair meets by it."""
     named = shared_entity_pairs(topics.select(F.col("topic_id").alias("id"), F.col("event_fingerprint.entities").alias("entities")))
     near = cosine_pairs(topics.select(F.col("topic_id").alias("id"), F.col("centroid").alias("v")), 0.30 + 1e-6, mode).select("a", "b")
+    return _pair_scores(named.unionByName(near).distinct(), topics, config)
+
+
+def _pair_scores(pairs: DataFrame, topics: DataFrame, config: FusionConfig) -> DataFrame:
     side = lambda x, i: topics.select(F.col("topic_id").alias(x), F.col("centroid").alias(f"c{i}"), F.col("event_fingerprint").alias(f"f{i}"))
-    met = named.unionByName(near).distinct().join(side("a", 1), "a").join(side("b", 2), "b")
+    met = pairs.join(side("a", 1), "a").join(side("b", 2), "b")
     embed = F.coalesce(clamp01(vec_dot(F.col("c1"), F.col("c2"))), F.lit(0.0))
     score = 0.68 * embed + 0.32 * fingerprint_similarity(F.col("f1"), F.col("f2"))
     return met.select("a", "b", score.alias("score")).filter(F.col("score") >= config.cross_merge_boundary)
 
 
+def scored_topics(topics: DataFrame) -> DataFrame:
+    """``(topic_id, print)``: 64 bits that stand for all that a topic's pair scores depend on."""
+    return topics.select("topic_id", F.xxhash64("centroid", "event_fingerprint").alias("print"))
+
+
+def updated_pair_scores(topics: DataFrame, pairs: DataFrame, scored: DataFrame, config: FusionConfig = DEFAULT) -> DataFrame:
+    """D11, kept up to date: what :func:`topic_pair_scores` gives for ``topics``, from the ``pairs(a, b, score)`` of the topics as they were when
+    ``scored`` (:func:`scored_topics`). Only topics that are new or changed since are compared, with all others."""
+    now = cut(scored_topics(topics))
+    changed = cut(now.join(scored, ["topic_id", "print"], "left_anti").select("topic_id"))
+    same = now.join(changed, "topic_id", "left_anti").select("topic_id")
+    end = lambda c: same.select(F.col("topic_id").alias(c))
+    kept = pairs.select("a", "b", "score").join(end("a"), "a", "left_semi").join(end("b"), "b", "left_semi")
+    mine = topics.join(changed, "topic_id", "left_semi")
+    named = lambda df: df.select(F.col("topic_id").alias("id"), F.col("event_fingerprint.entities").alias("entities"))
+    vector = lambda df: df.select(F.col("topic_id").alias("id"), F.col("centroid").alias("v"))
+    met = shared_entity_pairs_between(named(mine), named(topics), 0.0).unionByName(cosine_pairs_between(vector(mine), vector(topics), 0.30 + 1e-6).select("a", "b"))
+    fresh = met.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return kept.unionByName(_pair_scores(fresh, topics, config))
+
+
 def top_pairs(pairs: DataFrame, n: int = DEFAULT.cross_merge_pairs) -> DataFrame:
     """W4."""
     return pairs.orderBy(F.desc("score"), "a", "b").limit(n)

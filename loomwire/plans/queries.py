@@ -1009,12 +1009,13 @@ def full_run_violations(spark, sf_dir):
 def incremental_run_violations(spark, sf_dir):
     """Half of the articles fully, then all incrementally: old articles are not taken again and every new one is in a topic."""
     from loomwire.plans.runs import run_full, run_incremental
+    from loomwire.schemas import STATE
     from loomwire.sources.state import State, empty_state
 
     a, v = run_inputs(spark, sf_dir)
     first = a.filter(F.col("doc_id") % 2 == 0)
     state, _ = run_full(first, v.join(first.select("id"), "id", "left_semi"), empty_state(spark), fx.run_ts())
-    state = State(cut(state.topics_state), cut(state.topic_articles), cut(state.tombstones), cut(state.snapshot), cut(state.run_meta))
+    state = State(**{name: cut(getattr(state, name)) for name in STATE})
     after, stats = run_incremental(a, v, state, fx.run_ts())
     held = cut(after.topic_articles.unionByName(after.tombstones.select(F.lit("").alias("topic_id"), "article_key")))
     lost = a.select("article_key").distinct().join(held, "article_key", "left_anti")

@@ -47,14 +47,18 @@ def new_topics(articles: DataFrame, vecs: DataFrame | None, run_ts: Column, conf
     return cut(topics), cut(keys)
 
 
-def fuse(topics: DataFrame, keys: DataFrame, run_ts: Column, config: FusionConfig, verdicts: Verdicts) -> tuple[DataFrame, DataFrame]:
-    """Join topics that tell one event."""
-    pairs = cut(tp.topic_pair_scores(topics, config))
+def fuse(topics: DataFrame, keys: DataFrame, run_ts: Column, config: FusionConfig, verdicts: Verdicts, old: State | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Join topics that tell one event. With ``old`` only pairs of topics that are new or changed since are scored. Returns
+    topics and keys, and the scores with what they were made from."""
+    if old is None or old.topic_pairs is None or old.topic_scored is None:
+        pairs = cut(tp.topic_pair_scores(topics, config))
+    else:
+        pairs = cut(tp.updated_pair_scores(topics, old.topic_pairs, old.topic_scored, config))
     merged, kept = tp.merge_components(topics, keys, tp.topic_merge_edges(pairs, verdicts.pairs, config), run_ts)
-    return cut(merged), cut(kept)
+    return cut(merged), cut(kept), pairs, cut(tp.scored_topics(topics))
 
 
-def build_state(topics: DataFrame, keys: DataFrame, tombstones: DataFrame, articles: DataFrame, run_ts: Column, config: FusionConfig, last_full: Column) -> State:
+def build_state(topics: DataFrame, keys: DataFrame, tombstones: DataFrame, articles: DataFrame, run_ts: Column, config: FusionConfig, last_full: Column, pairs: DataFrame, scored: DataFrame) -> State:
     """Cap the topics, block what is evicted unless it is active elsewhere, and take the snapshot."""
     kept, evicted = tp.cap_topics(topics, config.max_topics)
     kept = cut(kept)
@@ -62,7 +66,9 @@ def build_state(topics: DataFrame, keys: DataFrame, tombstones: DataFrame, artic
     gone = keys.join(evicted.select("topic_id"), "topic_id", "left_semi").select("article_key")
     blocked = st.upsert_tombstones(st.prune_tombstones(tombstones, run_ts), gone, run_ts, config.tombstone_ttl_days)
     meta = kept.sparkSession.range(1).select(F.lit(2).alias("version"), run_ts.alias("updated_at"), last_full.alias("last_full_rebuild_at"))
-    return State(kept, live, st.drop_active(blocked, live), st.build_snapshot(articles), meta)
+    left = lambda c: kept.select(F.col("topic_id").alias(c))
+    pairs = pairs.join(left("a"), "a", "left_semi").join(left("b"), "b", "left_semi")
+    return State(kept, live, st.drop_active(blocked, live), st.build_snapshot(articles), meta, pairs, scored.join(left("topic_id"), "topic_id", "left_semi"))
 
 
 def run_full(articles: DataFrame, vecs: DataFrame | None, old: State, run_ts: Column, config: FusionConfig = DEFAULT, verdicts: Verdicts | None = None) -> tuple[State, DataFrame]:
@@ -73,8 +79,8 @@ def run_full(articles: DataFrame, vecs: DataFrame | None, old: State, run_ts: Co
     verdicts = verdicts or Verdicts()
     live = cut(attach_fingerprints(st.drop_blocked(articles, st.prune_tombstones(old.tombstones, run_ts)), run_ts))
     topics, keys = new_topics(live, vecs, run_ts, config, verdicts)
-    fused, fused_keys = fuse(topics, keys, run_ts, config, verdicts)
-    state = build_state(fused, fused_keys, old.tombstones, articles, run_ts, config, run_ts)
+    fused, fused_keys, pairs, scored = fuse(topics, keys, run_ts, config, verdicts)
+    state = build_state(fused, fused_keys, old.tombstones, articles, run_ts, config, run_ts, pairs, scored)
     stats = st.run_stats(articles=articles, kept_articles=live, created_topics=topics, fused_topics=fused, kept_topics=state.topics_state)
     return state, stats
 
@@ -97,9 +103,9 @@ def run_incremental(articles: DataFrame, vecs: DataFrame | None, old: State, run
     rest = cut(fresh.join(assigned.select("article_key"), "article_key", "left_anti"))
     created, created_keys = new_topics(rest, None if vecs is None else vecs.join(rest.select("id"), "id", "left_semi"), run_ts, config, verdicts)
     every = cut(refreshed.select(*created.columns).unionByName(created))
-    fused, fused_keys = fuse(every, cut(keys.unionByName(created_keys).distinct()), run_ts, config, verdicts)
+    fused, fused_keys, pairs, scored = fuse(every, cut(keys.unionByName(created_keys).distinct()), run_ts, config, verdicts, old)
     last_full = F.lit(old.run_meta.agg(F.max("last_full_rebuild_at")).first()[0]).cast("timestamp")
-    state = build_state(fused, fused_keys, old.tombstones, articles, run_ts, config, last_full)
+    state = build_state(fused, fused_keys, old.tombstones, articles, run_ts, config, last_full, pairs, scored)
     stats = st.run_stats(new_articles=fresh, blocked_articles=blocked, assigned=assigned, created_topics=created, fused_topics=fused, kept_topics=state.topics_state)
     return state, stats
 

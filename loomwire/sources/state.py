@@ -19,7 +19,7 @@ from loomwire.session import drop_folder
 #: Parts of a table, and versions whose files are kept; frames of a state that is older can no longer be read.
 PARTS, KEEP = 64, 3
 #: What the rows of a table are dealt by.
-KEYS = {"topics_state": "topic_id", "topic_articles": "article_key", "tombstones": "article_key", "snapshot": "article_key", "run_meta": "version"}
+KEYS = {"topics_state": "topic_id", "topic_articles": "article_key", "tombstones": "article_key", "snapshot": "article_key", "run_meta": "version", "topic_pairs": "a", "topic_scored": "topic_id"}
 #: A column that a run often sets alike in all rows; such a value is kept in the manifest, so that it changes no part.
 COMMON = {"topics_state": "last_merged_at"}
 MANIFEST = "version long, written long, common timestamp, parts array<struct<name: string, part: int, rows: long, digest: string, path: string>>"
@@ -32,6 +32,9 @@ class State:
     tombstones: DataFrame
     snapshot: DataFrame
     run_meta: DataFrame
+    #: The scores of pairs of topics and what they were scored from; without them the next run scores all pairs.
+    topic_pairs: DataFrame | None = None
+    topic_scored: DataFrame | None = None
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -83,7 +86,8 @@ def save_state(spark: SparkSession, folder: str, run_id: int, state: State) -> d
     common = low if low == high and n == known else None
     rows, sums = {}, None
     for name, schema in STATE.items():
-        df = getattr(state, name).select(*spark.createDataFrame([], schema).columns)
+        empty = spark.createDataFrame([], schema)
+        df = (empty if (given := getattr(state, name)) is None else given).select(*empty.columns)
         if name in COMMON and common is not None:
             df = df.withColumn(COMMON[name], F.lit(None).cast("timestamp"))
         rows[name] = df

@@ -177,6 +177,34 @@ def test_a_chained_component_ends_in_few_rounds(spark, monkeypatch):
     assert (chosen == cl.average_linkage(x[:700] @ x[:700].T, np.ones(700), 0.002)).all()
 
 
+def test_pair_scores_kept_up_to_date(spark):
+    """Five runs in which topics come, change and go: the stored scores are those of a whole computation."""
+    from loomwire.operators import topics as tp
+
+    rng, begin = np.random.default_rng(23), dt.datetime(2024, 1, 1)
+    kind = "topic_id string, centroid array<double>, event_fingerprint struct<hash: string, entities: array<string>, actions: array<string>, time_bucket: timestamp, sources: array<string>>"
+    base = rng.standard_normal((12, 8))
+
+    def made(i):
+        v = base[int(rng.integers(0, 12))] + 0.5 * rng.standard_normal(8)
+        v = (v / np.linalg.norm(v)).tolist() if rng.random() < 0.9 else None
+        return f"t{i}", v, ("h", [f"E{int(j)}" for j in set(rng.integers(0, 25, 3).tolist())], [], begin + dt.timedelta(hours=6 * int(rng.integers(0, 9))), ["s"])
+
+    rows = {i: made(i) for i in range(80)}
+    pairs, scored = spark.createDataFrame([], "a string, b string, score double"), spark.createDataFrame([], "topic_id string, print long")
+    for turn in range(5):
+        topics = spark.createDataFrame(list(rows.values()), kind).cache()
+        pairs = tp.updated_pair_scores(topics, pairs, scored).cache()
+        got = {(r["a"], r["b"]): round(r["score"], 9) for r in pairs.collect()}
+        assert got == {(r["a"], r["b"]): round(r["score"], 9) for r in tp.topic_pair_scores(topics).collect()} and len(got) > 50
+        scored = tp.scored_topics(topics).cache()
+        for i in rng.choice(list(rows), 6, replace=False).tolist():
+            rows[i] = made(i)
+        for i in rng.choice(list(rows), 4, replace=False).tolist():
+            del rows[i]
+        rows |= {100 * (turn + 1) + i: made(100 * (turn + 1) + i) for i in range(5)}
+
+
 def test_best_topics_of_many(spark):
     """Assignment among 3,000 topics equals a look at every topic."""
     from loomwire.functions.fingerprints import fingerprint_similarity
