@@ -49,9 +49,9 @@ def features(articles: DataFrame) -> DataFrame:
 
 
 def _scoped(f: DataFrame) -> DataFrame:
-    """One row per scope of an article. Two missing sources or hosts count as equal; a hash spreads scopes evenly."""
-    scopes = F.array(F.xxhash64(F.lit("source"), F.coalesce("source_id", F.lit("\0"))), F.xxhash64(F.lit("host"), F.coalesce("source_host", F.lit("\0"))))
-    return f.withColumn("scope", F.explode(F.array_distinct(scopes)))
+    """One row per scope of an article, ``by`` source or host. Two missing sources or hosts count as equal; a hash spreads scopes evenly."""
+    one = lambda by, c: F.struct(F.lit(by).alias("by"), F.xxhash64(F.lit(by), F.coalesce(c, F.lit("\0"))).alias("scope"))
+    return f.withColumn("_s", F.explode(F.array(one("source", "source_id"), one("host", "source_host")))).withColumns({"scope": F.col("_s.scope"), "by": F.col("_s.by")}).drop("_s")
 
 
 def _met(left: DataFrame, right: DataFrame, on: str, days: int) -> DataFrame:
@@ -116,15 +116,37 @@ def probable_same_pairs(articles: DataFrame, days: int = DEFAULT.dedup_days) ->
     return out.groupBy("id_hi", "id_lo").agg(F.min("why").alias("why")).select("id_hi", "id_lo", F.col("why.name").alias("reason"))
 
 
+#: What two articles may have in common, and what that is called.
+KINDS = {"content_hash": "hash", "norm": "title", "grams": "similar"}
+
+
 def _spots(f: DataFrame) -> DataFrame:
-    """``(id, at, owner)``: the values an article has (as owner) or asks for: content hash, title, title bigrams, and the bigrams
-    of titles like its own, each in its scopes."""
+    """``(id, at, owner, by, kind)``: the values an article has (as owner) or asks for: content hash, title, title bigrams, and the
+    bigrams of titles like its own, each in its scopes."""
     scoped = _scoped(f.filter("published IS NOT NULL"))
-    place = lambda value, kind, owner: F.struct(F.xxhash64(F.lit(kind), "scope", value).alias("at"), F.lit(owner).alias("owner"))
-    equal = F.array(*[F.when(F.col(c).isNotNull(), place(F.xxhash64(c), c, True)) for c in ("content_hash", "norm", "grams")])
-    own = scoped.select("id", F.explode(equal).alias("p")).filter("p IS NOT NULL")
-    alike = scoped.select("id", "scope", "grams").join(title_pairs(scoped), ["scope", "grams"]).select("id", place(F.xxhash64("other"), "grams", False).alias("p"))
-    return own.unionByName(alike).groupBy("id", "p.at").agg(F.max("p.owner").alias("owner"))
+    place = lambda value, kind, owner: F.struct(F.xxhash64(F.lit(kind), "scope", value).alias("at"), F.lit(owner).alias("owner"), F.lit(KINDS[kind]).alias("kind"))
+    equal = F.array(*[F.when(F.col(c).isNotNull(), place(F.xxhash64(c), c, True)) for c in KINDS])
+    own = scoped.select("id", "by", F.explode(equal).alias("p")).filter("p IS NOT NULL")
+    alike = scoped.select("id", "by", "scope", "grams").join(title_pairs(scoped), ["scope", "grams"]).select("id", "by", place(F.xxhash64("other"), "grams", False).alias("p"))
+    return own.unionByName(alike).groupBy("id", "p.at", "by", "p.kind").agg(F.max("p.owner").alias("owner"))
+
+
+def probable_same_nearest(articles: DataFrame, days: int = DEFAULT.dedup_days) -> DataFrame:
+    """D2 without pairs: ``(id, by, kind, n_earlier, nearest)``: with how many earlier articles (newer, or of one time and a smaller id) of its
+    source or host an article shares its content hash or title, or a title like its own, within ``days``, and the nearest of them.
+
+    Each value in a scope is a class, looked through once in order, by buckets of ``days``: linear however many share it.
+    """
+    span = days * DAY * 1_000_000
+    f = cut(features(articles).withColumn("order_us", -F.unix_micros("published")))
+    met = _spots(f).join(f.select("id", "has_offset", "order_us", F.floor(F.col("order_us") / span).alias("b")), "id")
+    rows = met.withColumn("asks", F.lit(True)).unionByName(met.filter("owner").withColumns({"b": F.col("b") + 1, "asks": F.lit(False)}))
+    held = Window.partitionBy("at", "has_offset", "b").orderBy("order_us", "id")
+    mine, by_time = F.when(F.col("owner"), F.struct("order_us", "id")), Window.partitionBy("at", "has_offset", "b").orderBy("order_us")
+    last = F.last(mine, ignorenulls=True).over(held.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.count(mine).over(held.rowsBetween(Window.unboundedPreceding, -1)) - F.count(mine).over(by_time.rangeBetween(Window.unboundedPreceding, -span - 1))
+    found = rows.withColumns({"last": last, "n": before}).filter("asks").filter((F.col("n") > 0) & (F.col("last.order_us") >= F.col("order_us") - span))
+    return found.groupBy("id", "by", "kind").agg(F.sum("n").alias("n_earlier"), F.max("last").alias("l")).select("id", "by", "kind", "n_earlier", F.col("l.id").alias("nearest"))
 
 
 def _scan(span: int):
@@ -168,7 +190,7 @@ def dedup_articles(articles: DataFrame, task_rows: int = TASK_ROWS) -> tuple[Dat
     jobs than it has slices. Rows of unknown time have no probable-same neighbours. No pairs of articles are made.
     """
     f = cut(features(articles).withColumn("order_us", -F.coalesce(F.unix_micros("published"), F.lit(-(1 << 62)))))
-    spots, span = cut(_spots(f)), DEFAULT.dedup_days * DAY * 1_000_000
+    spots, span = cut(_spots(f).select("id", "at", "owner")), DEFAULT.dedup_days * DAY * 1_000_000
     # rows ask for newer ones, so a row that has a value also stands in the bucket after its own
     bucket = F.floor(F.col("order_us") / span)
     met = spots.join(f.select("id", "has_offset", bucket.alias("b")), "id")
