@@ -132,7 +132,7 @@ def _spots(f: DataFrame) -> DataFrame:
 
 
 def probable_same_nearest(articles: DataFrame, days: int = DEFAULT.dedup_days) -> DataFrame:
-    """D2 without pairs: ``(id, by, kind, n_earlier, nearest)``: with how many earlier articles (newer, or of one time and a smaller id) of its
+    """D2 without pairs: ``(id, scope, kind, n_earlier, nearest)``: with how many earlier articles (newer, or of one time and a smaller id) of its
     source or host an article shares its content hash or title, or a title like its own, within ``days``, and the nearest of them.
 
     Each value in a scope is a class, looked through once in order, by buckets of ``days``: linear however many share it.
@@ -146,7 +146,7 @@ def probable_same_nearest(articles: DataFrame, days: int = DEFAULT.dedup_days) -
     last = F.last(mine, ignorenulls=True).over(held.rowsBetween(Window.unboundedPreceding, -1))
     before = F.count(mine).over(held.rowsBetween(Window.unboundedPreceding, -1)) - F.count(mine).over(by_time.rangeBetween(Window.unboundedPreceding, -span - 1))
     found = rows.withColumns({"last": last, "n": before}).filter("asks").filter((F.col("n") > 0) & (F.col("last.order_us") >= F.col("order_us") - span))
-    return found.groupBy("id", "by", "kind").agg(F.sum("n").alias("n_earlier"), F.max("last").alias("l")).select("id", "by", "kind", "n_earlier", F.col("l.id").alias("nearest"))
+    return found.groupBy("id", "by", "kind").agg(F.sum("n").alias("n_earlier"), F.max("last").alias("l")).select("id", F.col("by").alias("scope"), "kind", "n_earlier", F.col("l.id").alias("nearest"))
 
 
 def _scan(span: int):

@@ -420,11 +420,11 @@ def probable_same_pairs(spark, sf_dir):
 
 @query(
     "WITH" + BIGRAMS + f""", f AS (SELECT a.*, g, {norm('title')} AS nt FROM art a JOIN bg USING (doc_id)),
-p AS (SELECT y.id, x.id AS o, x.published AS at, x.content_hash = y.content_hash AND x.content_hash <> '' AS hash, x.nt = y.nt AND x.nt <> '' AS title,
-  len(list_intersect(x.g, y.g))::DOUBLE / nullif(len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)), 0) > 0.6 AND len(x.g) > 0 AND len(y.g) > 0 AS similar
+p AS (SELECT y.id, x.id AS o, x.published AS moment, x.content_hash = y.content_hash AND x.content_hash <> '' AS is_hash, x.nt = y.nt AND x.nt <> '' AS is_title,
+  len(list_intersect(x.g, y.g))::DOUBLE / nullif(len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)), 0) > 0.6 AND len(x.g) > 0 AND len(y.g) > 0 AS is_like
   FROM f x JOIN f y ON x.source = y.source AND (x.published > y.published OR x.published = y.published AND x.id < y.id) AND abs(epoch(x.published) - epoch(y.published)) <= 259200),
-k AS (SELECT id, o, at, unnest([CASE WHEN hash THEN 'hash' END, CASE WHEN title THEN 'title' END, CASE WHEN similar THEN 'similar' END]) AS kind FROM p)
-SELECT id, by, kind, count(*) AS n_earlier, arg_max(o, (-epoch(at), o)) AS nearest FROM k, (VALUES ('source'), ('host')) s(by) WHERE kind IS NOT NULL GROUP BY id, by, kind"""
+k AS (SELECT id, o, moment, unnest([CASE WHEN is_hash THEN 'hash' END, CASE WHEN is_title THEN 'title' END, CASE WHEN is_like THEN 'similar' END]) AS kind FROM p)
+SELECT id, scope, kind, count(*) AS n_earlier, arg_max(o, row(-epoch(moment), o)) AS nearest FROM k, (SELECT unnest(['source', 'host']) AS scope) WHERE kind IS NOT NULL GROUP BY id, scope, kind"""
 )
 def probable_same_nearest(spark, sf_dir):
     """D2 in linear form; each source has one host."""

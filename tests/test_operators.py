@@ -112,10 +112,10 @@ def test_nearest_earlier_of_what_is_probably_the_same(spark):
             for by, same_scope in (("source", a[1] == b[1]), ("host", a[2] == b[2])):
                 for kind in (k for k, v in shared.items() if v and same_scope):
                     want.setdefault((a[0], by, kind), []).append((-b[3].timestamp(), b[0]))
-    got = {(r["id"], r["by"], r["kind"]): (r["n_earlier"], r["nearest"]) for r in dd.probable_same_nearest(df).collect()}
+    got = {(r["id"], r["scope"], r["kind"]): (r["n_earlier"], r["nearest"]) for r in dd.probable_same_nearest(df).collect()}
     assert got == {k: (len(v), max(v)[1]) for k, v in want.items()} and len(got) > 40
     many = spark.range(10_000).selectExpr("concat('i', lpad(id, 6, '0')) AS id", "'s' AS source_id", "'h' AS source_host", "timestamp_seconds(1704067200 + id) AS published", "true AS has_offset", "'' AS dedup_key", "'' AS canonical_url", "'' AS link", "'The same title' AS title", "'' AS content_hash")
-    found = dd.probable_same_nearest(many).filter("by = 'host' AND kind = 'title'").agg(F.sum("n_earlier").alias("n"), F.count("*").alias("rows")).first()
+    found = dd.probable_same_nearest(many).filter("scope = 'host' AND kind = 'title'").agg(F.sum("n_earlier").alias("n"), F.count("*").alias("rows")).first()
     assert (found["n"], found["rows"]) == (10_000 * 9_999 // 2, 9_999)
 
 
