@@ -346,7 +346,7 @@ def test_first_matches_of_a_page(spark):
         f"<aside><article>{long}<aside>by the way</aside><div class='big ads'>buy <nav>go</nav></div><noscript>old</noscript>end</article></aside>",  # cut inside only
         "<body>shown<form>name <b>here</b></form><svg><text>drawn</text></svg><article>short</article></body>",
         f"<main><div role='main'>short</div></main><section role='main'>{long}</section><div class='x entry-content'>{long}other</div>",
-        '<link rel="canonical" href="ftp:no"><link rel="Canonical" href="/a?utm_source=q"><meta property="og:url" content="/b">',
+        '<link rel="canonical" href="ftp:no"><link rel="Canonical" href="https://h5.org/a?utm_source=q"><meta property="og:url" content="/b">',
         f"<p><article><form><p>{long}</p><h2>too short</h2></form></article></p><p>{long} after it</p>",
         '<span itemprop="datePublished">2024-05-06</span>',
     ]
