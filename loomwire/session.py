@@ -67,7 +67,8 @@ def shared_dir(spark: SparkSession) -> str:
 def tidy(spark: SparkSession) -> Iterator[None]:
     """Within, Spark deletes a query's shuffle files when the query ends, not when the driver next collects garbage.
 
-    For queries whose result is kept (written or checkpointed), so that nobody asks for those files again."""
+    For queries whose result is kept (written, checkpointed or a number), so that nobody asks for those files again. Spark reads the
+    setting when it plans a query: a frame that was made before needs a new plan, or its files stay."""
     before = spark.conf.get(CLEANUP_KEY, None)
     spark.conf.set(CLEANUP_KEY, "true")
     try:
@@ -83,7 +84,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and keep it as a reliable checkpoint: for narrow rows (keys, labels, counts)."""
     shared_dir(df.sparkSession)
     with tidy(df.sparkSession):
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)
+
+
+def n_rows(df: DataFrame) -> int:
+    """Count the rows of a kept table; nothing of the count stays on disk."""
+    with tidy(df.sparkSession):
+        return df.count()
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
