@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from loomwire.llm import minhash
 from loomwire.llm.columns import WORD, aside, row_key, sized, table
 from loomwire.operators.graph import connected_components
-from loomwire.session import Workspace, cut, stored
+from loomwire.session import Workspace, cut, n_rows, stored
 
 TAU = 2
 #: Lines from this length take part if they hold a word.
@@ -194,7 +194,7 @@ def line_links(docs: DataFrame) -> DataFrame:
     met = space.store(sigs.join(shared.hint("shuffle_hash"), "key").distinct(), "met")
     plain = F.col("id").bitwiseAND(F.lit(-2))
     ids = cut(met.select(plain.alias("id")).distinct())
-    n = ids.count()
+    n = n_rows(ids)
     if not n:
         space.close()
         return spark.createDataFrame([], "src long, dst long")
@@ -228,7 +228,7 @@ def dedup_lines(docs: DataFrame, space: Workspace | None = None) -> DataFrame:
     links = line_links(docs)
     degrees = links.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     named = cut(connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("class_id")).join(degrees, "id", "left"))
-    placed = seen.join(sized(named, named.count()), "id", "left").withColumns(
+    placed = seen.join(sized(named, n_rows(named)), "id", "left").withColumns(
         {"class_id": F.coalesce("class_id", "id"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")}
     )
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "line_no")
@@ -242,7 +242,7 @@ def owners(held: DataFrame, rank: Column) -> DataFrame:
     """``(class_id, owner)`` of the classes that stand in more than one place: the first place of the least ``rank``."""
     place = F.struct(rank.alias("rank"), F.col("doc_id").isNotNull().alias("known"), "doc_id", "line_no", "group")
     out = cut(held.groupBy("class_id").agg(F.min(place).alias("owner"), F.count("*").alias("n")).filter("n > 1").select("class_id", "owner"))
-    return sized(out, out.count())
+    return sized(out, n_rows(out))
 
 
 def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     groups = space.store(groups, "groups")
     several = groups.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group")
     copies = cut(groups.join(several, "group"))
-    marks = sized(copies, copies.count())
+    marks = sized(copies, n_rows(copies))
     held = dedup_lines(docs, space).filter(taking_part()).select("row_key", "doc_id", "line_no", "class_id").distinct().join(marks, "row_key", "left")
     held = space.store(held.withColumns({"group": F.coalesce("group", "row_key"), "goes": F.coalesce("goes", F.lit(False))}), "held")
     space.drop("occurrences", "groups")
@@ -280,8 +280,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     # a copy that its cut group no longer covers is a document of its own
     touched = cut(copies.join(gone.select("row_key"), "row_key", "left_semi").select("group").distinct())
-    members = cut(copies.join(sized(touched, touched.count()), "group"))
-    n = members.count()
+    members = cut(copies.join(sized(touched, n_rows(touched)), "group"))
+    n = n_rows(members)
     if not n:
         space.close()
         return gone
@@ -292,16 +292,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     pairs = members.filter("goes").select("group", F.col("row_key").alias("dst")).join(members.filter("NOT goes").groupBy("group").agg(F.min("row_key").alias("src")), "group").select("src", "dst")
     close = minhash.confirm(pairs, texts)
     open_ = cut(members.filter("goes").join(close.select(F.col("dst").alias("row_key")), "row_key", "left_anti").select("group").distinct())
-    if not (n := open_.count()):
+    if not (n := n_rows(open_)):
         space.close()
         return gone
     members = cut(members.join(sized(open_, n), "group"))
-    now = now.join(sized(members.select(F.col("row_key").alias("was")), members.count()), "was", "left_semi")
+    now = now.join(sized(members.select(F.col("row_key").alias("was")), n_rows(members)), "was", "left_semi")
     again = minhash.grouped(now.select("doc_id", "text")).select("row_key", F.coalesce("component", "row_key").alias("component")).distinct()
     there = cut(now.select("was", row_key().alias("row_key")).join(again, "row_key").select(F.col("was").alias("row_key"), "component").distinct().join(members, "row_key"))
     heads = cut(there.filter("NOT goes").select("group", "component").distinct())
-    apart = cut(there.filter("goes").join(sized(heads, heads.count()), ["group", "component"], "left_anti").select("row_key").distinct())
-    n = apart.count()
+    apart = cut(there.filter("goes").join(sized(heads, n_rows(heads)), ["group", "component"], "left_anti").select("row_key").distinct())
+    n = n_rows(apart)
     if not n:
         space.close()
         return gone

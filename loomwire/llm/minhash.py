@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from loomwire.llm.columns import aside, row_key, sized, table
 from loomwire.llm.hashing import minima, mix, shingle_sets, signed
 from loomwire.operators.graph import connected_components
-from loomwire.session import Workspace, cut, stored
+from loomwire.session import Workspace, cut, n_rows, stored
 
 WORDS, PERCENT = 5, 75
 FIRST, SECOND = 10, 6
@@ -79,7 +79,7 @@ def texts_of(asked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """``(node, text)`` for the nodes ``asked``; ``nodes(node, rep, n)`` has the row key of a text with the node's set.
     Only these texts are shuffled."""
     wanted = cut(asked.select("node").distinct().join(nodes.select("node", "rep"), "node"))
-    one = docs.select(row_key().alias("rep"), "text").join(sized(wanted, wanted.count()), "rep")
+    one = docs.select(row_key().alias("rep"), "text").join(sized(wanted, n_rows(wanted)), "rep")
     return one.select("node", "text").dropDuplicates(["node"])
 
 
@@ -232,11 +232,11 @@ def link(prof: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
     # a couple is decided by its one pair; larger groups go on from their centres
     alone = facing.join(nodes.select("node", "n"), "node").withColumn("component", F.col("node"))
     pairs, labels = sized_pairs(central_pairs(alone, timed).unionByName(couples).distinct(), nodes), None
-    while n := pairs.count():
+    while n := n_rows(pairs):
         edges = confirm(pairs, texts)
         labels = relabelled(labels, edges)
         rows = cut(in_groups(facing, nodes, labels))
-        if edges.count() * YIELD < n:
+        if n_rows(edges) * YIELD < n:
             break
         met = cut(outside(rows))
         fresh = counted(timed.select("hub", "node", "shingle").join(met.select("hub", "node"), ["hub", "node"]))
@@ -245,7 +245,7 @@ def link(prof: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
         labels = docs.sparkSession.createDataFrame([], "node long, component long")
         rows = cut(in_groups(facing, nodes, labels))
     pairs = rest_pairs(rows, timed, space)
-    return relabelled(labels, confirm(pairs, texts)) if pairs.limit(1).count() else labels
+    return relabelled(labels, confirm(pairs, texts)) if n_rows(pairs.limit(1)) else labels
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -287,8 +287,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     gone = marked.filter("NOT kept OR n > 1").select("row_key")
     again = marked.filter("kept AND n > 1").select("row_key")
     keyed = docs.withColumn("row_key", row_key())
-    once = keyed.join(sized(gone, gone.count()), "row_key", "left_anti")
-    repeated = keyed.join(sized(again, again.count()), "row_key", "left_semi").dropDuplicates(["row_key"])
+    once = keyed.join(sized(gone, n_rows(gone)), "row_key", "left_anti")
+    repeated = keyed.join(sized(again, n_rows(again)), "row_key", "left_semi").dropDuplicates(["row_key"])
     return back(once.unionByName(repeated).select(*docs.columns))
 
 
