@@ -77,3 +77,9 @@ def test_vectors(spark):
 @pytest.mark.parametrize(("name", "ident"), [("趋势总结", "trend-summary"), ("娱乐文化", "brand-market"), (None, "brand-market")])
 def test_categories(spark, name, ident):
     assert one(spark, [name], tx.category_id) == [ident]
+
+
+def test_bucket_score_knows_parts_of_a_second(spark):
+    noon = F.lit("2024-01-15 00:00:00").cast("timestamp")
+    times = ["2024-01-15 12:00:00", "2024-01-15 12:00:00.000001", "2024-01-13 11:59:59.999999", "2024-01-12 00:00:00", "2024-01-18 00:00:00.5", None]
+    assert one(spark, times, lambda x: tm.bucket_score(x.cast("timestamp"), noon)) == [1.0, 0.75, 0.45, 0.45, 0.0, 0.0]
