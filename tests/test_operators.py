@@ -490,3 +490,14 @@ def test_a_run_writes_the_parts_it_changes(spark, tmp_path):
     save(6, titles, day(6))
     save(7, titles, day(7))
     assert not first & files() or all("topic_articles" in f for f in first & files())  # what only old versions hold is gone
+
+
+def test_page_marks_without_semicolon_and_paragraphs_in_open_marks(spark):
+    text = "words of a paragraph that is long enough, but not for two"
+    html = ["<body><article><h1>a &amp;&amp</h1><p>x &amp y &am</p></article></body>", f"<body><article><p><b>short<br><p>{text}</article></body>", f"<body><p><i>{text}<div><p>{text}, one more</div></body>"]
+    parts = pg.page_parts(spark.createDataFrame([(i, "https://e.org/a?x=1&copy=2", h) for i, h in enumerate(html)], "page_id long, url string, html string")).cache()
+    assert [r["text"] for r in pg.html_text(parts).orderBy("page_id").collect()][0] == "a &&amp x &amp y &am"
+    assert [r["full_text"] for r in pg.page_fulltext(parts).orderBy("page_id").collect()][0] == "a &&amp x &amp y &am"
+    first, second, third = pg.extract_pages(parts).orderBy("page_id").collect()
+    # the paragraph that a mark left open counts once, so the page has too little text
+    assert first["title"] == "a &&amp" and second["content_text"] == "" and third["content_text"].count(", one more") == 2
