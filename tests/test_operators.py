@@ -436,6 +436,9 @@ def test_entity_pairs(spark):
     sets = {i: list({rng.choice("abcdefghij") for _ in range(rng.randint(1, 6))}) for i in range(60)}
     df = spark.createDataFrame(list(sets.items()), "id long, entities array<string>")
     alike = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    for least in (0.5, 0.34, 0.8):  # nothing beside the pairs that are alike comes back
+        found = [(r["a"], r["b"]) for r in sj.shared_entity_pairs(df, least).collect()]
+        assert len(found) == len(set(found)) and set(found) == {(i, j) for i, j in itertools.combinations(sets, 2) if alike(sets[i], sets[j]) >= least}
     for least in (0.0, 0.5636):
         found = {(r["a"], r["b"]) for r in sj.shared_entity_pairs(df, least).collect()}
         want = {(i, j) for i, j in itertools.combinations(sets, 2) if alike(sets[i], sets[j]) > 0 and alike(sets[i], sets[j]) >= least}
