@@ -16,6 +16,7 @@ from loomwire.operators import pages as pg
 from loomwire.operators import simjoin as sj
 from loomwire.operators.graph import connected_components
 from loomwire.operators.ranking import rank_in_groups
+from loomwire.plans import queries as qs
 from loomwire.schemas import STATE
 from loomwire.sources.state import State, current_version, empty_state, load_state, save_state
 
@@ -523,3 +524,16 @@ def test_title_pairs_by_blocks(spark, monkeypatch):
         monkeypatch.setattr(dd, "COLUMNS", columns)
         found = [tuple(r) for r in dd.title_pairs(df, 0.6).select("scope", "grams", "other").collect()]
         assert len(found) == len(set(found)) and set(found) == want and len(want) > 50
+
+
+def test_dedup_faults_compares_with_kept_articles_alone(spark):
+    rows = [(f"i{n:03}", "s", "h", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=n), f"k{n % 3}", f"title of number {n % 5} {'abcde'[n % 5] * 9}") for n in range(60)]
+    a = spark.createDataFrame(rows, "id string, source_id string, source_host string, published timestamp, dedup_key string, title string")
+    a = a.withColumns({"has_offset": F.lit(True), "canonical_url": F.lit(""), "link": F.lit(""), "content_hash": F.lit("")})
+    kept, dropped = dd.dedup_articles(a)
+    faults = lambda k, d: sorted(r["id_lo"] for r in qs.dedup_faults(a, k, d).collect())
+    ids = sorted(r["id"] for r in kept.collect())
+    assert ids and faults(kept, dropped) == []
+    assert faults(kept.filter(F.col("id") != ids[0]), dropped) != []  # lost, and what it stood for has no kept neighbour
+    assert faults(kept.unionByName(a.filter("id = 'i000'")), dropped.filter("id <> 'i000'")) == ["i000"]
+    assert faults(kept, dropped.unionByName(kept.limit(1).select("id", F.lit("key").alias("reason")))) != []
