@@ -28,13 +28,13 @@ MIN_CHARS = 1
 CHARS_PER_EDIT = 8
 
 
-def segment(length: Column, number: int, tau: int) -> tuple[Column, Column]:
+def segment(length: Column, number: Column, tau: Column) -> tuple[Column, Column]:
     """Start (from 0) and length of a segment of the even partition of a line: the last ones are one longer."""
     parts = tau + 1
     longer = length % parts
     small = ((length - longer) / parts).cast("int")
-    first_long = F.lit(parts) - longer
-    return small * number + F.greatest(F.lit(0), F.lit(number) - first_long), small + (F.lit(number) >= first_long).cast("int")
+    first_long = parts - longer
+    return small * number + F.greatest(F.lit(0), number - first_long), small + (number >= first_long).cast("int")
 
 
 def probes(tau: int) -> list[tuple[int, int, int]]:
@@ -53,36 +53,35 @@ def line_id(line: Column) -> Column:
     return F.xxhash64(line).bitwiseAND(F.lit(-2))
 
 
-def entries(n: Column, tau: int, most: int | None) -> list[Column]:
-    """Segments (of lines of ``most`` characters at most) and probes of a line that may differ from another in ``tau`` edits."""
-    short = F.lit(True) if most is None else n <= most
-    out = []
-    for number in range(tau + 1):
-        start, size = segment(n, number, tau)
-        key = F.xxhash64(F.substring("line", start + 1, size), n, F.lit(number), F.lit(tau))
-        out.append(F.struct(F.when(short, key).alias("key"), F.col("id").alias("id")))
-    for gap, number, shift in probes(tau):
-        start, size = segment(n - gap, number, tau)
-        inside = (start + shift >= 0) & (start + shift + size <= n) & (F.lit(True) if most is None else n - gap <= most)
-        key = F.xxhash64(F.substring("line", start + shift + 1, size), n - gap, F.lit(number), F.lit(tau))
-        out.append(F.struct(F.when(inside, key).alias("key"), (F.col("id") + 1).alias("id")))
-    return out
+def entries(tau: int) -> Column:
+    """The segments (``probe`` 0, of the line's own length) and probes (1) of a line that may differ from another in ``tau`` edits, as a
+    constant: each a struct of ``tau``, ``gap``, ``number``, ``shift`` and ``probe``."""
+    one = lambda gap, number, shift, probe: F.struct(*[F.lit(x).alias(c) for c, x in zip(("tau", "gap", "number", "shift", "probe"), (tau, gap, number, shift, probe), strict=True)])
+    return F.array(*[one(0, number, 0, 0) for number in range(tau + 1)], *[one(gap, number, shift, 1) for gap, number, shift in probes(tau)])
 
 
 def signatures(lines: DataFrame, tau: int = TAU) -> DataFrame:
     """``(key, id)`` of all segments (lowest bit of ``id`` 0) and all probes (1) of ``lines(id, line, n_chars)``.
 
     A pair whose shorter line has ``CHARS_PER_EDIT`` t characters and fewer than those of t + 1 meets in the join for t
-    edits; the longer one may be up to t characters longer, and then it only probes there.
+    edits; the longer one may be up to t characters longer, and then it only probes there. What a line is looked up by comes from short
+    constants, one row each, so the expression for a key is small enough to be compiled to machine code.
     """
-    n = F.col("n_chars").cast("int")
-    none = F.array().cast("array<struct<key:bigint,id:bigint>>")
-    parts = []
+    n, none = F.col("n_chars").cast("int"), F.array().cast("array<struct<tau:int,gap:int,number:int,shift:int,probe:int>>")
+    least = lambda t: F.lit(CHARS_PER_EDIT * t)
+    # a line of up to t characters above the most of t edits belongs to t (as the longer one) and to t + 1
+    sets = F.when(n < least(1), none)
     for t in range(1, tau + 1):
-        most = None if t == tau else CHARS_PER_EDIT * (t + 1) - 1
-        taking = n >= CHARS_PER_EDIT * t if most is None else (n >= CHARS_PER_EDIT * t) & (n <= most + t)
-        parts.append(F.when(taking, F.array(*entries(n, t, most))).otherwise(none))
-    return lines.select(F.explode(F.concat(*parts)).alias("s")).select("s.key", "s.id").filter("key IS NOT NULL")
+        if t > 1:
+            sets = sets.when(n < least(t) + t - 1, F.concat(entries(t - 1), entries(t)))
+        sets = sets.when(n < least(t + 1), entries(t)) if t < tau else sets.otherwise(entries(t))
+    asked = lines.select("id", "line", n.alias("n"), F.explode(sets).alias("e")).select("id", "line", "n", "e.*")
+    n = F.col("n") - F.col("gap")
+    start, size = segment(n, F.col("number"), F.col("tau"))
+    start = start + F.col("shift")
+    shorter = (F.col("tau") == tau) | (n < (F.col("tau") + 1) * CHARS_PER_EDIT)
+    made = asked.filter(shorter & (start >= 0) & (start + size <= F.col("n")))
+    return made.select(F.xxhash64(F.substring("line", start + 1, size), n, "number", "tau").alias("key"), (F.col("id") + F.col("probe")).alias("id"))
 
 
 def within(a: list[str], b: list[str], tau: int = TAU) -> np.ndarray:

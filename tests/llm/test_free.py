@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import struct
 import zlib
 
@@ -445,3 +446,10 @@ def test_packing_keeps_columns(spark):
     got = packing.pack(items)
     assert got.columns == [*items.columns, "sequence_id", "offset"]
     assert sorted(map(tuple, got.select(*items.columns).collect())) == sorted(map(tuple, items.collect()))
+
+
+def test_signatures_compile_to_machine_code(spark, capsys):
+    docs = spark.createDataFrame([(1, "a line of some length\nanother line\nshort one")], "doc_id long, text string")
+    lines.signatures(lines.long_lines(docs)).explain("codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # the JVM only interprets longer methods
