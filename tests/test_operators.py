@@ -195,6 +195,29 @@ def test_a_chained_component_ends_in_few_rounds(spark, monkeypatch):
     assert (chosen == cl.average_linkage(x[:700] @ x[:700].T, np.ones(700), 0.002)).all()
 
 
+def test_large_components_need_no_list_of_pairs(spark, monkeypatch):
+    """One direction, of which all pairs are near: links are fewer than rows, and clusters are those of one matrix."""
+    def never(*_):
+        raise AssertionError("a list of pairs")
+
+    rng, n = np.random.default_rng(17), 150
+    x = np.ones(16) + 0.7 * rng.standard_normal((n, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").cache()
+    assert sj.cosine_pairs(df, 0.5).count() > 4 * n and sj.cosine_links(df, 0.5).count() < n
+    monkeypatch.setattr(cl, "TASK_MEMBERS", 60)
+    monkeypatch.setattr(cl, "cosine_pairs", never)
+    got = cl.hac_average(df, 0.3).toPandas().sort_values("id")["cluster_id"].to_numpy()
+    assert (got == cl.average_linkage(x @ x.T, np.ones(n), 0.3)).all() and 1 < len(set(got)) < n
+
+
+def test_nearest_of_rows_on_both_sides():
+    link = np.array([[np.inf, 0.2, 0.1], [np.inf, np.inf, 0.3], [np.inf] * 3])
+    every, found = np.arange(3), sj.Nearest(np.array(["a", "b", "c"]), np.array([1, 1, 2]))
+    found.meet(every, every, link)
+    assert found.found().to_numpy().tolist() == [["a", 0.1, "c", 0.1], ["b", 0.2, "a", 0.3], ["c", 0.1, "a", 0.1]]
+
+
 def test_pair_scores_kept_up_to_date(spark):
     """Five runs in which topics come, change and go: the stored scores are those of a whole computation."""
     from loomwire.operators import topics as tp
