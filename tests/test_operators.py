@@ -318,6 +318,16 @@ def test_cosine_pairs_meet_by_cells(spark, monkeypatch):
     assert sj.cosine_pairs(df.limit(0), 0.34).count() == 0 and sj.cosine_pairs(df.filter("id >= 900"), 0.34).count() == 0
 
 
+def test_a_task_returns_pairs_strip_by_strip(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(sj, "STRIP", 8)
+    rows = pd.DataFrame({"id": range(40), "v": [[1.0, 0.0]] * 40, "cell": 0, "i": 0, "j": 0})
+    cells = sj.Cells(np.array([[1.0, 0.0]]), np.zeros(1), np.zeros(1, int), np.ones(1, int))
+    frames = list(sj._meet(cells, 0.34, False, "pairs")(iter([rows.assign(back=False), rows.assign(back=True)])))
+    assert sum(map(len, frames)) == 40 * 39 // 2 and max(map(len, frames)) <= 8 * 40
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(3, None)]
