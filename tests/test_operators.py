@@ -465,6 +465,15 @@ def test_tfidf_clusters(spark):
         assert {frozenset(g) for g in got.values()} == want
 
 
+def test_tfidf_links_are_fewer_than_rows(spark, monkeypatch):
+    monkeypatch.setattr(sj, "SPARSE_BLOCKS", 1)
+    df = spark.createDataFrame([(i, f"red shoe w{i % 40}", "") for i in range(41)] + [(90 + i, "paris", "") for i in range(10)], "id long, title string, content_snippet string")
+    weights = sj.tfidf_terms(df, []).cache()
+    groups, reps = sj.tfidf_groups(weights)
+    assert {(r["id"], r["cid"]) for r in reps.collect()} == {(i, i % 40) for i in range(41)} | {(90 + i, 90) for i in range(10)}
+    assert sj.tfidf_pairs(weights, 0.99).count() == 41 * 40 // 2 + 45 and sj.tfidf_links(groups, 0.99).count() == 39
+
+
 def test_entity_pairs(spark):
     rng = random.Random(9)
     sets = {i: list({rng.choice("abcdefghij") for _ in range(rng.randint(1, 6))}) for i in range(60)}
