@@ -222,15 +222,17 @@ def link(prof: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
     buckets = space.store(found.join(weights, "node"), "buckets")
     space.drop("found")
     texts = space.store(texts_of(buckets, nodes, docs), "texts")
-    facing = space.store(hubs_of(buckets), "facing")
+    every = space.store(hubs_of(buckets), "hubs")
     space.drop("buckets")
-    of = facing.join(facing.groupBy("hub").agg(F.count("*").alias("k")), "hub")
+    # what several later queries read is kept, so that none of them repeats the joins that make it
+    of = space.store(every.join(every.groupBy("hub").agg(F.count("*").alias("k")), "hub"), "facing")
+    space.drop("hubs")
     couples, facing = of.filter("k = 2 AND node <> hub").select("hub", "node"), of.filter("k > 2").select("hub", "node")
     every = space.store(facing.join(texts, "node").select("hub", "node", "text").mapInPandas(_explode, "hub long, node long, shingle long"), "shingles")
     timed = space.store(counted(every), "timed")
     space.drop("shingles")
     # a couple is decided by its one pair; larger groups go on from their centres
-    alone = facing.join(nodes.select("node", "n"), "node").withColumn("component", F.col("node"))
+    alone = space.store(facing.join(nodes.select("node", "n"), "node").withColumn("component", F.col("node")), "alone")
     pairs, labels = sized_pairs(central_pairs(alone, timed).unionByName(couples).distinct(), nodes), None
     while n := n_rows(pairs):
         edges = confirm(pairs, texts)

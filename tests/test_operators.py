@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomwire.operators import cluster as cl
 from loomwire.operators import dedup as dd
 from loomwire.operators import feed as fd
+from loomwire.operators import graph
 from loomwire.operators import ingest as ig
 from loomwire.operators import pages as pg
 from loomwire.operators import simjoin as sj
@@ -344,6 +345,16 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in connected_components(named).collect()} == dict.fromkeys("abc", "a")
 
 
+def test_components_settled(spark, monkeypatch):
+    """Edges that are stars already take no round; those of two partitions that meet in a node do."""
+    rounds, hook = [], graph._hook
+    monkeypatch.setattr(graph, "_hook", lambda edges: rounds.append(1) or hook(edges))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long").coalesce(1)
+    assert {r["component"] for r in connected_components(chain).collect()} == {0} and not rounds
+    apart = spark.createDataFrame(spark.sparkContext.parallelize([*[(i, i + 1) for i in range(9)], (9, 10), (11, 10)], 2), "src long, dst long")
+    assert {(r["node"], r["component"]) for r in connected_components(apart).collect()} == {(n, 0) for n in range(12)} and rounds
+
+
 def test_ranks(spark):
     df = spark.range(500).selectExpr("if(id < 300, null, id % 3) AS g", "id % 50 AS x")
     got = rank_in_groups(df, ["g"], F.xxhash64("x"), cell_rows=16).collect()
