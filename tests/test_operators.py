@@ -329,6 +329,21 @@ def test_a_task_returns_pairs_strip_by_strip(monkeypatch):
     assert sum(map(len, frames)) == 40 * 39 // 2 and max(map(len, frames)) <= 8 * 40
 
 
+def test_nearest_centres_in_strips():
+    """What a batch needs does not grow with rows times centres (160 MB here)."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x, centres = rng.normal(size=(10_000, 8)), rng.normal(size=(2000, 8))
+    x, centres = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, centres))
+    tracemalloc.start()
+    cell, angle = sj.nearest_centres(x, centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    assert np.allclose(np.cos(angle), np.einsum("ij,ij->i", x, centres[cell])) and np.allclose(np.cos(angle[:50]), (x[:50] @ centres.T).max(axis=1))
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(3, None)]
