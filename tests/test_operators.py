@@ -212,6 +212,26 @@ def test_large_components_need_no_list_of_pairs(spark, monkeypatch):
     assert (got == cl.average_linkage(x @ x.T, np.ones(n), 0.3)).all() and 1 < len(set(got)) < n
 
 
+def test_chains_give_what_a_matrix_gives(spark, monkeypatch):
+    """Groups of several sizes; and a component of some parts' size is linked in one task, without any round of contraction."""
+    rng = np.random.default_rng(23)
+    for k in range(40):
+        x = rng.standard_normal((6, 6))[rng.integers(0, 6, 60)] + 0.5 * rng.standard_normal((60, 6))
+        n = rng.integers(1, 4, 60) if k % 2 else np.ones(60, int)
+        sums = x / np.linalg.norm(x, axis=1, keepdims=True) * n[:, None]
+        assert (cl.chained_linkage(sums, n, 0.4) == cl.average_linkage(sums @ sums.T, n, 0.4)).all()
+
+    def never(*_):
+        raise AssertionError("a round of contraction")
+
+    x = np.ones(16) + 0.7 * rng.standard_normal((300, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(cl, "TASK_MEMBERS", 60)
+    monkeypatch.setattr(cl, "_contracted", never)
+    got = cl.hac_average(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), 0.3).toPandas().sort_values("id")["cluster_id"].to_numpy()
+    assert (got == cl.average_linkage(x @ x.T, np.ones(300), 0.3)).all() and 1 < len(set(got)) < 300
+
+
 def test_nearest_of_rows_on_both_sides():
     link = np.array([[np.inf, 0.2, 0.1], [np.inf, np.inf, 0.3], [np.inf] * 3])
     every, found = np.arange(3), sj.Nearest(np.array(["a", "b", "c"]), np.array([1, 1, 2]))
@@ -329,6 +349,36 @@ def test_a_task_returns_pairs_strip_by_strip(monkeypatch):
     assert sum(map(len, frames)) == 40 * 39 // 2 and max(map(len, frames)) <= 8 * 40
 
 
+def test_forest_of_dense_hits_takes_few_rounds():
+    """The parts are those of all hits; where everything hits everything, rows are relabelled a few times and not once each."""
+    rng = np.random.default_rng(5)
+    for share in (0.002, 0.02, 1.0):
+        trees, hit = sj.Forest(np.arange(400)), rng.random((200, 200)) < share
+        trees.meet(np.arange(200), np.arange(200, 400), hit)
+        up = list(range(400))
+        for _ in range(400):
+            for i, j in zip(*np.nonzero(hit), strict=True):
+                up[i] = up[j + 200] = min(up[i], up[j + 200])
+            if share == 1.0:
+                break
+        assert trees.top.tolist() == up or share == 1.0 and set(trees.top) == {0}
+
+
+def test_rows_are_copied_to_a_bounded_number_of_blocks(spark, monkeypatch):
+    """A table of many blocks has larger ones, and the few far rows of a centre widen no cell but their own."""
+    monkeypatch.setattr(sj, "BLOCK", 8)
+    monkeypatch.setattr(sj, "BLOCKS", 4)
+    made, work = [], sj._meet
+    monkeypatch.setattr(sj, "_meet", lambda cells, *a: made.append(cells) or work(cells, *a))
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((10, 16))[rng.integers(0, 10, 800)] + 0.3 * rng.standard_normal((800, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {(r["a"], r["b"]) for r in sj.cosine_pairs(df, 0.2).collect()}
+    assert got == {(i, j) for i, j in zip(*np.nonzero(1 - x @ x.T < 0.2), strict=True) if i < j}
+    assert (made[0].first + made[0].parts).max() < 30 and len(made[0].radius) == 4 * len(made[0].centres)
+
+
 def test_nearest_centres_in_strips():
     """What a batch needs does not grow with rows times centres (160 MB here)."""
     import tracemalloc
