@@ -564,6 +564,12 @@ def test_entity_pairs(spark):
         assert want <= found and (least or found == want)
 
 
+def test_keys_of_one_row_alone_are_not_kept(spark):
+    sets = [(i, [f"e{i}", f"f{i}", f"g{i}", f"h{i}"]) for i in range(50)] + [(90, ["x", "y"]), (91, ["x", "y", "z"])]
+    rows, keys = sj._entities(spark.createDataFrame(sets, "id long, entities array<string>"), 0.5)
+    assert rows.count() == 52 and {r["id"] for r in keys.collect()} == {90, 91}
+
+
 def test_feed(spark):
     rows = [("1", "a", "", 5, "2024-01-03", ["x"]), ("2", "b", "img", 1, "2024-01-02", ["y", "x"]), ("3", "a", "img", 2, "2024-01-01", ["z"])]
     t = spark.createDataFrame(rows, "id string, category string, image string, article_count int, published string, names array<string>")
